@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from indoorspark.llm import licenses, media, mixing, url_filter
+from indoorspark.llm import fingerprint, language, licenses, media, mixing, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_mixing": mixing.op4_mixing,
+    "op5_language": language.op5_language,
     "op6_media": media.op6_media,
     "op9_license_scan": licenses.op9_license_scan,
 }
