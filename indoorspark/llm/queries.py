@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from indoorspark.llm import fingerprint, language, licenses, media, mixing, url_filter
+from indoorspark.llm import bpe, fingerprint, language, licenses, media, mixing, url_filter
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_mixing": mixing.op4_mixing,
