@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ from indoorspark.llm.common import stored, table
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Words in the lexicon, and words an encoder keeps in memory; both bound what tasks hold.
-LEXICON, KEPT = 50_000, 300_000
+LEXICON, KEPT = 50_000, 450_000
 #: A space after white space and not before a word: only there can a cut before a space change the words.
 RUN = re.compile(r"\s (?!\S)")
 
@@ -56,6 +57,7 @@ class Vocabulary:
         self.size = max(self.bytes) + 1
         pairs = sorted((a * self.size + b, r, new) for (a, b), (r, new) in self.ranks.items())
         self.pair, self.rank, self.new = (np.array(c, np.int64) for c in zip(*pairs, strict=True))
+        self._hash_pairs()
         # If no token is used before it is made, all places of a word's best pair can merge in one step.
         made = {new: r for r, new in self.ranks.values()}
         self.ordered = len(made) == len(self.ranks) and all(made.get(t, -1) < r for p, (r, _) in self.ranks.items() for t in p)
@@ -63,6 +65,34 @@ class Vocabulary:
         self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
         self.flat = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(self.size)), np.uint8)
 
+    SLOTS = 20
+
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def _hash_pairs(self) -> None:
+        """An open table from pair to place, mostly empty, so that nearly every look-up ends at its first slot."""
+        n = 1 << self.SLOTS
+        self.table = np.full(n, -1, np.int64)
+        left, slot = np.arange(len(self.pair)), self._slot(self.pair)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            lost = self.table[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) % n
+        self.pair = np.append(self.pair, -1)  # what an empty slot leads to
+
+    def places(self, pairs: np.ndarray) -> np.ndarray:
+        """The place of each pair in the list of merges by pair, -1 for one that isn't there."""
+        slot = self._slot(pairs)
+        at = self.table[slot]
+        odd = np.flatnonzero((at >= 0) & (self.pair[at] != pairs))
+        while len(odd):
+            slot[odd] = (slot[odd] + 1) % len(self.table)
+            at[odd] = self.table[slot[odd]]
+            odd = odd[(at[odd] >= 0) & (self.pair[at[odd]] != pairs[odd])]
+        return at
+
     def decode(self, ids: np.ndarray) -> str:
         n = self.lengths[ids]
         at = np.repeat(self.starts[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -81,18 +111,20 @@ class Vocabulary:
         ids = self.single[np.frombuffer(b"".join(words[i] for i in short), np.uint8)]
         owner = np.repeat(np.arange(len(short)), n)
         none = np.int64(1 << 40)
+        done_ids, done_owner = [], []
+        rank_of = np.append(self.rank, none)
         while len(ids):
-            inner = owner[:-1] == owner[1:]
-            want = ids[:-1] * self.size + ids[1:]
-            at = np.minimum(np.searchsorted(self.pair, want), len(self.pair) - 1)
-            rank = np.append(np.where(inner & (self.pair[at] == want), self.rank[at], none), none)
+            at = self.places(ids[:-1] * self.size + ids[1:])
+            at[owner[:-1] != owner[1:]] = -1
+            rank = np.append(rank_of[at], none)
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             best = np.minimum.reduceat(rank, first)
             more = best < none
             ends = np.r_[first[1:], len(ids)]
-            for k in np.flatnonzero(~more):
-                out[short[owner[first[k]]]] = ids[first[k] : ends[k]].astype("<u4").tobytes()
-            live = np.repeat(more, ends - first)
+            over = np.repeat(~more, ends - first)
+            done_ids.append(ids[over])
+            done_owner.append(owner[over])
+            live = ~over
             hit = (rank == np.repeat(best, ends - first)) & live
             # of places that overlap (a run of one id), every second one, from the left
             place = np.flatnonzero(hit)
@@ -102,6 +134,12 @@ class Vocabulary:
             ids[place] = self.new[at[place]]
             live[place + 1] = False
             ids, owner = ids[live], owner[live]
+        ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
+        order = np.argsort(owner, kind="stable")
+        raw = ids[order].astype("<u4").tobytes()
+        cut = (4 * np.searchsorted(owner[order], np.arange(len(short) + 1))).tolist()
+        for i, k in enumerate(short.tolist()):
+            out[k] = raw[cut[i] : cut[i + 1]]
         return out
 
     def merge(self, word: bytes) -> list[int]:
@@ -228,6 +266,16 @@ class Transducer:
         return [ids[4 * place[k] : 4 * place[k + 1]] if k >= 0 else None for k in self.find(words).tolist()]
 
 
+def words_of(part: str) -> list[str]:
+    """The tokenizer's words of a part; letters, with a space before or a full stop or comma after, need no search."""
+    body = part[1:] if part[:1] == " " else part
+    if body.isalpha():
+        return [part]
+    if body[-1:] in (".", ",") and body[:-1].isalpha():
+        return [part[:-1], body[-1]]
+    return CUT.findall(part)
+
+
 class Encoder:
     """Whole texts to ids. Words come from the lexicon; others are merged, and the last `kept` are remembered."""
 
@@ -251,14 +299,21 @@ class Encoder:
         return found
 
     def learn(self, parts: set[str]) -> None:
-        cut = {p: [p] if p in self.vocabulary.special else CUT.findall(p) for p in parts}
-        words = list({w for ws in cut.values() for w in ws if w not in self.vocabulary.special})
+        """Remember the ids of these parts; words that are parts themselves are remembered already or now."""
+        special, pieces = self.vocabulary.special, self.pieces
+        pieces.update((s, i.to_bytes(4, "little")) for s, i in special.items() if s in parts)
+        cut = [(p, words_of(p)) for p in parts if p not in special]
+        words = list({w for _, ws in cut for w in ws if w not in pieces})
         raw = [w.encode() for w in words]
-        ids = dict(zip(words, self.lexicon.find_ids(raw), strict=True))
-        unseen = [w for w in words if ids[w] is None]
-        ids.update(zip(unseen, self.vocabulary.merge_all([w.encode() for w in unseen]), strict=True))
-        ids.update((s, i.to_bytes(4, "little")) for s, i in self.vocabulary.special.items())
-        self.pieces.update((p, b"".join([ids[w] for w in ws])) for p, ws in cut.items())
+        found = self.lexicon.find_ids(raw)
+        unseen = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(unseen, self.vocabulary.merge_all([raw[i] for i in unseen]), strict=True):
+            found[i] = ids
+        new = dict(zip(words, found, strict=True))
+        for p, ws in cut:
+            if p not in new:
+                new[p] = b"".join([new[w] if w in new else pieces[w] for w in ws])
+        pieces.update(new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
@@ -279,14 +334,14 @@ def encoder_of(tokenizer: str, lexicon: str) -> Encoder:
     return Encoder(Vocabulary(SparkFiles.get(tokenizer)), Transducer(SparkFiles.get(lexicon)))
 
 
-def groups(texts: list[str], size: int = 4_000_000):
-    """(from, to) of stretches of about `size` characters."""
-    at = n = 0
-    for i, t in enumerate(texts):
-        n += len(t)
-        if n >= size or i + 1 == len(texts):
-            yield at, i + 1
-            at, n = i + 1, 0
+def text_groups(column: pa.Array, size: int = 3_000_000):
+    """(from, texts) of stretches of a text column of about `size` bytes; a null is empty. One stretch at a time is in Python."""
+    if len(column):
+        length = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+        mark = np.cumsum(length) // size
+        for at in np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]]):
+            to = int(np.searchsorted(mark, mark[at], side="right"))
+            yield int(at), [t or "" for t in column.slice(int(at), to - int(at)).to_pylist()]
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
@@ -297,17 +352,17 @@ def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
 
     def run(batches):
         for b in batches:
-            texts = [t for t in b.column(0).to_pylist() if t]
-            for at, to in groups(texts, 16_000_000):
+            for _, texts in text_groups(b.column(0), 6_000_000):
                 parts: Counter = Counter()
-                for t in texts[at:to]:
+                words: Counter = Counter()
+                for t in texts:
                     head, *rest = t.split(" ")
-                    parts[head, 0] += 1
+                    words.update(words_of(head))
                     parts.update(rest)
-                words: Counter = Counter()
                 for p, n in parts.items():
-                    for w in CUT.findall(p[0] if isinstance(p, tuple) else " " + p):
+                    for w in words_of(" " + p):
                         words[w] += n
+                del parts
                 yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
 
     counts = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1 and length(word) <= 64")
@@ -354,9 +409,9 @@ def add_ids(docs: DataFrame, tokenizer: str | None = None, most: int = LEXICON,
 
     def run(batches):
         for b in batches:
-            texts, encoder, ids = [t or "" for t in b.column("text").to_pylist()], encoder_of(*files), []
-            for at, to in groups(texts):
-                ids += encoder.encode(texts[at:to])
+            encoder, ids = encoder_of(*files), []
+            for _, texts in text_groups(b.column("text")):
+                ids += encoder.encode(texts)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], names=[*b.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
@@ -376,11 +431,11 @@ def digest_rows(docs: DataFrame, tokenizer: str | None = None, most: int = LEXIC
 
     def run(batches):
         for b in batches:
-            docs_, texts, encoder = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()], encoder_of(*files)
-            for at, to in groups(texts):
-                ids = encoder.encode(texts[at:to])
+            docs_, encoder = b.column(0).to_pylist(), encoder_of(*files)
+            for at, texts in text_groups(b.column(1)):
+                ids = encoder.encode(texts)
                 back = [encoder.vocabulary.decode(np.frombuffer(i, "<u4")) for i in ids]
-                columns = docs_[at:to], [len(i) // 4 for i in ids], [sha(i) for i in ids], [sha(t.encode()) for t in back]
+                columns = docs_[at : at + len(ids)], [len(i) // 4 for i in ids], [sha(i) for i in ids], [sha(t.encode()) for t in back]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.mapInArrow(run, SCHEMA)

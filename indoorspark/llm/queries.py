@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from indoorspark.llm import bpe, fingerprint, jaccard_join, language, licenses, media, mixing, url_filter
+from indoorspark.llm import bpe, fingerprint, jaccard_join, language, licenses, media, mixing, substring, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -13,5 +13,6 @@ QUERIES = {
     "op6_media": media.op6_media,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_license_scan": licenses.op9_license_scan,
+    "op10_substring_dedup": substring.op10_substring_dedup,
 }
-SQL = {"op4_mixing": mixing.SQL}
+SQL = {"op4_mixing": mixing.SQL, "op10_substring_dedup": substring.SQL}
