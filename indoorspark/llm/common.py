@@ -63,18 +63,18 @@ def ranked(df: DataFrame, order: list[str], out: str, label: str) -> DataFrame:
 
 
 def slots(df: DataFrame, group: str, order: list[Column], out: str, rows_each: int = 50_000) -> DataFrame:
-    """Add `out`, a gapless 0-based number within `group`; a group is cut by the hash of `order` into chunks.
+    """Add `out`, a gapless 0-based number within `group`; a group is cut by the hash of the first of `order` into chunks.
 
-    Only counts by (group, chunk) meet; no task sorts a whole group. df must be deterministic.
+    Only counts by (group, chunk) meet; no task sorts a whole group. `group` has no nulls; df must be deterministic.
     """
     spread = max(1, -(-df.count() // rows_each))
-    cut = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(spread)).cast("int"))
+    cut = df.withColumn("_chunk", F.pmod(F.xxhash64(order[0]), F.lit(spread)).cast("int"))
     by = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = cut.groupBy(group, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select(group, "_chunk", F.coalesce(F.sum("_n").over(by), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(group, "_chunk").orderBy(*order)).cast("long") - 1
     left, right = cut.withColumn(out, inside), before.withColumnsRenamed({group: "_g", "_chunk": "_c"})
-    on = left[group].eqNullSafe(right["_g"]) & (left["_chunk"] == right["_c"])
+    on = (left[group] == right["_g"]) & (left["_chunk"] == right["_c"])
     return left.join(right, on).withColumn(out, F.col(out) + F.col("_before")).drop("_g", "_c", "_chunk", "_before")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from indoorspark.llm import bpe, fingerprint, jaccard_join, language, licenses, media, mixing, substring, url_filter
+from indoorspark.llm import bpe, fingerprint, jaccard_join, language, licenses, media, mixing, sharding, substring, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_language": language.op5_language,
     "op6_media": media.op6_media,
+    "op7_sharding": sharding.op7_sharding,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_substring_dedup": substring.op10_substring_dedup,
