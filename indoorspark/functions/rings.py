@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 RING = "array<struct<x:double,y:double>>"
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def point(x, y) -> Column:
     x, y = (v if isinstance(v, Column) else F.lit(v) for v in (x, y))
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
@@ -37,7 +42,7 @@ def total(values: Column) -> Column:
 
 def area(ring: Column) -> Column:
     """Signed shoelace area, open or closed; above 0 if the ring runs clockwise on screen."""
-    return total(F.zip_with(ring, rotated(ring), lambda a, b: a.x * b.y - b.x * a.y)) / 2
+    return let(ring, lambda r: total(F.zip_with(r, rotated(r), lambda a, b: a.x * b.y - b.x * a.y)) / 2)
 
 
 def bounds(ring: Column) -> Column:
@@ -57,35 +62,43 @@ def opened(ring: Column) -> Column:
 
 def shifted(ring: Column) -> Column:
     """Relative to the first point, so that small areas far from the origin keep their digits."""
-    o = F.element_at(ring, 1)
-    return F.transform(ring, lambda p: point(p.x - o.x, p.y - o.y))
+    return let(ring, lambda r: let(F.element_at(r, 1), lambda o: F.transform(r, lambda p: point(p.x - o.x, p.y - o.y))))
 
 
 def ensure_ccw(ring: Column) -> Column:
     """A closed ring turned round if its area, relative to the first point, is below 0."""
-    return F.when(area(shifted(ring)) < 0, F.reverse(ring)).otherwise(ring)
+    return let(ring, lambda r: F.when(area(shifted(r)) < 0, F.reverse(r)).otherwise(r))
+
+
+def _moments(ring: Column) -> Column:
+    """struct<a, x, y>: twice the area and the two first moments of a closed ring."""
 
+    def sums(r):
+        two = lambda f: total(F.zip_with(r, rotated(r), lambda a, b: f(a, b, a.x * b.y - b.x * a.y)))
+        return F.struct(two(lambda a, b, c: c).alias("a"), two(lambda a, b, c: (a.x + b.x) * c).alias("x"), two(lambda a, b, c: (a.y + b.y) * c).alias("y"))
 
-def _moments(ring: Column) -> tuple[Column, Column, Column]:
-    """Twice the area and the two first moments of a closed ring."""
-    two = lambda f: total(F.zip_with(ring, rotated(ring), lambda a, b: f(a, b, a.x * b.y - b.x * a.y)))
-    return two(lambda a, b, c: c), two(lambda a, b, c: (a.x + b.x) * c), two(lambda a, b, c: (a.y + b.y) * c)
+    return let(ring, sums)
 
 
 def centroid(ring: Column) -> Column:
     """Shoelace centroid of a closed ring; its first point if there is no area."""
-    o = F.element_at(ring, 1)
-    a, x, y = _moments(shifted(ring))
-    return F.when(F.abs(a) > 1e-18, point(o.x + x / (3 * a), o.y + y / (3 * a))).otherwise(o)
+
+    def found(r):
+        at = lambda o: let(_moments(shifted(r)), lambda m: F.when(F.abs(m.a) > 1e-18, point(o.x + m.x / (3 * m.a), o.y + m.y / (3 * m.a))).otherwise(o))
+        return let(F.element_at(r, 1), at)
+
+    return let(ring, found)
 
 
 def display_point(ring: Column, fixed: Column | None = None) -> Column:
     """The stored point if there is one; else the centroid of a closed ring, or the middle of its bounds if the area is tiny."""
-    a, x, y = _moments(ring)
-    b = bounds(ring)
-    middle = point((b.min_x + b.max_x) / 2, (b.min_y + b.max_y) / 2)
-    found = F.when(F.abs(a) > 1e-12, point(x / (3 * a), y / (3 * a))).otherwise(middle)
-    return F.coalesce(fixed, found) if fixed is not None else found
+
+    def found(r):
+        middle = let(bounds(r), lambda b: point((b.min_x + b.max_x) / 2, (b.min_y + b.max_y) / 2))
+        return let(_moments(r), lambda m: F.when(F.abs(m.a) > 1e-12, point(m.x / (3 * m.a), m.y / (3 * m.a))).otherwise(middle))
+
+    got = let(ring, found)
+    return F.coalesce(fixed, got) if fixed is not None else got
 
 
 def vertex_mean(ring: Column) -> Column:
@@ -96,45 +109,44 @@ def vertex_mean(ring: Column) -> Column:
 
 def is_rectilinear(ring: Column, eps: float = 1e-9) -> Column:
     """Open ring of four points or more whose edges are all level or upright."""
-    straight = F.zip_with(ring, rotated(ring), lambda a, b: (F.abs(a.x - b.x) <= eps) | (F.abs(a.y - b.y) <= eps))
-    return F.forall(straight, lambda s: s) & (F.size(ring) >= 4)
+    along = lambda a, b: (F.abs(a.x - b.x) <= eps) | (F.abs(a.y - b.y) <= eps)
+    return let(ring, lambda r: F.forall(F.zip_with(r, rotated(r), along), lambda s: s) & (F.size(r) >= 4))
 
 
 def _neighbours(ring: Column, f) -> Column:
     """f(before, at, after) of every point of an open ring."""
-    three = F.arrays_zip(rotated(ring, -1).alias("p"), ring.alias("c"), rotated(ring).alias("n"))
-    return F.transform(three, lambda t: f(t["p"], t["c"], t["n"]))
+    at = lambda i: F.element_at(ring, i.cast("int"))
+    n = F.size(ring)
+    return F.transform(ring, lambda c, i: let(F.struct(at((i + n - 1) % n + 1).alias("p"), at((i + 1) % n + 1).alias("n")), lambda t: f(t["p"], c, t["n"])))
 
 
 def offset_polygon(ring: Column, d, least: float = 0.35) -> Column:
     """Every edge of a clean open ring moved out by d (in if below 0), corners mitred; the mitre's divisor stays above `least`."""
     d = d if isinstance(d, Column) else F.lit(float(d))
-    sign = F.when(area(ring) > 0, 1.0).otherwise(-1.0)
 
-    def moved(p, c, n):
-        def normal(a, b):
-            length = F.sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))
-            length = F.when(length == 0, 1.0).otherwise(length)
-            return sign * (b.y - a.y) / length, -sign * (b.x - a.x) / length
+    def normal(sign, a, b):
+        length = F.sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))
+        return let(F.when(length == 0, 1.0).otherwise(length), lambda n: point(sign * (b.y - a.y) / n, -sign * (b.x - a.x) / n))
 
-        (x1, y1), (x2, y2) = normal(p, c), normal(c, n)
-        by = d / F.greatest(1 + x1 * x2 + y1 * y2, F.lit(least))
-        return point(c.x + (x1 + x2) * by, c.y + (y1 + y2) * by)
+    def moved(sign, p, c, n):
+        normals = F.struct(normal(sign, p, c).alias("u"), normal(sign, c, n).alias("v"))
+        by = lambda u, v: d / F.greatest(1 + u.x * v.x + u.y * v.y, F.lit(least))
+        return let(normals, lambda w: let(by(w.u, w.v), lambda k: point(c.x + (w.u.x + w.v.x) * k, c.y + (w.u.y + w.v.y) * k)))
 
-    return _neighbours(ring, moved)
+    return let(ring, lambda r: let(F.when(area(r) > 0, 1.0).otherwise(-1.0), lambda sign: _neighbours(r, lambda p, c, n: moved(sign, p, c, n))))
 
 
 def offset_rectilinear(ring: Column, d) -> Column:
     """The same for a clean axis-aligned open ring of four points or more."""
     d = d if isinstance(d, Column) else F.lit(float(d))
-    sign = F.when(area(ring) > 0, 1.0).otherwise(-1.0)
 
-    def moved(p, c, n):
-        out = lambda a, b: (sign * F.signum(b.y - a.y), -sign * F.signum(b.x - a.x))
-        (x1, y1), (x2, y2) = out(p, c), out(c, n)
-        return point(c.x + d * (x1 + x2), c.y + d * (y1 + y2))
+    def moved(sign, p, c, n):
+        x = sign * (F.signum(c.y - p.y) + F.signum(n.y - c.y))
+        y = -sign * (F.signum(c.x - p.x) + F.signum(n.x - c.x))
+        return point(c.x + d * x, c.y + d * y)
 
-    return F.when(F.size(ring) >= 4, _neighbours(ring, moved)).otherwise(ring)
+    turned = lambda r: let(F.when(area(r) > 0, 1.0).otherwise(-1.0), lambda sign: _neighbours(r, lambda p, c, n: moved(sign, p, c, n)))
+    return let(ring, lambda r: F.when(F.size(r) >= 4, turned(r)).otherwise(r))
 
 
 def chaikin(ring: Column, iterations: int = 1, max_cut: float | None = None) -> Column:
@@ -146,7 +158,7 @@ def chaikin(ring: Column, iterations: int = 1, max_cut: float | None = None) ->
             t = F.when(length > 0, F.least(F.lit(0.25), F.lit(max_cut) / length)).otherwise(0.25) if max_cut else F.lit(0.25)
             return F.array(point(a.x + (b.x - a.x) * t, a.y + (b.y - a.y) * t), point(b.x + (a.x - b.x) * t, b.y + (a.y - b.y) * t))
 
-        ring = F.flatten(F.zip_with(ring, rotated(ring), cut))
+        ring = let(ring, lambda r: F.flatten(F.zip_with(r, rotated(r), cut))  # noqa: B023)
     return ring
 
 
@@ -185,11 +197,17 @@ def rounded_rect(x0: Column, y0: Column, x1: Column, y1: Column, radii: list[Col
     A radius is half the short side at most; below 0.35 the corner stays square; arcs have 2 to 8 steps.
     """
     half = F.least(x1 - x0, y1 - y0) / 2
-    parts = []
-    for r, (cx, sx, cy, sy, start) in zip(radii, [(x0, 1, y0, 1, 2), (x1, -1, y0, 1, 3), (x1, -1, y1, -1, 0), (x0, 1, y1, -1, 1)], strict=True):
-        r = F.greatest(F.lit(0.0), F.least(F.coalesce(r, F.lit(0.0)), half))
+
+    def corner(r, cx, sx, cy, sy, start):
         steps = F.greatest(F.lit(2), F.least(F.lit(8), F.ceil(r * 1.2)))
-        turn = lambda s, steps=steps, start=start: (start + s / steps) * math.pi / 2
-        arc = F.transform(F.sequence(F.lit(0).cast("long"), steps), lambda s, r=r, cx=cx, sx=sx, cy=cy, sy=sy, turn=turn: point(cx + sx * r + r * F.cos(turn(s)), cy + sy * r + r * F.sin(turn(s))))
-        parts.append(F.when(r < 0.35, F.array(point(cx, cy))).otherwise(arc))
-    return F.concat(*parts)
+
+        def on_arc(s):
+            turn = (start + s / steps) * math.pi / 2
+            return point(cx + sx * r + r * F.cos(turn), cy + sy * r + r * F.sin(turn))
+
+        arc = F.transform(F.sequence(F.lit(0).cast("long"), steps), on_arc)
+        return F.when(r < 0.35, F.array(point(cx, cy))).otherwise(arc)
+
+    places = [(x0, 1, y0, 1, 2), (x1, -1, y0, 1, 3), (x1, -1, y1, -1, 0), (x0, 1, y1, -1, 1)]
+    capped = [F.greatest(F.lit(0.0), F.least(F.coalesce(r, F.lit(0.0)), half)) for r in radii]
+    return F.concat(*[corner(r, *p) for r, p in zip(capped, places, strict=True)])

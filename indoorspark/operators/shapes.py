@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from indoorspark.fixtures import view
 from indoorspark.functions import rings as R
-from indoorspark.functions.scalars import PIXELS, text_or
+from indoorspark.functions.scalars import PIXELS
 
 # Fill and stroke by category; what isn't named here is drawn as unspecified.
 _BLUE, _VIOLET, _PHONE = ("rgba(203, 224, 244, 0.55)", "#7ba7cc"), ("rgba(215, 207, 242, 0.55)", "#907fc0"), ("rgba(224, 218, 245, 0.55)", "#9a8bc8")
@@ -76,8 +76,7 @@ def polygon_transform(ring: Column, matrix: list, offset_x, offset_y) -> Column:
     """An open ring through the affine matrix (a, b, c, d, e, f), relative to an offset; closed, in coordinates."""
     a, b, c, d, e, f = matrix
     move = lambda p: R.point((a * (p.x - offset_x) + c * (p.y - offset_y) + e) / PIXELS, (b * (p.x - offset_x) + d * (p.y - offset_y) + f) / PIXELS)
-    moved = F.transform(ring, move)
-    return F.concat(moved, F.slice(moved, 1, 1))
+    return R.let(F.transform(ring, move), lambda m: F.concat(m, F.slice(m, 1, 1)))
 
 
 def resize_to(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
@@ -93,7 +92,7 @@ def category_style(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     rows = [(k, *v) for k, v in STYLES.items()]
     styles = F.broadcast(spark.createDataFrame(rows, "_style string, fill string, stroke string"))
-    key = F.when(text_or(F.col("category"), "unspecified").isin(*STYLES), F.col("category")).otherwise("unspecified")
+    key = F.when(F.col("category").isin(*STYLES), F.col("category")).otherwise("unspecified")
     got = df.withColumn("_style", key).join(styles, "_style").drop("_style")
     section = F.col("kind") == "section"
     return got.withColumns({"fill": F.when(section, SECTION_STYLE[0]).otherwise(F.col("fill")), "stroke": F.when(section, SECTION_STYLE[1]).otherwise(F.col("stroke"))})

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from indoorspark.plans import basics  # noqa: F401
+from indoorspark.plans import basics, features  # noqa: F401
 from indoorspark.plans.registry import QUERIES, SQL
 
 
