@@ -158,7 +158,7 @@ def chaikin(ring: Column, iterations: int = 1, max_cut: float | None = None) ->
             t = F.when(length > 0, F.least(F.lit(0.25), F.lit(max_cut) / length)).otherwise(0.25) if max_cut else F.lit(0.25)
             return F.array(point(a.x + (b.x - a.x) * t, a.y + (b.y - a.y) * t), point(b.x + (a.x - b.x) * t, b.y + (a.y - b.y) * t))
 
-        ring = let(ring, lambda r: F.flatten(F.zip_with(r, rotated(r), cut))  # noqa: B023)
+        ring = let(ring, lambda r: F.flatten(F.zip_with(r, rotated(r), cut)))
     return ring
 
 
