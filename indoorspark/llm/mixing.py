@@ -55,12 +55,12 @@ def mix_rows(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The documents themselves, each as often as its source's rate asks; all columns kept."""
+    """The documents themselves, each as often as its source's rate asks; all columns kept, whatever their names."""
+    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("row"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     plan = source_plan(stored(docs.groupBy("source").agg(F.sum(size).alias("size")), "mix-sizes"))
-    met = lookup(docs, plan.select("source", F.col("rate").alias("_rate")), "source")
-    again = met.withColumn("_copies", copies(F.col("_rate"), seed)).where("_copies > 0")
-    return again.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(*docs.columns)
+    met = lookup(rows, plan.select("source", "rate"), "source").withColumn("n", copies(F.col("rate"), seed)).where("n > 0")
+    return met.select("row", F.explode(F.expr("sequence(1L, n)")).alias("copy")).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

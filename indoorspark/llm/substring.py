@@ -148,13 +148,14 @@ def removed(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX) -> DataFr
     """docs with _words (count), _removed (count) and _kept (the kept words joined by one space).
 
     A document whose text is that of a smaller doc_id loses every word, if it has `depth` words or more. A null doc_id
-    is neither smaller nor greater than any: such a document keeps its words. Null text: no words.
+    is neither smaller nor greater than any: such a document keeps its words. Null text: no words. Other columns stay,
+    whatever their names; columns of the three names are replaced.
     """
-    docs = docs.withColumn("c", text_class())
-    found = repeats(docs.select("doc_id", "text", "c"), depth, prefix)
+    docs = docs.drop("_words", "_removed", "_kept")
+    rows = docs.select("doc_id", "text", text_class().alias("c"), F.struct(*[x for x in docs.columns if x != "text"]).alias("row"))
+    found = repeats(rows.select("doc_id", "text", "c"), depth, prefix)
     found = found.select(F.col("c").alias("_c"), F.col("doc").alias("_doc"), "places")
-    met = docs.join(found.hint("shuffle_hash"), (F.col("c") == F.col("_c")) & (F.col("doc_id") == F.col("_doc")), "left").drop("_c", "_doc", "c")
-    names = [x for x in met.columns if x != "places"]
+    met = rows.join(found.hint("shuffle_hash"), (F.col("c") == F.col("_c")) & (F.col("doc_id") == F.col("_doc")), "left").select("row", "doc_id", "text", "places")
 
     def run(batches_):
         for b in batches_:
@@ -168,10 +169,11 @@ def removed(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX) -> DataFr
                 n.append(len(words))
                 gone.append(int(out.sum()))
                 kept.append((b" ".join([w for w, x in zip(words, out.tolist(), strict=True) if not x] if gone[-1] else words)).decode())
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*names, "_words", "_removed", "_kept"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["row", "text", "_words", "_removed", "_kept"])
 
     kinds = dict(met.dtypes)
-    return met.mapInArrow(run, ", ".join(f"`{x}` {kinds[x]}" for x in names) + ", _words long, _removed long, _kept string")
+    out = met.mapInArrow(run, f"row {kinds['row']}, text string, _words long, _removed long, _kept string")
+    return out.select(*[F.col("text") if x == "text" else F.col("row").getField(x).alias(x) for x in docs.columns], "_words", "_removed", "_kept")
 
 
 def dedup_rows(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
