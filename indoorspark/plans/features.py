@@ -278,8 +278,8 @@ def e4(spark, d):
     return df.select("feature_id", "category", "label", "level_id", F.round("point.x", 9).alias("x"), F.round("point.y", 9).alias("y"))
 
 
-@query("E5_section_features", EXTENT.rstrip() + """, c AS (SELECT h.*, 0.15 / mpu AS fw FROM fx_shape h JOIN s ON h.building_id = s.building_id WHERE kind = 'section' AND form = 'box')
-SELECT shape_id, NOT outline_only OR w - 2 * fw < fw OR h - 2 * fw < fw AS solid, CASE WHEN NOT outline_only OR w - 2 * fw < fw OR h - 2 * fw < fw THEN 5 ELSE 11 END AS points FROM c""", *EX)
+@query("E5_section_features", EXTENT.rstrip() + """, fr AS (SELECT h.*, 0.15 / mpu AS fw FROM fx_shape h JOIN s ON h.building_id = s.building_id WHERE kind = 'section' AND form = 'box')
+SELECT shape_id, NOT outline_only OR w - 2 * fw < fw OR h - 2 * fw < fw AS solid, CASE WHEN NOT outline_only OR w - 2 * fw < fw OR h - 2 * fw < fw THEN 5 ELSE 11 END AS points FROM fr""", *EX)
 def e5(spark, d):
     df = shapes(spark, d).where("kind = 'section' and form = 'box'")
     got = G.section_features(df, scale_of(spark, d)).select(F.col("feature_id").alias("shape_id"), F.size(F.element_at("rings", 1)).alias("points"))
