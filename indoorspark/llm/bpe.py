@@ -14,7 +14,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from indoorspark.llm.common import stored, table
+from indoorspark.llm.words import text_groups
 
 # Fixed value: how the tokenizer cuts a text before merging; white space is Unicode's.
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Words in the lexicon, and words an encoder keeps in memory; both bound what tasks hold.
-LEXICON, KEPT = 50_000, 450_000
+LEXICON, KEPT = 50_000, 250_000
 #: A space after white space and not before a word: only there can a cut before a space change the words.
 RUN = re.compile(r"\s (?!\S)")
 
@@ -334,16 +334,6 @@ def encoder_of(tokenizer: str, lexicon: str) -> Encoder:
     return Encoder(Vocabulary(SparkFiles.get(tokenizer)), Transducer(SparkFiles.get(lexicon)))
 
 
-def text_groups(column: pa.Array, size: int = 3_000_000):
-    """(from, texts) of stretches of a text column of about `size` bytes; a null is empty. One stretch at a time is in Python."""
-    if len(column):
-        length = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
-        mark = np.cumsum(length) // size
-        for at in np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]]):
-            to = int(np.searchsorted(mark, mark[at], side="right"))
-            yield int(at), [t or "" for t in column.slice(int(at), to - int(at)).to_pylist()]
-
-
 def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
     """The words of docs(text) whose count, over all of docs, is high enough that at most `most` are.
 

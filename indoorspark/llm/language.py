@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from indoorspark.llm.common import table
+from indoorspark.llm.words import text_groups
 
 #: Hashed n-gram buckets and the orders of the n-grams.
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
 #: Bound of the fitted sample: rows a language, and rows in all.
-PER_LANG, IN_ALL = 1000, 20_000
+PER_LANG, IN_ALL = 600, 20_000
 
 
 def has_letter(text: str) -> bool:
@@ -44,10 +45,9 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     def run(batches):
         seen = np.zeros(BUCKETS + 1, np.int64)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                if text and has_letter(text):
-                    seen[grams(text)[0]] += 1
-                    seen[BUCKETS] += 1
+            for text in (t for _, texts in text_groups(b.column(0)) for t in texts if has_letter(t)):
+                seen[grams(text)[0]] += 1
+                seen[BUCKETS] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 1)), pa.array(seen)], names=["bucket", "n"])
 
     n = np.zeros(BUCKETS + 1)
@@ -156,8 +156,8 @@ def add_language(docs: DataFrame, model: dict, lang: str = "lang_pred", score: s
 
     def run(batches):
         predict = predictor(held.value)
-        for b in batches:
-            rows = [predict(t) for t in b.column("text").to_pylist()]
+        for b, texts in ((whole.slice(at, len(texts)), texts) for whole in batches for at, texts in text_groups(whole.column("text"))):
+            rows = [predict(t) for t in texts]
             new = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, lang, score])
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indoorspark.llm.common import parts, stored, table
-from indoorspark.llm.words import Words, batches
+from indoorspark.llm.words import Words, batches, text_groups
 
 #: Words of a repeat, and words of the prefixes that split the suffixes.
 DEPTH, PREFIX = 13, 4
@@ -114,7 +114,7 @@ def repeats(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX) -> DataFr
 
     The prefixes under which suffixes stand are matched first; only suffixes under a prefix of two classes are sent on,
     by the hash of their beginning. A group of equal beginnings is a node of depth `depth` at least: its least document
-    keeps the words, the others' places come out. What a stretch of texts (2 MB) can tell alone is not sent, so that
+    keeps the words, the others' places come out. What a stretch of texts (1 MB) can tell alone is not sent, so that
     a group with a third of all texts is some rows for each stretch.
     """
     docs = docs.where("doc_id is not null")
@@ -158,10 +158,10 @@ def removed(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX) -> DataFr
     met = rows.join(found.hint("shuffle_hash"), (F.col("c") == F.col("_c")) & (F.col("doc_id") == F.col("_doc")), "left").select("row", "doc_id", "text", "places")
 
     def run(batches_):
-        for b in batches_:
+        for b, texts in ((whole.slice(at, len(texts)), texts) for whole in batches_ for at, texts in text_groups(whole.column("text"))):
             n, gone, kept = [], [], []
-            for doc, text, places in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("places"), strict=True):
-                words = (text or "").encode().split()
+            for doc, text, places in zip(b.column("doc_id").to_pylist(), texts, b.column("places"), strict=True):
+                words = text.encode().split()
                 if not places.is_valid:
                     out = np.full(len(words), doc is not None and len(words) >= depth)
                 else:

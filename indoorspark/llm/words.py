@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Odd multipliers of polynomial hashes modulo 2**64, and of the mixing step.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C55, 0xD1342543DE82EF95
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes of text taken at once; one longer text is taken alone.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 SPACES = np.ones(256, np.uint8)
 SPACES[[32, 9, 10, 11, 12, 13]] = 0
@@ -35,7 +36,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n >= self.n:
-            self.n = max(n + 1, 2 * self.n)
+            self.n = n + 1 + n // 4
             ups = []
             for b in (self.base, pow(self.base, -1, 1 << 64)):
                 a = np.full(self.n, b, np.uint64)
@@ -110,3 +111,13 @@ def batches(column: pa.Array, table: np.ndarray = PLAIN) -> Iterator[tuple[int,
     """(first row, Words) for stretches of a text column."""
     for at, _, data, offsets in chunks(column):
         yield at, Words(data, offsets, table)
+
+
+def text_groups(column: pa.Array, size: int = 3_000_000):
+    """(from, texts) of stretches of a text column of about `size` bytes; a null is empty. One stretch at a time is in Python."""
+    if len(column):
+        length = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+        mark = np.cumsum(length) // size
+        for at in np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]]):
+            to = int(np.searchsorted(mark, mark[at], side="right"))
+            yield int(at), [t or "" for t in column.slice(int(at), to - int(at)).to_pylist()]
