@@ -24,9 +24,10 @@ def ring_spans(df: DataFrame, key: str) -> DataFrame:
     """(key, row, from, to): pixels that closed rings fill, even-odd, sampled at pixel centres."""
     b = R.bounds(F.flatten("rings"))
     rows = df.select(key, "rings", b.alias("b")).select(key, "rings", F.explode(F.sequence(F.floor("b.min_y"), F.ceil("b.max_y"))).alias("row"))
-    xs = rows.select(key, "row", R.span_crossings(F.col("rings"), F.col("row")).alias("xs")).where(F.size("xs") >= 2)
-    pairs = F.transform(F.sequence(F.lit(1), F.floor(F.size("xs") / 2).cast("int")), lambda k: F.struct(F.ceil(F.element_at("xs", 2 * k - 1) - 0.5).alias("from"), F.floor(F.element_at("xs", 2 * k) - 0.5).alias("to")))
-    return xs.select(key, "row", F.explode(pairs).alias("s")).select(key, "row", "s.from", "s.to").where(F.col("to") >= F.col("from"))
+    span = lambda xs: lambda k: F.struct(F.ceil(F.element_at(xs, 2 * k - 1) - 0.5).alias("from"), F.floor(F.element_at(xs, 2 * k) - 0.5).alias("to"))
+    pairs = lambda xs: F.when(F.size(xs) >= 2, F.transform(F.sequence(F.lit(1), F.floor(F.size(xs) / 2).cast("int")), span(xs)))
+    spans = rows.select(key, "row", F.explode(R.let(R.span_crossings(F.col("rings"), F.col("row")), pairs)).alias("s"))
+    return spans.select(key, "row", "s.from", "s.to").where(F.col("to") >= F.col("from"))
 
 
 def hatch(df: DataFrame, key: str, spacing: Column, thickness: Column) -> DataFrame:
