@@ -16,8 +16,8 @@ CHUNK = 1_000_000
 
 SPACES = np.ones(256, np.uint8)
 SPACES[[32, 9, 10, 11, 12, 13]] = 0
-#: Byte → byte, 0 for what separates words.
-PLAIN = np.where(SPACES == 0, 0, np.arange(256)).astype(np.uint8)
+#: Byte → number to hash, 0 only for what separates words: a NUL is a byte of a word like any other.
+PLAIN = np.where(SPACES == 0, 0, np.arange(256) + 1).astype(np.uint16)
 LOWER = PLAIN.copy()
 LOWER[65:91] += 32
 

@@ -164,6 +164,28 @@ def test_words_and_grams():
     assert at.tolist() == [0, 3, 4, 5] and len(set(code.tolist())) == 3 and code[0] == code[3]
 
 
+def test_nul_is_a_byte_of_a_word():
+    import pyarrow as pa
+
+    texts = ["a\0b c", "\0", "a\0", "b", "\0a", "a", "\0\0", "\x7f"]
+    ((_, w),) = words.batches(pa.array(texts))
+    assert w.count.tolist() == [len(t.encode().split()) for t in texts]
+    assert len(set(w.code[2:].tolist())) == len(texts) - 1  # "a\0" is not "b", nor "\0" "\0\0"
+    ((_, w),) = words.batches(pa.array(["A\0B", "a\0b"]), words.LOWER)
+    assert w.code[0] == w.code[1]
+
+
+def test_nul_in_shared_passages(spark):
+    passage = " ".join(f"w{i}\0x" for i in range(20))
+    rows = [(0, f"one {passage}"), (1, f"\0 two\0 {passage} three"), (2, passage.replace("\0", " ")), (3, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["_words"], r["_removed"], r["_kept"]) for r in substring.removed(df).collect()}
+    assert got == {0: (21, 0, rows[0][1]), 1: (23, 20, "\0 two\0 three"), 2: (40, 0, rows[2][1]), 3: (20, 20, "")}
+    for k, percent in ((4, 85), (5, 80)):
+        got = jaccard_join.link(df, jaccard_join.Join(words=k, percent=percent))
+        assert {tuple(r) for r in got.collect()} == brute(rows, k, percent)
+
+
 def test_components_ranks_and_slots(spark):
     rnd = random.Random(4)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(50)]
