@@ -22,17 +22,21 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar ones, that of the smallest doc_id; of repeated rows one.
 
-    A null doc_id counts as greater than any; such documents are told apart by their texts.
+    Rows are told apart by id and text: texts that share an id but are not similar all stay, of similar ones that share
+    the smallest id that of the least hash. A null doc_id counts as greater than any; such documents are told apart by their texts.
     """
     nameless = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    keyed = docs.withColumn("_key", F.coalesce("doc_id", nameless))
-    labels = stored(jaccard_join.link(keyed.select(F.col("_key").alias("doc_id"), "text"), NEAR), "pipe-labels")
-    gone = labels.where("doc_id <> component_id").select(F.col("doc_id").alias("_key"))
-    twice = labels.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_key"))
-    kept = keyed.join(gone.unionByName(twice).distinct(), "_key", "left_anti").select(*docs.columns)
+    keyed = docs.withColumns({"_key": F.coalesce("doc_id", nameless), "_t": jaccard_join.text_hash()})
+    key = ["_key", "_t"]
+    labels = stored(jaccard_join.labelled(keyed.select(F.col("_key").alias("doc_id"), "text"), NEAR).withColumnsRenamed({"doc_id": "_key", "t": "_t"}), "pipe-labels")
+    first = labels.where("_key = component_id")
+    several = first.where("root is not null").groupBy("root").agg(F.min("_t").alias("_least"), F.max("_t").alias("_most")).where("_least < _most")
+    gone = labels.where("_key <> component_id").select(*key).unionByName(first.join(several, "root").where("_t > _least").select(*key))
+    twice = labels.groupBy(*key).count().where("count > 1").select(*key)
+    kept = keyed.join(gone.unionByName(twice).distinct(), key, "left_anti").select(*docs.columns)
     if twice.isEmpty():
         return kept
-    once = keyed.join(twice, "_key", "left_semi").join(gone, "_key", "left_anti").dropDuplicates(["_key"])
+    once = keyed.join(twice, key, "left_semi").join(gone, key, "left_anti").dropDuplicates(key)
     return kept.unionByName(once.select(*docs.columns))
 
 

@@ -72,8 +72,12 @@ def class_of(codes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(codes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def text_hash() -> Column:
+    return F.xxhash64("text", F.length("text"))
+
+
 def heads(docs: DataFrame, join: Join) -> DataFrame:
-    """(doc_id, n, c, head): set size, class of equal sets (null if empty) and, once a batch and class, the set's head."""
+    """(doc_id, t, n, c, head): hash of the text, set size, class of equal sets (null if empty) and, once a batch and class, the set's head."""
 
     def run(batches_):
         for b in batches_:
@@ -84,14 +88,14 @@ def heads(docs: DataFrame, join: Join) -> DataFrame:
                 h.append(codes[: join.head(len(codes))] if c[-1] not in seen else codes[:0])
                 seen.add(c[-1])
             head = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in h])].astype(np.int32), pa.array(np.concatenate(h) if h else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), head], names=["doc_id", "n", "c", "head"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(c, pa.int64()), head], names=["doc_id", "t", "n", "c", "head"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c long, head array<long>")
+    return docs.select("doc_id", "text", text_hash().alias("t")).mapInArrow(run, "doc_id long, t long, n long, c long, head array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    """(c, n, codes) of the wanted classes, from the text of a document of each."""
-    by = wanted.join(classes, "c").select(F.col("first_doc").alias("_doc"), "c")
+    """(c, n, codes), one row a wanted class, from the text of a document of each; of repeated rows one is taken."""
+    by = wanted.join(classes, "c").select(F.col("first_doc").alias("_doc"), F.col("t").alias("_t"), "rows", "c")
 
     def run(batches_):
         for b in batches_:
@@ -100,7 +104,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, join: Join)
             codes = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(s) for _, s in keep])].astype(np.int32), pa.array(np.concatenate([s for _, s in keep]) if keep else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in keep], pa.int64()), pa.array([len(s) for _, s in keep], pa.int64()), codes], names=["c", "n", "codes"])
 
-    texts = docs.select("doc_id", "text").join(by, docs["doc_id"].eqNullSafe(by["_doc"])).select("text", "c")
+    def met(by: DataFrame) -> DataFrame:
+        return named.join(by, named["doc_id"].eqNullSafe(by["_doc"]) & (named["t"] == by["_t"])).select("text", "c")
+
+    named, twice = docs.select("doc_id", "text", text_hash().alias("t")), by.where("rows > 1")
+    texts = met(by.where("rows = 1"))
+    if not twice.isEmpty():
+        texts = texts.unionByName(met(twice).dropDuplicates(["c"]))
     return texts.mapInArrow(run, "c long, n long, codes array<long>")
 
 
@@ -197,7 +207,12 @@ def search_lists(lists: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
 
 def link(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document.
+    """doc_id, n_shingles, component_id of every document: see labelled."""
+    return labelled(docs, join).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """doc_id, t (hash of the text), n_shingles, root (of the component, null if the text is empty) and component_id of every document.
 
     Equal sets are one class. Classes whose heads share too few listed entries drop out; for the others, lists of
     up to `long` classes are merged into counted pairs. With L long lists in its head a class needs T - L of the
@@ -207,7 +222,9 @@ def link(docs: DataFrame, join: Join = Join()) -> DataFrame:
     no member has an id). Repeated rows give repeated results; other columns are ignored.
     """
     rows = stored(heads(docs, join), "join-heads")
-    classes = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"))
+    named = rows.where("c is not null").groupBy("c", "n", "doc_id", "t").agg(F.count(F.lit(1)).alias("rows"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "rows"))
+    classes = named.groupBy("c", "n").agg(one.alias("one")).select("c", F.col("one.doc_id").alias("first_doc"), "one.t", "one.rows", "n")
     classes = stored(classes, "join-classes")
     posts = rows.select("c", "n", F.explode("head").alias("h"))
     lists = posts.groupBy("h").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count(F.lit(1)).alias("size")).where("_lo < _hi").select("h", "size")
@@ -252,9 +269,9 @@ def link(docs: DataFrame, join: Join = Join()) -> DataFrame:
     roots = components(links, "join-roots").withColumnRenamed("node", "c")
     classes = classes.join(roots, "c", "left").select("c", "first_doc", F.coalesce("root", "c").alias("root"))
     least = classes.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    final = classes.join(least, "root").select("c", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "c").join(final, "c", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    final = classes.join(least, "root").select("c", "root", "component_id")
+    out = rows.select("doc_id", "t", F.col("n").alias("n_shingles"), "c").join(final, "c", "left")
+    return out.select("doc_id", "t", "n_shingles", "root", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,34 @@ def test_join_finds_every_link(spark, long):
         assert {tuple(r) for r in got.collect()} == brute(rows, k, percent)
 
 
+def test_repeated_rows_and_ids_keep_their_links(spark):
+    rnd = random.Random(8)
+    make = lambda n: [f"w{rnd.randrange(9000)}" for _ in range(n)]
+    passage, texts = make(120), []
+    for _ in range(30):  # pairs that share a passage with all others, each row four times
+        base = make(25)
+        texts += [" ".join(edited(rnd, base, 1) + passage), " ".join(edited(rnd, base, 1) + passage)]
+    join = jaccard_join.Join(words=4, percent=90, long=2, chunk=7)
+    rows = [r for r in enumerate(texts) for _ in range(4)]
+    got = jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string"), join).collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == brute(list(enumerate(texts)), 4, 90)
+    odd = texts[1::2]  # null ids link too: each even one, with its like of a null id, makes a component of its own
+    got = jaccard_join.link(spark.createDataFrame([(None, t) for t in odd] * 2 + [(d, texts[d]) for d in range(0, 60, 2)], "doc_id long, text string"), join).collect()
+    want = {d: c for d, _, c in brute(list(enumerate(texts)), 4, 90)}
+    assert len(got) == 90 and Counter(r["component_id"] for r in got) == Counter(None if c % 2 else c for d, c in want.items() for _ in range(2 if d % 2 else 1))
+
+
+def test_near_copies_go_by_id_and_text(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " more"), (1, c), (1, c), (3, b), (1, c + " end"), (None, "null " + a[:30]), (None, "null " + b[:30])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in corpus_pipeline.without_near_copies(spark, df, "").collect())
+    ends = [(1, t) for t in (c, c + " end") if got.pop((1, t), 0) == 1]
+    assert len(ends) == 1 and got == Counter([(1, a), (1, b), (None, "null " + a[:30]), (None, "null " + b[:30])])
+
+
 def test_divide_skip_equals_brute_force():
     rnd = random.Random(5)
     sets = [(i, np.array(sorted(rnd.sample(range(60), rnd.randint(1, 40))))) for i in range(150)]
