@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,20 +22,31 @@ def _counts(df: DataFrame, by: str, shards: int) -> list[int]:
     return [got.get(s, 0) for s in range(shards)]
 
 
-def propagate(rows: DataFrame, quotas: list[int], rounds: int = 6) -> DataFrame:
+def _deal(place: F.Column, ends: list[int]) -> F.Column:
+    """Shard of a place from 0, ends being the places at which shards end."""
+    return F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= place)).cast("int")
+
+
+def propagate(rows: DataFrame, quotas: list[int]) -> DataFrame:
     """rows(r, g, ...) with `shard`, linked rows of one g gathered as the quotas allow; rows without g have no shard.
 
-    r: a number of its own for each row; rows of equal g (not null) are linked. Linked rows start in a shard hashed from r.
-    In each round a group asks for the shard that most of its rows are in; the rows elsewhere move there, whole groups
-    first, up to that shard's free places. A group of more than half a quota is first cut into pieces by the hash of r,
-    as it could not be one shard's. Shard counts (one number a shard) are all that reaches the driver.
+    r: a number of its own for each row; rows of equal g (not null) are linked. A group of more than half a quota is first
+    cut into pieces by the hash of r, as it could not be one shard's. Linked rows start dealt out piece after piece, each
+    shard up to the same part of its quota, so that one piece an end of a shard is cut at most. In each round a piece asks
+    for the shard that most of its rows are in; the rows elsewhere move there, whole pieces first, up to that shard's free
+    places, until no row moves: a move gathers more rows of a piece, so rounds come to an end.
+    Shard counts (one number a shard) are all that reaches the driver.
     """
     shards = len(quotas)
     half = max(1, min(quotas) // 2)
     groups = rows.where("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
     linked = rows.join(groups, "g").withColumn("_piece", F.xxhash64("g", F.pmod(F.xxhash64("r"), F.ceil(F.col("_m") / half))))
-    linked = stored(linked.drop("_m").withColumn("shard", F.pmod(F.xxhash64("r", F.lit(1)), F.lit(shards)).cast("int")), "shard-linked")
-    for _ in range(rounds):
+    linked = stored(linked.drop("_m").withColumn("_all", F.lit(0)), "shard-linked")
+    total, every = linked.count(), max(1, sum(quotas))
+    ends = [end * total // every for end in accumulate(quotas)]
+    linked = slots(linked, "_all", [F.col("_piece"), F.col("r")], "_place").withColumn("shard", _deal(F.col("_place"), ends)).drop("_all", "_place")
+    linked = stored(linked, "shard-linked")
+    while True:
         held = _counts(linked, "shard", shards)
         free = [max(0, q - h) for q, h in zip(quotas, held, strict=True)]
         votes = linked.groupBy("_piece", "shard").agg(F.count(F.lit(1)).alias("n"))
@@ -42,7 +55,9 @@ def propagate(rows: DataFrame, quotas: list[int], rounds: int = 6) -> DataFrame:
         asked = stored(asked, "shard-asked")
         if asked.isEmpty():
             break
-        moved = slots(asked, "to", [F.col("_piece"), F.col("r")], "_place").where(F.col("_place") < _at(free, F.col("to")))
+        moved = stored(slots(asked, "to", [F.col("_piece"), F.col("r")], "_place").where(F.col("_place") < _at(free, F.col("to"))), "shard-moved")
+        if moved.isEmpty():
+            break
         linked = linked.join(moved.select("r", "to"), "r", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
         linked = stored(linked, "shard-linked")
     rest = rows.join(linked.select("r"), "r", "left_anti").withColumn("shard", F.lit(None).cast("int"))
@@ -72,7 +87,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         ends.append(end)
     loose = placed.where("shard is null").unionByName(kept.where("shard is null")).withColumn("_all", F.lit(0))
     place = slots(loose, "_all", [F.col("r")], "_place")
-    filled = place.withColumn("shard", F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col("_place"))).cast("int"))
+    filled = place.withColumn("shard", _deal(F.col("_place"), ends))
     both = stored(kept.where("shard is not null").unionByName(filled.select(*kept.columns)), "shard-all")
     final = slots(both, "shard", [F.col("r")], "slot")
     return final.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from indoorspark.llm import bpe, jaccard_join, language, licenses, substring, words
+from indoorspark.llm import bpe, jaccard_join, language, licenses, sharding, substring, words
 from indoorspark.llm.common import components, ranked, slots
 
 
@@ -214,6 +214,17 @@ def test_nul_in_shared_passages(spark):
         assert {tuple(r) for r in got.collect()} == brute(rows, k, percent)
 
 
+@pytest.mark.parametrize(("loose", "cut"), [(0, 39), (400, 0)])
+def test_shards_gather_copies_when_most_rows_have_one(spark, loose, cut):
+    texts = [f"pair {i}" for i in range(500)] * 2 + [f"ten {i}" for i in range(100)] * 10 + [f"one {i}" for i in range(loose)]
+    rows = [r.asDict() for r in sharding.shard_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    found = {}
+    for r in rows:
+        found.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert set(Counter(r["shard"] for r in rows).values()) == {len(texts) // 40}
+    assert sum(len(s) > 1 for s in found.values()) <= cut
+
+
 def test_components_ranks_and_slots(spark):
     rnd = random.Random(4)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(50)]
