@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from indoorspark.llm import bpe, jaccard_join, language, mixing, substring
 from indoorspark.llm.common import stored, table
 
-#: Below this probability a document's language counts as unknown.
+#: Below this probability a document's language counts as unknown, if no held-out row told rightly has less.
 LEAST_SCORE = 0.4
 NEAR = jaccard_join.Join(words=5, percent=80)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a probability of LEAST_SCORE or more; those without letters go."""
-    told = language.add_language(docs, language.fit(docs), "_lang", "_score")
-    return told.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents with letters, but for those whose language is told with less probability than LEAST_SCORE and than any
+    row, of the fifth that the fit holds out, that is told rightly: with many languages clean texts have low ones.
+
+    Without any known lang nothing is learned, and all documents with letters stay.
+    """
+    model = language.fit(docs)
+    if not model["langs"]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    told = language.add_language(docs, model, "_lang", "_score")
+    return told.where((F.col("_lang") != "und") & (F.col("_score") >= min(LEAST_SCORE, model["least"]))).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from indoorspark.llm import bpe, jaccard_join, language, licenses, sharding, substring, words
 from indoorspark.llm.common import components, ranked, slots
@@ -163,6 +164,26 @@ def test_language_learns():
     assert (w == 0).mean() > 0.5  # the penalty leaves most weights at none
 
 
+def test_language_stage_keeps_clean_documents(spark):
+    import corpus_pipeline
+
+    texts = ["some words", "zwei Wörter", "日本", "12 34", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, df, "").collect()} == {0, 1, 2}
+    rnd = random.Random(3)
+    common, own = ["das", "les", "uno", "the", "ett"], "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for i in range(1200):  # 12 languages that share most words: a right one has a low probability
+        k = i % 12
+        rows.append((i, " ".join([*rnd.choices(common, k=8), *(own[rnd.choice([k, k + 1, k + 2])] * 3 for _ in range(2))]), f"l{k:02}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    right = language.add_language(df, model).where("lang_pred = lang").cache()
+    assert right.where("score < 0.4").count() > 20 and 0 < model["least"] < 0.4  # an absolute cut of 0.4 would lose these
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, df, "").collect()}
+    assert {r["doc_id"] for r in right.where(F.col("score") >= model["least"]).collect()} <= kept
+
+
 def test_automaton_matches_are_longest():
     rnd = random.Random(2)
     seqs = [[rnd.randrange(4) for _ in range(30)] for _ in range(3)]
