@@ -93,26 +93,25 @@ def lookup(df: DataFrame, small: DataFrame, key: str, bound: int = 20_000) -> Da
     return left.join(right, left[key].eqNullSafe(right["_key"]) & (left["_salt"] == right["_s"])).drop("_key", "_s", "_salt")
 
 
-def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, label: str, rounds: int | None = None) -> DataFrame:
     """Connected components of edges(a, b): rows (node, root), root the smallest node reachable.
 
-    Alternating large-star and small-star joins: rounds grow with the logarithm of the longest path;
-    each round is a minimum by node (combined before the shuffle) and a join that Spark can split at
-    a hub. Nodes come only from edges; the table is written after each round.
+    Alternating large-star and small-star: each round hangs nodes below the least neighbour of their neighbours, so
+    rounds grow with the logarithm of the longest path; they end when only stars are left. With `rounds`, no more are
+    done, and a component may still be in some parts (each with a root of its own). Nodes come only from edges; the
+    table is written after each step.
     """
-    least = F.least
-    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), least("a", "b").alias("b")).distinct()
-    e, seen = stored(e, label), None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        met = large.join(low, "a")
-        small = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        e = stored(small, label)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select("b", "b").distinct().toDF("node", "root"))
-        seen = now
-    raise RuntimeError(f"components: not settled after {rounds} rounds")
+    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e, done = stored(e, label), 0
+    while True:
+        low = stored(e.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), label)
+        below, tops = low.select(F.col("a").alias("b"), "m"), low.select(F.col("m").alias("b"))
+        stars = low.where("n > 1").isEmpty() and tops.join(below.select("b"), "b", "left_semi").isEmpty()
+        if stars or done == rounds:
+            tops = tops.distinct().join(below.select("b"), "b", "left_anti")
+            return low.select(F.col("a").alias("node"), F.col("m").alias("root")).unionByName(tops.select(F.col("b").alias("node"), F.col("b").alias("root")))
+        large = e.join(below, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        pairs = F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))
+        e = stored(small.select(F.explode(pairs).alias("p")).select("p.a", F.col("p.m").alias("b")).where("a <> b").distinct(), label)
+        done += 1

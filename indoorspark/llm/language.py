@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +15,8 @@ from indoorspark.llm.words import text_groups
 
 #: Hashed n-gram buckets and the orders of the n-grams.
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
-#: Bound of the fitted sample: rows a language, and rows in all.
-PER_LANG, IN_ALL = 600, 20_000
+#: Bound of the fitted sample: rows a language, rows in all, n-grams in all; and of the languages learned.
+PER_LANG, IN_ALL, GRAMS_IN_ALL, LANGS = 1_000, 20_000, 20_000_000, 200
 
 
 def has_letter(text: str) -> bool:
@@ -93,48 +95,69 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, in_all: int = IN_ALL, epochs: int = 4) -> dict:
-    """Languages, idf, weights, temperature and least (probability of a row told rightly) from docs(doc_id, text, lang).
+def trained(rows, idf: np.ndarray, langs: list[str], epochs: int) -> dict:
+    """weights, temperature and least from (lang, buckets, tf) in the order of the draw, a fifth of them held out."""
+    sample = [(at, weighted(at, tf, idf), langs.index(lang)) for lang, at, tf in rows]
+    learn, test = [s for k, s in enumerate(sample) if k % 5], [s for k, s in enumerate(sample) if not k % 5]
+    model = Ftrl(len(langs))
+    for epoch in range(epochs):
+        for k in np.random.RandomState(epoch).permutation(len(learn)):
+            model.learn(*learn[k])
+    w = model.weights().astype(np.float32)
+    t, least, right, error = 1.0, 0.0, 0.0, 0.0
+    if test and len(langs) > 1:
+        scores, y = np.array([x @ w[at] for at, x, _ in test]), np.array([y for _, _, y in test])
+        t = temperature(scores, y)
+        p, hit = softmax(scores / t).max(axis=1), scores.argmax(axis=1) == y
+        least = float(p[hit].min()) if hit.any() else 0.0
+        right, error = float(hit.mean()), calibration_error(p, hit)
+    return {"weights": w, "temperature": t, "least": least, "accuracy": right, "calibration_error": error}
+
+
+def calibration_error(p: np.ndarray, hit: np.ndarray, bins: int = 10) -> float:
+    """Mean distance of stated probability and share of right answers, over `bins` bins, weighted by their rows."""
+    at = np.minimum((p * bins).astype(int), bins - 1)
+    return float(sum(abs(p[at == k].mean() - hit[at == k].mean()) * (at == k).mean() for k in np.unique(at)))
+
 
-    idf counts all rows. Weights come from at most `per_lang` rows a language and `in_all` in all, chosen
-    by hash; a fifth of those sets the temperature and `least` (0 without one). Null langs are left out.
+def fit(docs: DataFrame, per_lang: int = PER_LANG, in_all: int = IN_ALL, epochs: int = 4, most: int = LANGS, grams_in_all: int = GRAMS_IN_ALL) -> dict:
+    """Languages, idf, weights, temperature, and of held-out rows accuracy, calibration_error and least (probability of a row told rightly), from docs(doc_id, text, lang).
+
+    idf counts all rows. The `most` most frequent languages are learned. Weights come from at most `per_lang` rows a
+    language, `in_all` rows and about `grams_in_all` n-grams in all, chosen by hash of id and text and trained on in one
+    task, so that the driver gets the weights alone. A fifth of those rows is held out for temperature and `least`.
+    Null langs are left out; rows of null or equal ids are drawn by their texts.
     """
     docs = docs.where("lang is not null")
-    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
     langs = sorted(counts)
     if not langs:
         return {"langs": []}
     idf = document_frequencies(docs)
     n = max(2, min(per_lang, in_all // len(langs)))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1 << 30))
     edge = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1 << 30, int(1.2 * n / counts[k] * (1 << 30)) + 1))])
     picked = docs.select("doc_id", "lang", "text", draw.alias("draw")).where(F.col("draw") < edge[F.col("lang")])
     # what is left holds about 1.2 n rows a language, so this window is small
     picked = picked.selectExpr("*", "row_number() over (partition by lang order by draw, doc_id, md5(text)) as place").where(F.col("place") <= n)
 
-    def run(batches):
+    def featured(batches):
         for b in batches:
             rows = [(lang, place, *grams(t)) for lang, place, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if t and has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.list_(pa.float32()))], names=["lang", "place", "at", "tf"])
 
-    got = picked.select("lang", "place", "text").mapInArrow(run, "lang string, place int, at array<int>, tf array<float>").toArrow()
-    rows = sorted((place, langs.index(lang), i) for i, (lang, place) in enumerate(zip(got["lang"].to_pylist(), got["place"].to_pylist(), strict=True)))
-    at_, tf_ = got["at"].combine_chunks(), got["tf"].combine_chunks()
-    sample = [(np.asarray(at_[i].values), y) for _, y, i in rows]
-    xs = [weighted(a, np.asarray(tf_[i].values), idf) for (a, _), (_, _, i) in zip(sample, rows, strict=True)]
-    learn, test = [k for k in range(len(rows)) if k % 5], [k for k in range(len(rows)) if not k % 5]
-    model = Ftrl(len(langs))
-    for epoch in range(epochs):
-        for k in np.random.RandomState(epoch).permutation(learn):
-            model.learn(sample[k][0], xs[k], sample[k][1])
-    w = model.weights().astype(np.float32)
-    t, least = 1.0, 0.0
-    if test and len(langs) > 1:
-        scores, y = np.array([xs[k] @ w[sample[k][0]] for k in test]), np.array([sample[k][1] for k in test])
-        t = temperature(scores, y)
-        right = scores.argmax(axis=1) == y
-        least = float(softmax(scores / t)[right].max(axis=1).min()) if right.any() else 0.0
-    return {"langs": langs, "idf": idf, "weights": w, "temperature": t, "least": least}
+    def train(batches):
+        rows, held = [], 0
+        for b in batches:
+            for lang, at, tf in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+                if held < grams_in_all:
+                    rows.append((lang, np.array(at.values), np.array(tf.values)))
+                    held += len(at)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained(rows, idf, langs, epochs))], pa.binary())], names=["model"])
+
+    features = picked.select("lang", "place", "text").mapInArrow(featured, "lang string, place int, at array<int>, tf array<float>")
+    model = features.repartition(1).sortWithinPartitions("place", "lang").mapInArrow(train, "model binary").first()
+    return {"langs": langs, "idf": idf, **pickle.loads(model[0])} if model else {"langs": []}
 
 
 def predictor(model: dict):
@@ -154,7 +177,9 @@ def predictor(model: dict):
 def add_language(docs: DataFrame, model: dict, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with a predicted language and its calibrated probability; only the text is read.
 
-    The model, BUCKETS numbers a language, is broadcast. Columns of the same two names are replaced.
+    The model, BUCKETS numbers for each of at most LANGS languages, is broadcast. Columns of the same two names are
+    replaced. Null text or text without letters: und, 0. Texts of any length are read whole; of languages with the same
+    score the first by name is taken.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(lang, score)
