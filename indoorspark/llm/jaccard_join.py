@@ -6,14 +6,15 @@ import hashlib
 import heapq
 from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import groupby
+from math import log, log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indoorspark.llm.common import components, stored, table
+from indoorspark.llm.common import components, parts, stored, table
 from indoorspark.llm.words import LOWER, batches
 
 
@@ -22,8 +23,8 @@ class Join:
     """words: words of a shingle. percent: two sets link when 100 * intersection >= percent * union.
 
     depth: percent of a set that two linked sets must share among their least hashes (the T of the search).
-    long: an inverted list with more entries is long: it is never merged, only probed.
-    chunk: members of a long list that are indexed together in one task.
+    long: an inverted list with more members is never gathered in one row; members are looked up in their own sets instead.
+    chunk: members of such a list that are indexed together in one task.
     """
 
     words: int = 4
@@ -95,7 +96,7 @@ def heads(docs: DataFrame, join: Join) -> DataFrame:
 
 def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     """(c, n, codes), one row a wanted class, from the text of a document of each; of repeated rows one is taken."""
-    by = wanted.join(classes, "c").select(F.col("first_doc").alias("_doc"), F.col("t").alias("_t"), "rows", "c")
+    by = wanted.join(classes, "c").select(F.col("one.doc_id").alias("_doc"), F.col("one.t").alias("_t"), "c")
 
     def run(batches_):
         for b in batches_:
@@ -104,14 +105,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, join: Join)
             codes = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(s) for _, s in keep])].astype(np.int32), pa.array(np.concatenate([s for _, s in keep]) if keep else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in keep], pa.int64()), pa.array([len(s) for _, s in keep], pa.int64()), codes], names=["c", "n", "codes"])
 
-    def met(by: DataFrame) -> DataFrame:
-        return named.join(by, named["doc_id"].eqNullSafe(by["_doc"]) & (named["t"] == by["_t"])).select("text", "c")
-
-    named, twice = docs.select("doc_id", "text", text_hash().alias("t")), by.where("rows > 1")
-    texts = met(by.where("rows = 1"))
-    if not twice.isEmpty():
-        texts = texts.unionByName(met(twice).dropDuplicates(["c"]))
-    return texts.mapInArrow(run, "c long, n long, codes array<long>")
+    named = docs.select("doc_id", "text", text_hash().alias("t"))
+    texts = named.join(by, named["doc_id"].eqNullSafe(by["_doc"]) & (named["t"] == by["_t"])).select("text", "c")
+    sets = stored(texts.mapInArrow(run, "c long, n long, codes array<long>"), "join-sets")
+    rows, distinct = sets.agg(F.count("c"), F.count_distinct("c")).first()
+    return sets if rows == distinct else stored(sets.dropDuplicates(["c"]), "join-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -122,8 +120,48 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return pairs.select("a", "b").distinct().join(a, "a").join(b, "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * join.percent).select("a", "b")
 
 
+def occurrences(lists: list[list[int]], t: int):
+    """(member, how many of the sorted lists it is on) for each member that is on `t` of them at least: DivideSkip.
+
+    The L longest lists are put aside, the more of them the larger t is; the others are merged by a heap, which skips
+    what can't be on t - L of them; a member that is on so many is looked up in the long ones by binary search.
+    """
+    if len(lists) < t:
+        return
+    if len(lists) == 1:
+        yield from ((m, 1) for m in lists[0])
+        return
+    lists = sorted(lists, key=len)
+    aside = min(t - 1, int(t / (0.01 * log2(len(lists[-1]) + 1) + 1)))
+    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    least = t - aside
+    heap = [(m[0], k, 0) for k, m in enumerate(short)]
+    heapq.heapify(heap)
+    while heap:
+        at, moved = heap[0][0], []
+        while heap and heap[0][0] == at:
+            moved.append(heapq.heappop(heap))
+        count, on = len(moved), at + 1
+        if count >= least:
+            if count + len(long) >= t:
+                for other in long:
+                    i = bisect_left(other, at)
+                    count += i < len(other) and other[i] == at
+                if count >= t:
+                    yield at, count
+        else:  # no member before the least-th head can be on enough lists: skip to that head
+            moved += [heapq.heappop(heap) for _ in range(min(len(heap), least - 1 - count))]
+            if not heap:
+                return
+            on = heap[0][0]
+        for _, k, i in moved:
+            i = bisect_left(short[k], on, i)
+            if i < len(short[k]):
+                heapq.heappush(heap, (short[k][i], k, i))
+
+
 class DivideSkip:
-    """T-occurrence search over the inverted lists of some sets: (class, sorted hashes) each."""
+    """T-occurrence search over the inverted lists of some whole sets: (class, sorted hashes) each."""
 
     def __init__(self, members: list[tuple[int, np.ndarray]], percent: int):
         self.percent = percent
@@ -134,76 +172,82 @@ class DivideSkip:
                 self.lists.setdefault(h, []).append(i)
 
     def search(self, codes: np.ndarray):
-        """Places of the members that link with the set.
-
-        With T the least overlap with any of them, the L longest lists are put aside, the others are merged
-        by a heap; a member on at least T - L of those is looked up in the long ones by binary search.
-        """
+        """Places of the members that link with the set."""
         n = len(codes)
-        lists = sorted((self.lists[h] for h in codes.tolist() if h in self.lists), key=len)
-        t = -(-n * self.percent // 100)
-        if not n or len(lists) < t:
-            return
-        aside = min(t - 1, int(t / (0.01 * np.log2(len(lists[-1]) + 1) + 1)))
-        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-        least = t - aside
-        heap = [(m[0], k, 0) for k, m in enumerate(short)]
-        heapq.heapify(heap)
-        while heap:
-            at, moved = heap[0][0], []
-            while heap and heap[0][0] == at:
-                moved.append(heapq.heappop(heap))
-            count = len(moved)
-            if count >= least:
-                yield from self._probe(at, count, n, long)
-                on = at + 1
-            else:  # no member before the least-th head can be on enough lists: skip to that head
-                moved += [heapq.heappop(heap) for _ in range(min(len(heap), least - 1 - count))]
-                if not heap:
-                    return
-                on = heap[0][0]
-            for _, k, i in moved:
-                i = bisect_left(short[k], on, i)
-                if i < len(short[k]):
-                    heapq.heappush(heap, (short[k][i], k, i))
-
-    def _probe(self, at: int, count: int, n: int, long: list[list[int]]):
-        m = len(self.members[at][1])
-        need = -(-(n + m) * self.percent // (100 + self.percent))
-        if count + len(long) >= need:
-            for other in long:
-                i = bisect_left(other, at)
-                count += i < len(other) and other[i] == at
-            if count >= need:
+        lists = [self.lists[h] for h in codes.tolist() if h in self.lists]
+        for at, count in occurrences(lists, -(-n * self.percent // 100)) if lists else ():
+            if count * 100 >= (n + len(self.members[at][1]) - count) * self.percent:
                 yield at
 
 
-def search_lists(lists: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """Links (a, b) between members of one long list that earlier links have not joined.
+def asked(posts: DataFrame, asks: Column, meets, join: Join) -> DataFrame:
+    """Candidate pairs (a, b) by T-occurrence search, for posts (h, c, n, far, ...) whose lists have up to `long` members.
 
-    lists: (h, c, root). The members outside the list's largest component are the queries; they meet all
-    members, in chunks of `join.chunk`: a task holds one chunk's index and one chunk of queries.
+    Each list goes, less what its reader needn't meet, to each of its members that asks. Reader by reader (with its
+    lists only, as many as its set has entries) the lists are merged. Those of more than `long` members are not there: a
+    reader on `far` of them needs so many common entries less. meets(reader, member) says who is looked for.
+    """
+    member = F.struct(*[x for x in posts.columns if x != "h"])
+    lists = posts.groupBy("h").agg(F.collect_list(member).alias("members")).where(F.size("members") > 1)
+    rows = lists.select(F.explode("members").alias("reader"), "members").where(asks)
+    met = F.filter("members", lambda m: meets(F.col("reader"), m))
+    rows = rows.select(F.col("reader.c").alias("q"), F.col("reader.far").alias("far"), F.least("reader.n", F.array_min(F.transform(met, lambda m: m["n"]))).alias("low"), F.array_sort(F.transform(met, lambda m: m["c"])).alias("members")).where(F.size("members") > 0)
+
+    def run(batches_):
+        def each():
+            for b in batches_:
+                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+        a, b = [], []
+        for q, own in groupby(each(), key=lambda r: r[0]):
+            own = list(own)
+            t = max(1, max(1, min(r[2] for r in own) * join.depth // 100) - own[0][1])
+            found = [m for m, _ in occurrences([r[3] for r in own], t)]
+            a += [q] * len(found)
+            b += found
+            if len(a) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    found = rows.repartition(parts(posts.sparkSession), "q").sortWithinPartitions("q").mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def search_lists(lists: DataFrame, sets: DataFrame, join: Join) -> DataFrame | None:
+    """Links (a, b) between members of one long list that earlier links have not joined; None if there are no such lists.
+
+    lists: (h, c, n, root). The members outside the list's largest component are the queries. Members are dealt out by
+    the logarithm of their size, and in chunks of `join.chunk`; a query meets those of the sizes it can link with. A task
+    holds one chunk's index and one chunk of queries.
     """
     sizes = lists.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
     tops = sizes.groupBy("h").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    tops = tops.select("h", F.col("top.root").alias("top"), F.ceil(F.col("m") / join.chunk).alias("chunks"), F.ceil((F.col("m") - F.col("top.size")) / join.chunk).alias("asked"))
-    rows = lists.join(tops, "h").join(sets.select("c", "codes"), "c")
+    tops = stored(tops.select("h", F.col("top.root").alias("top"), F.ceil((F.col("m") - F.col("top.size")) / join.chunk).alias("asked")), "join-tops")
+    if tops.isEmpty():
+        return None
+    rows = lists.withColumn("band", F.floor(F.log(F.col("n") + 1e-9) / log(100 / join.percent)).cast("long")).join(tops, "h").join(sets.select("c", "codes"), "c")
+    bands = rows.groupBy("h", "band").agg(F.ceil(F.count(F.lit(1)) / join.chunk).alias("chunks"))
     spread = lambda k: F.pmod(F.xxhash64("c"), F.col(k))
-    index = rows.select("h", spread("chunks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("asked") - 1)).alias("j"), F.lit(False).alias("ask"), "c", "root", "codes")
-    ask = rows.where("root <> top").select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("i"), spread("asked").alias("j"), F.lit(True).alias("ask"), "c", "root", "codes")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        own, queries = group[~group["ask"]], group[group["ask"]]
-        index, roots, seen, links = DivideSkip(list(zip(own["c"], own["codes"], strict=True)), join.percent), dict(zip(own["c"], own["root"], strict=True)), set(), []
-        for c, root, codes in zip(queries["c"], queries["root"], queries["codes"], strict=True):
-            for at in index.search(np.asarray(codes)):
+    upto = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    index = rows.join(bands, ["h", "band"]).select("h", "band", spread("chunks").alias("i"), upto("asked").alias("j"), F.lit(False).alias("ask"), "c", "root", "codes")
+    ask = rows.where("root <> top").withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
+    ask = ask.join(bands, ["h", "band"]).select("h", "band", upto("chunks").alias("i"), spread("asked").alias("j"), F.lit(True).alias("ask"), "c", "root", "codes")
+
+    def run(group: pa.Table) -> pa.Table:
+        ask, c, root = (group[k].to_pylist() for k in ("ask", "c", "root"))
+        codes = [np.asarray(x.values) for x in group["codes"].combine_chunks()] if group.num_rows else []
+        index, roots = DivideSkip([(c[k], codes[k]) for k in range(len(c)) if not ask[k]], join.percent), dict(zip(c, root, strict=True))
+        seen, links = set(), []
+        for k in (k for k in range(len(c)) if ask[k]):
+            for at in index.search(codes[k]):
                 other = index.members[at][0]
-                if roots[other] != root and (root, roots[other]) not in seen:
-                    seen.add((root, roots[other]))
-                    links.append((c, other))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+                if roots[other] != root[k] and (root[k], roots[other]) not in seen:
+                    seen.add((root[k], roots[other]))
+                    links.append((c[k], other))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
-    return index.unionByName(ask).groupBy("h", "i", "j").applyInPandas(run, "a long, b long")
+    return index.unionByName(ask).groupBy("h", "band", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def link(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -211,63 +255,72 @@ def link(docs: DataFrame, join: Join = Join()) -> DataFrame:
     return labelled(docs, join).select("doc_id", "n_shingles", "component_id")
 
 
-def labelled(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_id, t (hash of the text), n_shingles, root (of the component, null if the text is empty) and component_id of every document.
+def hot_links(known: DataFrame, sets: DataFrame, join: Join) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For classes that are mostly on long lists: candidate pairs (a, b), pairs with the leader of each list that is long
+    here too, and those lists (h, c, n).
 
-    Equal sets are one class. Classes whose heads share too few listed entries drop out; for the others, lists of
-    up to `long` classes are merged into counted pairs. With L long lists in its head a class needs T - L of the
-    short ones; a class with L >= T is met from its partners' side, and among its like through lists of their rarest
-    shingles. Long lists are linked to one leader each, then searched for links between what is still apart.
-    Null or empty text: size 0, a component of its own. Null doc_ids link but give no component_id (null if
-    no member has an id). Repeated rows give repeated results; other columns are ignored.
+    They are sorted anew, by their rarest shingles of all: linked ones share one of the n - least(n) + 1 rarest.
     """
-    rows = stored(heads(docs, join), "join-heads")
-    named = rows.where("c is not null").groupBy("c", "n", "doc_id", "t").agg(F.count(F.lit(1)).alias("rows"))
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "rows"))
-    classes = named.groupBy("c", "n").agg(one.alias("one")).select("c", F.col("one.doc_id").alias("first_doc"), "one.t", "one.rows", "n")
-    classes = stored(classes, "join-classes")
-    posts = rows.select("c", "n", F.explode("head").alias("h"))
-    lists = posts.groupBy("h").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count(F.lit(1)).alias("size")).where("_lo < _hi").select("h", "size")
-    met = stored(posts.join(lists, "h"), "join-met")
-    n, is_long = F.col("n"), F.col("size") > join.long
-    known = met.select("c", "n", "h", is_long.alias("far")).distinct().groupBy("c", "n").agg(F.count(F.lit(1)).alias("hits"), F.count_if("far").alias("far"))
-    need = join.shared(join.least(n))
-    known = stored(known.where(F.col("hits") >= need).select("c", "n", (F.col("far") >= need).alias("hot"), "far"), "join-known")
-    # pairs of short lists
-    short = met.where(~is_long).select("h", "c").join(known, "c").select("h", "c", "n", "hot", "far").distinct()
-    left, right = (short.select("h", *[F.col(k).alias(k + s) for k in ("c", "n", "hot", "far")]) for s in "ab")
-    pairs = left.join(right, "h").where((F.col("ca") < F.col("cb")) & join.alike(F.col("na"), F.col("nb")) & ~(F.col("hota") & F.col("hotb")))
-    t = join.shared(F.least("na", "nb"))
-    enough = F.least(F.when(~F.col("hota"), t - F.col("fara")), F.when(~F.col("hotb"), t - F.col("farb")))
-    pairs = pairs.groupBy("ca", "cb", enough.alias("enough")).agg(F.count(F.lit(1)).alias("hits")).where("hits >= enough").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    pairs = stored(pairs, "join-pairs")
-    wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).unionByName(known.where("hot").select("c")).distinct()
-    sets = stored(sets_of(docs, wanted, classes, join), "join-sets")
-    # rarest shingles first among classes that are mostly long lists
+    n = F.col("n")
     every = sets.join(known.where("hot").select("c"), "c", "left_semi").select("c", "n", F.explode("codes").alias("h"))
-    rare = every.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("c").orderBy("df", "h")) - 1
-    front = every.join(rare, "h").withColumn("place", place).where((F.col("place") <= n - join.least(n)) & (F.col("df") > 1)).select("h", "c", "n", "place")
-    front = stored(front, "join-front")
+    rare = stored(every.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "join-rare")
+    ordered = every.join(rare, "h").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("rarest"))
+    front = ordered.select("c", "n", F.posexplode(F.slice("rarest", 1, n - join.least(n) + 1)).alias("place", "x")).where("x.df > 1")
+    front = stored(front.select(F.col("x.h").alias("h"), "c", "n", "place", F.lit(0).alias("far")), "join-front")
     size = front.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
     few, many = (front.join(size.where(w).select("h"), "h", "left_semi") for w in (f"size <= {join.long}", f"size > {join.long}"))
-    left, right = (few.select("h", *[F.col(k).alias(k + s) for k in ("c", "n", "place")]) for s in "ab")
-    bound = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb")) >= join.overlap(F.col("na"), F.col("nb"))
-    close = left.join(right, "h").where((F.col("ca") < F.col("cb")) & join.alike(F.col("na"), F.col("nb")) & bound).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    pairs = stored(pairs.unionByName(close), "join-pairs")
+    bound = lambda q, m: F.least(q["n"] - q["place"], m["n"] - m["place"]) >= join.overlap(q["n"], m["n"])
+    pairs = asked(few, F.lit(True), lambda q, m: (m["c"] > q["c"]) & join.alike(q["n"], m["n"]) & bound(q, m), Join(words=join.words, percent=join.percent, depth=0))
+    many = stored(many, "join-many")
     leaders = many.groupBy("h").agg(F.min(F.struct("place", "c")).alias("lead")).select("h", F.col("lead.c").alias("a"))
     star = many.join(leaders, "h").where("a <> c").select("a", F.col("c").alias("b"))
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(star)
-    links = stored(verified(first, sets, join), "join-links")
-    roots = stored(components(links, "join-roots"), "join-roots")
+    return pairs, star, many.select("h", "c", "n")
+
+
+def labelled(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """doc_id, t (hash of the text), n_shingles, root (of the component, null if the text is empty) and component_id of every document.
+
+    Equal sets are one class, whose head (its least hashes) is posted to inverted lists. A class on too few lists drops
+    out. Of linked sets the heads have T entries in common at least; a class on F < T lists of more than `long` members
+    asks its shorter ones for members that are on T - F of them (`asked`). What is mostly on long lists is met from its
+    partners' side, and among its like through the lists of its rarest shingles (`hot_links`); members of lists that are
+    long there too are linked to one leader each, then searched for links between what is still apart (`search_lists`).
+    Candidates are verified on whole sets.
+    Null or empty text: size 0, a component of its own. Null doc_ids link but give no component_id (null if
+    no member has an id). Repeated rows give repeated results; other columns, whatever their names, are ignored; texts
+    of any length are read whole; an empty table gives no rows. Ties of hashes, sizes and places are broken by class.
+    """
+    docs = docs.select("doc_id", "text")
+    rows = stored(heads(docs, join), "join-heads")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t"))
+    classes = stored(rows.where("c is not null").groupBy("c").agg(F.max("n").alias("n"), one.alias("one"), F.max("head").alias("head")), "join-classes")
+    posts = classes.select("c", "n", F.explode("head").alias("h"))
+    lists = stored(posts.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "join-lists")
+    met = posts.join(lists, "h").groupBy("c", "n").agg(F.collect_list(F.struct((F.col("size") > join.long).alias("far"), "h")).alias("on"))
+    n, need = F.col("n"), join.shared(join.least(F.col("n")))
+    far = F.size(F.filter("on", lambda x: x["far"]))
+    near = F.transform(F.filter("on", lambda x: ~x["far"]), lambda x: x["h"])
+    known = stored(met.where(F.size("on") >= need).select("c", "n", far.alias("far"), (far >= need).alias("hot"), near.alias("near")), "join-known")
+    first_is_less = lambda q, m: (m["n"] > q["n"]) | ((m["n"] == q["n"]) & (m["c"] > q["c"]))
+    pairs = asked(known.select(F.explode("near").alias("h"), "c", "n", "far", "hot"), ~F.col("reader.hot"), lambda q, m: (m["hot"] | first_is_less(q, m)) & join.alike(q["n"], m["n"]), join)
+    pairs, hot = stored(pairs, "join-pairs"), not known.where("hot").isEmpty()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).unionByName(known.where("hot").select("c")).distinct()
+    sets = sets_of(docs, wanted, classes.select("c", "one"), join)
+    if hot:
+        close, star, many = hot_links(known, sets, join)
+        pairs = stored(pairs.unionByName(close), "join-pairs")
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = stored(verified(first.unionByName(star) if hot else first, sets, join), "join-links")
+    roots = stored(components(links, "join-roots", rounds=2), "join-roots")
     # what these links have not joined
     root_of = lambda of: roots.select(F.col("node").alias(of), F.col("root").alias(f"root_{of}"))
     apart = pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
-    more = verified(apart, sets, join)
-    in_lists = many.select("h", "c").join(roots.withColumnRenamed("node", "c"), "c", "left").select("h", "c", F.coalesce("root", "c").alias("root"))
-    links = links.unionByName(more).unionByName(search_lists(in_lists, sets, join))
+    links = links.unionByName(verified(apart, sets, join))
+    if hot:
+        more = search_lists(many.join(roots.withColumnRenamed("node", "c"), "c", "left").select("h", "c", "n", F.coalesce("root", "c").alias("root")), sets, join)
+        links = links if more is None else links.unionByName(more)
     roots = components(links, "join-roots").withColumnRenamed("node", "c")
-    classes = classes.join(roots, "c", "left").select("c", "first_doc", F.coalesce("root", "c").alias("root"))
+    classes = classes.select("c", F.col("one.doc_id").alias("first_doc")).join(roots, "c", "left").select("c", "first_doc", F.coalesce("root", "c").alias("root"))
     least = classes.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     final = classes.join(least, "root").select("c", "root", "component_id")
     out = rows.select("doc_id", "t", F.col("n").alias("n_shingles"), "c").join(final, "c", "left")
