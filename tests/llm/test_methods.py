@@ -125,7 +125,8 @@ def test_divide_skip_equals_brute_force():
         assert {index.members[i][0] for i in index.search(q)} == want
 
 
-def test_substring_equals_brute_force(spark):
+@pytest.mark.parametrize("group", [3, 1000])  # with 3, most prefixes are lengthened
+def test_substring_equals_brute_force(spark, group):
     rnd = random.Random(9)
     passages = [[f"p{rnd.randrange(50)}" for _ in range(rnd.randint(10, 40))] for _ in range(6)]
     texts = []
@@ -147,10 +148,22 @@ def test_substring_equals_brute_force(spark):
         for k in own:
             seen.setdefault(k, d)
         want.add((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
-    got = substring.removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = substring.removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), group=group)
     assert {tuple(r) for r in got.select("doc_id", "_words", "_removed", "_kept").collect()} == want
 
 
+def test_subtree_is_sorted_and_knows_common_words():
+    rnd = np.random.RandomState(7)
+    group, rows = rnd.randint(-1, 2, 300), rnd.randint(-1, 2, (300, 5))
+    order, lcp = substring.subtree(group, rows)
+    whole = [(int(group[i]), *map(int, rows[i])) for i in order]
+    unsigned = lambda t: tuple(x % (1 << 64) for x in t)
+    assert whole == sorted(whole, key=unsigned) and sorted(order.tolist()) == list(range(300))
+    for i in range(1, 300):
+        same = [a == b for a, b in zip(whole[i], whole[i - 1], strict=True)]
+        assert lcp[i] == (same + [False]).index(False) - 1
+
+
 def test_language_learns():
     rnd = np.random.RandomState(0)
     alphabets = ["aeiou bcdf", "aeou klmnz"]
