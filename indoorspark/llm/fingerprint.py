@@ -7,7 +7,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,32 +83,49 @@ def add_fingerprint(docs: DataFrame, out: str = "fingerprint") -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
 
 
-def with_next(docs: DataFrame, cells_each: int = 64) -> DataFrame:
+def with_next(docs: DataFrame, cells_each: int = 4) -> DataFrame:
     """Rows (_bucket, _guest, doc_id, text), dealt and sorted so that each row's follower by doc_id comes next.
 
-    Ids (nulls first, ties by text) are cut into buckets of like row counts; the first row of a bucket also goes to
-    the bucket before as its last row, a guest; the first of all follows the last. Texts are shuffled once;
-    besides, only counts by id range move.
+    Ids (nulls first, ties by the text's hash) are cut into buckets of like row counts: at quantiles of the ids, and a
+    quantile that is the id of many rows (or null) by their hashes too. The first row of a bucket also goes to the bucket
+    before as its last row, a guest; the first of all follows the last. Texts are shuffled once; the driver gets some
+    numbers for each partition. Rows equal in id and text stand together.
     """
     spark, n = docs.sparkSession, parts(docs.sparkSession)
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, cells = low or 0, n * cells_each
-    width = max(1, (high or 0) - low + 1)
-    cell = F.coalesce(F.floor((F.col("doc_id") - low).cast("double") / float(width) * cells), F.lit(-1)).cast("long")
-    counts = docs.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_least"))
-    total = Window.partitionBy(F.lit(0))  # one row a cell: a fixed number of cells for each partition
-    counts = counts.withColumn("_bucket", F.floor((F.sum("_n").over(total.orderBy("_cell")) - 1) * n / F.sum("_n").over(total)))
-    firsts = counts.groupBy("_bucket").agg(F.min("_least").alias("_first"))
-    before = F.lag("_bucket").over(total.orderBy("_bucket"))
-    firsts = firsts.withColumn("_before", F.coalesce(before, F.max("_bucket").over(total)))
-    plan = counts.select("_cell", "_bucket").join(F.broadcast(firsts), "_bucket")
-    rows = docs.select("doc_id", "text", cell.alias("_cell")).join(F.broadcast(plan), "_cell")
-    own = F.struct(F.col("_bucket").alias("_b"), F.lit(0).alias("_g"))
-    guest = F.when(key == F.col("_first"), F.struct(F.col("_before").alias("_b"), F.lit(1).alias("_g")))
-    rows = rows.select("doc_id", "text", F.explode(F.array_compact(F.array(own, guest))).alias("_to"))
-    rows = rows.select(F.col("_to._b").alias("_bucket"), F.col("_to._g").alias("_guest"), "doc_id", "text")
-    return rows.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_guest", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
+    q = n * cells_each
+    edges = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / q for i in range(q + 1)], 10 * q)).first()[0] or []))
+    cuts = np.array(edges, np.int64)
+
+    @F.arrow_udf("int")
+    def cell_of(ids: pa.Array) -> pa.Array:
+        """0 for null, odd numbers for ids between quantiles, even ones for those that are a quantile."""
+        x = np.asarray(ids.fill_null(0), np.int64)
+        at = np.searchsorted(cuts, x)
+        equal = (at < len(cuts)) & (cuts[np.minimum(at, len(cuts) - 1)] == x) if len(cuts) else np.zeros(len(x), bool)
+        return pa.array(np.where(np.asarray(ids.is_null()), 0, 2 * at + 1 + equal).astype(np.int32))
+
+    docs = docs.withColumn("_cell", cell_of("doc_id"))
+    counts = {r[0]: r[1] for r in docs.groupBy("_cell").count().collect()}
+    total, done, split, start = sum(counts.values()), 0, [], []
+    for cell in sorted(counts):  # cells of one id are cut by hash into as many parts as they have shares of a bucket
+        many = -(-counts[cell] * n // total) if cell % 2 == 0 else 1
+        split += [F.lit(cell), F.struct(F.lit(len(start)).alias("at"), F.lit(many).alias("many"))]
+        start += [min(n - 1, (done + counts[cell] * i // many) * n // total) for i in range(many)]
+        done += counts[cell]
+    if not counts:
+        return docs.select(F.lit(0).alias("_bucket"), F.lit(0).alias("_guest"), "doc_id", "text")
+    part = F.create_map(*split)[F.col("_cell")]
+    nth = F.least(F.floor((F.col("_h").cast("double") / 2.0**64 + 0.5) * part["many"]), part["many"] - 1)
+    rows = docs.withColumn("_bucket", F.element_at(F.array(*map(F.lit, start)), (part["at"] + nth + 1).cast("int"))).drop("_cell")
+    key = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "_h")
+    firsts = sorted(rows.groupBy("_bucket").agg(F.min(key).alias("key")).collect())
+    before = {b: firsts[i - 1][0] for i, (b, _) in enumerate(firsts)}
+    is_first = F.create_map(*[x for b, k in firsts for x in (F.lit(b), F.struct(F.lit(k[1]).cast("long").alias("i"), F.lit(k[2]).alias("h")))])[F.col("_bucket")]
+    guests = rows.where(F.col("doc_id").eqNullSafe(is_first["i"]) & (F.col("_h") == is_first["h"])).groupBy("_bucket").agg(F.first(F.struct("doc_id", "text", "_h")).alias("row"))
+    goes = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("_bucket")]
+    both = rows.select("_bucket", F.lit(0).alias("_guest"), "doc_id", "text", "_h").unionByName(guests.select(goes.alias("_bucket"), F.lit(1).alias("_guest"), "row.*"))
+    return both.repartitionById(n, F.col("_bucket")).sortWithinPartitions("_bucket", "_guest", F.asc_nulls_first("doc_id"), "_h").drop("_h")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -117,8 +134,9 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def edit_rows(docs: DataFrame, rows_each: int = 500) -> DataFrame:
     """Fingerprints of every text and its edited text, with likenesses.
 
-    Null text counts as empty. One document follows itself. Repeated rows and ids each give a row, in the order
-    of their texts. Other columns are ignored; an empty table gives no rows.
+    Null text counts as empty. One document follows itself. Repeated rows and ids each give a row, in the order of the
+    hashes of their texts; null ids come first. Texts of any length are read whole. Other columns are ignored; an empty
+    table gives no rows.
     """
 
     def done(rows):

@@ -132,9 +132,9 @@ def occurrences(lists: list[list[int]], t: int):
         yield from ((m, 1) for m in lists[0])
         return
     lists = sorted(lists, key=len)
-    aside = min(t - 1, int(t / (0.01 * log2(len(lists[-1]) + 1) + 1)))
-    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    least = t - aside
+    cut = len(lists) - aside(t, len(lists[-1]))
+    short, long = lists[:cut], lists[cut:]
+    least = t - len(long)
     heap = [(m[0], k, 0) for k, m in enumerate(short)]
     heapq.heapify(heap)
     while heap:
@@ -160,24 +160,46 @@ def occurrences(lists: list[list[int]], t: int):
                 heapq.heappush(heap, (short[k][i], k, i))
 
 
+def aside(t: int, longest: int) -> int:
+    """How many of the longest lists a search for t occurrences puts aside to be probed."""
+    return min(t - 1, int(t / (0.01 * log2(longest + 1) + 1)))
+
+
 class DivideSkip:
-    """T-occurrence search over the inverted lists of some whole sets: (class, sorted hashes) each."""
+    """T-occurrence search over the inverted lists of some whole sets: (class, sorted hashes) each.
+
+    The lists stand one after another, sorted by hash and member, so that one sort merges all short lists of a query and
+    one binary search probes all long ones for all members that are left.
+    """
 
     def __init__(self, members: list[tuple[int, np.ndarray]], percent: int):
-        self.percent = percent
-        self.members = sorted(members, key=lambda m: len(m[1]))
-        self.lists: dict[int, list[int]] = {}
-        for i, (_, codes) in enumerate(self.members):
-            for h in codes.tolist():
-                self.lists.setdefault(h, []).append(i)
-
-    def search(self, codes: np.ndarray):
+        self.percent, self.members = percent, members
+        self.sizes = np.array([len(codes) for _, codes in members], np.int64)
+        codes, of = np.concatenate([c for _, c in members]) if members else np.zeros(0, np.int64), np.repeat(np.arange(len(members)), self.sizes)
+        order = np.lexsort((of, codes))
+        self.hashes, self.first, self.length = np.unique(codes[order], return_index=True, return_counts=True)
+        self.of = of[order]
+        self.key = np.repeat(np.arange(len(self.hashes)), self.length) * max(1, len(members)) + self.of
+
+    def search(self, codes: np.ndarray) -> np.ndarray:
         """Places of the members that link with the set."""
-        n = len(codes)
-        lists = [self.lists[h] for h in codes.tolist() if h in self.lists]
-        for at, count in occurrences(lists, -(-n * self.percent // 100)) if lists else ():
-            if count * 100 >= (n + len(self.members[at][1]) - count) * self.percent:
-                yield at
+        n, t, none = len(codes), -(-len(codes) * self.percent // 100), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, codes), max(0, len(self.hashes) - 1))
+        lists = at[self.hashes[at] == codes] if len(self.hashes) else none
+        if not n or len(lists) < t:
+            return none
+        lists = lists[np.argsort(self.length[lists], kind="stable")]
+        cut = len(lists) - aside(t, int(self.length[lists[-1]]))
+        short, long = lists[:cut], lists[cut:]
+        size = self.length[short]
+        entries = self.of[np.repeat(self.first[short] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        found, count = np.unique(entries, return_counts=True)
+        found, count = found[count >= t - len(long)], count[count >= t - len(long)]
+        need = -(-(n + self.sizes[found]) * self.percent // (100 + self.percent))
+        found, count, need = (x[count + len(long) >= need] for x in (found, count, need))
+        probe = long[:, None] * len(self.members) + found
+        place = np.minimum(np.searchsorted(self.key, probe), len(self.key) - 1)
+        return found[count + (self.key[place] == probe).sum(axis=0) >= need]
 
 
 def asked(posts: DataFrame, asks: Column, meets, join: Join) -> DataFrame:
@@ -311,7 +333,7 @@ def labelled(docs: DataFrame, join: Join = Join()) -> DataFrame:
         pairs = stored(pairs.unionByName(close), "join-pairs")
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = stored(verified(first.unionByName(star) if hot else first, sets, join), "join-links")
-    roots = stored(components(links, "join-roots", rounds=2), "join-roots")
+    roots = stored(components(links, "join-roots", rounds=None if hot else 2), "join-roots")
     # what these links have not joined
     root_of = lambda of: roots.select(F.col("node").alias(of), F.col("root").alias(f"root_{of}"))
     apart = pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where("root_a is null or root_b is null or root_a <> root_b").select("a", "b")

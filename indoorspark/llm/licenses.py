@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from indoorspark.llm.common import table
+from indoorspark.llm.words import text_groups
 
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -23,6 +24,32 @@ TEMPLATES = {
     "cc-by-sa": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     "reserved": "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher",
 }
+# Licences by the names that one-line notices give them.
+NAMES = {
+    "mit": ("mit license", "mit"),
+    "apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache 2 0"),
+    "bsd": ("bsd license", "bsd 2 clause license", "bsd 3 clause license", "bsd 2 clause", "bsd 3 clause"),
+    "gpl-2.0": ("gnu general public license version 2", "gnu general public license v2", "gpl 2 0 only", "gpl 2 0 or later"),
+    "gpl-3.0": ("gnu general public license version 3", "gnu general public license v3", "gpl 3 0 only", "gpl 3 0 or later"),
+    "lgpl": ("gnu lesser general public license", "lgpl 2 1 only", "lgpl 3 0 only"),
+    "agpl": ("gnu affero general public license", "agpl 3 0 only"),
+    "mpl-2.0": ("mozilla public license version 2 0", "mozilla public license 2 0", "mpl 2 0"),
+    "isc": ("isc license",),
+    "cc-by": ("cc by 4 0", "creative commons attribution 4 0"),
+    "cc-by-sa": ("cc by sa 4 0", "cc by sa 3 0", "creative commons attribution sharealike 4 0"),
+    "cc-by-nc": ("cc by nc 4 0", "cc by nc 3 0", "creative commons attribution noncommercial 4 0"),
+    "cc-by-nc-sa": ("cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0"),
+    "cc-by-nd": ("cc by nd 4 0", "creative commons attribution noderivatives 4 0"),
+    "cc0": ("cc0 1 0", "cc0 1 0 universal"),
+}
+LEADS = ("released under", "licensed under", "distributed under", "published under", "available under", "covered by")
+
+
+def notices() -> list[tuple[str, str]]:
+    """(label, words) of one-line notices: each lead, with and without the article, before each name; and SPDX lines."""
+    return [(k, f"{lead} {name}") for k, names in NAMES.items() for name in names for lead in (*LEADS, *(f"{x} the" for x in LEADS), *(f"{x} a" for x in LEADS), "spdx license identifier")]
+
+
 #: Bytes that separate words become spaces, A-Z become a-z; bytes from 128 on belong to words.
 TABLE = bytes(32 if b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 128 else b + 32 if 65 <= b < 91 else b for b in range(256))
 
@@ -98,19 +125,20 @@ class Automaton:
 
 
 class Scanner:
-    """Labels of a text by templates and phrases. least: words of a match that counts; gap: words between chained
-    matches; share: covered part of a template (of its words) that gives its label."""
+    """Labels of a text by templates, one-line notices and phrases. least: words of a match that counts; gap: words between
+    chained matches; share: covered part of a template (of its words) that gives its label. A notice must be there whole."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, least: int = 5, gap: int = 40, share: float = 0.5):
-        self.names, self.least, self.gap, self.share = list(templates), least, gap, share
+    def __init__(self, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, least: int = 4, gap: int = 40, share: float = 0.5):
+        every = [(k, words, share) for k, words in templates.items()] + [(k, words, 1.0) for k, words in notices()]
+        self.names, self.shares, self.least, self.gap = [k for k, _, _ in every], [x for _, _, x in every], least, gap
         self.ids: dict[bytes, int] = {}
-        seqs = [[self.ids.setdefault(w.encode(), len(self.ids)) for w in templates[k].split()] for k in self.names]
+        seqs = [[self.ids.setdefault(w.encode(), len(self.ids)) for w in words.split()] for _, words, _ in every]
         self.sizes = [len(s) for s in seqs]
         self.phrases = [([self.ids.setdefault(w.encode(), len(self.ids)) for w in p.split()], label) for p, label in phrases.items()]
         self.automaton = Automaton(seqs)
 
-    def spans(self, ids: list[int]) -> list[tuple[str, int, int, float]]:
-        """(template, first word, word after the last, covered share of the template): chains of long matches in the template's order."""
+    def spans(self, ids: list[int]) -> list[tuple[int, int, int, float]]:
+        """(number of the template, first word, word after the last, covered share of the template): chains of long matches in the template's order."""
         open_, done = {}, []
         for start, end, state in self.automaton.matches(ids, self.least):
             for t, e in self.automaton.ends[state].items():
@@ -124,7 +152,7 @@ class Scanner:
                         done.append((t, chain))
                     open_[t] = (start, end, e, n)
         done += open_.items()
-        return sorted((self.names[t], c[0], c[1], min(1.0, c[3] / self.sizes[t])) for t, c in done)
+        return sorted((t, c[0], c[1], min(1.0, c[3] / self.sizes[t])) for t, c in done)
 
     def scan(self, text: bytes) -> tuple:
         """n_words, n_base, first_word, last_word, base_labels, labels, score."""
@@ -142,8 +170,8 @@ class Scanner:
                 if ids[at : at + k] == phrase:
                     places[at] += 1
                     base.add(label)
-        found = [(name, share) for name, _, _, share in self.spans(ids)] if any(c >= 0 for c in ids) else []
-        labels = base | {name for name, share in found if share >= self.share}
+        found = [(t, share) for t, _, _, share in self.spans(ids)]
+        labels = base | {self.names[t] for t, share in found if share >= self.shares[t]}
         score = max([1.0 if base else 0.0, *(share for _, share in found)])
         return len(words), sum(places.values()), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
@@ -154,14 +182,15 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 def scan_rows(docs: DataFrame, **settings) -> DataFrame:
     """One row per document. Null or empty text: no words, empty labels, null places, score 0.
 
-    Repeated rows give repeated results; other columns are ignored; an empty table gives no rows.
+    Repeated rows give repeated results; other columns are ignored; an empty table gives no rows. Texts of any length are
+    read whole. Of equally good matches of a template the first counts.
     The automaton (some thousand states, whatever the input) is built once in each task.
     """
 
     def run(batches):
         scanner = Scanner(**settings)
-        for batch in batches:
-            rows = [scanner.scan((t or "").encode()) for t in batch.column(1).to_pylist()]
+        for batch, texts in ((b.slice(at, len(texts)), texts) for b in batches for at, texts in text_groups(b.column(1))):
+            rows = [scanner.scan(t.encode()) for t in texts]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = (pa.int64(),) * 4 + (pa.string(),) * 2 + (pa.float64(),)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[x.split()[0] for x in SCHEMA.split(", ")])

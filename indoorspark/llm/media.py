@@ -15,6 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from indoorspark.llm.common import new_path, stored, table
+from indoorspark.llm.words import text_groups
 
 #: A payload is padded to a multiple of this: a row of 64 pixels of three 8-bit samples.
 UNIT = 192
@@ -101,8 +102,9 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
     """Index rows (doc_id, n_bytes, digest, shard, offset, length); the payloads stand in tar shards in `folder`.
 
     The folder is a URI that pyarrow can open and all executors share. Null or empty text: one unit of
-    spaces. Equal texts share their bytes inside a shard. The index is a written table, so that its
-    rows always name shards that are whole.
+    spaces. Equal texts share their bytes inside a shard. Texts of any length are one payload. Repeated rows give
+    repeated rows; other columns are ignored; an empty table gives no rows. The index is a written table, so that
+    its rows always name shards that are whole.
     """
 
     def index(rows):
@@ -113,7 +115,8 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         shard, rows = None, []
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids = batch.column(0).to_pylist()
+            for doc, text in ((ids[at + i], t) for at, texts in text_groups(batch.column(1)) for i, t in enumerate(texts)):
                 shard = shard or Shard(folder)
                 n, payload = padded(text)
                 digest = hashlib.sha256(payload).hexdigest()

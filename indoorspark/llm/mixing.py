@@ -21,16 +21,24 @@ def source_plan(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = 3) -> Dat
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by = ranked(by, ["source"], "_rank", "mix-sources")
     by = by.withColumn("weight", F.array(*map(F.lit, weights))[F.col("_rank") % len(weights)].cast("long"))
-    limit = F.col("source_size") * cap
-    total = by.agg(F.sum("source_size")).first()[0] or 0
-    level, seen = 0.0, None
-    while True:
-        capped = F.lit(level) * F.col("weight") > limit
-        full, open_weight, n = by.agg(F.sum(F.when(capped, limit)), F.sum(F.when(~capped, F.col("weight"))), F.count_if(capped)).first()
-        if n == seen or not open_weight:
-            break
-        level, seen = float(total - (full or 0)) / float(open_weight), n
-    target = F.when(F.lit(level) * F.col("weight") > limit, limit.cast("double")).otherwise(F.lit(level) * F.col("weight"))
+    # In the order of size by weight sources reach their caps; the first whose share stays under its cap sets the level,
+    # and so do all after it: it is found by halving, one small aggregate a step.
+    by = stored(ranked(by.withColumn("_ratio", cap * F.col("source_size") / F.col("weight")), ["_ratio", "_rank"], "_k", "mix-caps"), "mix-order")
+    total, n = by.agg(F.sum("source_size"), F.count(F.lit(1))).first()
+    k, limit = F.col("_k"), F.col("source_size") * cap
+
+    def level(at: int) -> tuple[float, bool]:
+        """The level if the first `at` sources are at their caps, and whether the next one's share is under its cap."""
+        full, weight, ratio = by.agg(F.sum(F.when(k < at, limit)), F.sum(F.when(k >= at, F.col("weight"))), F.max(F.when(k == at, F.col("_ratio")))).first()
+        found = float(total - (full or 0)) / float(weight)
+        return found, found <= ratio
+
+    lo, hi = 0, max(0, (n or 0) - 1)
+    while lo < hi:
+        at = (lo + hi) // 2
+        lo, hi = (lo, at) if level(at)[1] else (at + 1, hi)
+    found = level(lo)[0] if n else 0.0
+    target = F.when(k < lo, limit.cast("double")).otherwise(F.lit(found) * F.col("weight"))
     rate = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0)
     return by.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
@@ -46,7 +54,8 @@ def mix_rows(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of documents.
 
     Null or empty text: size 0, nothing taken. Null source: a source of its own, last. Repeated rows
-    each count and share a draw. Other columns are ignored; an empty table gives no rows.
+    each count and share a draw. Texts of any length count all their words. Sources of equal size by weight are taken
+    in their order. Other columns are ignored; an empty table gives no rows.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = stored(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")

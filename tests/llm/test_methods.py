@@ -123,6 +123,11 @@ def test_divide_skip_equals_brute_force():
     for _, q in sets:
         want = {c for c, s in sets if 100 * len(set(q) & set(s)) >= 60 * len(set(q) | set(s))}
         assert {index.members[i][0] for i in index.search(q)} == want
+    assert not len(index.search(np.zeros(0, np.int64))) and not len(jaccard_join.DivideSkip([], 60).search(np.array([3])))
+    for _ in range(300):
+        lists = [sorted(rnd.sample(range(30), rnd.randint(1, 20))) for _ in range(rnd.randint(1, 15))]
+        t, count = rnd.randint(1, 12), Counter(x for found in lists for x in found)
+        assert sorted(jaccard_join.occurrences(lists, t)) == sorted((x, n) for x, n in count.items() if n >= t)
 
 
 @pytest.mark.parametrize("group", [3, 1000])  # with 3, most prefixes are lengthened
@@ -279,3 +284,48 @@ def test_components_ranks_and_slots(spark):
     assert sorted(r["at"] for r in ranked(df, ["v"], "at", "test").collect() if r["v"] == r["at"]) == list(range(100))
     numbered = Counter((r["g"], r["s"]) for r in slots(df, "g", [df["v"]], "s", rows_each=10).collect())
     assert numbered == Counter((g, s) for g, n in ((0, 34), (1, 33), (2, 33)) for s in range(n))
+
+
+def test_license_notices_of_the_given_table(spark):
+    from indoorspark.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = docs.join(licenses.scan_rows(docs), "doc_id").select("text", "labels").collect()
+    want = {"Released under the MIT License": "mit", "Licensed under the Apache License, Version 2.0": "apache-2.0", "GNU General Public License, version 3": "gpl", "CC BY-NC 4.0": "cc-by-nc"}
+    met = Counter(label for text, labels in rows for line, label in want.items() if text and line in text and label in labels.split(","))
+    assert met == Counter(label for text, _ in rows for line, label in want.items() if text and line in text) and len(met) == 4
+    assert not any(labels for text, labels in rows if text and not any(x in text.lower() for x in ("licen", "rights reserved", "cc by")))
+
+
+def test_base_phrases_equal_brute_force():
+    rnd, s = random.Random(6), licenses.Scanner()
+    bits = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "CC-BY", "All rights", "x", "Éa", "12"]
+    for _ in range(300):
+        text = " ".join(rnd.choices(bits, k=rnd.randint(0, 30)))
+        low = "".join(ch.lower() if "A" <= ch <= "Z" else ch for ch in text)
+        words_ = [w for w in __import__("re").split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", low) if w]
+        places = sorted((i, label) for p, label in licenses.PHRASES.items() for i in range(len(words_)) if words_[i : i + len(p.split())] == p.split())
+        n, base, first, last, labels, *_ = s.scan(text.encode())
+        assert (n, base, first, last) == (len(words_), len(places), places[0][0] if places else None, places[-1][0] if places else None)
+        assert labels == ",".join(sorted({x for _, x in places}))
+
+
+@pytest.mark.parametrize("ids", ["spread", "outlier", "gaps", "equal", "null"])
+def test_followers_whatever_the_ids(spark, ids):
+    from indoorspark.llm import fingerprint
+
+    rnd, n = random.Random(1), 600
+    make = {"spread": lambda i: i, "outlier": lambda i: i if i else (1 << 63) - 1, "gaps": lambda i: -(1 << 63) + i % 7 * (1 << 59) + i, "equal": lambda i: 5 if i % 3 else i, "null": lambda i: None if i % 3 else i}[ids]
+    rows = [(make(i), f"text {rnd.random()} of {i}\n" * 3) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = fingerprint.with_next(df).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 4 and max(r[1] for r in sizes) < 2 * n / 4
+    order = [(r["doc_id"], r["text"]) for r in df.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text")).collect()]
+    want = Counter()
+    for (d, t), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        k = len(t) // 2
+        e = t[: len(t) - k] + after[:k]
+        own, new, nxt = fingerprint.fingerprints(__import__("pyarrow").array([t, e, after], "large_string"))
+        near = lambda a, b: round(float(fingerprint.likeness(a[None], b[None])[0]), 9)
+        want[d, __import__("hashlib").sha256(e.encode()).hexdigest(), near(own, new), near(own, nxt)] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprint.edit_rows(df).collect()) == want
