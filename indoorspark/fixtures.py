@@ -17,7 +17,9 @@ SELECT '00000000-0000-4000-a000-' || printf('%012x', c_custkey * 4096 + 1) AS bu
             ELSE CAST(c_custkey % 120 - 60 AS VARCHAR(20)) || '.5, ' || CAST(c_custkey * 7 % 340 - 170 AS VARCHAR(20)) || '.25' END AS venue_text,
        CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(20 + c_custkey % 80 AS DOUBLE) END AS width_meters,
        CASE WHEN c_custkey % 3 = 0 THEN true ELSE false END                AS has_outline,
+       CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 500 ELSE 800 END END AS outline_size,
        c_custkey % 5 = 0                                                   AS effect3d,
+       CAST(CASE WHEN c_custkey % 10 = 0 THEN 0.6 ELSE 0 END AS DOUBLE)    AS wall_height,
        CASE WHEN c_custkey % 2 = 0 THEN '10000000-0000-4000-a000-' || printf('%012x', c_custkey) END AS place_id
 FROM {customer}""",
     "fx_level": r"""
@@ -32,7 +34,7 @@ WITH s AS (
   SELECT l.*, o_custkey,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq
   FROM {lineitem} l JOIN {orders} ON l_orderkey = o_orderkey)
-SELECT '00000000-0000-4002-a000-' || printf('%012x', (l_orderkey * 16 + seq) * 4096 + 1) AS shape_id,
+SELECT '00000000-0000-4002-a000-' || printf('%012x', (l_orderkey * 16 + seq) * 4096)     AS shape_id,
        '00000000-0000-4000-a000-' || printf('%012x', o_custkey * 4096 + 1)  AS building_id,
        CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE '00000000-0000-4001-a000-' || printf('%012x', l_orderkey * 4096 + 1) END AS level_id,
        CAST(seq AS INT) AS seq,
@@ -90,15 +92,20 @@ SELECT shape_id, CASE WHEN place_id IS NULL THEN '  '
        WHEN w % 5 = 2 THEN 'n/a' ELSE ' ' || place_id || ' ' END AS pasted
 FROM fx_shape""",
 }
-#: Taking an array apart needs one spelling for each engine.
-PIXELS_SPARK = r"""
-SELECT vec_id AS plan_id, i % 8 AS x, CAST(FLOOR(i / 8.0) AS INT) AS y,
-       g AS r, g AS g, g AS b, CASE WHEN i % 17 = 0 THEN 30 ELSE 255 END AS a
+VIEWS["fx_plan"] = r"""
+SELECT vec_id AS plan_id, CASE WHEN vec_id % 2 = 0 THEN 8 ELSE 16 END AS width, CASE WHEN vec_id % 2 = 0 THEN 8 ELSE 4 END AS height,
+       CASE WHEN vec_id % 2 = 0 THEN 3 ELSE 4 END AS l_min, CASE WHEN vec_id % 2 = 0 THEN 3 ELSE 4 END AS dash_max,
+       CASE WHEN vec_id % 4 < 2 THEN 2 ELSE 1 END AS gap_max, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS wall_t,
+       CASE WHEN vec_id % 2 = 0 THEN 4 ELSE 3 END AS min_room, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS k_open
+FROM {embeddings}"""
+#: Taking an array apart needs one spelling for each engine. Plans are 8 x 8 or 16 x 4 pixels.
+_PIXEL = r"""
+SELECT vec_id AS plan_id, CAST(i % CASE WHEN vec_id % 2 = 0 THEN 8 ELSE 16 END AS INT) AS x, CAST(FLOOR(i / CASE WHEN vec_id % 2 = 0 THEN 8.0 ELSE 16.0 END) AS INT) AS y,
+       g AS r, g AS g, g AS b, CASE WHEN i % 17 = 0 THEN 30 ELSE 255 END AS a"""
+PIXELS_SPARK = _PIXEL + r"""
 FROM (SELECT vec_id, i, CAST(GREATEST(0, LEAST(255, FLOOR(200 + CAST(v AS DOUBLE) * 800))) AS INT) AS g
       FROM {embeddings} LATERAL VIEW posexplode(embedding) e AS i, v)"""
-PIXELS_DUCKDB = r"""
-SELECT vec_id AS plan_id, CAST(i % 8 AS INT) AS x, CAST(FLOOR(i / 8.0) AS INT) AS y,
-       g AS r, g AS g, g AS b, CASE WHEN i % 17 = 0 THEN 30 ELSE 255 END AS a
+PIXELS_DUCKDB = _PIXEL + r"""
 FROM (SELECT vec_id, i, CAST(GREATEST(0, LEAST(255, FLOOR(200 + CAST(embedding[CAST(i AS INT) + 1] AS DOUBLE) * 800))) AS INT) AS g
       FROM {embeddings}, range(64) t(i))"""
 NEEDS = {"fx_vertex": ["fx_shape"], "fx_line": ["fx_shape"], "fx_detect": ["fx_shape"], "fx_paste": ["fx_shape"]}

@@ -17,6 +17,9 @@ LON_METRES, LAT_METRES, WIDTH = 111320.0, 110540.0, 50.0
 FRAME, CUT, DOOR, HALF_LINE, HALF_POINT = 0.15, 0.02, 0.45, 0.75, 1.0
 
 
+SIDES = ("min_x", "min_y", "max_x", "max_y")
+
+
 def building_extent(buildings: DataFrame, shapes: DataFrame) -> DataFrame:
     """min_x, min_y, max_x, max_y of each building over unit and section rings (holes too) and its `outline` (open ring).
 
@@ -31,16 +34,19 @@ def building_extent(buildings: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def building_scale(buildings: DataFrame, extent: DataFrame) -> DataFrame:
-    """Extent with width_m, mpu (metres a pixel), cx, cy, lon, lat (null without an origin), deg_lon, deg_lat."""
+    """Extent with width_m, mpu (metres a pixel), cx, cy, lon, lat (null without an origin), deg_lon, deg_lat, and the bounds
+    clip_* of the building itself: of its outline, or else its extent."""
     origin = venue_origin(parse_lat_lon(F.col("venue_text")))
     width = F.when(F.col("width_meters") > 0, F.col("width_meters")).otherwise(WIDTH)
-    got = extent.join(buildings.select("building_id", width.alias("width_m"), origin.lon.alias("lon"), origin.lat.alias("lat")), "building_id")
+    own = R.bounds(F.col("outline"))
+    got = extent.join(buildings.select("building_id", width.alias("width_m"), origin.lon.alias("lon"), origin.lat.alias("lat"), *[own[c].alias(f"clip_{c}") for c in SIDES]), "building_id")
+    got = got.withColumns({f"clip_{c}": F.coalesce(f"clip_{c}", c) for c in SIDES})
     mpu = F.col("width_m") / F.greatest(F.col("max_x") - F.col("min_x"), F.lit(1e-9))
     cos = F.cos(F.coalesce("lat", F.lit(0.0)) * math.pi / 180)
     return got.withColumns({"mpu": mpu, "cx": (F.col("min_x") + F.col("max_x")) / 2, "cy": (F.col("min_y") + F.col("max_y")) / 2}).withColumns({"deg_lon": F.col("mpu") / (LON_METRES * cos), "deg_lat": F.col("mpu") / LAT_METRES})
 
 
-SCALE = ("min_x", "min_y", "max_x", "max_y", "mpu", "cx", "cy", "lon", "lat", "deg_lon", "deg_lat")
+SCALE = (*SIDES, *(f"clip_{c}" for c in SIDES), "mpu", "cx", "cy", "lon", "lat", "deg_lon", "deg_lat")
 
 
 def join_extent(df: DataFrame, scale: DataFrame) -> DataFrame:
@@ -72,14 +78,26 @@ def footprint_ring(outline: Column) -> Column:
     return F.when(F.size(outline) >= 3, R.closed(outline)).otherwise(padded)
 
 
-FEATURE = ("building_id", "feature_id", "feature_type", "level_id", "seq", "category", "restriction", "label", "rings", "point")
+#: Columns of a feature; seq and piece: its place in a level. extra: properties that only its type has, as JSON text.
+FEATURE = ("building_id", "feature_id", "feature_type", "level_id", "seq", "piece", "category", "restriction", "label", "rings", "point", "extra")
 
 
 def _feature(df: DataFrame, id_, type_: str, label, **columns) -> DataFrame:
-    given = {"level_id": F.lit(None).cast("string"), "seq": F.lit(0), "category": F.lit("unspecified"), "restriction": F.lit(None).cast("string")} | columns
+    piece = F.col("piece") if "piece" in df.columns else F.lit(0)
+    given = {"level_id": F.lit(None).cast("string"), "seq": F.lit(0), "piece": piece, "category": F.lit("unspecified"), "restriction": F.lit(None).cast("string"), "extra": F.create_map().cast("map<string,string>")} | columns
     return df.withColumns({"feature_id": id_, "feature_type": F.lit(type_), "label": label, **given}).select(*FEATURE)
 
 
+def json_text(value: Column) -> Column:
+    """A string as JSON; null is null."""
+    quoted = F.to_json(F.array(value))
+    return F.when(value.isNull(), "null").otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+
+
+def json_labels(value: Column) -> Column:
+    return F.when(text_or(value, "") == "", "null").otherwise(F.concat(F.lit('{"en":'), json_text(value), F.lit("}")))
+
+
 def no_rings() -> Column:
     return F.lit(None).cast(f"array<{R.RING}>")
 
@@ -91,12 +109,14 @@ def building_features(buildings: DataFrame, scale: DataFrame) -> DataFrame:
 
 def footprint_features(buildings: DataFrame, scale: DataFrame) -> DataFrame:
     rings = project_polygon(F.array(footprint_ring(F.col("outline"))))
-    return _feature(join_extent(buildings, scale), F.col("footprint_id"), "footprint", F.lit(None).cast("string"), category=F.lit("ground"), rings=rings, point=F.lit(None).cast("struct<x:double,y:double>"))
+    return _feature(join_extent(buildings, scale), F.col("footprint_id"), "footprint", F.lit(None).cast("string"), category=F.lit("ground"), rings=rings, point=F.lit(None).cast("struct<x:double,y:double>"), extra=F.create_map(F.lit("building_ids"), F.to_json(F.array("building_id"))))
 
 
 def level_features(levels: DataFrame, footprints: DataFrame) -> DataFrame:
     df = levels.join(footprints.select("building_id", "rings"), "building_id")
-    return _feature(df, F.col("level_id"), "level", F.col("name"), level_id=F.col("level_id"), seq=F.col("ordinal"), restriction=F.lit("restricted"), rings=F.col("rings"), point=F.lit(None).cast("struct<x:double,y:double>"))
+    own = {"ordinal": F.col("ordinal").cast("string"), "outdoor": F.lit("false"), "short_name": json_labels(F.col("short_name")), "building_ids": F.to_json(F.array("building_id"))}
+    extra = F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v)])
+    return _feature(df, F.col("level_id"), "level", F.col("name"), level_id=F.col("level_id"), seq=F.col("ordinal"), restriction=F.lit("restricted"), rings=F.col("rings"), point=F.lit(None).cast("struct<x:double,y:double>"), extra=extra)
 
 
 def drawn_features(shapes: DataFrame, scale: DataFrame, type_: str, default: str = "Unit") -> DataFrame:
@@ -172,7 +192,9 @@ def fixture_features(fixtures: DataFrame, scale: DataFrame, desks: bool) -> Data
     df = df.withColumn("rings", rings)
     middle = R.centroid(F.element_at("rings", 1))
     label = F.col("name") if desks else text_or(F.col("name"), "Furniture")
-    return _feature(df, F.col("shape_id"), "fixture" if desks else "unit", label, level_id=F.col("level_id"), seq=F.col("seq"), category=F.lit("desk" if desks else "unspecified"), rings=F.col("rings"), point=F.lit(None).cast("struct<x:double,y:double>") if desks else middle)
+    none = F.create_map().cast("map<string,string>")
+    turned = F.when(desk_rotation(F.col("rotation")).isNotNull(), F.create_map(F.lit("rotation"), F.col("rotation").cast("string"))).otherwise(none)
+    return _feature(df, F.col("shape_id"), "fixture" if desks else "unit", label, level_id=F.col("level_id"), seq=F.col("seq"), category=F.lit("desk" if desks else "unspecified"), rings=F.col("rings"), point=F.lit(None).cast("struct<x:double,y:double>") if desks else middle, extra=turned if desks else none)
 
 
 def desk_rotation(rotation: Column) -> Column:
@@ -180,21 +202,21 @@ def desk_rotation(rotation: Column) -> Column:
 
 
 def doorway_boxes(openings: DataFrame, scale: DataFrame) -> DataFrame:
-    """x0, y0, x1, y1 of each opening: along its line, DOOR metres to either side, inside the building's extent; empty ones go."""
+    """x0, y0, x1, y1 of each opening: along its line, DOOR metres to either side, inside the building's own bounds; empty ones go."""
     df = join_extent(openings, scale)
     a, b, reach = F.element_at("line", 1), F.element_at("line", -1), F.lit(DOOR) / F.col("mpu")
     along = F.abs(b.x - a.x) >= F.abs(b.y - a.y)
     mx, my = (a.x + b.x) / 2, (a.y + b.y) / 2
     pick = lambda yes, no: F.when(along, yes).otherwise(no)
     got = df.withColumns({
-        "x0": F.greatest(pick(F.least(a.x, b.x), mx - reach), F.col("min_x")), "x1": F.least(pick(F.greatest(a.x, b.x), mx + reach), F.col("max_x")),
-        "y0": F.greatest(pick(my - reach, F.least(a.y, b.y)), F.col("min_y")), "y1": F.least(pick(my + reach, F.greatest(a.y, b.y)), F.col("max_y")),
+        "x0": F.greatest(pick(F.least(a.x, b.x), mx - reach), F.col("clip_min_x")), "x1": F.least(pick(F.greatest(a.x, b.x), mx + reach), F.col("clip_max_x")),
+        "y0": F.greatest(pick(my - reach, F.least(a.y, b.y)), F.col("clip_min_y")), "y1": F.least(pick(my + reach, F.greatest(a.y, b.y)), F.col("clip_max_y")),
     })
     return got.where("x1 > x0 and y1 > y0").select("building_id", "level_id", "shape_id", "seq", "x0", "y0", "x1", "y1")
 
 
 # Fixed value: tiers of the unit file, painted in this order.
-TIERS = ("doorway", "walkway", "room", "twin", "furniture", "face", "top")
+TIERS = ("doorway", "walkway", "room", "twin", "furniture", "wall")
 
 
 def tiered(units: dict[str, DataFrame]) -> DataFrame:
@@ -209,15 +231,18 @@ def tiered(units: dict[str, DataFrame]) -> DataFrame:
     return every
 
 
-def paint_order(units: DataFrame, levels: DataFrame) -> DataFrame:
-    """units with `paint`, from 1 in each building: tier, then file order (level, then seq; without level last, by id).
+def paint_order(features: DataFrame, levels: DataFrame, *by: str) -> DataFrame:
+    """features with `paint`, from 1 in each building (and `by`): tier, then file order (level, then seq and piece; without level
+    last, by id).
 
     A building's levels are numbered apart and their counts added up, so that no task sorts a whole building.
     """
     level = levels.select("level_id", F.col("ordinal").alias("_ordinal"))
-    df = units.join(level, "level_id", "left").withColumn("_last", F.when(F.col("_ordinal").isNull(), 1).otherwise(0)).withColumn("_group", F.coalesce("_ordinal", F.lit(-1)))
-    key = ["building_id", "tier", "_last", "_group"]
-    inside = F.row_number().over(Window.partitionBy(*key).orderBy(F.when(F.col("_last") == 0, F.col("seq")), "feature_id"))
+    df = features.join(level, "level_id", "left").withColumn("_last", F.when(F.col("_ordinal").isNull(), 1).otherwise(0)).withColumn("_group", F.coalesce("_ordinal", F.lit(-1)))
+    whole = ["building_id", *by]
+    key = [*whole, "tier", "_last", "_group"]
+    placed = F.col("_last") == 0
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy(F.when(placed, F.col("seq")), F.when(placed, F.col("piece")), "feature_id"))
     counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("building_id").orderBy("tier", "_last", "_group").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("_n").over(Window.partitionBy(*whole).orderBy("tier", "_last", "_group").rowsBetween(Window.unboundedPreceding, -1))
     return df.withColumn("_in", inside).join(counts.withColumn("_before", F.coalesce(before, F.lit(0))), key).withColumn("paint", (F.col("_in") + F.col("_before")).cast("int")).drop("_in", "_before", "_n", "_last", "_group", "_ordinal")

@@ -20,16 +20,6 @@ def grid_cells(df: DataFrame, key: str) -> DataFrame:
     return cells.select(key, "i", "j", F.col("x.a").alias("x0"), F.col("x.b").alias("x1"), F.col("y.a").alias("y0"), F.col("y.b").alias("y1"), inside.alias("filled"))
 
 
-def ring_spans(df: DataFrame, key: str) -> DataFrame:
-    """(key, row, from, to): pixels that closed rings fill, even-odd, sampled at pixel centres."""
-    b = R.bounds(F.flatten("rings"))
-    rows = df.select(key, "rings", b.alias("b")).select(key, "rings", F.explode(F.sequence(F.floor("b.min_y"), F.ceil("b.max_y"))).alias("row"))
-    span = lambda xs: lambda k: F.struct(F.ceil(F.element_at(xs, 2 * k - 1) - 0.5).alias("from"), F.floor(F.element_at(xs, 2 * k) - 0.5).alias("to"))
-    pairs = lambda xs: F.when(F.size(xs) >= 2, F.transform(F.sequence(F.lit(1), F.floor(F.size(xs) / 2).cast("int")), span(xs)))
-    spans = rows.select(key, "row", F.explode(R.let(R.span_crossings(F.col("rings"), F.col("row")), pairs)).alias("s"))
-    return spans.select(key, "row", "s.from", "s.to").where(F.col("to") >= F.col("from"))
-
-
 def hatch(df: DataFrame, key: str, spacing: Column, thickness: Column) -> DataFrame:
     """(key, y, x0, x1): slivers at multiples of `spacing` over the filled cells of each row of the grid of `rings`, runs of cells as one."""
     cells = grid_cells(df, key).where("filled")
@@ -101,14 +91,14 @@ def package_files(features: DataFrame, buildings: DataFrame) -> DataFrame:
 
 
 def correlations(features: DataFrame) -> DataFrame:
-    """Rows of the directory table, with file_rank: features(building_id, feature_type, feature_id, label, category, place_id, seq), footprints left out."""
+    """Rows of the directory table, with file_rank and paint: features(building_id, feature_type, feature_id, label, category, place_id, paint), footprints left out."""
     place, name = text_or(F.col("place_id"), ""), F.coalesce("label", F.lit(""))
     tied = place != ""
     kinds = [k for k in DIRECTORY]
     called = F.create_map(*[F.lit(x) for pair in DIRECTORY.items() for x in pair])[F.col("feature_type")]
     rank = F.array_position(F.array(*map(F.lit, kinds)), F.col("feature_type"))
     return features.where(F.col("feature_type").isin(*kinds)).select(
-        "building_id", rank.cast("int").alias("file_rank"), "seq", place.alias("PlaceId"), F.when(tied, name).otherwise("").alias("Name"), F.when(tied, called).otherwise("").alias("Type"),
+        "building_id", rank.cast("int").alias("file_rank"), "paint", place.alias("PlaceId"), F.when(tied, name).otherwise("").alias("Name"), F.when(tied, called).otherwise("").alias("Type"),
         F.initcap("feature_type").alias("FeatureType"), F.col("feature_id").alias("FeatureId"), name.alias("FeatureName"), text_or(F.col("category"), "unspecified").alias("FeatureCategory"),
     )
 

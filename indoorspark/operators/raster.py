@@ -1,6 +1,7 @@
 """Jobs over floor-plan rasters: pixel tables (plan_id, x, y, ...) and run tables (plan_id, axis, line, start, end, len).
 
-A plan is a drawing of bounded size; windows and helpers are keyed by plan or by a line of a plan.
+A plan is a drawing of bounded size; windows and helpers are keyed by plan or by a line of a plan. Sizes and thresholds differ
+by plan: `plans` is a table (plan_id, width, height, and the lengths of `thresholds` that a stage names), joined where needed.
 """
 
 from __future__ import annotations
@@ -37,6 +38,11 @@ def thresholds(longest: Column) -> dict[str, Column]:
     }
 
 
+def with_plan(df: DataFrame, plans: DataFrame, *names: str) -> DataFrame:
+    """df with columns of its plan; Spark broadcasts the plan table only if it is small."""
+    return df.join(plans.select("plan_id", *names), "plan_id")
+
+
 def runs(mask: DataFrame, axis: str) -> DataFrame:
     """Maximal straight runs of mask(plan_id, x, y): along rows for axis "x", along columns for "y"."""
     line = "y" if axis == "x" else "x"
@@ -109,39 +115,41 @@ def shifted(mask: DataFrame, offsets=NEXT) -> DataFrame:
     return mask.select("plan_id", "x", "y", steps).select("plan_id", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
 
 
-def within(df: DataFrame, width: int, height: int, border: int = 0) -> DataFrame:
-    return df.where(F.col("x").between(border, width - 1 - border) & F.col("y").between(border, height - 1 - border))
+def within(df: DataFrame, plans: DataFrame, border: int = 0) -> DataFrame:
+    """Pixels inside their plan, `border` away from its edge."""
+    sized = with_plan(df, plans, "width", "height")
+    return sized.where(F.col("x").between(border, F.col("width") - 1 - border) & F.col("y").between(border, F.col("height") - 1 - border)).select(*df.columns)
 
 
-def core(mask: DataFrame, width: int, height: int) -> DataFrame:
+def core(mask: DataFrame, plans: DataFrame) -> DataFrame:
     """Pixels off the border whose four neighbours are set too."""
     four = shifted(mask).groupBy("plan_id", "x", "y").agg(F.count(F.lit(1)).alias("_n")).where("_n = 4").drop("_n")
-    return within(mask.join(four, ["plan_id", "x", "y"], "left_semi"), width, height, 1)
+    return within(mask.join(four, ["plan_id", "x", "y"], "left_semi"), plans, 1)
 
 
-def wall_pixels(ink: DataFrame, width: int, height: int, l_min: int) -> DataFrame:
+def wall_pixels(ink: DataFrame, plans: DataFrame) -> DataFrame:
     """Ink that is a core, or in a run of l_min or more whose component (by sides) has a core."""
-    thick = core(ink, width, height).select("plan_id", "x", "y")
-    long = run_lengths(ink).where(F.greatest("len_x", "len_y") >= l_min).select("plan_id", "x", "y")
+    thick = core(ink, plans).select("plan_id", "x", "y")
+    long = with_plan(run_lengths(ink), plans, "l_min").where(F.greatest("len_x", "len_y") >= F.col("l_min")).select("plan_id", "x", "y")
     labelled = components(ink)
     solid = labelled.join(thick, ["plan_id", "x", "y"], "left_semi").select("plan_id", "label").distinct()
     held = long.join(labelled.join(solid, ["plan_id", "label"], "left_semi"), ["plan_id", "x", "y"], "left_semi")
     return thick.unionByName(held).distinct()
 
 
-def dilate(mask: DataFrame, width: int, height: int) -> DataFrame:
+def dilate(mask: DataFrame, plans: DataFrame) -> DataFrame:
     """The mask and its four neighbours, but nothing new on the border."""
-    return mask.select("plan_id", "x", "y").unionByName(within(shifted(mask), width, height, 1)).distinct()
+    return mask.select("plan_id", "x", "y").unionByName(within(shifted(mask), plans, 1)).distinct()
 
 
 def erase(mask: DataFrame, pixels: DataFrame) -> DataFrame:
     return mask.join(pixels, ["plan_id", "x", "y"], "left_anti")
 
 
-def dashed_lines(stats: DataFrame, dash_max: int) -> DataFrame:
+def dashed_lines(stats: DataFrame, plans: DataFrame) -> DataFrame:
     """stats of components with `chain` where three or more thin dashes follow each other on a line (axis x or y)."""
     w, h = F.col("max_x") - F.col("min_x") + 1, F.col("max_y") - F.col("min_y") + 1
-    thin = stats.withColumns({"w": w, "h": h}).where((F.greatest("w", "h") <= dash_max) & (F.least("w", "h") <= 3) & (F.col("n") <= 1.6 * (F.col("w") + F.col("h")) + 2))
+    thin = with_plan(stats, plans, "dash_max").withColumns({"w": w, "h": h}).where((F.greatest("w", "h") <= F.col("dash_max")) & (F.least("w", "h") <= 3) & (F.col("n") <= 1.6 * (F.col("w") + F.col("h")) + 2))
     axis = F.when(F.col("w") >= F.col("h"), "x").otherwise("y")
     flat = axis == "x"
     lined = thin.withColumns({
@@ -150,40 +158,52 @@ def dashed_lines(stats: DataFrame, dash_max: int) -> DataFrame:
     })
     order = Window.partitionBy("plan_id", "axis", "line").orderBy("a", "label")
     gap = F.col("a") - F.lag("b").over(order) - 1
-    most = F.least(F.lit(dash_max), F.greatest(F.lit(3), F.col("len"), F.lag("len").over(order)))
+    most = F.least(F.col("dash_max"), F.greatest(F.lit(3), F.col("len"), F.lag("len").over(order)))
     starts = lined.withColumn("_new", F.when(gap.between(1, most), 0).otherwise(1))
     chained = starts.withColumn("chain", F.sum("_new").over(order))
     size = F.count(F.lit(1)).over(Window.partitionBy("plan_id", "axis", "line", "chain"))
     return chained.withColumn("_size", size).where("_size >= 3").select("plan_id", "label", "axis", "line", "chain")
 
 
-def gap_scan(walls: DataFrame, axis: str, wide: int, run: int = 3) -> DataFrame:
-    """Gaps of 1 to `wide` pixels between two wall runs of `run` or more on a line: (plan_id, axis, line, start, end, len)."""
+def gap_scan(walls: DataFrame, axis: str, limits: DataFrame, run: int = 3) -> DataFrame:
+    """Gaps of 1 to `limit` pixels (limits: plan_id, limit) between two wall runs of `run` or more on a line: (plan_id, axis, line, start, end, len)."""
     order = Window.partitionBy("plan_id", "line").orderBy("start")
     last = runs(walls, axis).withColumns({"_end": F.lag("end").over(order), "_len": F.lag("len").over(order)})
     gap = F.col("start") - F.col("_end") - 1
-    got = last.where(gap.between(1, wide) & (F.col("len") >= run) & (F.col("_len") >= run))
+    got = with_plan(last, limits, "limit").where(gap.between(1, F.col("limit")) & (F.col("len") >= run) & (F.col("_len") >= run))
     return got.select("plan_id", "axis", "line", (F.col("_end") + 1).alias("start"), (F.col("start") - 1).alias("end"), gap.alias("len"))
 
 
-def seal(walls: DataFrame, limit: int, run: int = 3) -> DataFrame:
-    """walls with every gap of `limit` or less, along rows and columns, closed."""
+def seal(walls: DataFrame, limits: DataFrame, run: int = 3) -> DataFrame:
+    """walls with every gap up to the plan's limit, along rows and columns, closed."""
     out = walls.select("plan_id", "x", "y")
     for axis, line in (("x", "y"), ("y", "x")):
-        fill = gap_scan(walls, axis, limit, run).select("plan_id", F.explode(F.sequence("start", "end")).alias(axis), F.col("line").alias(line))
+        fill = gap_scan(walls, axis, limits, run).select("plan_id", F.explode(F.sequence("start", "end")).alias(axis), F.col("line").alias(line))
         out = out.unionByName(fill.select("plan_id", "x", "y"))
     return out.distinct()
 
 
+def seal_doorways(pixels: DataFrame, walls: DataFrame, plans: DataFrame, run: int = 3, enough: float = 0.5) -> DataFrame:
+    """(plan_id, step, limit, share): the first of three limits, gap_max and twice half as much again, that encloses `enough` of a
+    plan's free pixels, else the last. All three are tried at once, each as a plan of its own."""
+    wider = js_round(F.col("gap_max") * 1.5)
+    limits = plans.select("plan_id", "width", "height", F.posexplode(F.array(F.col("gap_max").cast("long"), wider, js_round(wider * 1.5))).alias("step", "limit"))
+    tried = F.col("plan_id") * 4 + F.col("step")
+    each = lambda df: df.select("plan_id", "x", "y").join(limits.select("plan_id", "step"), "plan_id").select(tried.alias("plan_id"), "x", "y")
+    as_plans, every = limits.select(tried.alias("plan_id"), "width", "height", "limit"), each(pixels)
+    shares = enclosed_share(regions(every, seal(each(walls), as_plans, run), as_plans)).select(F.floor(F.col("plan_id") / 4).alias("plan_id"), (F.col("plan_id") % 4).cast("int").alias("step"), "share")
+    return pick_limit(limits.select("plan_id", "step", "limit").join(shares, ["plan_id", "step"], "left").withColumn("share", F.coalesce("share", F.lit(0.0))), enough)
+
+
 def free_pixels(pixels: DataFrame, closed: DataFrame) -> DataFrame:
     return erase(pixels.select("plan_id", "x", "y"), closed)
 
 
-def regions(pixels: DataFrame, closed: DataFrame, width: int, height: int) -> DataFrame:
+def regions(pixels: DataFrame, closed: DataFrame, plans: DataFrame) -> DataFrame:
     """Free pixels with `region`: -1 where they are joined to the border, else their component."""
     labelled = components(free_pixels(pixels, closed))
-    edge = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == width - 1) | (F.col("y") == height - 1)
-    outside = labelled.groupBy("plan_id", "label").agg(F.max(edge).alias("_out"))
+    edge = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.col("width") - 1) | (F.col("y") == F.col("height") - 1)
+    outside = with_plan(labelled, plans, "width", "height").groupBy("plan_id", "label").agg(F.max(edge).alias("_out"))
     return labelled.join(outside, ["plan_id", "label"]).select("plan_id", "x", "y", F.when(F.col("_out"), F.lit(-1).cast("long")).otherwise(F.col("label")).alias("region"))
 
 
@@ -198,29 +218,45 @@ def pick_limit(shares: DataFrame, enough: float = 0.5) -> DataFrame:
     return shares.join(picked, ["plan_id", "step"]).select("plan_id", "step", "limit", "share")
 
 
-def open_mask(pixels: DataFrame, mask: DataFrame, width: int, height: int, k: int) -> DataFrame:
-    """Erosion by the full window of 2k + 1, then dilation, each as sums along rows and then columns.
+def box_sums(pixels: DataFrame, values: DataFrame, plans: DataFrame) -> DataFrame:
+    """pixels(plan_id, x, y) with `s`, the sum of values(plan_id, x, y, v) up to k_open away along both axes.
 
-    pixels: all pixels of the plans; nothing within k of the border survives the erosion.
+    Each value adds itself where its reach begins and takes itself off after its end, so that running sums along rows, then
+    columns, give the sums whatever a plan's k_open is.
     """
-    across, down = (Window.partitionBy("plan_id", line).orderBy(axis).rangeBetween(-k, k) for axis, line in (("x", "y"), ("y", "x")))
-    on = pixels.select("plan_id", "x", "y").join(mask.select("plan_id", "x", "y", F.lit(1).alias("v")), ["plan_id", "x", "y"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
-    box = lambda df: df.withColumn("s", F.sum("v").over(across)).withColumn("s", F.sum("s").over(down))
-    off_border = F.col("x").between(k, width - 1 - k) & F.col("y").between(k, height - 1 - k)
-    eroded = box(on).withColumn("v", F.when(off_border & (F.col("s") == (2 * k + 1) ** 2), 1).otherwise(0)).select("plan_id", "x", "y", "v")
-    return box(eroded).where("s > 0").select("plan_id", "x", "y")
+    for axis, line in (("x", "y"), ("y", "x")):
+        begin, end = F.greatest(F.lit(0), F.col(axis) - F.col("k_open")), F.col(axis) + F.col("k_open") + 1
+        steps = F.explode(F.array(F.struct(begin.alias("at"), F.col("v").alias("d")), F.struct(end.alias("at"), (-F.col("v")).alias("d")))).alias("e")
+        events = with_plan(values.where("v <> 0"), plans, "k_open").select("plan_id", line, steps)
+        events = events.groupBy("plan_id", line, F.col("e.at").alias(axis)).agg(F.sum("e.d").alias("d"))
+        running = F.sum(F.coalesce("d", F.lit(0))).over(Window.partitionBy("plan_id", line).orderBy(axis))
+        values = pixels.join(events, ["plan_id", "x", "y"], "left").select("plan_id", "x", "y", running.alias("v"))
+    return values.withColumnRenamed("v", "s")
+
 
+def open_mask(pixels: DataFrame, mask: DataFrame, plans: DataFrame) -> DataFrame:
+    """Erosion by the full window of 2 k_open + 1, then dilation, each as sums along rows and then columns.
 
-def region_state(region: DataFrame, footprint: DataFrame, gap_max: int) -> DataFrame:
-    """(plan_id, region, state): outside, wall or space, by share in the footprint and by size."""
+    pixels: all pixels of the plans; nothing within k_open of the border survives the erosion.
+    """
+    pixels = pixels.select("plan_id", "x", "y")
+    full = with_plan(box_sums(pixels, mask.select("plan_id", "x", "y", F.lit(1).cast("long").alias("v")), plans), plans, "width", "height", "k_open")
+    k = F.col("k_open")
+    off_border = F.col("x").between(k, F.col("width") - 1 - k) & F.col("y").between(k, F.col("height") - 1 - k)
+    eroded = full.where(off_border & (F.col("s") == (2 * k + 1) * (2 * k + 1))).select("plan_id", "x", "y", F.lit(1).cast("long").alias("v"))
+    return box_sums(pixels, eroded, plans).where("s > 0").select("plan_id", "x", "y")
+
+
+def region_state(region: DataFrame, footprint: DataFrame, plans: DataFrame) -> DataFrame:
+    """(plan_id, region, state): outside, wall or space, by share in the footprint and by size against gap_max."""
     inside = region.where("region >= 0").join(footprint.select("plan_id", "x", "y", F.lit(1).alias("f")), ["plan_id", "x", "y"], "left")
     side = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) + 1
-    s = inside.groupBy("plan_id", "region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("f", F.lit(0))).alias("f"), side.alias("side"))
-    tiny = (F.col("n") < max(12, 0.25 * gap_max**2)) | (F.col("n") / F.col("side") <= max(3, 0.3 * gap_max))
+    s = with_plan(inside.groupBy("plan_id", "region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("f", F.lit(0))).alias("f"), side.alias("side")), plans, "gap_max")
+    tiny = (F.col("n") < F.greatest(F.lit(12), 0.25 * F.col("gap_max") * F.col("gap_max"))) | (F.col("n") / F.col("side") <= F.greatest(F.lit(3), 0.3 * F.col("gap_max")))
     return s.select("plan_id", "region", F.when(F.col("f") * 2 < F.col("n"), "outside").when(tiny, "wall").otherwise("space").alias("state"))
 
 
-def space_contacts(spaces: DataFrame, doors: DataFrame, wall_t: int) -> DataFrame:
+def space_contacts(spaces: DataFrame, doors: DataFrame, plans: DataFrame) -> DataFrame:
     """(plan_id, a, b, weight, door): spaces(plan_id, x, y, region) that face each other across 1 to wall_t closed pixels, right and down.
 
     Each facing pair of pixels adds 1, or 3 if a door pixel lies between.
@@ -233,31 +269,39 @@ def space_contacts(spaces: DataFrame, doors: DataFrame, wall_t: int) -> DataFram
         passed = both.withColumn("_d", F.sum("door").over(order)).where("door = 0")
         nxt = passed.withColumns({"b": F.lead("region").over(order), "to": F.lead(axis).over(order), "_e": F.lead("_d").over(order)})
         gap = F.col("to") - F.col(axis) - 1
-        pairs = nxt.where(gap.between(1, wall_t) & (F.col("region") != F.col("b"))).select("plan_id", F.least("region", "b").alias("a"), F.greatest("region", "b").alias("b"), (F.col("_e") > F.col("_d")).alias("door"))
+        pairs = with_plan(nxt, plans, "wall_t").where(gap.between(1, F.col("wall_t")) & (F.col("region") != F.col("b"))).select("plan_id", F.least("region", "b").alias("a"), F.greatest("region", "b").alias("b"), (F.col("_e") > F.col("_d")).alias("door"))
         found = pairs if found is None else found.unionByName(pairs)
     return found.groupBy("plan_id", "a", "b").agg(F.sum(F.when(F.col("door"), 3).otherwise(1)).alias("weight"), F.max("door").alias("door"))
 
 
-def absorb_pass(pixels: DataFrame, spaces: DataFrame, wall_t: int) -> DataFrame:
+def absorb_pass(pixels: DataFrame, spaces: DataFrame, plans: DataFrame) -> DataFrame:
     """One pass: closed pixels with one space on both sides, across or else down, the closed stretch wall_t at most, join it."""
-    df = pixels.select("plan_id", "x", "y").join(spaces.select("plan_id", "x", "y", "region"), ["plan_id", "x", "y"], "left")
+    df = with_plan(pixels.select("plan_id", "x", "y").join(spaces.select("plan_id", "x", "y", "region"), ["plan_id", "x", "y"], "left"), plans, "wall_t")
     for axis, line in (("x", "y"), ("y", "x")):
         before = Window.partitionBy("plan_id", line).orderBy(axis).rowsBetween(Window.unboundedPreceding, 0)
         after = Window.partitionBy("plan_id", line).orderBy(axis).rowsBetween(0, Window.unboundedFollowing)
         at = F.when(F.col("region").isNotNull(), F.col(axis))
         df = df.withColumns({"_l": F.last("region", True).over(before), "_r": F.first("region", True).over(after), "_a": F.last(at, True).over(before), "_b": F.first(at, True).over(after)})
-        df = df.withColumn(f"_{axis}", F.when((F.col("_l") == F.col("_r")) & (F.col("_b") - F.col("_a") - 1 <= wall_t), F.col("_l"))).drop("_l", "_r", "_a", "_b")
+        df = df.withColumn(f"_{axis}", F.when((F.col("_l") == F.col("_r")) & (F.col("_b") - F.col("_a") - 1 <= F.col("wall_t")), F.col("_l"))).drop("_l", "_r", "_a", "_b")
     return df.select("plan_id", "x", "y", F.coalesce("region", "_x", "_y").alias("region")).where("region is not null")
 
 
-def classify_spaces(spaces: DataFrame, min_room: float) -> DataFrame:
+def absorb_partitions(pixels: DataFrame, spaces: DataFrame, plans: DataFrame, passes: int = 3) -> DataFrame:
+    """`passes` passes, each over what the one before has joined."""
+    for _ in range(passes):
+        spaces = absorb_pass(pixels, spaces, plans)
+    return spaces
+
+
+def classify_spaces(spaces: DataFrame, plans: DataFrame) -> DataFrame:
     """(plan_id, region, n, kind): room or walkway, by area, share of the floor and how much of its box a space fills."""
     s = component_stats(spaces.withColumnRenamed("region", "label")).withColumnRenamed("label", "region")
     all_ = Window.partitionBy("plan_id")
     s = s.withColumns({"floor": F.sum("n").over(all_), "largest": F.row_number().over(all_.orderBy(F.desc("n"), "region")) == 1})
     solid = F.col("n") / ((F.col("max_x") - F.col("min_x") + 1) * (F.col("max_y") - F.col("min_y") + 1))
     share = F.col("n") / F.col("floor")
-    other = (F.col("n") < 0.35 * min_room) | (share > 0.6) | ((solid < 0.45) & (share >= 0.01)) | (F.col("largest") & (share >= 0.2))
+    s = with_plan(s, plans, "min_room")
+    other = (F.col("n") < 0.35 * F.col("min_room")) | (share > 0.6) | ((solid < 0.45) & (share >= 0.01)) | (F.col("largest") & (share >= 0.2))
     return s.select("plan_id", "region", "n", F.when(other, "walkway").otherwise("room").alias("kind"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from indoorspark.functions import rings as R
 from indoorspark.functions.scalars import text_or
+from indoorspark.sources.scratch import kept
 
 
 def centre(side: str = "") -> tuple[Column, Column]:
@@ -38,10 +39,9 @@ def match_rooms(detected: DataFrame, rooms: DataFrame) -> DataFrame:
     Pairs whose two sides have no other pair need no order; only levels with a contested room go to a
     helper that holds that level's pairs.
     """
-    pairs = room_candidates(detected, rooms)
-    n = lambda *by: F.count(F.lit(1)).over(Window.partitionBy(*by))
-    marked = pairs.withColumn("odd", (n("level_id", "d_seq") > 1) | (n("level_id", "e_id") > 1))
-    marked = marked.withColumn("odd", F.max("odd").over(Window.partitionBy("level_id")))
+    pairs = kept(room_candidates(detected, rooms), "room-pairs")
+    twice = lambda *by: pairs.groupBy(*by).count().where("count > 1").select("level_id")
+    contested = twice("level_id", "d_seq").unionByName(twice("level_id", "e_id")).distinct()
 
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
         taken, done, out = set(), set(), []
@@ -52,8 +52,8 @@ def match_rooms(detected: DataFrame, rooms: DataFrame) -> DataFrame:
                 out.append((r.level_id, r.d_seq, r.e_id))
         return pd.DataFrame(out, columns=["level_id", "d_seq", "e_id"])
 
-    plain = marked.where("not odd").select("level_id", F.col("d_seq").cast("int").alias("d_seq"), "e_id")
-    return plain.unionByName(marked.where("odd").groupBy("level_id").applyInPandas(greedy, "level_id string, d_seq int, e_id string"))
+    plain = pairs.join(contested, "level_id", "left_anti").select("level_id", F.col("d_seq").cast("int").alias("d_seq"), "e_id")
+    return plain.unionByName(pairs.join(contested, "level_id", "left_semi").groupBy("level_id").applyInPandas(greedy, "level_id string, d_seq int, e_id string"))
 
 
 def uncovered(detected: DataFrame, existing: DataFrame, by: str = "level_id") -> DataFrame:
@@ -62,13 +62,10 @@ def uncovered(detected: DataFrame, existing: DataFrame, by: str = "level_id") ->
     return detected.join(e, (F.col(by) == F.col(f"e_{by}")) & covers("e_", *centre()), "left_anti")
 
 
-def first_come(detected: DataFrame, by: str = "level_id") -> DataFrame:
-    """In the order of seq, boxes whose centre no earlier box that was taken holds; only levels with such a pair go to the helper."""
-    a, b = _prefixed(detected, "a_", by, "seq", "x0", "y0", "w", "h"), _prefixed(detected, "b_", by, "seq", "x0", "y0", "w", "h")
-    clash = a.join(b, (F.col(f"a_{by}") == F.col(f"b_{by}")) & (F.col("a_seq") < F.col("b_seq")) & covers("a_", *centre("b_")))
-    pairs = clash.select(F.col(f"a_{by}").alias(by), "a_seq", "b_seq")
+def _lost(by: str):
+    """Helper over pairs (by, a_seq, b_seq), a before b: each b is lost if one of its a's is not."""
 
-    def lost(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
         gone, out = set(), []
         for b_seq, earlier in group.groupby("b_seq")["a_seq"]:
             if any(x not in gone for x in earlier):
@@ -76,10 +73,19 @@ def first_come(detected: DataFrame, by: str = "level_id") -> DataFrame:
                 out.append((group[by].iloc[0], b_seq))
         return pd.DataFrame(out, columns=[by, "seq"])
 
-    return detected.join(pairs.groupBy(by).applyInPandas(lost, f"{by} string, seq int"), [by, "seq"], "left_anti")
+    return run
 
 
-def bucketed(df: DataFrame, x: Column, y: Column, cell: int, around: bool = False) -> DataFrame:
+def first_come(detected: DataFrame, by: str = "level_id") -> DataFrame:
+    """In the order of seq, boxes whose centre no earlier box that was taken holds; only levels with such a pair go to the helper."""
+    a, b = _prefixed(detected, "a_", by, "seq", "x0", "y0", "w", "h"), _prefixed(detected, "b_", by, "seq", "x0", "y0", "w", "h")
+    clash = a.join(b, (F.col(f"a_{by}") == F.col(f"b_{by}")) & (F.col("a_seq") < F.col("b_seq")) & covers("a_", *centre("b_")))
+    pairs = clash.select(F.col(f"a_{by}").alias(by), "a_seq", "b_seq")
+
+    return detected.join(pairs.groupBy(by).applyInPandas(_lost(by), f"{by} string, seq int"), [by, "seq"], "left_anti")
+
+
+def bucketed(df: DataFrame, x: Column, y: Column, cell, around: bool = False) -> DataFrame:
     """df with its grid cell (_cx, _cy), or a row for each of the nine cells around it."""
     cx, cy = F.floor(x / cell), F.floor(y / cell)
     if not around:
@@ -88,18 +94,38 @@ def bucketed(df: DataFrame, x: Column, y: Column, cell: int, around: bool = Fals
     return df.withColumn("_cx", near(cx)).withColumn("_cy", near(cy))
 
 
-def new_doors(doors: DataFrame, openings: DataFrame, cell: int = 200) -> DataFrame:
-    """doors(building_id, seq, x1, y1, x2, y2) whose middle is not within half their length of an existing opening's.
+def _near_doors(doors: DataFrame, others: DataFrame, cell: int) -> tuple[DataFrame, DataFrame, Column]:
+    """doors and others with the middle, met by building and grid cell, and the test that the other's middle is within half a door's length.
 
-    Both sides meet by building and grid cell; doors are up to two cells long.
+    The cells of a building are as wide as the reach of its longest door, `cell` at least, so that nine of them are enough.
     """
     mid = lambda df: df.withColumns({"mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2})
     reach = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2) / 2
-    old = bucketed(mid(openings), F.col("mx"), F.col("my"), cell, around=True).select(F.col("building_id").alias("o_b"), F.col("mx").alias("o_x"), F.col("my").alias("o_y"), F.col("_cx").alias("o_cx"), F.col("_cy").alias("o_cy"))
-    fresh = bucketed(mid(doors).withColumn("reach", reach), F.col("mx"), F.col("my"), cell)
+    fresh = mid(doors).withColumn("reach", reach)
+    cells = fresh.groupBy("building_id").agg(F.greatest(F.lit(float(cell)), F.max("reach")).alias("_cell"))
+    fresh = bucketed(fresh.join(cells, "building_id"), F.col("mx"), F.col("my"), F.col("_cell"))
+    old = bucketed(mid(others).join(cells, "building_id"), F.col("mx"), F.col("my"), F.col("_cell"), around=True)
+    old = old.select(F.col("building_id").alias("o_b"), F.col("mx").alias("o_x"), F.col("my").alias("o_y"), F.col("_cx").alias("o_cx"), F.col("_cy").alias("o_cy"), *([F.col("seq").alias("o_seq")] if "seq" in others.columns else []))
     near = F.sqrt((F.col("mx") - F.col("o_x")) ** 2 + (F.col("my") - F.col("o_y")) ** 2) < F.col("reach")
-    on = (F.col("building_id") == F.col("o_b")) & (F.col("_cx") == F.col("o_cx")) & (F.col("_cy") == F.col("o_cy")) & near
-    return fresh.join(old, on, "left_anti").select(*doors.columns)
+    return fresh, old, (F.col("building_id") == F.col("o_b")) & (F.col("_cx") == F.col("o_cx")) & (F.col("_cy") == F.col("o_cy")) & near
+
+
+def new_doors(doors: DataFrame, openings: DataFrame, cell: int = 200) -> DataFrame:
+    """doors(building_id, seq, x1, y1, x2, y2) whose middle is not within half their length of an existing opening's."""
+    fresh, old, near = _near_doors(doors, openings.drop("seq"), cell)
+    return fresh.join(old, near, "left_anti").select(*doors.columns)
+
+
+def accepted_doors(doors: DataFrame, openings: DataFrame, cell: int = 200) -> DataFrame:
+    """new_doors that, in the order of seq (unique in a building), are not as near to an earlier one that was accepted either.
+
+    Only pairs of near doors go to the ordered helper, by building.
+    """
+    kept_ = kept(new_doors(doors, openings, cell), "new-doors")
+    fresh, old, near = _near_doors(kept_, kept_, cell)
+    pairs = fresh.join(old, near & (F.col("o_seq") < F.col("seq"))).select("building_id", F.col("o_seq").alias("a_seq"), F.col("seq").alias("b_seq"))
+    gone = pairs.groupBy("building_id").applyInPandas(_lost("building_id"), f"building_id string, seq {dict(doors.dtypes)['seq']}")
+    return kept_.join(gone, ["building_id", "seq"], "left_anti").select(*doors.columns)
 
 
 def hit_stack(points: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -145,22 +171,40 @@ def cleanup(shapes: DataFrame, matched: DataFrame) -> DataFrame:
 def reconcile(detected: DataFrame, shapes: DataFrame, rebuild: bool = True) -> DataFrame:
     """Rooms after a new trace: (level_id, shape_id, d_seq, status). Status redrawn: an existing room with the detected
     box; added: a new room; kept: an existing room as it was; removed: one that the rebuild clears."""
-    rooms = shapes.where(is_room(F.col("kind"), F.col("category")) & F.col("level_id").isNotNull())
-    matched = match_rooms(detected, rooms) if rebuild else None
-    left = cleanup(rooms, matched) if rebuild else rooms
-    rest = detected if not rebuild else detected.join(matched.select("level_id", F.col("d_seq").alias("seq")), ["level_id", "seq"], "left_anti")
-    # a redrawn room stands where the detected one is
-    boxes = left.select("level_id", "shape_id", "x0", "y0", "w", "h")
-    if rebuild:
-        redrawn = matched.join(detected.withColumnRenamed("seq", "d_seq"), ["level_id", "d_seq"]).select("level_id", F.col("e_id").alias("shape_id"), "x0", "y0", "w", "h")
-        boxes = boxes.join(redrawn.select("shape_id"), "shape_id", "left_anti").select("level_id", "shape_id", "x0", "y0", "w", "h").unionByName(redrawn)
-    added = first_come(uncovered(rest, boxes)).select("level_id", F.lit(None).cast("string").alias("shape_id"), F.col("seq").cast("int").alias("d_seq"), F.lit("added").alias("status"))
+    detected = kept(detected, "trace-detected")
+    columns = ["level_id", "shape_id", "seq", "kind", "category", "name", "place_id", "line", "x0", "y0", "w", "h"]
+    rooms = kept(shapes.where(is_room(F.col("kind"), F.col("category")) & F.col("level_id").isNotNull()).select(*columns), "trace-rooms")
     none = F.lit(None).cast("int").alias("d_seq")
+    new = lambda rest, boxes: first_come(kept(uncovered(rest, boxes), "trace-new")).select("level_id", F.lit(None).cast("string").alias("shape_id"), F.col("seq").cast("int").alias("d_seq"), F.lit("added").alias("status"))
     if not rebuild:
-        return added.unionByName(rooms.select("level_id", "shape_id", none, F.lit("kept").alias("status")))
-    old = rooms.join(left.select("shape_id", F.lit("kept").alias("status")), "shape_id", "left").select("level_id", "shape_id", none, F.coalesce("status", F.lit("removed")).alias("status"))
-    old = old.join(matched.select(F.col("e_id").alias("shape_id")), "shape_id", "left_anti").select("level_id", "shape_id", "d_seq", "status")
-    return added.unionByName(old).unionByName(matched.select("level_id", F.col("e_id").alias("shape_id"), "d_seq", F.lit("redrawn").alias("status")))
+        return new(detected, rooms).unionByName(rooms.select("level_id", "shape_id", none, F.lit("kept").alias("status")))
+    matched = kept(match_rooms(detected, rooms), "trace-matched")
+    redrawn = detected.withColumnRenamed("seq", "d_seq").join(matched, ["level_id", "d_seq"]).select("level_id", F.col("e_id").alias("shape_id"), "x0", "y0", "w", "h")
+    others = rooms.join(matched.select(F.col("e_id").alias("shape_id")), "shape_id", "left_anti")
+    doomed = (text_or(F.col("place_id"), "") == "") & default_named(F.col("name"))
+    # a redrawn room stands where the detected one is
+    boxes = others.where(~doomed).select("level_id", "shape_id", "x0", "y0", "w", "h").unionByName(redrawn)
+    rest = detected.join(matched.select("level_id", F.col("d_seq").alias("seq")), ["level_id", "seq"], "left_anti")
+    old = others.select("level_id", "shape_id", none, F.when(doomed, "removed").otherwise("kept").alias("status"))
+    return new(rest, boxes).unionByName(old).unionByName(matched.select("level_id", F.col("e_id").alias("shape_id"), "d_seq", F.lit("redrawn").alias("status")))
+
+
+def reconcile_fixtures(detected: DataFrame, shapes: DataFrame, rebuild: bool = True) -> DataFrame:
+    """Detected furniture (building_id, level_id, seq, x0, y0, w, h) that is drawn: not where a fixture that stays, of any level
+    of the building, already is. A rebuild clears drawn-only fixtures of the traced levels first."""
+    fixtures = shapes.where("kind = 'fixture'")
+    if rebuild:
+        free = (text_or(F.col("place_id"), "") == "") & (text_or(F.col("category"), "") != "desk") & F.col("line").isNull()
+        traced = detected.select("level_id").distinct().withColumn("_traced", F.lit(True))
+        fixtures = fixtures.join(traced, "level_id", "left").where(~(free & F.coalesce("_traced", F.lit(False))))
+    return uncovered(detected, fixtures, by="building_id")
+
+
+def reconcile_walkways(detected: DataFrame, shapes: DataFrame, rebuild: bool = True) -> DataFrame:
+    """Detected walkways of levels that have none left; a rebuild clears those without a directory id first."""
+    walkways = shapes.where((F.col("kind") == "unit") & (F.col("category") == "walkway"))
+    left = walkways.where(text_or(F.col("place_id"), "") != "") if rebuild else walkways
+    return detected.join(left.select("level_id").distinct(), "level_id", "left_anti")
 
 
 def trace_summary(rooms: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,8 @@ from indoorspark.functions import kernels as K
 from indoorspark.functions import rings as R
 from indoorspark.operators.walls import level_floors
 
+# Fixed value: height of walls, in metres.
+WALL = 0.35
 #: The types of a ring and of several, as objects: functions are made before any session is.
 RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 RINGS = T.ArrayType(RING)
@@ -52,23 +55,41 @@ def expand_holes(shapes: DataFrame) -> DataFrame:
     """Shapes with holes as several without, `piece` from 0; only holed rows go to the helper, spread over all tasks."""
     from indoorspark.functions.scalars import piece_id
 
-    plain = shapes.where(F.size("rings") <= 1).withColumn("piece", F.lit(0))
-    holed = shapes.where(F.size("rings") > 1).repartition(F.col("shape_id"))
+    many = F.coalesce(F.size("rings"), F.lit(0)) > 1
+    plain = shapes.where(~many).withColumn("piece", F.lit(0))
+    holed = shapes.where(many).repartition(F.col("shape_id"))
     cut = holed.select(*[c for c in shapes.columns if c != "rings"], F.posexplode(split_holes(F.col("rings"))).alias("piece", "_r"))
     cut = cut.withColumn("shape_id", piece_id(F.col("shape_id"), F.col("piece"))).withColumn("rings", F.array(R.closed(F.col("_r")))).drop("_r")
     return plain.unionByName(cut.select(*plain.columns))
 
 
-def raised_walls(shapes: DataFrame, buildings: DataFrame, scale: DataFrame, doorways: DataFrame, metres: float = 0.35) -> DataFrame:
+def ring_spans(df: DataFrame, key: str) -> DataFrame:
+    """(key, row, from, to): pixels that the closed rings of `rings` fill, even-odd, sampled at pixel centres. Null rings give none."""
+
+    def run(batches):
+        for b in batches:
+            polygons, keys = b.column("rings"), b.column(key)
+            found = [(i, K.spans([np.column_stack([np.asarray(r.values.field(k)) for k in (0, 1)]) for r in polygons[i].values])) for i in range(len(keys)) if polygons[i].is_valid and len(polygons[i])]
+            rows, first, last = (np.concatenate([f[k] for _, f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+            of = np.repeat(np.array([i for i, _ in found], np.int64), [len(f[0]) for _, f in found])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(of)), pa.array(rows), pa.array(first), pa.array(last)], names=[key, "row", "from", "to"])
+
+    schema = f"{key} {dict(df.dtypes)[key]}, row long, `from` long, `to` long"
+    return df.select(key, "rings").mapInArrow(run, schema)
+
+
+def raised_walls(shapes: DataFrame, buildings: DataFrame, scale: DataFrame, doorways: DataFrame, metres: float = WALL) -> DataFrame:
     """(building_id, level_id, part, i, ring): tops and faces (closed rings, pixels) of each level with rooms, buildings with effect3d.
 
+    shapes: rooms without holes (as pieces). Walls are a building's wall_height (metres) tall if it has one, else `metres`.
+
     A level is one task's group; Spark deals levels out by id. Without an outline the building's extent stands in.
     """
-    chosen = buildings.where("effect3d").select("building_id", "outline").join(scale.select("building_id", "min_x", "min_y", "max_x", "max_y", "mpu"), "building_id")
+    chosen = buildings.where("effect3d").select("building_id", "outline", F.when(F.col("wall_height") > 0, F.col("wall_height")).otherwise(metres).alias("metres")).join(scale.select("building_id", "min_x", "min_y", "max_x", "max_y", "mpu"), "building_id")
     box = F.array(R.point(F.col("min_x"), F.col("min_y")), R.point(F.col("max_x"), F.col("min_y")), R.point(F.col("max_x"), F.col("max_y")), R.point(F.col("min_x"), F.col("max_y")))
     doors = doorways.groupBy("level_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x0", "y0", "x1", "y1"))).alias("doors"))
     rows = level_floors(shapes).select("building_id", "level_id", "floors").join(chosen, "building_id").join(doors, "level_id", "left")
-    rows = rows.select("building_id", "level_id", F.coalesce("outline", box).alias("footprint"), "floors", "doors", (metres / F.col("mpu")).alias("height"))
+    rows = rows.select("building_id", "level_id", F.coalesce("outline", box).alias("footprint"), "floors", "doors", (F.col("metres") / F.col("mpu")).alias("height"))
 
     def run(batches):
         for b in batches:
@@ -83,22 +104,124 @@ def raised_walls(shapes: DataFrame, buildings: DataFrame, scale: DataFrame, door
     return rows.repartition(F.col("level_id")).mapInPandas(run, f"building_id string, level_id string, part string, i int, ring {R.RING}")
 
 
-def plan_loops(mask: DataFrame, width: int, height: int, tol: float) -> DataFrame:
-    """(plan_id, loops, outline): border loops of each plan's mask, and the simplified ring of the largest."""
+def by_plan(mask: DataFrame, plans: DataFrame, helper, schema: str, *names: str) -> DataFrame:
+    """helper(plan_id, mask, sub-table, plan's values) for each plan's pixels: a mask of the plan's size, drawn from its runs' pixels."""
+    rows = mask.join(plans.select("plan_id", "width", "height", *names), "plan_id")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((height, width), bool)
+        first = group.iloc[0]
+        m = np.zeros((int(first["height"]), int(first["width"])), bool)
         m[group["y"], group["x"]] = True
-        ring = K.outline(m, tol)
-        return pd.DataFrame({"plan_id": [group["plan_id"].iloc[0]], "loops": [len(K.loops(m))], "outline": [_structs(ring)]})
+        return pd.DataFrame(helper(int(first["plan_id"]), m, group, first), columns=[x.split()[0] for x in schema.split(", ")])
+
+    return rows.groupBy("plan_id").applyInPandas(run, schema)
+
+
+def plan_loops(mask: DataFrame, plans: DataFrame, tol) -> DataFrame:
+    """(plan_id, loops, outline): border loops of each plan's mask, and the simplified ring of the largest."""
+    helper = lambda plan, m, _, first: [(plan, len(K.loops(m)), _structs(K.outline(m, first["tol"])))]
+    return by_plan(mask, plans.withColumn("tol", tol), helper, f"plan_id long, loops int, outline {R.RING}", "tol")
+
+
+def grid_polygons(mask: DataFrame, plans: DataFrame) -> DataFrame:
+    """(plan_id, piece, ring): simple polygons, on the lines between pixels, that cover each plan's mask."""
+
+    def helper(plan, m, _, first):
+        return [(plan, i, _structs(r)) for i, r in enumerate(K.cell_polygons(range(m.shape[1] + 1), range(m.shape[0] + 1), m))]
+
+    return by_plan(mask, plans, helper, f"plan_id long, piece int, ring {R.RING}")
+
+
+def net_area(rings):
+    """Area of a polygon's outer ring less its holes."""
+    outer = F.abs(R.area(F.element_at(rings, 1)))
+    return outer * 2 - R.total(F.transform(rings, lambda r: F.abs(R.area(r))))
+
+
+def space_polygons(spaces: DataFrame, kinds: DataFrame, plans: DataFrame, offset: float = 1.0) -> DataFrame:
+    """(plan_id, region, kind, rings): outer rings of rooms; of what no room claims (walkways), each part by sides as a polygon with holes.
+
+    spaces: (plan_id, x, y, region); kinds: (plan_id, region, kind). Rings are squared, or smoothed where they run in steps, by
+    the plan's jog_tol; squared ones move out by `offset`, holes in, as walls were drawn that much thicker. Walkways of fewer
+    than min_walk pixels and holes smaller than jog_tol squared go. region of a walkway is its first pixel's.
+    """
+    rows = spaces.join(kinds.select("plan_id", "region", "kind"), ["plan_id", "region"])
+
+    def helper(plan, _, group, first):
+        tol, out = float(first["jog_tol"]), []
+        shape = int(first["height"]), int(first["width"])
+
+        def mask_of(part):
+            m = np.zeros(shape, bool)
+            m[part["y"], part["x"]] = True
+            return m
+
+        for region, part in group[group["kind"] == "room"].groupby("region"):
+            ring, squared = K.regular(K.largest(K.loops(mask_of(part))), tol)
+            if len(ring) >= 3:
+                out.append((plan, region, "room", [_structs(K.moved(ring, offset) if squared else ring)]))
+        walk = mask_of(group[group["kind"] == "walkway"])
+        for part in K.pieces(walk):
+            if part.sum() < first["min_walk"]:
+                continue
+            rings = []
+            for k, loop in enumerate(sorted(K.loops(part), key=lambda r: -abs(K.area(r)))):
+                if k and abs(K.area(loop)) < tol * tol:
+                    continue
+                ring, squared = K.regular(loop, tol)
+                if len(ring) >= 3:
+                    rings.append(_structs(K.moved(ring, -offset if k else offset) if squared else ring))
+            y, x = (int(v[0]) for v in np.nonzero(part))
+            if rings:
+                out.append((plan, y * 65536 + x, "walkway", rings))
+        return out
+
+    return by_plan(rows, plans, helper, f"plan_id long, region long, kind string, rings array<{R.RING}>", "jog_tol", "min_walk")
+
+
+def partition_shapes(folded: DataFrame, plans: DataFrame, least: int = 4) -> DataFrame:
+    """(plan_id, label, piece, ring): parts (by sides) of wall ink folded into a space, of `least` pixels and jog_tol length, as simple rings."""
+
+    def helper(plan, m, _, first):
+        out = []
+        for part in K.pieces(m):
+            ys, xs = np.nonzero(part)
+            if len(ys) < least or max(np.ptp(xs), np.ptp(ys)) < first["jog_tol"]:
+                continue
+            found = sorted(K.loops(part), key=lambda r: -abs(K.area(r)))
+            rings = [r for r in (K.rectilinear_simplify(r, 2) for k, r in enumerate(found) if not k or abs(K.area(r)) >= 9) if len(r) >= 4]
+            for i, ring in enumerate(K.split_holes(rings) if rings else []):
+                out.append((plan, int(ys[0]) * 65536 + int(xs[0]), i, _structs(ring)))
+        return out
+
+    return by_plan(folded, plans, helper, f"plan_id long, label long, piece int, ring {R.RING}", "jog_tol")
+
+
+def fit_shapes(labelled: DataFrame, grow: float, plans: DataFrame, scrap, keep_scraps: bool = False) -> DataFrame:
+    """(plan_id, label, form, ring): a box with corners round or square, a polygon or a curve fitted to each component.
+
+    A ring moves out by `grow`. A curve of fewer than `scrap` pixels is lettering and goes, unless keep_scraps.
+    """
+
+    def helper(plan, _, group, first):
+        out = []
+        for label, part in group.groupby("label"):
+            x0, y0 = int(part["x"].min()), int(part["y"].min())
+            m = np.zeros((int(part["y"].max()) - y0 + 1, int(part["x"].max()) - x0 + 1), bool)
+            m[part["y"] - y0, part["x"] - x0] = True
+            got = K.fit_shape(m, grow, 0 if keep_scraps else first["scrap"])
+            if got:
+                out.append((plan, label, got[0], _structs([(x + x0, y + y0) for x, y in got[1]])))
+        return out
 
-    return mask.groupBy("plan_id").applyInPandas(run, f"plan_id long, loops int, outline {R.RING}")
+    return by_plan(labelled, plans.withColumn("scrap", scrap), helper, f"plan_id long, label long, form string, ring {R.RING}", "scrap")
 
 
-def merge_small_spaces(sizes: DataFrame, contacts: DataFrame, least: float) -> DataFrame:
-    """(plan_id, region, into): the smallest space below `least` joins the neighbour of the heaviest contact (the larger one on a tie), again and again."""
+def merge_small_spaces(sizes: DataFrame, contacts: DataFrame, plans: DataFrame) -> DataFrame:
+    """(plan_id, region, into): the smallest space below the plan's `least` joins the neighbour of the heaviest contact (the larger one
+    on a tie), again and again."""
     a = sizes.select("plan_id", F.col("region").alias("a"), F.lit(None).cast("long").alias("b"), F.col("n").cast("long").alias("v"))
-    rows = a.unionByName(contacts.select("plan_id", "a", "b", F.col("weight").cast("long").alias("v")))
+    rows = a.unionByName(contacts.select("plan_id", "a", "b", F.col("weight").cast("long").alias("v"))).join(plans.select("plan_id", "least"), "plan_id")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         alone = group["b"].isna()
@@ -106,17 +229,7 @@ def merge_small_spaces(sizes: DataFrame, contacts: DataFrame, least: float) -> D
         near: dict[int, dict[int, int]] = {r: {} for r in size}
         for p, q, v in group.loc[~alone, ["a", "b", "v"]].astype("int64").itertuples(index=False):
             near[p][q] = near[q][p] = near[p].get(q, 0) + v
-        into, left = {r: r for r in size}, set(size)
-        while small := sorted((size[r], r) for r in left if size[r] < least and near[r]):
-            r = small[0][1]
-            to = max(near[r], key=lambda q: (near[r][q], size[q], -q))
-            for q, v in near.pop(r).items():
-                del near[q][r]
-                if q != to:
-                    near[q][to] = near[to][q] = near[to].get(q, 0) + v
-            size[to] += size[r]
-            left.remove(r)
-            into = {k: to if v == r else v for k, v in into.items()}
+        into = K.merged(size, near, float(group["least"].iloc[0]))
         return pd.DataFrame({"plan_id": group["plan_id"].iloc[0], "region": list(into), "into": list(into.values())})
 
     return rows.groupBy("plan_id").applyInPandas(run, "plan_id long, region long, into long")

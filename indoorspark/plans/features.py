@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from indoorspark.fixtures import view
 from indoorspark.functions import rings as R
 from indoorspark.functions import scalars as S
+from indoorspark.operators import export as E
 from indoorspark.operators import geo as G
 from indoorspark.operators import package as K
 from indoorspark.operators import projects as P
+from indoorspark.operators import ring_jobs as J
 from indoorspark.operators.shapes import category_style, pixel_box, polygon_transform, scaled, shape_kind, shapes
 from indoorspark.plans.basics import ORIGIN
 from indoorspark.plans.registry import query
+from indoorspark.sources.scratch import kept
 
 ALL = ("fx_building", "fx_level", "fx_shape", "fx_vertex", "fx_line")
 
 
 def buildings(spark: SparkSession, d: str) -> DataFrame:
-    outline = F.array(R.point(0, 0), R.point(0, 800), R.point(800, 800), R.point(800, 0))
+    n = F.col("outline_size")
+    outline = F.array(R.point(0, 0), R.point(F.lit(0), n), R.point(n, n), R.point(n, F.lit(0)))
     return view(spark, d, "fx_building").withColumn("outline", F.when(F.col("has_outline"), outline))
 
 
@@ -40,10 +44,10 @@ def corners(df: DataFrame, *keep: str, to: int = 9) -> DataFrame:
 
 EXTENT = ORIGIN.strip() + """,
 v AS (SELECT building_id, x, y FROM fx_vertex WHERE kind IN ('unit', 'section')
-  UNION ALL SELECT building_id, t.x, t.y FROM fx_building, (VALUES (0, 0), (0, 800), (800, 800), (800, 0)) t(x, y) WHERE has_outline),
+  UNION ALL SELECT building_id, t.x * outline_size, t.y * outline_size FROM fx_building, (VALUES (0, 0), (0, 1), (1, 1), (1, 0)) t(x, y) WHERE has_outline),
 m AS (SELECT building_id, MIN(x) AS x0, MIN(y) AS y0, MAX(x) AS x1, MAX(y) AS y1 FROM v GROUP BY 1),
 e AS (SELECT b.building_id, COALESCE(x0, 0.0::DOUBLE) AS min_x, COALESCE(y0, 0.0::DOUBLE) AS min_y, COALESCE(x1, 100.0::DOUBLE) AS max_x, COALESCE(y1, 100.0::DOUBLE) AS max_y,
-  CASE WHEN width_meters > 0 THEN width_meters ELSE 50 END AS width_m, b.name, b.footprint_id, b.has_outline, b.place_id, b.effect3d FROM fx_building b LEFT JOIN m ON b.building_id = m.building_id),
+  CASE WHEN width_meters > 0 THEN width_meters ELSE 50 END AS width_m, b.name, b.footprint_id, b.has_outline, b.outline_size, b.place_id, b.effect3d FROM fx_building b LEFT JOIN m ON b.building_id = m.building_id),
 s AS (SELECT e.*, width_m / GREATEST(max_x - min_x, 1e-9) AS mpu, (min_x + max_x) / 2 AS cx, (min_y + max_y) / 2 AS cy, lon, lat,
   width_m / GREATEST(max_x - min_x, 1e-9) / (111320 * cos(COALESCE(lat, 0) * pi() / 180)) AS deg_lon, width_m / GREATEST(max_x - min_x, 1e-9) / 110540 AS deg_lat
   FROM e JOIN o ON e.building_id = o.building_id)
@@ -157,22 +161,24 @@ def rectilinear(spark, d):
     return shapes(spark, d).where("kind = 'unit'").select("shape_id", R.is_rectilinear(skew).alias("straight"))
 
 
-OFFSET = "SELECT shape_id, t.pt AS pt, CAST(CASE WHEN t.pt IN (0, 1) THEN x0 - 5 ELSE x0 + w + 5 END AS DOUBLE) AS x, CAST(CASE WHEN t.pt IN (1, 2) THEN y0 + h + 5 ELSE y0 - 5 END AS DOUBLE) AS y FROM fx_shape, (VALUES (0), (1), (2), (3)) t(pt) WHERE kind = 'unit' AND form = 'box'"
+# Every corner of a room's outer ring moved by 5 out; the one that turns in moves the same way as its neighbours' edges.
+OFFSET = """SELECT shape_id, CAST(t.pt AS INT) AS pt, CAST(CASE WHEN form = 'ell' AND t.pt IN (2, 3) THEN x0 + FLOOR(w / 2.0) + 5 WHEN t.pt IN (0, 1) THEN x0 - 5 ELSE x0 + w + 5 END AS DOUBLE) AS x,
+  CAST(CASE WHEN form = 'ell' AND t.pt IN (3, 4) THEN y0 + FLOOR(h / 2.0) + 5 WHEN t.pt IN (1, 2) THEN y0 + h + 5 ELSE y0 - 5 END AS DOUBLE) AS y FROM fx_shape, range(0, 6) t(pt) WHERE kind = 'unit' AND (t.pt < 4 OR form = 'ell')"""
 
 
-def box_offsets(spark, d, f):
-    df = shapes(spark, d).where("kind = 'unit' and form = 'box'")
+def ring_offsets(spark, d, f):
+    df = shapes(spark, d).where("kind = 'unit'")
     return corners(df.withColumn("rings", F.array(f(R.opened(F.element_at("rings", 1)), 5.0))), "shape_id", to=6).drop("ring")
 
 
 @query("G8_offset_rectilinear", OFFSET, "fx_shape")
 def offset_rectilinear(spark, d):
-    return box_offsets(spark, d, R.offset_rectilinear)
+    return ring_offsets(spark, d, R.offset_rectilinear)
 
 
 @query("G13_offset_polygon", OFFSET, "fx_shape")
 def offset_polygon(spark, d):
-    return box_offsets(spark, d, R.offset_polygon)
+    return ring_offsets(spark, d, R.offset_polygon)
 
 
 @query("G11_chaikin", f"""
@@ -215,7 +221,7 @@ p AS (SELECT shape_id, y, x0 AS a, CASE WHEN form = 'ell' AND y + 0.5 > y0 + FLO
   UNION ALL SELECT shape_id, y, x0 + w - 20, x0 + w FROM r WHERE form = 'holed' AND y + 0.5 > y0 + 20 AND y + 0.5 < y0 + h - 20)
 SELECT shape_id, COUNT(*) AS spans, CAST(SUM(b - a) AS BIGINT) AS pixels FROM p GROUP BY 1""", "fx_shape")
 def spans(spark, d):
-    got = K.ring_spans(shapes(spark, d).where("kind = 'unit'"), "shape_id")
+    got = J.ring_spans(shapes(spark, d).where("kind = 'unit'"), "shape_id")
     return got.groupBy("shape_id").agg(F.count(F.lit(1)).alias("spans"), F.sum(F.col("to") - F.col("from") + 1).alias("pixels"))
 
 
@@ -229,12 +235,16 @@ def rounded_rect(spark, d):
     return shapes(spark, d).where("kind = 'unit'").select("shape_id", F.size(ring).alias("points"), F.round(p.x, 6).alias("x1"), F.round(p.y, 6).alias("y1"))
 
 
+# Rows of the grid that a room's points span, with the filled stretches of each: one line for each multiple of 7 well inside a row.
 @query("G23_hatch_ring", """
-WITH u AS (SELECT * FROM fx_shape WHERE kind = 'unit' AND form = 'box')
-SELECT shape_id, k * 7.0 AS y, CAST(x0 AS DOUBLE) AS x0, CAST(x0 + w AS DOUBLE) AS x1 FROM u, range(0, 2000) t(k) WHERE k * 7 > y0 AND k * 7 < y0 + h - 2""", "fx_shape")
+WITH u AS (SELECT *, CAST(FLOOR(w / 2.0) AS INT) AS wm, CAST(FLOOR(h / 2.0) AS INT) AS hm FROM fx_shape WHERE kind = 'unit'),
+r AS (SELECT shape_id, y0 AS a, y0 + h AS b, x0 AS l, x0 + w AS r FROM u WHERE form = 'box'
+  UNION ALL SELECT shape_id, y0, y0 + hm, x0, x0 + w FROM u WHERE form = 'ell' UNION ALL SELECT shape_id, y0 + hm, y0 + h, x0, x0 + wm FROM u WHERE form = 'ell'
+  UNION ALL SELECT shape_id, y0, y0 + 20, x0, x0 + w FROM u WHERE form = 'holed' UNION ALL SELECT shape_id, y0 + h - 20, y0 + h, x0, x0 + w FROM u WHERE form = 'holed'
+  UNION ALL SELECT shape_id, y0 + 20, y0 + h - 20, x0, x0 + 20 FROM u WHERE form = 'holed' UNION ALL SELECT shape_id, y0 + 20, y0 + h - 20, x0 + w - 20, x0 + w FROM u WHERE form = 'holed')
+SELECT shape_id, k * 7.0::DOUBLE AS y, CAST(l AS DOUBLE) AS x0, CAST(r AS DOUBLE) AS x1 FROM r, range(0, 2000) t(k) WHERE k * 7 > a AND k * 7 < b - 2""", "fx_shape")
 def hatch(spark, d):
-    df = shapes(spark, d).where("kind = 'unit' and form = 'box'")
-    return K.hatch(df, "shape_id", F.lit(7.0), F.lit(2.0)).select("shape_id", *rounded("y", "x0", "x1", to=6))
+    return K.hatch(shapes(spark, d).where("kind = 'unit'"), "shape_id", F.lit(7.0), F.lit(2.0)).select("shape_id", *rounded("y", "x0", "x1", to=6))
 
 
 @query("A6_vertex_mean", "SELECT shape_id, ROUND(SUM(x) / COUNT(*), 6) AS x, ROUND(SUM(y) / COUNT(*), 6) AS y FROM fx_vertex WHERE ring = 0 AND kind = 'fixture' GROUP BY 1", "fx_shape", "fx_vertex")
@@ -249,8 +259,8 @@ def e1(spark, d):
     return G.building_features(b, scale_of(spark, d, b)).select("building_id", "label", F.round("point.x", 9).alias("x"), F.round("point.y", 9).alias("y"), "restriction")
 
 
-FOOT = f""", q AS (SELECT *, CASE WHEN has_outline THEN 0 ELSE min_x - GREATEST((max_x - min_x) * 0.1, 5) END AS l, CASE WHEN has_outline THEN 800 ELSE max_x + GREATEST((max_x - min_x) * 0.1, 5) END AS r,
-  CASE WHEN has_outline THEN 0 ELSE min_y - GREATEST((max_y - min_y) * 0.1, 5) END AS t, CASE WHEN has_outline THEN 800 ELSE max_y + GREATEST((max_y - min_y) * 0.1, 5) END AS b FROM s),
+FOOT = f""", q AS (SELECT *, CASE WHEN has_outline THEN 0 ELSE min_x - GREATEST((max_x - min_x) * 0.1, 5) END AS l, CASE WHEN has_outline THEN outline_size ELSE max_x + GREATEST((max_x - min_x) * 0.1, 5) END AS r,
+  CASE WHEN has_outline THEN 0 ELSE min_y - GREATEST((max_y - min_y) * 0.1, 5) END AS t, CASE WHEN has_outline THEN outline_size ELSE max_y + GREATEST((max_y - min_y) * 0.1, 5) END AS b FROM s),
 f AS (SELECT building_id, footprint_id, CASE WHEN lon IS NULL THEN 4 - p.pt ELSE p.pt END AS pt, ROUND({PX.format("(CASE WHEN p.pt IN (0, 1, 4) THEN l ELSE r END)")}, 9) AS x,
   ROUND({PY.format("(CASE WHEN p.pt IN (1, 2) THEN b ELSE t END)")}, 9) AS y FROM q, (VALUES (0), (1), (2), (3), (4)) p(pt)) """
 
@@ -268,28 +278,44 @@ def e3(spark, d):
     return corners(got, "feature_id", "label", "seq").drop("ring")
 
 
-DRAWN = EXTENT.rstrip() + ", " + CENTRE + f""", u AS (SELECT h.*, CASE WHEN category = 'conference' THEN 'conferenceroom' ELSE COALESCE(category, 'unspecified') END AS cat, mx / (3.0 * a2) AS px, my / (3.0 * a2) AS py, lon, lat, cx, cy, deg_lon, deg_lat, mpu
-  FROM fx_shape h JOIN s ON h.building_id = s.building_id JOIN k ON h.shape_id = k.shape_id) """
+# Every drawn shape, rooms and furniture in pieces: a hole's left edge cuts off a strip of 20 pixels. px, py: centroid of the piece.
+LINED = "(kind = 'fixture' AND w % 3 = 0)"
+SPLIT = f"(form = 'holed' AND kind IN ('unit', 'fixture') AND NOT {LINED})"
+PIECE_ID = "CASE WHEN i = 0 THEN {0} ELSE substr({0}, 1, length({0}) - 3) || printf('%03x', i) END"
+DRAWN = EXTENT.rstrip() + ", " + CENTRE + f""", u AS (SELECT h.*, CAST(t.i AS INT) AS piece, {PIECE_ID.format('h.shape_id')} AS id, CASE WHEN category = 'conference' THEN 'conferenceroom' ELSE COALESCE(category, 'unspecified') END AS cat,
+  CASE WHEN {LINED} THEN CASE WHEN w % 2 = 0 THEN x0 + 15 ELSE x0 END WHEN NOT {SPLIT} THEN mx / (3.0 * a2) WHEN t.i = 0 THEN x0 + 10 ELSE ((w - 20) * h * (x0 + 10 + w / 2.0) - (w - 40) * (h - 40) * (x0 + w / 2.0)) / ((w - 20) * h - (w - 40) * (h - 40)) END::DOUBLE AS px,
+  CASE WHEN {LINED} THEN CASE WHEN w % 2 = 0 THEN y0 ELSE y0 + 15 END WHEN NOT {SPLIT} THEN my / (3.0 * a2) ELSE y0 + h / 2.0 END::DOUBLE AS py, lon, lat, cx, cy, deg_lon, deg_lat, mpu
+  FROM fx_shape h JOIN s ON h.building_id = s.building_id JOIN k ON h.shape_id = k.shape_id, range(0, 2) t(i) WHERE t.i = 0 OR {SPLIT}) """
 
 
-@query("E4_unit_features", DRAWN + f"SELECT shape_id AS feature_id, cat AS category, COALESCE(name, 'Unit') AS label, level_id, ROUND({PX.format('px')}, 9) AS x, ROUND({PY.format('py')}, 9) AS y FROM u WHERE kind = 'unit' AND form <> 'holed'", *EX)
+def tiers(spark, d, walls=False):
+    b, rows = buildings(spark, d), kept(shapes(spark, d), "tiers-shapes")
+    return E.unit_tiers(b, rows, kept(G.building_scale(b, G.building_extent(b, rows)), "tiers-scale"), walls)
+
+
+@query("E4_unit_features", DRAWN + f"SELECT id AS feature_id, cat AS category, COALESCE(name, 'Unit') AS label, level_id, piece, ROUND({PX.format('px')}, 9) AS x, ROUND({PY.format('py')}, 9) AS y FROM u WHERE kind = 'unit'", *EX)
 def e4(spark, d):
-    df = G.drawn_features(shapes(spark, d).where("kind = 'unit' and form <> 'holed'"), scale_of(spark, d), "unit")
-    return df.select("feature_id", "category", "label", "level_id", F.round("point.x", 9).alias("x"), F.round("point.y", 9).alias("y"))
+    df = tiers(spark, d)["room"]
+    return df.select("feature_id", "category", "label", "level_id", "piece", F.round("point.x", 9).alias("x"), F.round("point.y", 9).alias("y"))
 
 
-@query("E5_section_features", EXTENT.rstrip() + """, fr AS (SELECT h.*, 0.15 / mpu AS fw FROM fx_shape h JOIN s ON h.building_id = s.building_id WHERE kind = 'section' AND form = 'box')
-SELECT shape_id, NOT outline_only OR w - 2 * fw < fw OR h - 2 * fw < fw AS solid, CASE WHEN NOT outline_only OR w - 2 * fw < fw OR h - 2 * fw < fw THEN 5 ELSE 11 END AS points FROM fr""", *EX)
+# Corners of a frame: outer ring from a hair after its first corner, back along the inner one. Boxes turn left, so the inner ring is 0.15 m inside.
+@query("E5_section_features", EXTENT.rstrip() + """, fr AS (SELECT h.*, 0.15 / mpu AS fw, 0.15 / mpu * CASE WHEN form = 'ell' THEN 2 ELSE 1 END AS least FROM fx_shape h JOIN s ON h.building_id = s.building_id WHERE kind = 'section'),
+q AS (SELECT *, NOT outline_only AS solid FROM fr)
+SELECT shape_id, solid, CASE WHEN solid THEN CASE WHEN form = 'holed' THEN 2 ELSE 1 END ELSE 1 END AS rings, CASE WHEN form = 'ell' THEN CASE WHEN solid THEN 7 ELSE 15 END ELSE CASE WHEN solid THEN 5 ELSE 11 END END AS points,
+  ROUND(CASE WHEN solid THEN CASE WHEN form = 'ell' THEN w * h - (w - FLOOR(w / 2.0)) * (h - FLOOR(h / 2.0)) ELSE w * h END
+    ELSE 2 * fw * (w + h) - 4 * fw * fw - LEAST(fw * 0.3, 0.02 / mpu_) * fw END, 3) AS area
+FROM (SELECT q.*, s.mpu AS mpu_ FROM q JOIN s ON q.building_id = s.building_id)""", *EX)
 def e5(spark, d):
-    df = shapes(spark, d).where("kind = 'section' and form = 'box'")
-    got = G.section_features(df, scale_of(spark, d)).select(F.col("feature_id").alias("shape_id"), F.size(F.element_at("rings", 1)).alias("points"))
-    return got.select("shape_id", (F.col("points") == 5).alias("solid"), "points")
+    df = G.framed(shapes(spark, d).where("kind = 'section'"), scale_of(spark, d))
+    rings = F.when(F.col("solid"), F.col("rings")).otherwise(F.array("frame"))
+    ring = F.element_at("r", 1)
+    return df.withColumn("r", rings).select("shape_id", "solid", F.size("r").alias("rings"), F.size(ring).alias("points"), F.round(F.abs(R.area(ring)), 3).alias("area"))
 
 
 @query("E6_twin_units", DRAWN + f"SELECT substr(shape_id, 1, 24) || translate(substr(shape_id, 25), '0123456789abcdef', 'fedcba9876543210') AS feature_id, COALESCE(name, 'Unit') AS label, ROUND({PX.format('px')}, 9) AS x FROM u WHERE kind = 'section' AND NOT outline_only", *EX)
 def e6(spark, d):
-    df = shapes(spark, d).where("kind = 'section' and not outline_only")
-    return G.twin_units(df, scale_of(spark, d)).select("feature_id", "label", F.round("point.x", 9).alias("x"))
+    return tiers(spark, d)["twin"].select("feature_id", "label", F.round("point.x", 9).alias("x"))
 
 
 @query("E7_fixture_polygon", """
@@ -303,10 +329,9 @@ def e7(spark, d):
     return df.select("shape_id", F.size(ring).alias("points"), F.round(b.min_y, 6).alias("min_y"), F.round(b.min_x, 6).alias("min_x"))
 
 
-@query("E8_furniture_units", DRAWN + f"SELECT shape_id AS feature_id, COALESCE(name, 'Furniture') AS label, ROUND({PX.format('px')}, 8) AS x, ROUND({PY.format('py')}, 8) AS y FROM u WHERE kind = 'fixture' AND w % 3 <> 0 AND form <> 'holed' AND COALESCE(category, 'furniture') <> 'desk' AND place_id IS NULL", *EX)
+@query("E8_furniture_units", DRAWN + f"SELECT id AS feature_id, COALESCE(name, 'Furniture') AS label, ROUND({PX.format('px')}, 8) AS x, ROUND({PY.format('py')}, 8) AS y FROM u WHERE kind = 'fixture' AND COALESCE(category, 'furniture') <> 'desk' AND place_id IS NULL", *EX)
 def e8(spark, d):
-    df = shapes(spark, d).where("kind = 'fixture' and line is null and form <> 'holed'")
-    return G.fixture_features(df, scale_of(spark, d), desks=False).select("feature_id", "label", F.round("point.x", 8).alias("x"), F.round("point.y", 8).alias("y"))
+    return tiers(spark, d)["furniture"].select("feature_id", "label", F.round("point.x", 8).alias("x"), F.round("point.y", 8).alias("y"))
 
 
 @query("E9_desk_fixtures", "SELECT shape_id, name AS label, CASE WHEN rotation <> 0 THEN rotation END AS rotation FROM fx_shape WHERE kind = 'fixture' AND (category = 'desk' OR place_id IS NOT NULL)", "fx_shape")
@@ -317,33 +342,33 @@ def e9(spark, d):
 
 
 @query("E10_doorway_boxes", EXTENT.rstrip() + """, l AS (SELECT f.shape_id, f.x1 AS a, f.y1 AS b, f.x2 AS c, f.y2 AS d, 0.45 / mpu AS r, s.* FROM fx_line f JOIN s ON f.building_id = s.building_id WHERE kind = 'opening'),
-g AS (SELECT shape_id, GREATEST(CASE WHEN a <> c THEN a ELSE a - r END, min_x) AS x0, LEAST(CASE WHEN a <> c THEN c ELSE a + r END, max_x) AS x1,
-  GREATEST(CASE WHEN a <> c THEN b - r ELSE b END, min_y) AS y0, LEAST(CASE WHEN a <> c THEN b + r ELSE d END, max_y) AS y1 FROM l)
+g AS (SELECT shape_id, GREATEST(CASE WHEN a <> c THEN a ELSE a - r END, CASE WHEN has_outline THEN 0 ELSE min_x END) AS x0, LEAST(CASE WHEN a <> c THEN c ELSE a + r END, CASE WHEN has_outline THEN outline_size ELSE max_x END) AS x1,
+  GREATEST(CASE WHEN a <> c THEN b - r ELSE b END, CASE WHEN has_outline THEN 0 ELSE min_y END) AS y0, LEAST(CASE WHEN a <> c THEN b + r ELSE d END, CASE WHEN has_outline THEN outline_size ELSE max_y END) AS y1 FROM l)
 SELECT shape_id, ROUND(x0, 6) AS x0, ROUND(y0, 6) AS y0, ROUND(x1, 6) AS x1, ROUND(y1, 6) AS y1 FROM g WHERE x1 > x0 AND y1 > y0""", "fx_building", "fx_shape", "fx_vertex", "fx_line")
 def e10(spark, d):
     return G.doorway_boxes(shapes(spark, d).where("kind = 'opening'"), scale_of(spark, d)).select("shape_id", *rounded("x0", "y0", "x1", "y1", to=6))
 
 
-def unit_tiers(spark, d):
-    s, rows = scale_of(spark, d), shapes(spark, d)
-    plain = rows.where("form <> 'holed'")
-    return {
-        "room": G.drawn_features(plain.where("kind = 'unit'"), s, "unit"),
-        "twin": G.twin_units(plain.where("kind = 'section' and not outline_only"), s),
-        "furniture": G.fixture_features(plain.where("kind = 'fixture'"), s, desks=False),
-    }
-
-
-UNITS = """u AS (SELECT h.shape_id AS feature_id, h.building_id, h.level_id, h.seq, CASE WHEN category = 'walkway' THEN 1 ELSE 2 END AS tier FROM fx_shape h WHERE kind = 'unit' AND form <> 'holed'
-  UNION ALL SELECT substr(shape_id, 1, 24) || translate(substr(shape_id, 25), '0123456789abcdef', 'fedcba9876543210'), building_id, level_id, seq, 3 FROM fx_shape WHERE kind = 'section' AND form <> 'holed' AND NOT outline_only
-  UNION ALL SELECT shape_id, building_id, level_id, seq, 4 FROM fx_shape WHERE kind = 'fixture' AND form <> 'holed' AND COALESCE(category, 'furniture') <> 'desk' AND place_id IS NULL)"""
+# Units of the first five tiers; raised walls come after them and are checked without SQL.
+UNITS = f"""bx AS (SELECT f.shape_id, f.building_id, f.level_id, f.x1 AS a, f.y1 AS b, f.x2 AS c, f.y2 AS d, 0.45 / mpu AS r, s.* EXCLUDE (building_id, name) FROM fx_line f JOIN s ON f.building_id = s.building_id WHERE kind = 'opening' AND effect3d AND f.level_id IN (SELECT level_id FROM fx_shape WHERE kind = 'unit')),
+bc AS (SELECT *, GREATEST(CASE WHEN a <> c THEN a ELSE a - r END, CASE WHEN has_outline THEN 0 ELSE min_x END) AS x0, LEAST(CASE WHEN a <> c THEN c ELSE a + r END, CASE WHEN has_outline THEN outline_size ELSE max_x END) AS x1,
+  GREATEST(CASE WHEN a <> c THEN b - r ELSE b END, CASE WHEN has_outline THEN 0 ELSE min_y END) AS y0, LEAST(CASE WHEN a <> c THEN b + r ELSE d END, CASE WHEN has_outline THEN outline_size ELSE max_y END) AS y1 FROM bx),
+dw AS (SELECT bc.*, h.seq, row_number() OVER (PARTITION BY bc.level_id ORDER BY h.seq, bc.shape_id) - 1 AS i FROM bc JOIN fx_shape h ON bc.shape_id = h.shape_id WHERE bc.x1 > bc.x0 AND bc.y1 > bc.y0),
+dx AS (SELECT *, sha1(building_id || '|' || level_id || '|doorway|' || i) AS hx FROM dw),
+un AS (SELECT substr(hx, 1, 8) || '-' || substr(hx, 9, 4) || '-4' || substr(hx, 14, 3) || '-a' || substr(hx, 18, 3) || '-' || substr(hx, 21, 12) AS feature_id, building_id, level_id, seq, 0 AS piece, 0 AS tier, 'Doorway' AS label, 'walkway' AS cat FROM dx
+  UNION ALL SELECT {PIECE_ID.format('shape_id')}, building_id, level_id, seq, i, CASE WHEN category = 'walkway' THEN 1 ELSE 2 END, COALESCE(name, 'Unit'), CASE WHEN category = 'conference' THEN 'conferenceroom' ELSE COALESCE(category, 'unspecified') END
+    FROM fx_shape, range(0, 2) t(i) WHERE kind = 'unit' AND (i = 0 OR {SPLIT})
+  UNION ALL SELECT substr(shape_id, 1, 24) || translate(substr(shape_id, 25), '0123456789abcdef', 'fedcba9876543210'), building_id, level_id, seq, 0, 3, COALESCE(name, 'Unit'), CASE WHEN category = 'conference' THEN 'conferenceroom' ELSE COALESCE(category, 'unspecified') END FROM fx_shape WHERE kind = 'section' AND NOT outline_only
+  UNION ALL SELECT {PIECE_ID.format('shape_id')}, building_id, level_id, seq, i, 4, COALESCE(name, 'Furniture'), 'unspecified' FROM fx_shape, range(0, 2) t(i) WHERE kind = 'fixture' AND COALESCE(category, 'furniture') <> 'desk' AND place_id IS NULL AND (i = 0 OR {SPLIT})),
+pt AS (SELECT un.*, CAST(row_number() OVER (PARTITION BY un.building_id ORDER BY tier, ordinal NULLS LAST, CASE WHEN ordinal IS NOT NULL THEN seq END, CASE WHEN ordinal IS NOT NULL THEN piece END, feature_id) AS INT) AS paint FROM un LEFT JOIN fx_level l ON un.level_id = l.level_id)"""
 
 
-@query("W1_paint_order", f"WITH {UNITS} SELECT feature_id, tier, row_number() OVER (PARTITION BY u.building_id ORDER BY tier, ordinal NULLS LAST, CASE WHEN ordinal IS NOT NULL THEN seq END, feature_id) AS paint FROM u LEFT JOIN fx_level l ON u.level_id = l.level_id", "fx_level", "fx_shape")
+@query("W1_paint_order", EXTENT.rstrip() + f", {UNITS} SELECT feature_id, tier, paint FROM pt", *ALL)
 def w1(spark, d):
-    return G.paint_order(G.tiered(unit_tiers(spark, d)), view(spark, d, "fx_level")).select("feature_id", "tier", "paint")
+    units = G.tiered(tiers(spark, d)).select("building_id", "level_id", "feature_id", "tier", "seq", "piece")
+    return G.paint_order(kept(units, "tiers-units"), view(spark, d, "fx_level")).select("feature_id", "tier", "paint")
 
 
-@query("U1_unit_file_union", f"WITH {UNITS} SELECT building_id, tier, COUNT(*) AS n FROM u GROUP BY 1, 2", "fx_shape")
+@query("U1_unit_file_union", EXTENT.rstrip() + f", {UNITS} SELECT building_id, tier, COUNT(*) AS n FROM pt GROUP BY 1, 2", *ALL)
 def u1(spark, d):
-    return G.tiered(unit_tiers(spark, d)).groupBy("building_id", "tier").agg(F.count(F.lit(1)).alias("n"))
+    return G.tiered(tiers(spark, d)).groupBy("building_id", "tier").agg(F.count(F.lit(1)).alias("n"))

@@ -6,16 +6,24 @@ from pyspark.sql import functions as F
 
 from indoorspark.fixtures import view
 from indoorspark.functions import rings as R
+from indoorspark.operators import export as E
 from indoorspark.operators import geo as G
 from indoorspark.operators import package as K
 from indoorspark.operators import raster as X
 from indoorspark.operators import ring_jobs as J
 from indoorspark.operators.shapes import shapes
 from indoorspark.plans.features import buildings, scale_of
-from indoorspark.plans.rasters import ink, spaces
+from indoorspark.plans.rasters import PX, SPACES, cc, ink, plan_table, spaces, stats
 from indoorspark.plans.registry import query
 
 
+# Free pixels that hang together by sides or corners, on a plan with a free edge around it: those not joined to the edge are holes.
+FREE8 = """fe AS (SELECT p.plan_id, p.x, p.y FROM px p LEFT JOIN ink USING (plan_id, x, y) WHERE ink.plan_id IS NULL),
+f8 AS (SELECT plan_id, x, y, x AS tx, y AS ty FROM fe UNION SELECT r.plan_id, r.x, r.y, i.x, i.y FROM f8 r JOIN fe i ON r.plan_id = i.plan_id AND abs(i.x - r.tx) <= 1 AND abs(i.y - r.ty) <= 1),
+h8 AS (SELECT f8.plan_id, x, y, MIN(ty * 65536 + tx) AS label, MAX(CASE WHEN tx IN (0, width - 1) OR ty IN (0, height - 1) THEN 1 ELSE 0 END) AS out FROM f8 JOIN fx_plan z ON f8.plan_id = z.plan_id GROUP BY 1, 2, 3),
+hole AS (SELECT DISTINCT plan_id, label FROM h8 WHERE out = 0)"""
+
+
 def outers(spark, d):
     return shapes(spark, d).where("kind = 'unit'").select("shape_id", R.opened(F.element_at("rings", 1)).alias("ring"))
 
@@ -66,21 +74,65 @@ def e4p(spark, d):
     return J.expand_holes(shapes(spark, d).where("kind = 'unit'")).select("shape_id", "piece")
 
 
-@query("G15_trace_loops")
+@query("G15_trace_loops", f"""WITH RECURSIVE {PX}, {cc('ink', 'lab')}, {FREE8} SELECT a.plan_id, CAST(n + COALESCE(holes, 0) AS INT) AS loops FROM (SELECT plan_id, COUNT(DISTINCT label) AS n FROM lab GROUP BY 1) a LEFT JOIN (SELECT plan_id, COUNT(*) AS holes FROM hole GROUP BY 1) b ON a.plan_id = b.plan_id""", "fx_pixels", "fx_plan")
 def g15(spark, d):
-    return J.plan_loops(ink(spark, d), 8, 8, 1.0).select("plan_id", "loops")
+    """Border walks of each plan's ink: one round each part (by sides), one for each hole (free pixels, by sides or corners, off the edge)."""
+    return J.plan_loops(ink(spark, d), plan_table(spark, d), F.lit(1.0)).select("plan_id", "loops")
 
 
 @query("R15_outline")
 def r15(spark, d):
-    return J.plan_loops(X.open_mask(X.binarize(view(spark, d, "fx_pixels")), ink(spark, d), 8, 8, 1), 8, 8, 1.0).select("plan_id", F.size("outline").alias("points"), F.abs(R.area(F.col("outline"))).alias("area"))
+    z = plan_table(spark, d)
+    opened = X.open_mask(X.binarize(view(spark, d, "fx_pixels")), ink(spark, d), z)
+    return J.plan_loops(opened, z, F.lit(1.0)).select("plan_id", F.size("outline").alias("points"), F.abs(R.area(F.col("outline"))).alias("area"))
 
 
 @query("R18_merge_small_spaces")
 def r18(spark, d):
-    s = spaces(spark, d)
+    s, z = spaces(spark, d), plan_table(spark, d)
     sizes = s.groupBy("plan_id", "region").agg(F.count(F.lit(1)).alias("n"))
-    return J.merge_small_spaces(sizes, X.space_contacts(s, ink(spark, d).where("false"), 2), 4)
+    return J.merge_small_spaces(sizes, X.space_contacts(s, ink(spark, d).where("false"), z), z.select("plan_id", F.col("min_room").alias("least")))
+
+
+@query("R21_space_polygons", f"""WITH RECURSIVE {PX}, {SPACES}, {stats('sp', 'st')}, t AS (SELECT *, SUM(n) OVER (PARTITION BY plan_id) AS fl, row_number() OVER (PARTITION BY plan_id ORDER BY n DESC, label) AS k FROM st),
+q AS (SELECT t.plan_id, label, n, CASE WHEN n < 0.35 * min_room OR n * 1.0 / fl > 0.6 OR (n * 1.0 / ((max_x - min_x + 1) * (max_y - min_y + 1)) < 0.45 AND n * 1.0 / fl >= 0.01) OR (k = 1 AND n * 1.0 / fl >= 0.2) THEN 'walkway' ELSE 'room' END AS kind FROM t JOIN fx_plan z ON t.plan_id = z.plan_id)
+SELECT plan_id, kind, COUNT(*) AS shapes, CAST(CASE WHEN kind = 'walkway' THEN SUM(n) END AS BIGINT) AS pixels FROM q GROUP BY 1, 2""", "fx_pixels", "fx_plan")
+def r21(spark, d):
+    """Polygons of each kind, and pixels inside those of walkways: with no tolerance and no offset they are those of the spaces."""
+    s, z = spaces(spark, d), plan_table(spark, d)
+    got = J.space_polygons(s, X.classify_spaces(s, z), z.withColumns({"jog_tol": F.lit(0.0), "min_walk": F.lit(0.0)}), offset=0.0)
+    inside = F.sum(F.when(F.col("kind") == "walkway", J.net_area(F.col("rings"))))
+    return got.groupBy("plan_id", "kind").agg(F.count(F.lit(1)).alias("shapes"), F.round(inside).cast("long").alias("pixels"))
+
+
+@query("R21_traced_polygons")
+def r21b(spark, d):
+    """The same polygons as traced: squared or smoothed by the plan's tolerance and moved onto the ink."""
+    s, z = spaces(spark, d), plan_table(spark, d)
+    got = J.space_polygons(s, X.classify_spaces(s, z), z.withColumns({"jog_tol": F.lit(2.0), "min_walk": F.lit(2.0)}))
+    return got.select("plan_id", "region", "kind", F.size("rings").alias("rings"), F.aggregate(F.transform("rings", F.size), F.lit(0), lambda a, n: a + n).alias("points"))
+
+
+@query("R23_partition_shapes")
+def r23(spark, d):
+    """Wall ink that the passes of R19 have folded into a space, as thin shapes."""
+    z, before = plan_table(spark, d), spaces(spark, d)
+    after = X.absorb_partitions(X.binarize(view(spark, d, "fx_pixels")), before, z)
+    folded = X.erase(after.select("plan_id", "x", "y"), before).join(ink(spark, d), ["plan_id", "x", "y"], "left_semi")
+    return J.partition_shapes(folded, z.withColumn("jog_tol", F.lit(2.0)), least=2).select("plan_id", "label", "piece", F.size("ring").alias("points"), F.abs(R.area(F.col("ring"))).alias("area"))
+
+
+@query("R26_fit_shape")
+def r26b(spark, d):
+    """The clean shape fitted to each part of a plan's ink."""
+    got = J.fit_shapes(X.components(ink(spark, d)), grow=0.5, keep_scraps=True, scrap=F.lit(3.0), plans=plan_table(spark, d))
+    return got.select("plan_id", "label", "form", F.size("ring").alias("points"), F.round(F.abs(R.area(F.col("ring"))), 6).alias("area"))
+
+
+@query("G18_grid_polygons", f"""WITH RECURSIVE {PX}, {cc('ink', 'lab')} SELECT plan_id, CAST(COUNT(*) AS BIGINT) AS pixels FROM lab GROUP BY 1""", "fx_pixels")
+def g18(spark, d):
+    """Area of the simple polygons that cover each plan's ink: its pixels, as none is lost and none covered twice."""
+    return J.grid_polygons(ink(spark, d), plan_table(spark, d)).groupBy("plan_id").agg(F.round(F.sum(F.abs(R.area(F.col("ring"))))).cast("long").alias("pixels"))
 
 
 @query("R24_dedupe_doors", """
@@ -95,7 +147,7 @@ def r24(spark, d):
 def walls(spark, d):
     b, rows = buildings(spark, d), shapes(spark, d)
     s = scale_of(spark, d, b)
-    return J.raised_walls(rows, b, s, G.doorway_boxes(rows.where("kind = 'opening'"), s)), s
+    return J.raised_walls(J.expand_holes(rows.where("kind = 'unit'")), b, s, G.doorway_boxes(rows.where("kind = 'opening'"), s)), s
 
 
 @query("G22_extrude_walls")
@@ -105,9 +157,10 @@ def g22(spark, d):
 
 @query("E11_raised_walls")
 def e11(spark, d):
-    from indoorspark.functions.scalars import decor_id
-
-    return walls(spark, d)[0].select("level_id", decor_id(F.col("building_id"), F.col("level_id"), F.col("part"), F.col("i")).alias("feature_id"), "part", F.size("ring").alias("points"))
+    """Tops and faces as units of the unit file."""
+    w, s = walls(spark, d)
+    got = E.wall_units(w, s).where("category = 'unspecified'")
+    return got.select("level_id", "feature_id", "seq", "piece", F.size(F.element_at("rings", 1)).alias("points"))
 
 
 @query("E12_wall_hatching")
@@ -115,6 +168,6 @@ def e12(spark, d):
     w, s = walls(spark, d)
     faces = w.where("part = 'face'").join(s.select("building_id", "mpu"), "building_id")
     faces = faces.select(F.struct("level_id", "i", "mpu").alias("face"), F.array("ring").alias("rings"))
-    step = 0.075 / F.col("face.mpu")
-    got = K.hatch(faces, "face", step, step * 0.3)
+    step = E.STEP / F.col("face.mpu")
+    got = K.hatch(faces, "face", step, step * E.THICK)
     return got.select("face.level_id", "face.i", F.round("y", 6).alias("y"), F.round("x0", 6).alias("x0"), F.round("x1", 6).alias("x1"))

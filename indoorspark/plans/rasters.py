@@ -1,4 +1,4 @@
-"""Queries over floor-plan rasters; thresholds are small enough for the 8 x 8 plans."""
+"""Queries over floor-plan rasters; plans have two sizes, and thresholds of their own that fit them."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from indoorspark.operators import raster as X
 from indoorspark.operators.shapes import scaled, shapes
 from indoorspark.plans.registry import query
 
-W = H = 8
+#: Join of a mask m with its plan's size and thresholds.
+PLAN = "JOIN fx_plan z ON {0}.plan_id = z.plan_id"
 PX = """px AS (SELECT *, CASE WHEN a < 40 THEN 255 ELSE CAST(0.299 AS DOUBLE) * r + CAST(0.587 AS DOUBLE) * g + CAST(0.114 AS DOUBLE) * b END AS grey FROM fx_pixels),
 ink AS (SELECT plan_id, x, y FROM px WHERE grey <= 180)"""
 
@@ -31,7 +32,7 @@ def run_sql(mask: str, axis: str, out: str) -> str:
 
 
 FREE = "free AS (SELECT plan_id, x, y FROM fx_pixels EXCEPT SELECT plan_id, x, y FROM ink)"
-REGIONS = f"""{FREE}, {cc("free", "fc")}, edge AS (SELECT plan_id, label, MAX(CASE WHEN x IN (0, 7) OR y IN (0, 7) THEN 1 ELSE 0 END) AS out FROM fc GROUP BY 1, 2),
+REGIONS = f"""{FREE}, {cc("free", "fc")}, edge AS (SELECT fc.plan_id, label, MAX(CASE WHEN x IN (0, width - 1) OR y IN (0, height - 1) THEN 1 ELSE 0 END) AS out FROM fc {PLAN.format('fc')} GROUP BY 1, 2),
 reg AS (SELECT fc.plan_id, x, y, CASE WHEN out = 1 THEN -1 ELSE fc.label END AS region FROM fc JOIN edge ON fc.plan_id = edge.plan_id AND fc.label = edge.label)"""
 #: Spaces for the later stages: components of the free pixels.
 SPACES = f"{FREE}, {cc('free', 'sp')}"
@@ -41,6 +42,10 @@ def pixels(spark, d):
     return X.binarize(view(spark, d, "fx_pixels"))
 
 
+def plan_table(spark, d):
+    return view(spark, d, "fx_plan")
+
+
 def ink(spark, d):
     return pixels(spark, d).where("ink").select("plan_id", "x", "y")
 
@@ -89,121 +94,144 @@ def r6(spark, d):
     return X.runs(mask, "x").unionByName(X.runs(mask, "y")).withColumnsRenamed({"start": "s", "end": "e"})
 
 
-CORE = "core AS (SELECT i.plan_id, i.x, i.y FROM ink i JOIN ink j ON i.plan_id = j.plan_id AND abs(i.x - j.x) + abs(i.y - j.y) = 1 WHERE i.x BETWEEN 1 AND 6 AND i.y BETWEEN 1 AND 6 GROUP BY 1, 2, 3 HAVING COUNT(*) = 4)"
+CORE = "core AS (SELECT i.plan_id, i.x, i.y FROM ink i JOIN ink j ON i.plan_id = j.plan_id AND abs(i.x - j.x) + abs(i.y - j.y) = 1 JOIN fx_plan z ON i.plan_id = z.plan_id WHERE i.x BETWEEN 1 AND width - 2 AND i.y BETWEEN 1 AND height - 2 GROUP BY 1, 2, 3 HAVING COUNT(*) = 4)"
 WALLS = f"""{PX}, {cc('ink', 'lab')}, {CORE}, {run_sql('ink', 'x', 'rx')}, {run_sql('ink', 'y', 'ry')},
-lng AS (SELECT i.* FROM ink i JOIN rx ON i.plan_id = rx.plan_id AND i.y = rx.line AND i.x BETWEEN s AND e AND len >= 3 UNION SELECT i.* FROM ink i JOIN ry ON i.plan_id = ry.plan_id AND i.x = ry.line AND i.y BETWEEN s AND e AND len >= 3),
+lng AS (SELECT i.* FROM ink i JOIN fx_plan z ON i.plan_id = z.plan_id JOIN rx ON i.plan_id = rx.plan_id AND i.y = rx.line AND i.x BETWEEN s AND e AND len >= l_min UNION SELECT i.* FROM ink i JOIN fx_plan z ON i.plan_id = z.plan_id JOIN ry ON i.plan_id = ry.plan_id AND i.x = ry.line AND i.y BETWEEN s AND e AND len >= l_min),
 sol AS (SELECT DISTINCT lab.plan_id, label FROM lab JOIN core USING (plan_id, x, y)),
 wall AS (SELECT * FROM core UNION SELECT lng.plan_id, lng.x, lng.y FROM lng JOIN lab USING (plan_id, x, y) JOIN sol USING (plan_id, label))"""
 
 
 def walls(spark, d):
-    return X.wall_pixels(ink(spark, d), W, H, 3)
+    return X.wall_pixels(ink(spark, d), plan_table(spark, d))
 
 
-@query("R7_wall_pixels", f"WITH RECURSIVE {WALLS} SELECT plan_id, x, y FROM wall", "fx_pixels")
+@query("R7_wall_pixels", f"WITH RECURSIVE {WALLS} SELECT plan_id, x, y FROM wall", "fx_pixels", "fx_plan")
 def r7(spark, d):
     return walls(spark, d)
 
 
-@query("R8_dilate1", f"WITH RECURSIVE {WALLS} SELECT plan_id, x, y FROM wall UNION SELECT p.plan_id, p.x, p.y FROM px p JOIN wall w ON p.plan_id = w.plan_id AND abs(p.x - w.x) + abs(p.y - w.y) = 1 WHERE p.x BETWEEN 1 AND 6 AND p.y BETWEEN 1 AND 6", "fx_pixels")
+@query("R8_dilate1", f"WITH RECURSIVE {WALLS} SELECT plan_id, x, y FROM wall UNION SELECT p.plan_id, p.x, p.y FROM px p JOIN wall w ON p.plan_id = w.plan_id AND abs(p.x - w.x) + abs(p.y - w.y) = 1 JOIN fx_plan z ON p.plan_id = z.plan_id WHERE p.x BETWEEN 1 AND width - 2 AND p.y BETWEEN 1 AND height - 2", "fx_pixels", "fx_plan")
 def r8(spark, d):
-    return X.dilate(walls(spark, d), W, H)
+    return X.dilate(walls(spark, d), plan_table(spark, d))
 
 
-DASHES = f"""{PX}, {cc('ink', 'lab')}, {stats('lab', 'st')}, th AS (SELECT *, max_x - min_x + 1 AS w, max_y - min_y + 1 AS h FROM st),
-dl AS (SELECT plan_id, label, w >= h AS flat, CASE WHEN w >= h THEN floor((min_y + max_y) / 2.0) ELSE floor((min_x + max_x) / 2.0) END AS line, CASE WHEN w >= h THEN min_x ELSE min_y END AS a, CASE WHEN w >= h THEN max_x ELSE max_y END AS b, GREATEST(w, h) AS len
-  FROM th WHERE GREATEST(w, h) <= 3 AND LEAST(w, h) <= 3 AND n <= 1.6 * (w + h) + 2),
-dn AS (SELECT *, CASE WHEN a - LAG(b) OVER o - 1 BETWEEN 1 AND LEAST(3, GREATEST(3, len, LAG(len) OVER o)) THEN 0 ELSE 1 END AS nw FROM dl WINDOW o AS (PARTITION BY plan_id, flat, line ORDER BY a, label)),
+DASHES = f"""{PX}, {cc('ink', 'lab')}, {stats('lab', 'st')}, th AS (SELECT st.*, max_x - min_x + 1 AS w, max_y - min_y + 1 AS h, dash_max FROM st JOIN fx_plan z ON st.plan_id = z.plan_id),
+dl AS (SELECT plan_id, label, w >= h AS flat, CASE WHEN w >= h THEN floor((min_y + max_y) / 2.0) ELSE floor((min_x + max_x) / 2.0) END AS line, CASE WHEN w >= h THEN min_x ELSE min_y END AS a, CASE WHEN w >= h THEN max_x ELSE max_y END AS b, GREATEST(w, h) AS len, dash_max
+  FROM th WHERE GREATEST(w, h) <= dash_max AND LEAST(w, h) <= 3 AND n <= 1.6 * (w + h) + 2),
+dn AS (SELECT *, CASE WHEN a - LAG(b) OVER o - 1 BETWEEN 1 AND LEAST(dash_max, GREATEST(3, len, LAG(len) OVER o)) THEN 0 ELSE 1 END AS nw FROM dl WINDOW o AS (PARTITION BY plan_id, flat, line ORDER BY a, label)),
 dc AS (SELECT *, SUM(nw) OVER (PARTITION BY plan_id, flat, line ORDER BY a, label) AS chain FROM dn),
 dash AS (SELECT plan_id, label FROM (SELECT *, COUNT(*) OVER (PARTITION BY plan_id, flat, line, chain) AS k FROM dc) WHERE k >= 3)"""
 
 
 def dashes(spark, d):
     labelled = X.components(ink(spark, d))
-    return labelled, X.dashed_lines(X.component_stats(labelled), 3)
+    return labelled, X.dashed_lines(X.component_stats(labelled), plan_table(spark, d))
 
 
-@query("R9_dashed_lines", f"WITH RECURSIVE {DASHES} SELECT plan_id, label FROM dash", "fx_pixels")
+@query("R9_dashed_lines", f"WITH RECURSIVE {DASHES} SELECT plan_id, label FROM dash", "fx_pixels", "fx_plan")
 def r9(spark, d):
     return dashes(spark, d)[1].select("plan_id", "label")
 
 
-@query("R10_erase", f"WITH RECURSIVE {DASHES} SELECT plan_id, x, y FROM lab WHERE NOT EXISTS (SELECT 1 FROM dash WHERE dash.plan_id = lab.plan_id AND dash.label = lab.label)", "fx_pixels")
+@query("R10_erase", f"WITH RECURSIVE {DASHES} SELECT plan_id, x, y FROM lab WHERE NOT EXISTS (SELECT 1 FROM dash WHERE dash.plan_id = lab.plan_id AND dash.label = lab.label)", "fx_pixels", "fx_plan")
 def r10(spark, d):
     labelled, lines = dashes(spark, d)
     gone = labelled.join(lines, ["plan_id", "label"], "left_semi")
     return X.erase(labelled, gone).select("plan_id", "x", "y")
 
 
-def gap_sql(mask: str, axis: str, out: str, wide: int) -> str:
-    return f"""{run_sql(mask, axis, out + 'u')}, {out} AS (SELECT plan_id, axis, line, pe + 1 AS s, s - 1 AS e, s - pe - 1 AS len FROM (
-  SELECT *, LAG(e) OVER o AS pe, LAG(len) OVER o AS pl FROM {out}u WINDOW o AS (PARTITION BY plan_id, line ORDER BY s)) WHERE s - pe - 1 BETWEEN 1 AND {wide} AND len >= 2 AND pl >= 2)"""
+def gap_sql(mask: str, axis: str, out: str, limits: str) -> str:
+    """limits: a table (plan_id, lim)."""
+    return f"""{run_sql(mask, axis, out + 'u')}, {out} AS (SELECT g.plan_id, axis, line, pe + 1 AS s, s - 1 AS e, s - pe - 1 AS len FROM (
+  SELECT *, LAG(e) OVER o AS pe, LAG(len) OVER o AS pl FROM {out}u WINDOW o AS (PARTITION BY plan_id, line ORDER BY s)) g JOIN {limits} li ON g.plan_id = li.plan_id WHERE s - pe - 1 BETWEEN 1 AND lim AND len >= 2 AND pl >= 2)"""
+
+
+def seal_sql(mask: str, out: str, limits: str) -> str:
+    return f"""{gap_sql(mask, 'x', out + 'gx', limits)}, {gap_sql(mask, 'y', out + 'gy', limits)}, {out} AS (SELECT plan_id, x, y FROM {mask} UNION SELECT plan_id, x, line FROM {out}gx, range(0, 16) t(x) WHERE x BETWEEN s AND e
+  UNION SELECT plan_id, line, y FROM {out}gy, range(0, 16) t(y) WHERE y BETWEEN s AND e)"""
+
+
+LIMIT = "lm AS (SELECT plan_id, gap_max + 1 AS lim FROM fx_plan)"
 
 
-@query("R11_gap_scan", f"WITH {PX}, {gap_sql('ink', 'x', 'gx', 3)}, {gap_sql('ink', 'y', 'gy', 3)} SELECT plan_id, axis, line, s, e, len FROM gx UNION ALL SELECT plan_id, axis, line, s, e, len FROM gy", "fx_pixels")
+def limits(spark, d):
+    return plan_table(spark, d).select("plan_id", (F.col("gap_max") + 1).alias("limit"))
+
+
+@query("R11_gap_scan", f"WITH {PX}, {LIMIT}, {gap_sql('ink', 'x', 'gx', 'lm')}, {gap_sql('ink', 'y', 'gy', 'lm')} SELECT plan_id, axis, line, s, e, len FROM gx UNION ALL SELECT plan_id, axis, line, s, e, len FROM gy", "fx_pixels", "fx_plan")
 def r11(spark, d):
-    mask = ink(spark, d)
-    return X.gap_scan(mask, "x", 3, 2).unionByName(X.gap_scan(mask, "y", 3, 2)).withColumnsRenamed({"start": "s", "end": "e"})
+    mask, most = ink(spark, d), limits(spark, d)
+    return X.gap_scan(mask, "x", most, 2).unionByName(X.gap_scan(mask, "y", most, 2)).withColumnsRenamed({"start": "s", "end": "e"})
 
 
-@query("R12_seal_doorways", f"WITH {PX}, {gap_sql('ink', 'x', 'gx', 2)}, {gap_sql('ink', 'y', 'gy', 2)} SELECT plan_id, x, y FROM ink UNION SELECT plan_id, x, line FROM gx, range(0, 8) t(x) WHERE x BETWEEN s AND e UNION SELECT plan_id, line, y FROM gy, range(0, 8) t(y) WHERE y BETWEEN s AND e", "fx_pixels")
+@query("R12_seal_doorways", f"WITH {PX}, {LIMIT}, {seal_sql('ink', 'sl', 'lm')} SELECT plan_id, x, y FROM sl", "fx_pixels", "fx_plan")
 def r12(spark, d):
-    return X.seal(ink(spark, d), 2, 2)
+    return X.seal(ink(spark, d), limits(spark, d), 2)
 
 
-@query("R12_pick_limit", """WITH s AS (SELECT building_id AS plan_id, seq AS step, seq * 4 AS lim, (w % 100) / 100.0 AS share FROM (SELECT *, row_number() OVER (PARTITION BY building_id, seq ORDER BY shape_id) AS k FROM fx_shape WHERE seq <= 3) WHERE k = 1),
-p AS (SELECT plan_id, COALESCE(MIN(step) FILTER (share >= 0.5), MAX(step)) AS step FROM s GROUP BY 1) SELECT s.plan_id, s.step, s.lim FROM s JOIN p ON s.plan_id = p.plan_id AND s.step = p.step""", "fx_shape")
+# The masks of all three limits, each as a plan of its own: plan_id * 4 + step.
+@query("R12_pick_limit", f"""WITH RECURSIVE {PX}, st AS (SELECT plan_id AS p, step, width, height, CASE step WHEN 0 THEN gap_max WHEN 1 THEN floor(gap_max * 1.5 + 0.5) ELSE floor(floor(gap_max * 1.5 + 0.5) * 1.5 + 0.5) END AS lim FROM fx_plan, range(0, 3) t(step)),
+li AS (SELECT p * 4 + step AS plan_id, * FROM st), ik AS (SELECT li.plan_id, x, y FROM ink JOIN li ON ink.plan_id = li.p), {seal_sql('ik', 'sl', 'li')},
+fr AS (SELECT li.plan_id, x, y FROM px JOIN li ON px.plan_id = li.p EXCEPT SELECT plan_id, x, y FROM sl), {cc('fr', 'fc')},
+ed AS (SELECT fc.plan_id, label, MAX(CASE WHEN x IN (0, width - 1) OR y IN (0, height - 1) THEN 1 ELSE 0 END) AS out, COUNT(*) AS n FROM fc JOIN li ON fc.plan_id = li.plan_id GROUP BY 1, 2),
+sh AS (SELECT plan_id, COALESCE(SUM(n) FILTER (out = 0), 0) / SUM(n)::DOUBLE AS share FROM ed GROUP BY 1), al AS (SELECT p, step, lim, COALESCE(share, 0) AS share FROM li LEFT JOIN sh ON li.plan_id = sh.plan_id),
+pk AS (SELECT p, COALESCE(MIN(step) FILTER (share >= 0.25), MAX(step)) AS step FROM al GROUP BY 1)
+SELECT al.p AS plan_id, CAST(al.step AS INT) AS step, CAST(lim AS BIGINT) AS lim, ROUND(share, 9) AS share FROM al JOIN pk ON al.p = pk.p AND al.step = pk.step""", "fx_pixels", "fx_plan")
 def r12b(spark, d):
-    s = view(spark, d, "fx_shape").where("seq <= 3").selectExpr("*", "row_number() over (partition by building_id, seq order by shape_id) as k").where("k = 1")
-    return X.pick_limit(s.selectExpr("building_id AS plan_id", "seq AS step", "seq * 4 AS limit", "(w % 100) / 100.0D AS share")).select("plan_id", "step", F.col("limit").alias("lim"))
+    got = X.seal_doorways(pixels(spark, d), ink(spark, d), plan_table(spark, d), run=2, enough=0.25)
+    return got.select("plan_id", "step", F.col("limit").alias("lim"), F.round("share", 9).alias("share"))
 
 
-@query("R13_outside_and_regions", f"WITH RECURSIVE {PX}, {REGIONS} SELECT plan_id, x, y, region FROM reg", "fx_pixels")
+@query("R13_outside_and_regions", f"WITH RECURSIVE {PX}, {REGIONS} SELECT plan_id, x, y, region FROM reg", "fx_pixels", "fx_plan")
 def r13(spark, d):
-    return X.regions(pixels(spark, d), ink(spark, d), W, H)
+    return X.regions(pixels(spark, d), ink(spark, d), plan_table(spark, d))
 
 
-@query("R14_open_mask", f"""WITH {PX}, er AS (SELECT p.plan_id, p.x, p.y FROM px p JOIN ink i ON p.plan_id = i.plan_id AND abs(p.x - i.x) <= 1 AND abs(p.y - i.y) <= 1 WHERE p.x BETWEEN 1 AND 6 AND p.y BETWEEN 1 AND 6 GROUP BY 1, 2, 3 HAVING COUNT(*) = 9)
-SELECT DISTINCT p.plan_id, p.x, p.y FROM px p JOIN er ON p.plan_id = er.plan_id AND abs(p.x - er.x) <= 1 AND abs(p.y - er.y) <= 1""", "fx_pixels")
+@query("R14_open_mask", f"""WITH {PX}, er AS (SELECT p.plan_id, p.x, p.y, k_open FROM px p JOIN fx_plan z ON p.plan_id = z.plan_id JOIN ink i ON p.plan_id = i.plan_id AND abs(p.x - i.x) <= k_open AND abs(p.y - i.y) <= k_open
+  WHERE p.x BETWEEN k_open AND width - 1 - k_open AND p.y BETWEEN k_open AND height - 1 - k_open GROUP BY 1, 2, 3, 4 HAVING COUNT(*) = (2 * k_open + 1) * (2 * k_open + 1))
+SELECT DISTINCT p.plan_id, p.x, p.y FROM px p JOIN er ON p.plan_id = er.plan_id AND abs(p.x - er.x) <= k_open AND abs(p.y - er.y) <= k_open""", "fx_pixels", "fx_plan")
 def r14(spark, d):
-    return X.open_mask(pixels(spark, d), ink(spark, d), W, H, 1)
+    return X.open_mask(pixels(spark, d), ink(spark, d), plan_table(spark, d))
 
 
 @query("R16_region_state", f"""WITH RECURSIVE {PX}, {REGIONS}, g AS (SELECT plan_id, region, COUNT(*) AS n, COUNT(*) FILTER (x < 5) AS f, GREATEST(MAX(x) - MIN(x), MAX(y) - MIN(y)) + 1 AS side FROM reg WHERE region >= 0 GROUP BY 1, 2)
-SELECT plan_id, region, CASE WHEN f * 2 < n THEN 'outside' WHEN n < 12 OR n * 1.0 / side <= 3 THEN 'wall' ELSE 'space' END AS state FROM g""", "fx_pixels")
+SELECT g.plan_id, region, CASE WHEN f * 2 < n THEN 'outside' WHEN n < GREATEST(12, 0.25 * gap_max * gap_max) OR n * 1.0 / side <= GREATEST(3, 0.3 * gap_max) THEN 'wall' ELSE 'space' END AS state FROM g {PLAN.format('g')}""", "fx_pixels", "fx_plan")
 def r16(spark, d):
-    p = pixels(spark, d)
-    return X.region_state(X.regions(p, ink(spark, d), W, H), p.where("x < 5"), 2)
+    p, z = pixels(spark, d), plan_table(spark, d)
+    return X.region_state(X.regions(p, ink(spark, d), z), p.where("x < 5"), z)
 
 
 def contact_sql(axis: str, out: str) -> str:
     line = "y" if axis == "x" else "x"
-    return f"""{out} AS (SELECT plan_id, LEAST(label, b) AS a, GREATEST(label, b) AS b FROM (SELECT plan_id, label, {axis} AS p, LEAD(label) OVER o AS b, LEAD({axis}) OVER o AS q FROM sp WINDOW o AS (PARTITION BY plan_id, {line} ORDER BY {axis})) WHERE q - p - 1 BETWEEN 1 AND 2 AND label <> b)"""
+    return f"""{out} AS (SELECT g.plan_id, LEAST(label, b) AS a, GREATEST(label, b) AS b, EXISTS (SELECT 1 FROM dr WHERE dr.plan_id = g.plan_id AND dr.{line} = g.l AND dr.{axis} > g.p AND dr.{axis} < g.q) AS door
+  FROM (SELECT plan_id, label, {line} AS l, {axis} AS p, LEAD(label) OVER o AS b, LEAD({axis}) OVER o AS q FROM sp WINDOW o AS (PARTITION BY plan_id, {line} ORDER BY {axis})) g {PLAN.format('g')} WHERE q - p - 1 BETWEEN 1 AND wall_t AND label <> b)"""
 
 
-@query("R17_space_contacts", f"WITH RECURSIVE {PX}, {SPACES}, {contact_sql('x', 'kx')}, {contact_sql('y', 'ky')} SELECT plan_id, a, b, COUNT(*) AS weight FROM (SELECT * FROM kx UNION ALL SELECT * FROM ky) GROUP BY 1, 2, 3", "fx_pixels")
+@query("R17_space_contacts", f"WITH RECURSIVE {PX}, {SPACES}, dr AS (SELECT * FROM ink WHERE (x + y) % 3 = 0), {contact_sql('x', 'kx')}, {contact_sql('y', 'ky')} SELECT plan_id, a, b, CAST(SUM(CASE WHEN door THEN 3 ELSE 1 END) AS BIGINT) AS weight, MAX(door) AS door FROM (SELECT * FROM kx UNION ALL SELECT * FROM ky) GROUP BY 1, 2, 3", "fx_pixels", "fx_plan")
 def r17(spark, d):
-    none = ink(spark, d).where("false")
-    return X.space_contacts(spaces(spark, d), none, 2).select("plan_id", "a", "b", "weight")
+    return X.space_contacts(spaces(spark, d), ink(spark, d).where("(x + y) % 3 = 0"), plan_table(spark, d))
 
 
-def between_sql(axis: str, out: str) -> str:
+def between_sql(axis: str, out: str, sp: str) -> str:
     line = "y" if axis == "x" else "x"
-    return f"""{out} AS (SELECT i.plan_id, i.x, i.y, arg_max(a.label, a.{axis}) AS l, arg_min(b.label, b.{axis}) AS r, MIN(b.{axis}) - MAX(a.{axis}) - 1 AS gap FROM ink i JOIN sp a ON i.plan_id = a.plan_id AND i.{line} = a.{line} AND a.{axis} < i.{axis}
-  JOIN sp b ON i.plan_id = b.plan_id AND i.{line} = b.{line} AND b.{axis} > i.{axis} GROUP BY 1, 2, 3)"""
+    return f"""{out} AS (SELECT i.plan_id, i.x, i.y, arg_max(a.region, a.{axis}) AS l, arg_min(b.region, b.{axis}) AS r, MIN(b.{axis}) - MAX(a.{axis}) - 1 AS gap FROM px i JOIN {sp} a ON i.plan_id = a.plan_id AND i.{line} = a.{line} AND a.{axis} < i.{axis}
+  JOIN {sp} b ON i.plan_id = b.plan_id AND i.{line} = b.{line} AND b.{axis} > i.{axis} WHERE NOT EXISTS (SELECT 1 FROM {sp} o WHERE o.plan_id = i.plan_id AND o.x = i.x AND o.y = i.y) GROUP BY 1, 2, 3)"""
+
+
+def absorb_sql(before: str, after: str) -> str:
+    return f"""{between_sql('x', after + 'x', before)}, {between_sql('y', after + 'y', before)}, {after} AS (SELECT * FROM {before} UNION ALL SELECT plan_id, x, y, region FROM (SELECT i.plan_id, i.x, i.y,
+  COALESCE(CASE WHEN bx.l = bx.r AND bx.gap <= wall_t THEN bx.l END, CASE WHEN bw.l = bw.r AND bw.gap <= wall_t THEN bw.l END) AS region FROM (SELECT px.*, wall_t FROM px {PLAN.format('px')}) i LEFT JOIN {after}x bx USING (plan_id, x, y) LEFT JOIN {after}y bw USING (plan_id, x, y)) WHERE region IS NOT NULL)"""
 
 
-@query("R19_absorb_partitions", f"""WITH RECURSIVE {PX}, {SPACES}, {between_sql('x', 'bx')}, {between_sql('y', 'by_')},
-j AS (SELECT i.plan_id, i.x, i.y, COALESCE(CASE WHEN bx.l = bx.r AND bx.gap <= 2 THEN bx.l END, CASE WHEN by_.l = by_.r AND by_.gap <= 2 THEN by_.l END) AS region FROM ink i LEFT JOIN bx USING (plan_id, x, y) LEFT JOIN by_ USING (plan_id, x, y))
-SELECT plan_id, x, y, label AS region FROM sp UNION ALL SELECT plan_id, x, y, region FROM j WHERE region IS NOT NULL""", "fx_pixels")
+@query("R19_absorb_partitions", f"WITH RECURSIVE {PX}, {SPACES}, s0 AS (SELECT plan_id, x, y, label AS region FROM sp), {absorb_sql('s0', 's1')}, {absorb_sql('s1', 's2')}, {absorb_sql('s2', 's3')} SELECT plan_id, x, y, region FROM s3", "fx_pixels", "fx_plan")
 def r19(spark, d):
-    return X.absorb_pass(pixels(spark, d), spaces(spark, d), 2)
+    return X.absorb_partitions(pixels(spark, d), spaces(spark, d), plan_table(spark, d))
 
 
 @query("R20_classify_spaces", f"""WITH RECURSIVE {PX}, {SPACES}, {stats('sp', 'st')}, t AS (SELECT *, SUM(n) OVER (PARTITION BY plan_id) AS fl, row_number() OVER (PARTITION BY plan_id ORDER BY n DESC, label) AS k FROM st)
-SELECT plan_id, label AS region, n, CASE WHEN n < 0.35 * 4 OR n * 1.0 / fl > 0.6 OR (n * 1.0 / ((max_x - min_x + 1) * (max_y - min_y + 1)) < 0.45 AND n * 1.0 / fl >= 0.01) OR (k = 1 AND n * 1.0 / fl >= 0.2) THEN 'walkway' ELSE 'room' END AS kind FROM t""", "fx_pixels")
+SELECT t.plan_id, label AS region, n, CASE WHEN n < 0.35 * min_room OR n * 1.0 / fl > 0.6 OR (n * 1.0 / ((max_x - min_x + 1) * (max_y - min_y + 1)) < 0.45 AND n * 1.0 / fl >= 0.01) OR (k = 1 AND n * 1.0 / fl >= 0.2) THEN 'walkway' ELSE 'room' END AS kind FROM t {PLAN.format('t')}""", "fx_pixels", "fx_plan")
 def r20(spark, d):
-    return X.classify_spaces(spaces(spark, d), 4.0)
+    return X.classify_spaces(spaces(spark, d), plan_table(spark, d))
 
 
 @query("R22_label_point", f"WITH {PX}, {run_sql('ink', 'x', 'rx')} SELECT plan_id, (s + e + 1) / 2.0::DOUBLE AS x, line + 0.5::DOUBLE AS y FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY len DESC, line, s) AS k FROM rx) WHERE k = 1", "fx_pixels")
@@ -215,10 +243,10 @@ def r22(spark, d):
 v AS (SELECT pa.plan_id, pa.label AS patch, lab.label AS owner, COUNT(*) AS n FROM pa JOIN lab ON pa.plan_id = lab.plan_id AND abs(pa.x - lab.x) + abs(pa.y - lab.y) = 1 GROUP BY 1, 2, 3),
 h AS (SELECT v.*, row_number() OVER (PARTITION BY v.plan_id, patch ORDER BY v.n DESC, owner) AS k FROM v JOIN ps ON v.plan_id = ps.plan_id AND patch = ps.label JOIN ls ON v.plan_id = ls.plan_id AND owner = ls.label
   WHERE ls.min_x - 2 <= ps.min_x AND ls.min_y - 2 <= ps.min_y AND ls.max_x + 2 >= ps.max_x AND ls.max_y + 2 >= ps.max_y)
-SELECT plan_id, patch, owner FROM h WHERE k = 1""", "fx_pixels")
+SELECT plan_id, patch, owner FROM h WHERE k = 1""", "fx_pixels", "fx_plan")
 def r25(spark, d):
     p = pixels(spark, d)
-    patches = X.regions(p, ink(spark, d), W, H).where("region >= 0").withColumnRenamed("region", "label")
+    patches = X.regions(p, ink(spark, d), plan_table(spark, d)).where("region >= 0").withColumnRenamed("region", "label")
     return X.pocket_owner(patches, X.components(ink(spark, d)))
 
 
