@@ -10,15 +10,28 @@ from indoorspark.functions import rings as R
 from indoorspark.functions.scalars import PIXELS
 
 # Fill and stroke by category; what isn't named here is drawn as unspecified.
-_BLUE, _VIOLET, _PHONE = ("rgba(203, 224, 244, 0.55)", "#7ba7cc"), ("rgba(215, 207, 242, 0.55)", "#907fc0"), ("rgba(224, 218, 245, 0.55)", "#9a8bc8")
-_SHAFT, _FOOD, _LOUNGE, _GREY = ("rgba(214, 220, 228, 0.60)", "#8a97a8"), ("rgba(233, 217, 193, 0.55)", "#bfa26e"), ("rgba(214, 235, 224, 0.55)", "#74ab8e"), ("rgba(206, 208, 211, 0.60)", "#8f9499")
 STYLES = {
-    "room": _BLUE, "office": _BLUE, "workspace": ("rgba(180, 211, 241, 0.55)", "#6b9cc4"), "conferenceroom": _VIOLET, "conference": _VIOLET,
-    "phoneroom": _PHONE, "mothersroom": _PHONE, "restroom": ("rgba(199, 208, 246, 0.55)", "#7f8cc9"), "elevator": _SHAFT, "stairs": _SHAFT,
-    "walkway": ("rgba(238, 238, 234, 0.60)", "#c4c4bc"), "lobby": ("rgba(232, 224, 206, 0.55)", "#b3a071"), "foodservice": _FOOD, "kitchen": _FOOD,
-    "lounge": _LOUNGE, "seating": _LOUNGE, "nonpublic": _GREY, "storage": _GREY, "wall": ("rgba(125, 135, 150, 0.50)", "#5d6878"),
+    "room": ("rgba(203, 224, 244, 0.55)", "#7ba7cc"),
+    "office": ("rgba(203, 224, 244, 0.55)", "#7ba7cc"),
+    "workspace": ("rgba(180, 211, 241, 0.55)", "#6b9cc4"),
+    "conferenceroom": ("rgba(215, 207, 242, 0.55)", "#907fc0"),
+    "conference": ("rgba(215, 207, 242, 0.55)", "#907fc0"),
+    "phoneroom": ("rgba(224, 218, 245, 0.55)", "#9a8bc8"),
+    "mothersroom": ("rgba(224, 218, 245, 0.55)", "#9a8bc8"),
+    "restroom": ("rgba(199, 208, 246, 0.55)", "#7f8cc9"),
+    "elevator": ("rgba(214, 220, 228, 0.60)", "#8a97a8"),
+    "stairs": ("rgba(214, 220, 228, 0.60)", "#8a97a8"),
+    "walkway": ("rgba(238, 238, 234, 0.60)", "#c4c4bc"),
+    "lobby": ("rgba(232, 224, 206, 0.55)", "#b3a071"),
+    "foodservice": ("rgba(233, 217, 193, 0.55)", "#bfa26e"),
+    "kitchen": ("rgba(233, 217, 193, 0.55)", "#bfa26e"),
+    "lounge": ("rgba(214, 235, 224, 0.55)", "#74ab8e"),
+    "seating": ("rgba(214, 235, 224, 0.55)", "#74ab8e"),
+    "nonpublic": ("rgba(206, 208, 211, 0.60)", "#8f9499"),
+    "storage": ("rgba(206, 208, 211, 0.60)", "#8f9499"),
+    "wall": ("rgba(125, 135, 150, 0.50)", "#5d6878"),
     "unspecified": ("rgba(0, 120, 212, 0.3)", "#0078d4"),
-}
+}
 SECTION_STYLE = ("rgba(255, 140, 0, 0)", "#ff8c00")
 
 
