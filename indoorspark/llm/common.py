@@ -88,7 +88,7 @@ def lookup(df: DataFrame, small: DataFrame, key: str, bound: int = 20_000) -> Da
     if small.count() <= bound:
         return df.join(F.broadcast(right), df[key].eqNullSafe(right["_key"])).drop("_key")
     n = 8
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in df.dtypes if t in ("bigint", "string", "int")]), F.lit(n)))
+    left = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(n)))
     right = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return left.join(right, left[key].eqNullSafe(right["_key"]) & (left["_salt"] == right["_s"])).drop("_key", "_s", "_salt")
 
