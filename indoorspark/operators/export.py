@@ -29,10 +29,10 @@ def _decor(df: DataFrame, scale: DataFrame, tag, i: Column, label: str, category
     return G._feature(df, decor_id(F.col("building_id"), F.col("level_id"), tag, i), "unit", F.lit(label), level_id=F.col("level_id"), seq=F.col("seq"), category=F.lit(category), rings=F.col("rings"), point=middle)
 
 
-def doorway_units(openings: DataFrame, rooms: DataFrame, buildings: DataFrame, scale: DataFrame) -> DataFrame:
+def doorway_units(openings: DataFrame, shapes: DataFrame, buildings: DataFrame, scale: DataFrame) -> DataFrame:
     """Floor in the doorways of raised walls: buildings with effect3d, levels that have rooms."""
     boxes = G.doorway_boxes(openings.where("level_id is not null"), scale)
-    boxes = boxes.join(buildings.where("effect3d").select("building_id"), "building_id", "left_semi").join(rooms.select("level_id"), "level_id", "left_semi")
+    boxes = boxes.join(buildings.where("effect3d").select("building_id"), "building_id", "left_semi").join(shapes.where("kind = 'unit'").select("level_id"), "level_id", "left_semi")
     i = F.row_number().over(Window.partitionBy("level_id").orderBy("seq", "shape_id")) - 1
     boxes = boxes.withColumns({"i": i, "ring": four(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")), "piece": F.lit(0)})
     return _decor(boxes, scale, "doorway", F.col("i"), "Doorway", "walkway")
@@ -58,7 +58,7 @@ def unit_tiers(buildings: DataFrame, shapes: DataFrame, scale: DataFrame, walls:
     fixtures = shapes.where("kind = 'fixture'").withColumn("rings", F.when(F.col("line").isNull(), F.col("rings")))
     openings = shapes.where("kind = 'opening'")
     units = {
-        "doorway": doorway_units(openings, rooms, buildings, scale),
+        "doorway": doorway_units(openings, shapes, buildings, scale),
         "room": G.drawn_features(rooms, scale, "unit"),
         "twin": G.twin_units(shapes.where("kind = 'section'"), scale),
         "furniture": G.fixture_features(expand_holes(fixtures), scale, desks=False),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from indoorspark.functions.scalars import js_round
+from indoorspark.sources.scratch import spread
 
 # What counts as transparent, as ink, as a mark of any kind.
 ALPHA, INK, MARK = 40, 180, 245
@@ -92,7 +93,7 @@ def components(mask: DataFrame, eight: bool = False) -> DataFrame:
         return g.assign(label=line[root] * 65536 + start[root])[["plan_id", "line", "start", "end", "label"]]
 
     rows = runs(mask, "x").select("plan_id", "line", "start", "end")
-    labelled = rows.groupBy("plan_id").applyInPandas(run, "plan_id long, line int, start int, end int, label long")
+    labelled = spread(rows, "plan_id").groupBy("plan_id").applyInPandas(run, "plan_id long, line int, start int, end int, label long")
     return labelled.select("plan_id", F.explode(F.sequence("start", "end")).alias("x"), F.col("line").alias("y"), "label")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from indoorspark.functions import rings as R
 from indoorspark.functions.scalars import text_or
-from indoorspark.sources.scratch import kept
+from indoorspark.sources.scratch import kept, spread
 
 
 def centre(side: str = "") -> tuple[Column, Column]:
@@ -53,7 +53,7 @@ def match_rooms(detected: DataFrame, rooms: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["level_id", "d_seq", "e_id"])
 
     plain = pairs.join(contested, "level_id", "left_anti").select("level_id", F.col("d_seq").cast("int").alias("d_seq"), "e_id")
-    return plain.unionByName(pairs.join(contested, "level_id", "left_semi").groupBy("level_id").applyInPandas(greedy, "level_id string, d_seq int, e_id string"))
+    return plain.unionByName(spread(pairs.join(contested, "level_id", "left_semi"), "level_id").groupBy("level_id").applyInPandas(greedy, "level_id string, d_seq int, e_id string"))
 
 
 def uncovered(detected: DataFrame, existing: DataFrame, by: str = "level_id") -> DataFrame:
@@ -82,7 +82,7 @@ def first_come(detected: DataFrame, by: str = "level_id") -> DataFrame:
     clash = a.join(b, (F.col(f"a_{by}") == F.col(f"b_{by}")) & (F.col("a_seq") < F.col("b_seq")) & covers("a_", *centre("b_")))
     pairs = clash.select(F.col(f"a_{by}").alias(by), "a_seq", "b_seq")
 
-    return detected.join(pairs.groupBy(by).applyInPandas(_lost(by), f"{by} string, seq int"), [by, "seq"], "left_anti")
+    return detected.join(spread(pairs, by).groupBy(by).applyInPandas(_lost(by), f"{by} string, seq int"), [by, "seq"], "left_anti")
 
 
 def bucketed(df: DataFrame, x: Column, y: Column, cell, around: bool = False) -> DataFrame:
@@ -94,20 +94,20 @@ def bucketed(df: DataFrame, x: Column, y: Column, cell, around: bool = False) ->
     return df.withColumn("_cx", near(cx)).withColumn("_cy", near(cy))
 
 
-def _near_doors(doors: DataFrame, others: DataFrame, cell: int) -> tuple[DataFrame, DataFrame, Column]:
-    """doors and others with the middle, met by building and grid cell, and the test that the other's middle is within half a door's length.
+def _near_doors(doors: DataFrame, others: DataFrame, cell: int, by: str = "building_id") -> tuple[DataFrame, DataFrame, Column]:
+    """doors and others with the middle, met by `by` and grid cell, and the test that the other's middle is within half a door's length.
 
-    The cells of a building are as wide as the reach of its longest door, `cell` at least, so that nine of them are enough.
+    The cells of a building (or `by`) are as wide as the reach of its longest door, `cell` at least, so that nine of them are enough.
     """
     mid = lambda df: df.withColumns({"mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2})
     reach = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2) / 2
     fresh = mid(doors).withColumn("reach", reach)
-    cells = fresh.groupBy("building_id").agg(F.greatest(F.lit(float(cell)), F.max("reach")).alias("_cell"))
-    fresh = bucketed(fresh.join(cells, "building_id"), F.col("mx"), F.col("my"), F.col("_cell"))
-    old = bucketed(mid(others).join(cells, "building_id"), F.col("mx"), F.col("my"), F.col("_cell"), around=True)
-    old = old.select(F.col("building_id").alias("o_b"), F.col("mx").alias("o_x"), F.col("my").alias("o_y"), F.col("_cx").alias("o_cx"), F.col("_cy").alias("o_cy"), *([F.col("seq").alias("o_seq")] if "seq" in others.columns else []))
+    cells = fresh.groupBy(by).agg(F.greatest(F.lit(float(cell)), F.max("reach")).alias("_cell"))
+    fresh = bucketed(fresh.join(cells, by), F.col("mx"), F.col("my"), F.col("_cell"))
+    old = bucketed(mid(others).join(cells, by), F.col("mx"), F.col("my"), F.col("_cell"), around=True)
+    old = old.select(F.col(by).alias("o_b"), F.col("mx").alias("o_x"), F.col("my").alias("o_y"), F.col("_cx").alias("o_cx"), F.col("_cy").alias("o_cy"), *([F.col("seq").alias("o_seq")] if "seq" in others.columns else []))
     near = F.sqrt((F.col("mx") - F.col("o_x")) ** 2 + (F.col("my") - F.col("o_y")) ** 2) < F.col("reach")
-    return fresh, old, (F.col("building_id") == F.col("o_b")) & (F.col("_cx") == F.col("o_cx")) & (F.col("_cy") == F.col("o_cy")) & near
+    return fresh, old, (F.col(by) == F.col("o_b")) & (F.col("_cx") == F.col("o_cx")) & (F.col("_cy") == F.col("o_cy")) & near
 
 
 def new_doors(doors: DataFrame, openings: DataFrame, cell: int = 200) -> DataFrame:
@@ -117,15 +117,20 @@ def new_doors(doors: DataFrame, openings: DataFrame, cell: int = 200) -> DataFra
 
 
 def accepted_doors(doors: DataFrame, openings: DataFrame, cell: int = 200) -> DataFrame:
-    """new_doors that, in the order of seq (unique in a building), are not as near to an earlier one that was accepted either.
+    """new_doors that, in the order of seq (unique in a building), are not as near to an earlier one that was accepted either."""
+    return first_doors(kept(new_doors(doors, openings, cell), "new-doors"), cell=cell)
 
-    Only pairs of near doors go to the ordered helper, by building.
+
+def first_doors(doors: DataFrame, by: str = "building_id", cell: int = 200) -> DataFrame:
+    """doors(by, seq, x1, y1, x2, y2) in the order of seq (unique in `by`), without those near an earlier one that stays.
+
+    Only pairs of near doors go to the ordered helper. Doors whose `by` is null all stay.
     """
-    kept_ = kept(new_doors(doors, openings, cell), "new-doors")
-    fresh, old, near = _near_doors(kept_, kept_, cell)
-    pairs = fresh.join(old, near & (F.col("o_seq") < F.col("seq"))).select("building_id", F.col("o_seq").alias("a_seq"), F.col("seq").alias("b_seq"))
-    gone = pairs.groupBy("building_id").applyInPandas(_lost("building_id"), f"building_id string, seq {dict(doors.dtypes)['seq']}")
-    return kept_.join(gone, ["building_id", "seq"], "left_anti").select(*doors.columns)
+    fresh, old, near = _near_doors(doors, doors, cell, by)
+    pairs = fresh.join(old, near & (F.col("o_seq") < F.col("seq"))).select(by, F.col("o_seq").alias("a_seq"), F.col("seq").alias("b_seq"))
+    types = dict(doors.dtypes)
+    gone = spread(pairs, by).groupBy(by).applyInPandas(_lost(by), f"{by} {types[by]}, seq {types['seq']}")
+    return doors.join(gone, [by, "seq"], "left_anti").select(*doors.columns)
 
 
 def hit_stack(points: DataFrame, shapes: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 
 from indoorspark.functions import kernels as K
 from indoorspark.functions import rings as R
+from indoorspark.operators.reconcile import first_doors
 from indoorspark.operators.walls import level_floors
+from indoorspark.sources.scratch import spread
 
 # Fixed value: height of walls, in metres.
 WALL = 0.35
@@ -57,7 +59,7 @@ def expand_holes(shapes: DataFrame) -> DataFrame:
 
     many = F.coalesce(F.size("rings"), F.lit(0)) > 1
     plain = shapes.where(~many).withColumn("piece", F.lit(0))
-    holed = shapes.where(many).repartition(F.col("shape_id"))
+    holed = spread(shapes.where(many), "shape_id")
     cut = holed.select(*[c for c in shapes.columns if c != "rings"], F.posexplode(split_holes(F.col("rings"))).alias("piece", "_r"))
     cut = cut.withColumn("shape_id", piece_id(F.col("shape_id"), F.col("piece"))).withColumn("rings", F.array(R.closed(F.col("_r")))).drop("_r")
     return plain.unionByName(cut.select(*plain.columns))
@@ -101,7 +103,7 @@ def raised_walls(shapes: DataFrame, buildings: DataFrame, scale: DataFrame, door
                     out += [(r.building_id, r.level_id, part, i, _structs([*ring, ring[0]])) for i, ring in enumerate(rings)]
             yield pd.DataFrame(out, columns=["building_id", "level_id", "part", "i", "ring"])
 
-    return rows.repartition(F.col("level_id")).mapInPandas(run, f"building_id string, level_id string, part string, i int, ring {R.RING}")
+    return spread(rows, "level_id").mapInPandas(run, f"building_id string, level_id string, part string, i int, ring {R.RING}")
 
 
 def by_plan(mask: DataFrame, plans: DataFrame, helper, schema: str, *names: str) -> DataFrame:
@@ -114,7 +116,7 @@ def by_plan(mask: DataFrame, plans: DataFrame, helper, schema: str, *names: str)
         m[group["y"], group["x"]] = True
         return pd.DataFrame(helper(int(first["plan_id"]), m, group, first), columns=[x.split()[0] for x in schema.split(", ")])
 
-    return rows.groupBy("plan_id").applyInPandas(run, schema)
+    return spread(rows, "plan_id").groupBy("plan_id").applyInPandas(run, schema)
 
 
 def plan_loops(mask: DataFrame, plans: DataFrame, tol) -> DataFrame:
@@ -232,18 +234,9 @@ def merge_small_spaces(sizes: DataFrame, contacts: DataFrame, plans: DataFrame)
         into = K.merged(size, near, float(group["least"].iloc[0]))
         return pd.DataFrame({"plan_id": group["plan_id"].iloc[0], "region": list(into), "into": list(into.values())})
 
-    return rows.groupBy("plan_id").applyInPandas(run, "plan_id long, region long, into long")
+    return spread(rows, "plan_id").groupBy("plan_id").applyInPandas(run, "plan_id long, region long, into long")
 
 
 def dedupe_doors(doors: DataFrame, by: str = "plan_id") -> DataFrame:
     """doors(by, seq, x1, y1, x2, y2) in order, without those whose middle is within half their length of an earlier one that stays."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        for r in group.sort_values("seq").itertuples():
-            x, y, reach = (r.x1 + r.x2) / 2, (r.y1 + r.y2) / 2, np.hypot(r.x2 - r.x1, r.y2 - r.y1) / 2
-            if all(np.hypot(x - a, y - b) >= reach for a, b, _ in kept):
-                kept.append((x, y, r.seq))
-        return group[group["seq"].isin([k[2] for k in kept])]
-
-    return doors.groupBy(by).applyInPandas(run, doors.schema)
+    return first_doors(doors, by)

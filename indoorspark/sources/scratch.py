@@ -18,6 +18,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt out by columns for helpers in Python: by a stated number of tasks, as Spark would merge those of few bytes, however
+    long each of their rows takes. Groups by these columns need no further shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
     """df written as a table and read again: what several steps use is worked out once, and survives lost executors."""
     path = scratch(df.sparkSession, label)

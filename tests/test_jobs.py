@@ -88,6 +88,20 @@ def test_accepted_doors_equal_the_ordered_rule(spark):
     assert C.accepted_doors(doors.limit(0), openings).count() == 0 and C.accepted_doors(doors, openings.limit(0)).count() > 0
 
 
+def test_first_doors_of_chains_equal_the_ordered_rule(spark):
+    rnd = np.random.RandomState(5)
+    rows = [(i % 3, i, float(x := rnd.randint(0, 400)), 0.0, float(x + rnd.choice([0, 40, 90, 900])), 0.0) for i in range(90)] + [(None, 1, 0.0, 0.0, 40.0, 0.0), (None, 2, 0.0, 0.0, 40.0, 0.0)]
+    doors = spark.createDataFrame(rows, "plan_id long, seq int, x1 double, y1 double, x2 double, y2 double")
+    stay, want = [], set()
+    for plan, seq, x1, _, x2, _ in rows:
+        if plan is None or all(p != plan or abs((x1 + x2) / 2 - m) >= (x2 - x1) / 2 for p, m in stay):
+            stay.append((plan, (x1 + x2) / 2))
+            want.add((plan, seq))
+    got = J.dedupe_doors(doors)
+    assert got.columns == doors.columns and {(r["plan_id"], r["seq"]) for r in got.collect()} == want and len(want) < 60
+    assert J.dedupe_doors(doors.limit(0)).count() == 0
+
+
 def test_walkways_and_rooms_of_two_plans(spark):
     ring = [(x, y) for x in range(12) for y in range(10) if not (3 <= x <= 8 and 3 <= y <= 6)]
     rows = [(1, x, y, 7) for x, y in ring] + [(2, x, y, 9) for x in range(1, 6) for y in range(1, 5)]
