@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from indoorspark.llm import bpe, fingerprint, jaccard_join, language, licenses, media, mixing, sharding, substring, url_filter
+from indoorspark.llm import bpe, clusters, divergence, fingerprint, jaccard_join, language, licenses, media, mixing, near_vectors, sharding, substring, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_substring_dedup": substring.op10_substring_dedup,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_near_vectors": near_vectors.op12_near_vectors,
+    "op13_clusters": clusters.op13_clusters,
 }
-SQL = {"op4_mixing": mixing.SQL, "op10_substring_dedup": substring.SQL}
+SQL = {"op4_mixing": mixing.SQL, "op10_substring_dedup": substring.SQL, "op11_divergence": divergence.SQL, "op12_near_vectors": near_vectors.SQL, "op13_clusters": clusters.SQL}
