@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from indoorspark.llm.common import table
+from indoorspark.llm.common import lookup, stored, table
 from indoorspark.llm.words import text_groups
 
 #: Hashed n-gram buckets and the orders of the n-grams.
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
-#: Bound of the fitted sample: rows a language, rows in all, n-grams in all; and of the languages learned.
-PER_LANG, IN_ALL, GRAMS_IN_ALL, LANGS = 1_000, 20_000, 20_000_000, 200
+#: Bound of the fitted sample: rows a language, rows in all (two a language at least), n-grams in all.
+PER_LANG, IN_ALL, GRAMS_IN_ALL = 1_000, 20_000, 20_000_000
 
 
 def has_letter(text: str) -> bool:
@@ -120,24 +120,24 @@ def calibration_error(p: np.ndarray, hit: np.ndarray, bins: int = 10) -> float:
     return float(sum(abs(p[at == k].mean() - hit[at == k].mean()) * (at == k).mean() for k in np.unique(at)))
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, in_all: int = IN_ALL, epochs: int = 4, most: int = LANGS, grams_in_all: int = GRAMS_IN_ALL) -> dict:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, in_all: int = IN_ALL, epochs: int = 4, grams_in_all: int = GRAMS_IN_ALL) -> dict:
     """Languages, idf, weights, temperature, and of held-out rows accuracy, calibration_error and least (probability of a row told rightly), from docs(doc_id, text, lang).
 
-    idf counts all rows. The `most` most frequent languages are learned. Weights come from at most `per_lang` rows a
+    idf counts all rows, and every language is learned: the more there are, the fewer rows each has in the sample. Weights come from at most `per_lang` rows a
     language, `in_all` rows and about `grams_in_all` n-grams in all, chosen by hash of id and text and trained on in one
     task, so that the driver gets the weights alone. A fifth of those rows is held out for temperature and `least`.
     Null langs are left out; rows of null or equal ids are drawn by their texts.
     """
     docs = docs.where("lang is not null")
-    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
-    langs = sorted(counts)
+    counts = stored(docs.groupBy("lang").count(), "language-counts")
+    langs = sorted(r[0] for r in counts.select("lang").collect())  # the model has a column a language
     if not langs:
         return {"langs": []}
     idf = document_frequencies(docs)
     n = max(2, min(per_lang, in_all // len(langs)))
     draw = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1 << 30))
-    edge = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1 << 30, int(1.2 * n / counts[k] * (1 << 30)) + 1))])
-    picked = docs.select("doc_id", "lang", "text", draw.alias("draw")).where(F.col("draw") < edge[F.col("lang")])
+    edges = counts.select("lang", F.least(F.lit(1 << 30), F.floor(1.2 * n * (1 << 30) / F.col("count")) + 1).alias("edge"))
+    picked = lookup(docs.select("doc_id", "lang", "text", draw.alias("draw")), edges, "lang").where("draw < edge").drop("edge")
     # what is left holds about 1.2 n rows a language, so this window is small
     picked = picked.selectExpr("*", "row_number() over (partition by lang order by draw, doc_id, md5(text)) as place").where(F.col("place") <= n)
 
@@ -177,7 +177,7 @@ def predictor(model: dict):
 def add_language(docs: DataFrame, model: dict, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with a predicted language and its calibrated probability; only the text is read.
 
-    The model, BUCKETS numbers for each of at most LANGS languages, is broadcast. Columns of the same two names are
+    The model, BUCKETS numbers a language, is broadcast. Columns of the same two names are
     replaced. Null text or text without letters: und, 0. Texts of any length are read whole; of languages with the same
     score the first by name is taken.
     """

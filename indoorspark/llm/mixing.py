@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indoorspark.llm.common import lookup, ranked, stored, table
 
 WEIGHTS = (5, 2, 1)
+#: Turns of a source's draws that are tried.
+TURNS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,32 +45,54 @@ def source_plan(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = 3) -> Dat
     return by.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
-def copies(rate, seed: int = 0):
-    """floor(rate), plus one if the document's draw is below the fraction; the draw depends on doc_id and seed alone."""
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(16**13)
-    whole = F.floor(rate)
-    return (whole + F.when(draw < rate - whole, 1).otherwise(0)).cast("long")
+def draw(seed: int = 0) -> Column:
+    """A number from 0 to below 1 by seed, doc_id and text alone."""
+    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(16**13)
+
+
+def picked(turn: Column) -> Column:
+    """Whether a row gets the copy of the fraction: its draw, turned on by `turn` of TURNS, is below the fraction."""
+    at = F.col("draw") + turn / float(TURNS)
+    return F.when(at >= 1, at - 1).otherwise(at) < F.col("rate") - F.floor("rate")
+
+
+def dealt(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows(source, size, draw, ...) with source_size, target and n, the copies of each: floor(rate), and one more by its draw.
+
+    All draws of a source are turned by one of TURNS steps, the one whose words come nearest to the target (the least of several): each
+    turn is a draw of the same probability, and a sum for each turn and source, added up in tasks, is all that choosing takes.
+    """
+    met = lookup(rows.select("source", "size", "draw"), plan, "source")
+    words = [F.sum(F.when(picked(F.lit(t)), F.col("size")).otherwise(0)).alias(f"w{t}") for t in range(TURNS)]
+    sums = met.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("rate").alias("rate"), *words)
+    wanted = (F.col("rate") - F.floor("rate")) * F.col("source_size")
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{t}") - wanted), F.lit(t).alias("t")) for t in range(TURNS)]))["t"]
+    turns = stored(sums.select("source", "source_size", "target", "rate", best.alias("turn")), "mix-turns")
+    out = lookup(rows, turns, "source")
+    return out.withColumn("n", (F.floor("rate") + F.when(picked(F.col("turn")), 1).otherwise(0)).cast("long")).drop("rate", "turn")
+
+
+SIZE = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def mix_rows(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of documents.
 
-    Null or empty text: size 0, nothing taken. Null source: a source of its own, last. Repeated rows
+    Null or empty text: size 0, nothing taken. Null source: a source of its own, last. Rows that share id (or have none) and text
     each count and share a draw. Texts of any length count all their words. Sources of equal size by weight are taken
     in their order. Other columns are ignored; an empty table gives no rows.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = stored(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
-    met = lookup(rows, source_plan(rows), "source")
-    return met.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * copies(F.col("rate"), seed)).alias("taken"))
+    rows = stored(docs.select("doc_id", "source", SIZE.alias("size"), draw(seed).alias("draw")), "mix-sizes")
+    met = dealt(rows, source_plan(rows))
+    return met.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("n")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The documents themselves, each as often as its source's rate asks; all columns kept, whatever their names."""
-    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("row"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    plan = source_plan(stored(docs.groupBy("source").agg(F.sum(size).alias("size")), "mix-sizes"))
-    met = lookup(rows, plan.select("source", "rate"), "source").withColumn("n", copies(F.col("rate"), seed)).where("n > 0")
+    rows = docs.select("source", SIZE.alias("size"), draw(seed).alias("draw"), F.struct(*docs.columns).alias("row"))
+    plan = source_plan(stored(docs.groupBy("source").agg(F.sum(SIZE).alias("size")), "mix-sizes"))
+    met = dealt(rows, plan).where("n > 0")
     return met.select("row", F.explode(F.expr("sequence(1L, n)")).alias("copy")).select("row.*")
 
 
@@ -78,7 +102,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH s AS (
-  SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+  SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         CAST(('0x' || substr(md5('0:' || COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || md5(COALESCE(text, ''))), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS draw FROM documents),
 b AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM s GROUP BY source),
 w AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
@@ -94,9 +119,12 @@ t AS (
   SELECT source, source_size,
          CASE WHEN k < first_open THEN CAST(3 * source_size AS DOUBLE) ELSE (SELECT level FROM l WHERE k = first_open) * weight END AS target
   FROM l, m),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t)
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t),
+d AS (
+  SELECT r.source, i, abs(SUM(CASE WHEN draw + i / CAST(64 AS DOUBLE) - CASE WHEN draw + i / CAST(64 AS DOUBLE) >= 1 THEN 1 ELSE 0 END < rate - FLOOR(rate) THEN size ELSE 0 END) - MAX(rate - FLOOR(rate)) * MAX(source_size)) AS off
+  FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source, range(0, 64) n(i) GROUP BY 1, 2),
+u AS (SELECT source, arg_min(i, (off, i)) AS i FROM d GROUP BY 1)
 SELECT doc_id, size, source_size, ROUND(target, 6) AS target,
-       CAST(size * (FLOOR(rate) + CASE WHEN CAST(('0x' || substr(md5('0:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)
-            / CAST(4503599627370496 AS DOUBLE) < rate - FLOOR(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source
+       CAST(size * (FLOOR(rate) + CASE WHEN draw + i / CAST(64 AS DOUBLE) - CASE WHEN draw + i / CAST(64 AS DOUBLE) >= 1 THEN 1 ELSE 0 END < rate - FLOOR(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source JOIN u ON s.source IS NOT DISTINCT FROM u.source
 """
