@@ -64,8 +64,8 @@ def dealt(rows: DataFrame, plan: DataFrame) -> DataFrame:
     turn is a draw of the same probability, and a sum for each turn and source, added up in tasks, is all that choosing takes.
     """
     met = lookup(rows.select("source", "size", "draw"), plan, "source")
-    words = [F.sum(F.when(picked(F.lit(t)), F.col("size")).otherwise(0)).alias(f"w{t}") for t in range(TURNS)]
-    sums = met.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("rate").alias("rate"), *words)
+    tried = [F.sum(F.when(picked(F.lit(t)), F.col("size")).otherwise(0)).alias(f"w{t}") for t in range(TURNS)]
+    sums = met.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("rate").alias("rate"), *tried)
     wanted = (F.col("rate") - F.floor("rate")) * F.col("source_size")
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{t}") - wanted), F.lit(t).alias("t")) for t in range(TURNS)]))["t"]
     turns = stored(sums.select("source", "source_size", "target", "rate", best.alias("turn")), "mix-turns")
@@ -73,7 +73,8 @@ def dealt(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return out.withColumn("n", (F.floor("rate") + F.when(picked(F.col("turn")), 1).otherwise(0)).cast("long")).drop("rate", "turn")
 
 
-SIZE = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+def words() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def mix_rows(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -83,15 +84,15 @@ def mix_rows(docs: DataFrame, seed: int = 0) -> DataFrame:
     each count and share a draw. Texts of any length count all their words. Sources of equal size by weight are taken
     in their order. Other columns are ignored; an empty table gives no rows.
     """
-    rows = stored(docs.select("doc_id", "source", SIZE.alias("size"), draw(seed).alias("draw")), "mix-sizes")
+    rows = stored(docs.select("doc_id", "source", words().alias("size"), draw(seed).alias("draw")), "mix-sizes")
     met = dealt(rows, source_plan(rows))
     return met.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("n")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The documents themselves, each as often as its source's rate asks; all columns kept, whatever their names."""
-    rows = docs.select("source", SIZE.alias("size"), draw(seed).alias("draw"), F.struct(*docs.columns).alias("row"))
-    plan = source_plan(stored(docs.groupBy("source").agg(F.sum(SIZE).alias("size")), "mix-sizes"))
+    rows = docs.select("source", words().alias("size"), draw(seed).alias("draw"), F.struct(*docs.columns).alias("row"))
+    plan = source_plan(stored(docs.groupBy("source").agg(F.sum(words()).alias("size")), "mix-sizes"))
     met = dealt(rows, plan).where("n > 0")
     return met.select("row", F.explode(F.expr("sequence(1L, n)")).alias("copy")).select("row.*")
 

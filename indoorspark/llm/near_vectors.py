@@ -166,8 +166,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, chunk: int = CHUNK)
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     known = classes.select("cid", "rep", "copies").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")).join(links, "cid", "left")
     known = stored(known, "near-known")
-    whole = known.groupBy("root").agg(F.min("rep").alias("component_id"))
-    facts = stored(known.join(whole, "root").select("cid", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "near-facts")
+    whole = stored(known.groupBy("root").agg(F.min("rep").alias("component_id")), "near-whole")
+    facts = stored(lookup(known, whole, "root").select("cid", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "near-facts")
     linked = lookup(rows.where("cid is not null").select("vec_id", "cid"), facts, "cid").select("vec_id", "n_links", "component_id")
     alone = rows.where("cid is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
