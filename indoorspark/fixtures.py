@@ -83,6 +83,13 @@ FROM fx_shape WHERE kind = 'opening' OR (kind = 'fixture' AND w % 3 = 0)""",
 SELECT level_id, building_id, seq, CAST(x0 + ((h - 80) % 3 - 1) * 60 AS INT) AS x0, y0, w, h
 FROM fx_shape
 WHERE kind = 'unit' AND level_id IS NOT NULL AND (h - 80) % 4 <> 0""",
+    "fx_trace": r"""
+SELECT building_id, level_id, 'room' AS kind, seq, CAST(x0 + ((h - 80) % 3 - 1) * 60 + CASE WHEN w % 5 = 0 THEN 110 ELSE 0 END AS INT) AS x0, y0, w, h
+FROM fx_shape WHERE kind = 'unit' AND level_id IS NOT NULL AND (h - 80) % 4 <> 0
+UNION ALL SELECT building_id, level_id, 'walkway', seq, 0, 900, 800, 60 FROM fx_shape WHERE kind = 'unit' AND level_id IS NOT NULL AND seq <= 2 AND h % 3 = 0
+UNION ALL SELECT building_id, level_id, CASE WHEN h % 2 = 0 THEN 'partition' ELSE 'furniture' END, seq, CAST(x0 + w % 4 * 50 AS INT), y0, 40, 30 FROM fx_shape WHERE kind IN ('fixture', 'section') AND level_id IS NOT NULL
+UNION ALL SELECT building_id, level_id, 'door', seq, CAST(x0 + w % 3 * 9 AS INT), y0, CASE WHEN w % 2 = 0 THEN 30 ELSE 0 END, CASE WHEN w % 2 = 0 THEN 0 ELSE 30 END
+FROM fx_shape WHERE level_id IS NOT NULL AND (kind = 'opening' OR (kind = 'fixture' AND w % 3 = 0))""",
     "fx_saves": r"""
 SELECT event_id, user_id AS project_id, event_type AS project_name, ts AS updated_at, value, props FROM {events}""",
     "fx_paste": r"""
@@ -108,7 +115,7 @@ FROM (SELECT vec_id, i, CAST(GREATEST(0, LEAST(255, FLOOR(200 + CAST(v AS DOUBLE
 PIXELS_DUCKDB = _PIXEL + r"""
 FROM (SELECT vec_id, i, CAST(GREATEST(0, LEAST(255, FLOOR(200 + CAST(embedding[CAST(i AS INT) + 1] AS DOUBLE) * 800))) AS INT) AS g
       FROM {embeddings}, range(64) t(i))"""
-NEEDS = {"fx_vertex": ["fx_shape"], "fx_line": ["fx_shape"], "fx_detect": ["fx_shape"], "fx_paste": ["fx_shape"]}
+NEEDS = {"fx_vertex": ["fx_shape"], "fx_line": ["fx_shape"], "fx_detect": ["fx_shape"], "fx_paste": ["fx_shape"], "fx_trace": ["fx_shape"]}
 
 
 def _ctes(names: tuple[str, ...], pixels: str, tables: dict[str, str]) -> list[str]:

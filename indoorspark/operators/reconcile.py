@@ -22,15 +22,39 @@ def covers(side: str, x: Column, y: Column) -> Column:
     return (x >= c("x0")) & (x <= c("x0") + c("w")) & (y >= c("y0")) & (y <= c("y0") + c("h"))
 
 
-def _prefixed(df: DataFrame, prefix: str, *names: str) -> DataFrame:
-    return df.select(*[F.col(n).alias(prefix + n) for n in names])
+def cell_sizes(boxes: DataFrame, by: str) -> DataFrame:
+    """(by, cell) of boxes(by, x0, y0, w, h): the side of a grid cell, by each group's mean box and its number of boxes.
+
+    As wide as the mean box, a box covers four cells or so; as wide as the extent over the root of the count, no box covers more cells
+    than there are boxes. A group with many shapes thus falls into many cells, and its join into many tasks.
+    """
+    spread_ = lambda a, b: (F.max(F.col(a) + F.col(b)) - F.min(a)) / F.sqrt(F.count(F.lit(1)))
+    return boxes.groupBy(by).agg(F.greatest(F.avg("w"), F.avg("h"), spread_("x0", "w"), spread_("y0", "h"), F.lit(1.0)).alias("_cell"))
+
+
+def on_grid(boxes: DataFrame, sizes: DataFrame, by: str, prefix: str) -> DataFrame:
+    """A row for each grid cell that a box touches, columns prefixed."""
+    to = lambda lo, side: F.explode(F.sequence(F.floor(F.col(lo) / F.col("_cell")), F.floor((F.col(lo) + F.col(side)) / F.col("_cell"))))
+    celled = boxes.join(sizes, by).withColumn("_cx", to("x0", "w")).withColumn("_cy", to("y0", "h")).drop("_cell")
+    return celled.select(*[F.col(c).alias(prefix + c) for c in celled.columns])
+
+
+def in_boxes(points: DataFrame, x: Column, y: Column, boxes: DataFrame, by: str, how: str = "inner", also: Column | None = None, prefix: str = "e_") -> DataFrame:
+    """Join of points with the boxes (columns prefixed) of the same `by` that hold (x, y), edges included, by grid cell: a point is in
+    one cell, so each pair is met once. Points of groups without boxes match nothing."""
+    sizes = cell_sizes(boxes, by)
+    right = on_grid(boxes, sizes, by, prefix)
+    at = points.join(sizes, by, "left").withColumns({"_cx": F.floor(x / F.col("_cell")), "_cy": F.floor(y / F.col("_cell"))})
+    c = lambda n: F.col(prefix + n)
+    on = (F.col(by) == c(by)) & (F.col("_cx") == c("_cx")) & (F.col("_cy") == c("_cy")) & covers(prefix, x, y)
+    return at.join(right, on if also is None else on & also, how).drop("_cell", "_cx", "_cy", f"{prefix}_cx", f"{prefix}_cy")
 
 
 def room_candidates(detected: DataFrame, rooms: DataFrame) -> DataFrame:
     """Pairs (level_id, d_seq, e_id, e_seq) of one level in which each box holds the other's centre."""
-    d, e = _prefixed(detected, "d_", "level_id", "seq", "x0", "y0", "w", "h"), _prefixed(rooms, "e_", "level_id", "shape_id", "seq", "x0", "y0", "w", "h")
-    on = (F.col("d_level_id") == F.col("e_level_id")) & covers("e_", *centre("d_")) & covers("d_", *centre("e_"))
-    return d.join(e, on).select(F.col("d_level_id").alias("level_id"), "d_seq", F.col("e_shape_id").alias("e_id"), "e_seq")
+    d = detected.select("level_id", "seq", "x0", "y0", "w", "h")
+    met = in_boxes(d, *centre(), rooms.select("level_id", "shape_id", "seq", "x0", "y0", "w", "h"), "level_id", also=covers("", *centre("e_")))
+    return met.select("level_id", F.col("seq").alias("d_seq"), F.col("e_shape_id").alias("e_id"), "e_seq")
 
 
 def match_rooms(detected: DataFrame, rooms: DataFrame) -> DataFrame:
@@ -56,10 +80,9 @@ def match_rooms(detected: DataFrame, rooms: DataFrame) -> DataFrame:
     return plain.unionByName(spread(pairs.join(contested, "level_id", "left_semi"), "level_id").groupBy("level_id").applyInPandas(greedy, "level_id string, d_seq int, e_id string"))
 
 
-def uncovered(detected: DataFrame, existing: DataFrame, by: str = "level_id") -> DataFrame:
-    """Detected boxes whose centre no existing box of the same `by` holds."""
-    e = _prefixed(existing, "e_", by, "x0", "y0", "w", "h")
-    return detected.join(e, (F.col(by) == F.col(f"e_{by}")) & covers("e_", *centre()), "left_anti")
+def uncovered(detected: DataFrame, existing: DataFrame, by: str = "level_id", also: Column | None = None, *more: str) -> DataFrame:
+    """Detected boxes whose centre no existing box of the same `by` holds (of those that `also`, over e_ columns of `more`, lets count)."""
+    return in_boxes(detected, *centre(), existing.select(by, "x0", "y0", "w", "h", *more), by, "left_anti", also).select(*detected.columns)
 
 
 def _lost(by: str):
@@ -78,11 +101,9 @@ def _lost(by: str):
 
 def first_come(detected: DataFrame, by: str = "level_id") -> DataFrame:
     """In the order of seq, boxes whose centre no earlier box that was taken holds; only levels with such a pair go to the helper."""
-    a, b = _prefixed(detected, "a_", by, "seq", "x0", "y0", "w", "h"), _prefixed(detected, "b_", by, "seq", "x0", "y0", "w", "h")
-    clash = a.join(b, (F.col(f"a_{by}") == F.col(f"b_{by}")) & (F.col("a_seq") < F.col("b_seq")) & covers("a_", *centre("b_")))
-    pairs = clash.select(F.col(f"a_{by}").alias(by), "a_seq", "b_seq")
-
-    return detected.join(spread(pairs, by).groupBy(by).applyInPandas(_lost(by), f"{by} string, seq int"), [by, "seq"], "left_anti")
+    met = in_boxes(detected.select(by, "seq", "x0", "y0", "w", "h"), *centre(), detected.select(by, "seq", "x0", "y0", "w", "h"), by, also=F.col("a_seq") < F.col("seq"), prefix="a_")
+    pairs = met.select(by, "a_seq", F.col("seq").alias("b_seq"))
+    return detected.join(spread(pairs, by).groupBy(by).applyInPandas(_lost(by), f"{by} string, seq {dict(detected.dtypes)['seq']}"), [by, "seq"], "left_anti")
 
 
 def bucketed(df: DataFrame, x: Column, y: Column, cell, around: bool = False) -> DataFrame:
@@ -97,17 +118,18 @@ def bucketed(df: DataFrame, x: Column, y: Column, cell, around: bool = False) ->
 def _near_doors(doors: DataFrame, others: DataFrame, cell: int, by: str = "building_id") -> tuple[DataFrame, DataFrame, Column]:
     """doors and others with the middle, met by `by` and grid cell, and the test that the other's middle is within half a door's length.
 
-    The cells of a building (or `by`) are as wide as the reach of its longest door, `cell` at least, so that nine of them are enough.
+    A door's cells are as wide as its reach, `cell` at least, in steps of two: one long line of a building leaves the cells of its other
+    doors as they are. The others are dealt out for each step that the building's doors have.
     """
     mid = lambda df: df.withColumns({"mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2})
     reach = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2) / 2
-    fresh = mid(doors).withColumn("reach", reach)
-    cells = fresh.groupBy(by).agg(F.greatest(F.lit(float(cell)), F.max("reach")).alias("_cell"))
-    fresh = bucketed(fresh.join(cells, by), F.col("mx"), F.col("my"), F.col("_cell"))
-    old = bucketed(mid(others).join(cells, by), F.col("mx"), F.col("my"), F.col("_cell"), around=True)
-    old = old.select(F.col(by).alias("o_b"), F.col("mx").alias("o_x"), F.col("my").alias("o_y"), F.col("_cx").alias("o_cx"), F.col("_cy").alias("o_cy"), *([F.col("seq").alias("o_seq")] if "seq" in others.columns else []))
+    fresh = mid(doors).withColumn("reach", reach).withColumn("_cell", cell * F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.greatest("reach", F.lit(1.0)) / cell)).cast("double"))))
+    steps = fresh.select(by, "_cell").distinct()
+    fresh = bucketed(fresh, F.col("mx"), F.col("my"), F.col("_cell"))
+    old = bucketed(mid(others).join(steps, by), F.col("mx"), F.col("my"), F.col("_cell"), around=True)
+    old = old.select(F.col(by).alias("o_b"), F.col("mx").alias("o_x"), F.col("my").alias("o_y"), *[F.col(c).alias(f"o{c}") for c in ("_cell", "_cx", "_cy")], *([F.col("seq").alias("o_seq")] if "seq" in others.columns else []))
     near = F.sqrt((F.col("mx") - F.col("o_x")) ** 2 + (F.col("my") - F.col("o_y")) ** 2) < F.col("reach")
-    return fresh, old, (F.col(by) == F.col("o_b")) & (F.col("_cx") == F.col("o_cx")) & (F.col("_cy") == F.col("o_cy")) & near
+    return fresh, old, (F.col(by) == F.col("o_b")) & (F.col("_cell") == F.col("o_cell")) & (F.col("_cx") == F.col("o_cx")) & (F.col("_cy") == F.col("o_cy")) & near
 
 
 def new_doors(doors: DataFrame, openings: DataFrame, cell: int = 200) -> DataFrame:
@@ -135,8 +157,7 @@ def first_doors(doors: DataFrame, by: str = "building_id", cell: int = 200) -> D
 
 def hit_stack(points: DataFrame, shapes: DataFrame) -> DataFrame:
     """(point_id, shape_id, depth): shapes of the point's level whose box holds it, topmost (greatest z) first."""
-    s = _prefixed(shapes, "s_", "level_id", "shape_id", "z", "x0", "y0", "w", "h")
-    met = points.join(s, (F.col("level_id") == F.col("s_level_id")) & covers("s_", F.col("x"), F.col("y")))
+    met = in_boxes(points, F.col("x"), F.col("y"), shapes.select("level_id", "shape_id", "z", "x0", "y0", "w", "h"), "level_id", prefix="s_")
     depth = F.row_number().over(Window.partitionBy("point_id").orderBy(F.desc("s_z"), "s_shape_id"))
     return met.select("point_id", F.col("s_shape_id").alias("shape_id"), depth.alias("depth"))
 
@@ -173,27 +194,6 @@ def cleanup(shapes: DataFrame, matched: DataFrame) -> DataFrame:
     return kept.join(gone.select("shape_id"), "shape_id", "left_anti")
 
 
-def reconcile(detected: DataFrame, shapes: DataFrame, rebuild: bool = True) -> DataFrame:
-    """Rooms after a new trace: (level_id, shape_id, d_seq, status). Status redrawn: an existing room with the detected
-    box; added: a new room; kept: an existing room as it was; removed: one that the rebuild clears."""
-    detected = kept(detected, "trace-detected")
-    columns = ["level_id", "shape_id", "seq", "kind", "category", "name", "place_id", "line", "x0", "y0", "w", "h"]
-    rooms = kept(shapes.where(is_room(F.col("kind"), F.col("category")) & F.col("level_id").isNotNull()).select(*columns), "trace-rooms")
-    none = F.lit(None).cast("int").alias("d_seq")
-    new = lambda rest, boxes: first_come(kept(uncovered(rest, boxes), "trace-new")).select("level_id", F.lit(None).cast("string").alias("shape_id"), F.col("seq").cast("int").alias("d_seq"), F.lit("added").alias("status"))
-    if not rebuild:
-        return new(detected, rooms).unionByName(rooms.select("level_id", "shape_id", none, F.lit("kept").alias("status")))
-    matched = kept(match_rooms(detected, rooms), "trace-matched")
-    redrawn = detected.withColumnRenamed("seq", "d_seq").join(matched, ["level_id", "d_seq"]).select("level_id", F.col("e_id").alias("shape_id"), "x0", "y0", "w", "h")
-    others = rooms.join(matched.select(F.col("e_id").alias("shape_id")), "shape_id", "left_anti")
-    doomed = (text_or(F.col("place_id"), "") == "") & default_named(F.col("name"))
-    # a redrawn room stands where the detected one is
-    boxes = others.where(~doomed).select("level_id", "shape_id", "x0", "y0", "w", "h").unionByName(redrawn)
-    rest = detected.join(matched.select("level_id", F.col("d_seq").alias("seq")), ["level_id", "seq"], "left_anti")
-    old = others.select("level_id", "shape_id", none, F.when(doomed, "removed").otherwise("kept").alias("status"))
-    return new(rest, boxes).unionByName(old).unionByName(matched.select("level_id", F.col("e_id").alias("shape_id"), "d_seq", F.lit("redrawn").alias("status")))
-
-
 def reconcile_fixtures(detected: DataFrame, shapes: DataFrame, rebuild: bool = True) -> DataFrame:
     """Detected furniture (building_id, level_id, seq, x0, y0, w, h) that is drawn: not where a fixture that stays, of any level
     of the building, already is. A rebuild clears drawn-only fixtures of the traced levels first."""
@@ -212,12 +212,6 @@ def reconcile_walkways(detected: DataFrame, shapes: DataFrame, rebuild: bool = T
     return detected.join(left.select("level_id").distinct(), "level_id", "left_anti")
 
 
-def trace_summary(rooms: DataFrame) -> DataFrame:
-    """Rooms added and redrawn by level; `nothing` where neither occurred."""
-    got = rooms.groupBy("level_id").agg(F.count_if(F.col("status") == "added").alias("added"), F.count_if(F.col("status") == "redrawn").alias("redrawn"))
-    return got.withColumn("nothing", (F.col("added") == 0) & (F.col("redrawn") == 0))
-
-
 def restack(shapes: DataFrame) -> DataFrame:
     """Drawing order in each level after a rebuild: what it kept as desks or sections comes to the front."""
     front = (F.col("kind") == "section") | ((F.col("kind") == "fixture") & ((text_or(F.col("category"), "") == "desk") | (text_or(F.col("place_id"), "") != "") | F.col("line").isNotNull()))

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from indoorspark.plans import basics, features, helpers, io, matching, rasters  # noqa: F401
+from indoorspark.plans import basics, features, helpers, io, matching, rasters, retracing  # noqa: F401
 from indoorspark.plans.registry import QUERIES, SQL
 
 

@@ -211,15 +211,6 @@ def j10(spark, d):
     return C.points_in_shapes(points, s.where("kind = 'unit' and level_id is not null").drop("x0", "y0"))
 
 
-@query("W2_auto_names", """
-WITH n AS (SELECT building_id, COUNT(*) AS units FROM fx_shape WHERE kind IN ('unit', 'section') GROUP BY 1)
-SELECT t.level_id, t.seq, 'Room ' || (units + row_number() OVER (PARTITION BY t.building_id ORDER BY t.level_id, t.seq)) AS name FROM fx_detect t JOIN n ON t.building_id = n.building_id""", "fx_shape", "fx_detect")
-def w2(spark, d):
-    units = view(spark, d, "fx_shape").where("kind in ('unit', 'section')").groupBy("building_id").agg(F.count(F.lit(1)).alias("units"))
-    fresh = view(spark, d, "fx_detect").join(units, "building_id")
-    return P.numbered(fresh, "Room", "building_id", ["level_id", "seq"], F.col("units")).select("level_id", "seq", "name")
-
-
 @query("W4_default_room_cleanup", f"""WITH {PAIRS}
 SELECT shape_id FROM fx_shape WHERE NOT (kind = 'opening' OR (place_id IS NULL AND ((kind = 'unit' AND COALESCE(category, '') = 'walkway') OR (kind = 'fixture' AND COALESCE(category, '') <> 'desk' AND w % 3 <> 0)
   OR (kind = 'unit' AND COALESCE(category, '') <> 'walkway' AND regexp_full_match(COALESCE(name, ''), 'Room [0-9]+') AND shape_id NOT IN (SELECT e_id FROM m)))))""", "fx_shape", "fx_detect")
@@ -241,23 +232,6 @@ def w6(spark, d):
     return C.cap_per_plan(rows).select("plan_id", "shape_id")
 
 
-OUTCOME = f"""{PAIRS}, k AS (SELECT r.* FROM r WHERE NOT (place_id IS NULL AND regexp_full_match(COALESCE(name, ''), 'Room [0-9]+') AND shape_id NOT IN (SELECT e_id FROM m))),
-b AS (SELECT level_id, x0, y0, w, h FROM k WHERE shape_id NOT IN (SELECT e_id FROM m) UNION ALL SELECT t.level_id, t.x0, t.y0, t.w, t.h FROM m JOIN fx_detect t ON m.level_id = t.level_id AND m.d_seq = t.seq),
-z AS (SELECT level_id, e_id AS shape_id, d_seq, 'redrawn' AS status FROM m
-  UNION ALL SELECT level_id, shape_id, NULL, CASE WHEN shape_id IN (SELECT shape_id FROM k) THEN 'kept' ELSE 'removed' END FROM r WHERE shape_id NOT IN (SELECT e_id FROM m)
-  UNION ALL SELECT level_id, NULL, seq, 'added' FROM fx_detect t WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.level_id = t.level_id AND m.d_seq = t.seq) AND {OPEN.format('b')})"""
-
-
-@query("E17_reconcile_level", f"WITH {OUTCOME} SELECT level_id, status, COUNT(*) AS n FROM z GROUP BY 1, 2", "fx_shape", "fx_detect")
-def e17(spark, d):
-    return C.reconcile(view(spark, d, "fx_detect"), shapes(spark, d)).groupBy("level_id", "status").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("E17_add_missing", f"WITH {ROOM} SELECT level_id, 'kept' AS status, COUNT(*) AS n FROM r GROUP BY 1 UNION ALL SELECT level_id, 'added', COUNT(*) FROM fx_detect t WHERE {OPEN.format('r')} GROUP BY 1", "fx_shape", "fx_detect")
-def e17b(spark, d):
-    return C.reconcile(view(spark, d, "fx_detect"), shapes(spark, d), rebuild=False).groupBy("level_id", "status").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("E17_fixtures", f"""WITH x AS (SELECT building_id AS level_id, x0, y0, w, h FROM fx_shape WHERE kind = 'fixture' AND NOT (place_id IS NULL AND COALESCE(category, '') <> 'desk' AND w % 3 <> 0 AND level_id IS NOT NULL AND level_id IN (SELECT level_id FROM fx_detect))),
 t0 AS (SELECT level_id AS l, building_id AS level_id, seq, x0, y0, w, h FROM fx_detect) SELECT l AS level_id, seq FROM t0 t WHERE {OPEN.format('x')}""", "fx_shape", "fx_detect")
 def e17c(spark, d):
@@ -267,8 +241,3 @@ def e17c(spark, d):
 @query("E17_walkways", "SELECT level_id, seq FROM fx_detect WHERE level_id NOT IN (SELECT level_id FROM fx_shape WHERE kind = 'unit' AND category = 'walkway' AND place_id IS NOT NULL AND level_id IS NOT NULL)", "fx_shape", "fx_detect")
 def e17d(spark, d):
     return C.reconcile_walkways(view(spark, d, "fx_detect"), shapes(spark, d)).select("level_id", "seq")
-
-
-@query("A4_trace_summary", f"WITH {OUTCOME} SELECT level_id, COUNT(*) FILTER (status = 'added') AS added, COUNT(*) FILTER (status = 'redrawn') AS redrawn, COUNT(*) FILTER (status IN ('added', 'redrawn')) = 0 AS nothing FROM z GROUP BY 1", "fx_shape", "fx_detect")
-def a4(spark, d):
-    return C.trace_summary(C.reconcile(view(spark, d, "fx_detect"), shapes(spark, d)))
