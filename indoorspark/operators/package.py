@@ -76,11 +76,16 @@ def validate(features: DataFrame) -> DataFrame:
 
 
 def report(packages: DataFrame, problems: DataFrame) -> DataFrame:
-    """(building_id, valid, n, problems): all problems of a package in one text, in a fixed order."""
-    line = F.concat_ws(" ", "file", F.col("feature_id"), "problem", F.col("detail"))
-    got = problems.groupBy("building_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("problems"))
+    """(building_id, valid, n) of every package, n its number of problems, counted in tasks; `report_lines` has their text."""
+    got = problems.groupBy("building_id").agg(F.count(F.lit(1)).alias("n"))
     both = packages.select("building_id").distinct().join(got, "building_id", "left")
-    return both.select("building_id", F.col("n").isNull().alias("valid"), F.coalesce("n", F.lit(0)).alias("n"), "problems")
+    return both.select("building_id", F.col("n").isNull().alias("valid"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def report_lines(problems: DataFrame) -> DataFrame:
+    """(building_id, at, value): a line for each problem; `at` sorts a building's lines. Rows, however many a building has."""
+    line = F.concat_ws(" ", "file", F.col("feature_id"), "problem", F.col("detail"))
+    return problems.select("building_id", F.concat_ws(" ", "file", F.coalesce("feature_id", F.lit("")), "problem").alias("at"), line.alias("value"))
 
 
 def package_files(features: DataFrame, buildings: DataFrame) -> DataFrame:
