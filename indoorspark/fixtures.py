@@ -103,7 +103,8 @@ VIEWS["fx_plan"] = r"""
 SELECT vec_id AS plan_id, CASE WHEN vec_id % 2 = 0 THEN 8 ELSE 16 END AS width, CASE WHEN vec_id % 2 = 0 THEN 8 ELSE 4 END AS height,
        CASE WHEN vec_id % 2 = 0 THEN 3 ELSE 4 END AS l_min, CASE WHEN vec_id % 2 = 0 THEN 3 ELSE 4 END AS dash_max,
        CASE WHEN vec_id % 4 < 2 THEN 2 ELSE 1 END AS gap_max, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS wall_t,
-       CASE WHEN vec_id % 2 = 0 THEN 4 ELSE 3 END AS min_room, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS k_open
+       CASE WHEN vec_id % 2 = 0 THEN 4 ELSE 3 END AS min_room, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS k_open,
+       CASE WHEN vec_id % 4 < 2 THEN 4 ELSE 2 END AS gap_wide, CASE WHEN vec_id % 4 < 2 THEN 2 ELSE 1 END AS seal_min, 2 AS seal_depth
 FROM {embeddings}"""
 #: Taking an array apart needs one spelling for each engine. Plans are 8 x 8 or 16 x 4 pixels.
 _PIXEL = r"""

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from indoorspark.functions.scalars import js_round
-from indoorspark.sources.scratch import spread
+from indoorspark.operators.reconcile import first_doors
+from indoorspark.sources.scratch import kept, spread
 
 # What counts as transparent, as ink, as a mark of any kind.
 ALPHA, INK, MARK = 40, 180, 245
@@ -33,9 +34,11 @@ def work_scale(width: Column, height: Column, building: Column) -> Column:
 def thresholds(longest: Column) -> dict[str, Column]:
     """Lengths in pixels, from the longer side of the building."""
     gap = F.greatest(F.lit(8), js_round(longest / 40))
+    least = F.greatest(F.lit(5), js_round(gap * 0.45))
     return {
         "l_min": F.greatest(F.lit(20), js_round(longest / 28)), "gap_max": gap, "dash_max": F.greatest(F.lit(6), js_round(longest / 40)),
         "wall_t": F.greatest(F.lit(6), js_round(gap * 0.6)), "jog_tol": F.greatest(F.lit(3), js_round(gap * 0.45)), "foot_tol": js_round(gap * 1.6),
+        "gap_wide": js_round(gap * 2.2), "seal_min": least, "seal_depth": F.greatest(least, js_round(gap * 0.6)), "k_open": F.greatest(F.lit(3), js_round(gap * 0.5)),
     }
 
 
@@ -83,17 +86,23 @@ def label_runs(line: np.ndarray, start: np.ndarray, end: np.ndarray, eight: bool
     return np.array([find(i) for i in range(len(line))], np.int64)
 
 
-def components(mask: DataFrame, eight: bool = False) -> DataFrame:
-    """(plan_id, x, y, label): label is the component's first pixel in reading order, as y * 65536 + x. Runs of a plan go to one helper."""
+def labelled_runs(rows: DataFrame, eight: bool = False) -> DataFrame:
+    """rows(plan_id, axis, line, start, end), runs of one axis and plan at a time, with `label`: runs of neighbouring lines that touch (by
+    corners too if `eight`) share that of the first of them, line * 65536 + start. Only runs, not pixels, go to the helper of a plan."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values(["line", "start"], ignore_index=True)
         line, start, end = (g[c].to_numpy(np.int64) for c in ("line", "start", "end"))
         root = label_runs(line, start, end, eight)
-        return g.assign(label=line[root] * 65536 + start[root])[["plan_id", "line", "start", "end", "label"]]
+        return g.assign(label=line[root] * 65536 + start[root])[["plan_id", "axis", "line", "start", "end", "label"]]
+
+    rows = rows.select("plan_id", "axis", "line", "start", "end")
+    return spread(rows, "plan_id", "axis").groupBy("plan_id", "axis").applyInPandas(run, "plan_id long, axis string, line int, start int, end int, label long")
+
 
-    rows = runs(mask, "x").select("plan_id", "line", "start", "end")
-    labelled = spread(rows, "plan_id").groupBy("plan_id").applyInPandas(run, "plan_id long, line int, start int, end int, label long")
+def components(mask: DataFrame, eight: bool = False) -> DataFrame:
+    """(plan_id, x, y, label): label is the component's first pixel in reading order, as y * 65536 + x."""
+    labelled = labelled_runs(runs(mask, "x"), eight)
     return labelled.select("plan_id", F.explode(F.sequence("start", "end")).alias("x"), F.col("line").alias("y"), "label")
 
 
@@ -175,25 +184,67 @@ def gap_scan(walls: DataFrame, axis: str, limits: DataFrame, run: int = 3) -> Da
     return got.select("plan_id", "axis", "line", (F.col("_end") + 1).alias("start"), (F.col("start") - 1).alias("end"), gap.alias("len"))
 
 
-def seal(walls: DataFrame, limits: DataFrame, run: int = 3) -> DataFrame:
-    """walls with every gap up to the plan's limit, along rows and columns, closed."""
-    out = walls.select("plan_id", "x", "y")
-    for axis, line in (("x", "y"), ("y", "x")):
-        fill = gap_scan(walls, axis, limits, run).select("plan_id", F.explode(F.sequence("start", "end")).alias(axis), F.col("line").alias(line))
-        out = out.unionByName(fill.select("plan_id", "x", "y"))
+def gap_blobs(walls: DataFrame, plans: DataFrame, run: int = 3) -> DataFrame:
+    """(plan_id, axis, blob, line, start, end, width, depth, first, last, lo, hi, turn): gaps up to the plan's gap_wide of both axes, those of
+    neighbouring lines that overlap as one blob, with its box. What is wider than 3 and deeper than seal_depth is a narrow room between
+    two walls, not a doorway, and goes."""
+    most = plans.select("plan_id", F.col("gap_wide").alias("limit"))
+    gaps = labelled_runs(gap_scan(walls, "x", most, run).unionByName(gap_scan(walls, "y", most, run))).withColumnRenamed("label", "blob")
+    first_pixel = F.when(F.col("axis") == "x", F.col("line") * 65536 + F.col("start")).otherwise(F.col("start") * 65536 + F.col("line")).cast("long")  # in reading order
+    box = gaps.groupBy("plan_id", "axis", "blob").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.min("start").alias("lo"), F.max("end").alias("hi"), F.min(first_pixel).alias("turn"))
+    box = with_plan(box, plans, "seal_depth").withColumns({"width": F.col("hi") - F.col("lo") + 1, "depth": F.col("last") - F.col("first") + 1})
+    return gaps.join(box.where((F.col("width") <= 3) | (F.col("depth") <= F.col("seal_depth"))).drop("seal_depth"), ["plan_id", "axis", "blob"])
+
+
+def seal(walls: DataFrame, blobs: DataFrame, limits: DataFrame) -> DataFrame:
+    """walls with every gap blob of at most the plan's limit (limits: plan_id, limit) closed."""
+    narrow = with_plan(blobs, limits, "limit").where(F.col("width") <= F.col("limit"))
+    across, out = F.explode(F.sequence("start", "end")).alias("n"), walls.select("plan_id", "x", "y")
+    for axis in ("x", "y"):
+        fill = narrow.where(F.col("axis") == axis).select("plan_id", "line", across)
+        out = out.unionByName(fill.select("plan_id", *[F.col("n" if c == axis else "line").alias(c) for c in ("x", "y")]))
     return out.distinct()
 
 
-def seal_doorways(pixels: DataFrame, walls: DataFrame, plans: DataFrame, run: int = 3, enough: float = 0.5) -> DataFrame:
-    """(plan_id, step, limit, share): the first of three limits, gap_max and twice half as much again, that encloses `enough` of a
-    plan's free pixels, else the last. All three are tried at once, each as a plan of its own."""
+def seal_doorways(pixels: DataFrame, walls: DataFrame, blobs: DataFrame, plans: DataFrame, boxes: DataFrame, enough: float = 0.5) -> DataFrame:
+    """(plan_id, step, limit, share): the first of three limits, gap_max and twice half as much again, with which `enough` of the
+    building's box (boxes: plan_id, min_x, min_y, max_x, max_y) can't be reached from the border, else the last.
+
+    All three are tried at once, each as a plan of its own. Walls in the box count as unreached, as do its free pixels behind them.
+    """
     wider = js_round(F.col("gap_max") * 1.5)
     limits = plans.select("plan_id", "width", "height", F.posexplode(F.array(F.col("gap_max").cast("long"), wider, js_round(wider * 1.5))).alias("step", "limit"))
     tried = F.col("plan_id") * 4 + F.col("step")
-    each = lambda df: df.select("plan_id", "x", "y").join(limits.select("plan_id", "step"), "plan_id").select(tried.alias("plan_id"), "x", "y")
-    as_plans, every = limits.select(tried.alias("plan_id"), "width", "height", "limit"), each(pixels)
-    shares = enclosed_share(regions(every, seal(each(walls), as_plans, run), as_plans)).select(F.floor(F.col("plan_id") / 4).alias("plan_id"), (F.col("plan_id") % 4).cast("int").alias("step"), "share")
-    return pick_limit(limits.select("plan_id", "step", "limit").join(shares, ["plan_id", "step"], "left").withColumn("share", F.coalesce("share", F.lit(0.0))), enough)
+    each = lambda df: df.join(limits.select("plan_id", "step"), "plan_id").withColumn("plan_id", tried).drop("step")
+    as_plans = limits.select(tried.alias("plan_id"), "width", "height", "limit")
+    every = each(pixels.select("plan_id", "x", "y"))
+    reached = regions(every, seal(each(walls.select("plan_id", "x", "y")), each(blobs), as_plans), as_plans).where("region = -1")
+    box = boxes.select("plan_id", "min_x", "min_y", "max_x", "max_y")
+    inside = F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
+    n = reached.join(each(box), "plan_id").where(inside).groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"))
+    n = n.select(F.floor(F.col("plan_id") / 4).alias("plan_id"), (F.col("plan_id") % 4).cast("int").alias("step"), "n")
+    area = (F.col("max_x") - F.col("min_x") + 1) * (F.col("max_y") - F.col("min_y") + 1)
+    shares = limits.select("plan_id", "step", "limit").join(box, "plan_id").join(n, ["plan_id", "step"], "left")
+    return pick_limit(shares.select("plan_id", "step", "limit", (1 - F.coalesce("n", F.lit(0)) / area).alias("share")), enough)
+
+
+def doorway_lines(blobs: DataFrame, limits: DataFrame, plans: DataFrame) -> DataFrame:
+    """(plan_id, axis, blob, turn, x1, y1, x2, y2): from jamb to jamb along the middle of the wall, of sealed blobs of seal_min and wider."""
+    one = blobs.select("plan_id", "axis", "blob", "turn", "width", "first", "last", "lo", "hi").distinct()
+    wide = with_plan(with_plan(one, limits, "limit"), plans, "seal_min").where((F.col("width") <= F.col("limit")) & (F.col("width") >= F.col("seal_min")))
+    middle, across = (F.col("first") + F.col("last") + 1) / 2, F.col("axis") == "x"
+    end = lambda along, at: F.when(across if along else ~across, at.cast("double")).otherwise(middle)
+    lo, hi = F.col("lo"), F.col("hi") + 1
+    return wide.select("plan_id", "axis", "blob", "turn", end(True, lo).alias("x1"), end(False, lo).alias("y1"), end(True, hi).alias("x2"), end(False, hi).alias("y2"))
+
+
+def plan_doors(lines: DataFrame, footprint: DataFrame, plans: DataFrame) -> DataFrame:
+    """Doorway lines whose middle lies in the footprint's pixels, those of rows first, without those near an earlier one that stays."""
+    mid = lambda a, b, side: F.least(F.col(side) - 1, F.floor((F.col(a) + F.col(b)) / 2)).cast("int")
+    at = with_plan(lines, plans, "width", "height").withColumns({"x": mid("x1", "x2", "width"), "y": mid("y1", "y2", "height")})
+    inside = at.join(footprint.select("plan_id", "x", "y"), ["plan_id", "x", "y"], "left_semi").select(*lines.columns)
+    rows_first = F.when(F.col("axis") == "x", 0).otherwise(1).cast("long")
+    return first_doors(inside.withColumn("seq", F.shiftleft(rows_first, 40) + F.col("turn")), "plan_id")
 
 
 def free_pixels(pixels: DataFrame, closed: DataFrame) -> DataFrame:
@@ -208,10 +259,6 @@ def regions(pixels: DataFrame, closed: DataFrame, plans: DataFrame) -> DataFrame
     return labelled.join(outside, ["plan_id", "label"]).select("plan_id", "x", "y", F.when(F.col("_out"), F.lit(-1).cast("long")).otherwise(F.col("label")).alias("region"))
 
 
-def enclosed_share(region: DataFrame) -> DataFrame:
-    return region.groupBy("plan_id").agg((F.count_if(F.col("region") >= 0) / F.count(F.lit(1))).alias("share"))
-
-
 def pick_limit(shares: DataFrame, enough: float = 0.5) -> DataFrame:
     """Of shares(plan_id, step, limit, share) the first step with `enough` enclosed, else the last."""
     ok = F.when(F.col("share") >= enough, F.col("step"))
@@ -288,41 +335,63 @@ def absorb_pass(pixels: DataFrame, spaces: DataFrame, plans: DataFrame) -> DataF
 
 
 def absorb_partitions(pixels: DataFrame, spaces: DataFrame, plans: DataFrame, passes: int = 3) -> DataFrame:
-    """`passes` passes, each over what the one before has joined."""
+    """`passes` passes, each over what the one before has joined, which is written between them."""
     for _ in range(passes):
-        spaces = absorb_pass(pixels, spaces, plans)
+        spaces = kept(absorb_pass(pixels, spaces, plans), "absorbed")
     return spaces
 
 
-def classify_spaces(spaces: DataFrame, plans: DataFrame) -> DataFrame:
-    """(plan_id, region, n, kind): room or walkway, by area, share of the floor and how much of its box a space fills."""
+def classify_spaces(spaces: DataFrame, contacts: DataFrame, plans: DataFrame) -> DataFrame:
+    """(plan_id, region, n, doors, kind): room or walkway, by area against the plan's min_room, share of its footprint (`foot`, in pixels)
+    and how much of its box a space fills; doors counts the spaces that contacts(plan_id, a, b, door) lead to through a door."""
     s = component_stats(spaces.withColumnRenamed("region", "label")).withColumnRenamed("label", "region")
-    all_ = Window.partitionBy("plan_id")
-    s = s.withColumns({"floor": F.sum("n").over(all_), "largest": F.row_number().over(all_.orderBy(F.desc("n"), "region")) == 1})
+    ends = F.explode(F.array("a", "b")).alias("region")
+    doors = contacts.where("door").select("plan_id", ends).groupBy("plan_id", "region").agg(F.count(F.lit(1)).alias("doors"))
+    largest = s.groupBy("plan_id").agg(F.max_by("region", F.struct("n", -F.col("region"))).alias("largest"))
+    s = with_plan(s.join(largest, "plan_id").join(doors, ["plan_id", "region"], "left"), plans, "min_room", "foot")
     solid = F.col("n") / ((F.col("max_x") - F.col("min_x") + 1) * (F.col("max_y") - F.col("min_y") + 1))
-    share = F.col("n") / F.col("floor")
-    s = with_plan(s, plans, "min_room")
-    other = (F.col("n") < 0.35 * F.col("min_room")) | (share > 0.6) | ((solid < 0.45) & (share >= 0.01)) | (F.col("largest") & (share >= 0.2))
-    return s.select("plan_id", "region", "n", F.when(other, "walkway").otherwise("room").alias("kind"))
-
-
-def label_point(mask: DataFrame) -> DataFrame:
-    """(plan_id, x, y): middle of the longest horizontal run of each plan's mask, the first one if several are."""
-    place = F.row_number().over(Window.partitionBy("plan_id").orderBy(F.desc("len"), "line", "start"))
-    best = runs(mask, "x").withColumn("_k", place).where("_k = 1")
-    return best.select("plan_id", ((F.col("start") + F.col("end") + 1) / 2).alias("x"), (F.col("line") + 0.5).alias("y"))
-
-
-def pocket_owner(patches: DataFrame, strokes: DataFrame) -> DataFrame:
-    """(plan_id, patch, owner): the stroke cluster that most pixels of a patch touch, among those whose box, two pixels wider, holds the patch."""
-    boxes = lambda df, p: component_stats(df).select("plan_id", F.col("label").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("min_x", "min_y", "max_x", "max_y")])
-    touch = shifted(strokes.select("plan_id", "x", "y")).distinct()
-    near = strokes.select("plan_id", F.col("label").alias("owner"), F.explode(F.array(*[F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y")) for a, b in NEXT])).alias("p")).select("plan_id", "owner", "p.x", "p.y")
-    met = patches.select("plan_id", "x", "y", F.col("label").alias("patch")).join(touch, ["plan_id", "x", "y"], "left_semi").join(near, ["plan_id", "x", "y"])
-    votes = met.groupBy("plan_id", "patch", "owner").agg(F.count(F.lit(1)).alias("n")).join(boxes(patches, "patch"), ["plan_id", "patch"]).join(boxes(strokes, "owner"), ["plan_id", "owner"])
+    share = F.col("n") / F.col("foot")
+    other = (F.col("n") < 0.35 * F.col("min_room")) | (share > 0.6) | ((solid < 0.45) & (share >= 0.01)) | ((F.col("region") == F.col("largest")) & (share >= 0.2))
+    return s.select("plan_id", "region", "n", F.coalesce("doors", F.lit(0)).cast("long").alias("doors"), F.when(other, "walkway").otherwise("room").alias("kind"))
+
+
+def label_points(labelled: DataFrame) -> DataFrame:
+    """(plan_id, label, x, y): middle of the longest horizontal run of each component of (plan_id, x, y, label), the first one if several
+    are. The best run of a component is a maximum, added up in tasks."""
+    island = F.col("x") - F.row_number().over(Window.partitionBy("plan_id", "label", "y").orderBy("x"))
+    got = labelled.withColumn("_i", island).groupBy("plan_id", "label", "y", "_i").agg(F.min("x").alias("start"), F.max("x").alias("end"))
+    best = got.groupBy("plan_id", "label").agg(F.max(F.struct((F.col("end") - F.col("start")).alias("len"), (-F.col("y")).alias("up"), (-F.col("start")).alias("left"))).alias("b"))
+    return best.select("plan_id", "label", ((F.col("b.len") + 1) / 2 - F.col("b.left")).alias("x"), (0.5 - F.col("b.up")).alias("y"))
+
+
+def pockets(patches: DataFrame, strokes: DataFrame, spaces: DataFrame, seals: DataFrame, plans: DataFrame) -> DataFrame:
+    """(plan_id, patch, space, state, owner) of patches(plan_id, x, y, label), free pixels joined by sides.
+
+    space: that of a patch's first pixel. state: floor, the largest patch of its space; pocket or door, one that a stroke cluster
+    (strokes: plan_id, x, y, label, joined by corners too) owns, a door if it touches a seal; else null. The owner is the cluster that
+    most of its pixels touch by sides, the first met on a tie, among those whose box, two pixels wider, holds it. Pixels on the
+    border of the plan touch nothing.
+    """
+    boxes = lambda df, p: component_stats(df).select("plan_id", F.col("label").alias(p), F.col("n").alias(f"{p}_n"), *[F.col(c).alias(f"{p}_{c}") for c in ("min_x", "min_y", "max_x", "max_y")])
+    mine = patches.select("plan_id", "x", "y", F.col("label").alias("patch"))
+    first = (F.col("patch") % 65536 == F.col("x")) & (F.floor(F.col("patch") / 65536) == F.col("y"))
+    whose = mine.where(first).join(spaces.select("plan_id", "x", "y", F.col("region").alias("space")), ["plan_id", "x", "y"], "left").select("plan_id", "patch", "space")
+    every = boxes(patches, "patch").join(whose, ["plan_id", "patch"])
+    floors = every.groupBy("plan_id", "space").agg(F.max_by("patch", F.struct("patch_n", -F.col("patch"))).alias("floor"))
+
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("x") + a).alias("nx"), (F.col("y") + b).alias("ny")) for k, (a, b) in enumerate(((-1, 0), (1, 0), (0, -1), (0, 1)))])).alias("s")
+    next_ = within(mine, plans, 1).select("plan_id", "patch", "x", "y", sides).select("plan_id", "patch", ((F.col("y") * 65536 + F.col("x")).cast("long") * 4 + F.col("s.k")).alias("turn"), F.col("s.nx").alias("x"), F.col("s.ny").alias("y"))
+    at_door = next_.join(seals.select("plan_id", "x", "y"), ["plan_id", "x", "y"], "left_semi").select("plan_id", "patch").distinct().withColumn("at_door", F.lit(True))
+    votes = next_.join(strokes.select("plan_id", "x", "y", F.col("label").alias("owner")), ["plan_id", "x", "y"]).groupBy("plan_id", "patch", "owner").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("turn"))
+    votes = votes.join(every, ["plan_id", "patch"]).join(boxes(strokes, "owner"), ["plan_id", "owner"])
     holds = (F.col("owner_min_x") - 2 <= F.col("patch_min_x")) & (F.col("owner_min_y") - 2 <= F.col("patch_min_y")) & (F.col("owner_max_x") + 2 >= F.col("patch_max_x")) & (F.col("owner_max_y") + 2 >= F.col("patch_max_y"))
-    place = F.row_number().over(Window.partitionBy("plan_id", "patch").orderBy(F.desc("n"), "owner"))
-    return votes.where(holds).withColumn("_k", place).where("_k = 1").select("plan_id", "patch", "owner")
+    owners = votes.where(holds).groupBy("plan_id", "patch").agg(F.max_by("owner", F.struct("n", -F.col("turn"))).alias("owner"))
+    floors = floors.select(F.col("plan_id").alias("f_plan"), F.col("space").alias("f_space"), "floor")
+    got = every.join(floors, (F.col("plan_id") == F.col("f_plan")) & F.col("space").eqNullSafe(F.col("f_space"))).select("plan_id", "patch", "space", "floor")
+    got = got.join(owners, ["plan_id", "patch"], "left").join(at_door, ["plan_id", "patch"], "left")
+    is_floor = F.col("patch") == F.col("floor")
+    state = F.when(is_floor, "floor").when(F.col("owner").isNotNull(), F.when(F.coalesce("at_door", F.lit(False)), "door").otherwise("pocket"))
+    return got.select("plan_id", "patch", "space", state.alias("state"), F.when(~is_floor, F.col("owner")).alias("owner"))
 
 
 def pen_width(strokes: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from indoorspark.operators import raster as X
 from indoorspark.operators import ring_jobs as J
 from indoorspark.operators.shapes import shapes
 from indoorspark.plans.features import buildings, scale_of
-from indoorspark.plans.rasters import PX, SPACES, cc, ink, plan_table, spaces, stats
+from indoorspark.plans.rasters import KINDS, PX, SPACES, cc, halves, ink, plan_table, spaces
 from indoorspark.plans.registry import query
 
 
@@ -91,16 +91,19 @@ def r15(spark, d):
 def r18(spark, d):
     s, z = spaces(spark, d), plan_table(spark, d)
     sizes = s.groupBy("plan_id", "region").agg(F.count(F.lit(1)).alias("n"))
-    return J.merge_small_spaces(sizes, X.space_contacts(s, ink(spark, d).where("false"), z), z.select("plan_id", F.col("min_room").alias("least")))
+    return J.merge_small_spaces(sizes, X.space_contacts(s, ink(spark, d).where("(x + y) % 3 = 0"), z), z.select("plan_id", F.col("min_room").alias("least")))
 
 
-@query("R21_space_polygons", f"""WITH RECURSIVE {PX}, {SPACES}, {stats('sp', 'st')}, t AS (SELECT *, SUM(n) OVER (PARTITION BY plan_id) AS fl, row_number() OVER (PARTITION BY plan_id ORDER BY n DESC, label) AS k FROM st),
-q AS (SELECT t.plan_id, label, n, CASE WHEN n < 0.35 * min_room OR n * 1.0 / fl > 0.6 OR (n * 1.0 / ((max_x - min_x + 1) * (max_y - min_y + 1)) < 0.45 AND n * 1.0 / fl >= 0.01) OR (k = 1 AND n * 1.0 / fl >= 0.2) THEN 'walkway' ELSE 'room' END AS kind FROM t JOIN fx_plan z ON t.plan_id = z.plan_id)
-SELECT plan_id, kind, COUNT(*) AS shapes, CAST(CASE WHEN kind = 'walkway' THEN SUM(n) END AS BIGINT) AS pixels FROM q GROUP BY 1, 2""", "fx_pixels", "fx_plan")
+def kinds_of(spark, d, s):
+    return X.classify_spaces(s, X.space_contacts(s, ink(spark, d).where("false"), plan_table(spark, d)), halves(spark, d))
+
+
+@query("R21_space_polygons", f"""WITH RECURSIVE {PX}, {SPACES}, {KINDS}
+SELECT plan_id, kind, COUNT(*) AS shapes, CAST(CASE WHEN kind = 'walkway' THEN SUM(n) END AS BIGINT) AS pixels FROM kd GROUP BY 1, 2""", "fx_pixels", "fx_plan")
 def r21(spark, d):
     """Polygons of each kind, and pixels inside those of walkways: with no tolerance and no offset they are those of the spaces."""
     s, z = spaces(spark, d), plan_table(spark, d)
-    got = J.space_polygons(s, X.classify_spaces(s, z), z.withColumns({"jog_tol": F.lit(0.0), "min_walk": F.lit(0.0)}), offset=0.0)
+    got = J.space_polygons(s, kinds_of(spark, d, s), z.withColumns({"jog_tol": F.lit(0.0), "min_walk": F.lit(0.0)}), offset=0.0)
     inside = F.sum(F.when(F.col("kind") == "walkway", J.net_area(F.col("rings"))))
     return got.groupBy("plan_id", "kind").agg(F.count(F.lit(1)).alias("shapes"), F.round(inside).cast("long").alias("pixels"))
 
@@ -109,7 +112,7 @@ def r21(spark, d):
 def r21b(spark, d):
     """The same polygons as traced: squared or smoothed by the plan's tolerance and moved onto the ink."""
     s, z = spaces(spark, d), plan_table(spark, d)
-    got = J.space_polygons(s, X.classify_spaces(s, z), z.withColumns({"jog_tol": F.lit(2.0), "min_walk": F.lit(2.0)}))
+    got = J.space_polygons(s, kinds_of(spark, d, s), z.withColumns({"jog_tol": F.lit(2.0), "min_walk": F.lit(2.0)}))
     return got.select("plan_id", "region", "kind", F.size("rings").alias("rings"), F.aggregate(F.transform("rings", F.size), F.lit(0), lambda a, n: a + n).alias("points"))
 
 

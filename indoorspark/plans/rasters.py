@@ -9,6 +9,7 @@ from indoorspark.functions import rings as R
 from indoorspark.operators import raster as X
 from indoorspark.operators.shapes import scaled, shapes
 from indoorspark.plans.registry import query
+from indoorspark.sources.scratch import kept
 
 #: Join of a mask m with its plan's size and thresholds.
 PLAN = "JOIN fx_plan z ON {0}.plan_id = z.plan_id"
@@ -16,8 +17,10 @@ PX = """px AS (SELECT *, CASE WHEN a < 40 THEN 255 ELSE CAST(0.299 AS DOUBLE) *
 ink AS (SELECT plan_id, x, y FROM px WHERE grey <= 180)"""
 
 
-def cc(mask: str, out: str) -> str:
-    return f"""{out}_r AS (SELECT plan_id, x, y, x AS tx, y AS ty FROM {mask} UNION SELECT r.plan_id, r.x, r.y, i.x, i.y FROM {out}_r r JOIN {mask} i ON r.plan_id = i.plan_id AND abs(i.x - r.tx) + abs(i.y - r.ty) = 1),
+def cc(mask: str, out: str, corners: bool = False) -> str:
+    """Parts of a mask that hang together by sides, or by corners too."""
+    met = "GREATEST(abs(i.x - r.tx), abs(i.y - r.ty)) = 1" if corners else "abs(i.x - r.tx) + abs(i.y - r.ty) = 1"
+    return f"""{out}_r AS (SELECT plan_id, x, y, x AS tx, y AS ty FROM {mask} UNION SELECT r.plan_id, r.x, r.y, i.x, i.y FROM {out}_r r JOIN {mask} i ON r.plan_id = i.plan_id AND {met}),
 {out} AS (SELECT plan_id, x, y, CAST(MIN(ty * 65536 + tx) AS BIGINT) AS label FROM {out}_r GROUP BY 1, 2, 3)"""
 
 
@@ -82,7 +85,8 @@ def r4(spark, d):
 
 @query("R5_plan_thresholds", """WITH t AS (SELECT shape_id, CAST(300 + x0 * 9 + w AS DOUBLE) AS b, GREATEST(8, floor((300 + x0 * 9 + w) / 40.0 + 0.5)) AS g FROM fx_shape)
 SELECT shape_id, CAST(GREATEST(20, floor(b / 28 + 0.5)) AS BIGINT) AS l_min, CAST(g AS BIGINT) AS gap_max, CAST(GREATEST(6, floor(b / 40 + 0.5)) AS BIGINT) AS dash_max, CAST(GREATEST(6, floor(g * 0.6::DOUBLE + 0.5)) AS BIGINT) AS wall_t,
-  CAST(GREATEST(3, floor(g * 0.45::DOUBLE + 0.5)) AS BIGINT) AS jog_tol, CAST(floor(g * 1.6::DOUBLE + 0.5) AS BIGINT) AS foot_tol FROM t""", "fx_shape")
+  CAST(GREATEST(3, floor(g * 0.45::DOUBLE + 0.5)) AS BIGINT) AS jog_tol, CAST(floor(g * 1.6::DOUBLE + 0.5) AS BIGINT) AS foot_tol,
+  CAST(floor(g * 2.2::DOUBLE + 0.5) AS BIGINT) AS gap_wide, CAST(GREATEST(5, floor(g * 0.45::DOUBLE + 0.5)) AS BIGINT) AS seal_min, CAST(GREATEST(5, floor(g * 0.45::DOUBLE + 0.5), floor(g * 0.6::DOUBLE + 0.5)) AS BIGINT) AS seal_depth, CAST(GREATEST(3, floor(g * 0.5 + 0.5)) AS BIGINT) AS k_open FROM t""", "fx_shape")
 def r5(spark, d):
     t = X.thresholds((300 + F.col("x0") * 9 + F.col("w")).cast("double"))
     return view(spark, d, "fx_shape").select("shape_id", *[c.cast("long").alias(k) for k, c in t.items()])
@@ -115,7 +119,7 @@ def r8(spark, d):
     return X.dilate(walls(spark, d), plan_table(spark, d))
 
 
-DASHES = f"""{PX}, {cc('ink', 'lab')}, {stats('lab', 'st')}, th AS (SELECT st.*, max_x - min_x + 1 AS w, max_y - min_y + 1 AS h, dash_max FROM st JOIN fx_plan z ON st.plan_id = z.plan_id),
+DASHES = f"""{PX}, {cc('ink', 'lab', True)}, {stats('lab', 'st')}, th AS (SELECT st.*, max_x - min_x + 1 AS w, max_y - min_y + 1 AS h, dash_max FROM st JOIN fx_plan z ON st.plan_id = z.plan_id),
 dl AS (SELECT plan_id, label, w >= h AS flat, CASE WHEN w >= h THEN floor((min_y + max_y) / 2.0) ELSE floor((min_x + max_x) / 2.0) END AS line, CASE WHEN w >= h THEN min_x ELSE min_y END AS a, CASE WHEN w >= h THEN max_x ELSE max_y END AS b, GREATEST(w, h) AS len, dash_max
   FROM th WHERE GREATEST(w, h) <= dash_max AND LEAST(w, h) <= 3 AND n <= 1.6 * (w + h) + 2),
 dn AS (SELECT *, CASE WHEN a - LAG(b) OVER o - 1 BETWEEN 1 AND LEAST(dash_max, GREATEST(3, len, LAG(len) OVER o)) THEN 0 ELSE 1 END AS nw FROM dl WINDOW o AS (PARTITION BY plan_id, flat, line ORDER BY a, label)),
@@ -124,7 +128,7 @@ dash AS (SELECT plan_id, label FROM (SELECT *, COUNT(*) OVER (PARTITION BY plan_
 
 
 def dashes(spark, d):
-    labelled = X.components(ink(spark, d))
+    labelled = X.components(ink(spark, d), eight=True)
     return labelled, X.dashed_lines(X.component_stats(labelled), plan_table(spark, d))
 
 
@@ -140,48 +144,99 @@ def r10(spark, d):
     return X.erase(labelled, gone).select("plan_id", "x", "y")
 
 
-def gap_sql(mask: str, axis: str, out: str, limits: str) -> str:
-    """limits: a table (plan_id, lim)."""
-    return f"""{run_sql(mask, axis, out + 'u')}, {out} AS (SELECT g.plan_id, axis, line, pe + 1 AS s, s - 1 AS e, s - pe - 1 AS len FROM (
-  SELECT *, LAG(e) OVER o AS pe, LAG(len) OVER o AS pl FROM {out}u WINDOW o AS (PARTITION BY plan_id, line ORDER BY s)) g JOIN {limits} li ON g.plan_id = li.plan_id WHERE s - pe - 1 BETWEEN 1 AND lim AND len >= 2 AND pl >= 2)"""
+def gap_sql(mask: str, axis: str, out: str) -> str:
+    """Pixels (plan_id, x along the axis, y its line) of the gaps up to gap_wide between runs of two and more."""
+    return f"""{run_sql(mask, axis, out + 'u')}, {out} AS (SELECT g.plan_id, CAST(x AS INT) AS x, line AS y FROM (SELECT *, LAG(e) OVER o AS pe, LAG(len) OVER o AS pl FROM {out}u WINDOW o AS (PARTITION BY plan_id, line ORDER BY s)) g
+  JOIN fx_plan z ON g.plan_id = z.plan_id, range(0, 16) t(x) WHERE s - pe - 1 BETWEEN 1 AND gap_wide AND len >= 2 AND pl >= 2 AND x > pe AND x < s)"""
 
 
-def seal_sql(mask: str, out: str, limits: str) -> str:
-    return f"""{gap_sql(mask, 'x', out + 'gx', limits)}, {gap_sql(mask, 'y', out + 'gy', limits)}, {out} AS (SELECT plan_id, x, y FROM {mask} UNION SELECT plan_id, x, line FROM {out}gx, range(0, 16) t(x) WHERE x BETWEEN s AND e
-  UNION SELECT plan_id, line, y FROM {out}gy, range(0, 16) t(y) WHERE y BETWEEN s AND e)"""
+#: bl: blobs of gaps with their box; bp: their pixels.
+BLOBS = f"""{gap_sql('ink', 'x', 'gx')}, {gap_sql('ink', 'y', 'gy')}, {cc('gx', 'bx')}, {cc('gy', 'bw')},
+ba AS (SELECT 'x' AS axis, * FROM bx UNION ALL SELECT 'y' AS axis, * FROM bw),
+bl AS (SELECT g.* FROM (SELECT plan_id, axis, label, MIN(x) AS lo, MAX(x) AS hi, MIN(y) AS fst, MAX(y) AS lst, MAX(x) - MIN(x) + 1 AS width, MAX(y) - MIN(y) + 1 AS depth, MIN(CASE WHEN axis = 'x' THEN y * 65536 + x ELSE x * 65536 + y END) AS turn FROM ba GROUP BY 1, 2, 3) g
+  JOIN fx_plan z ON g.plan_id = z.plan_id WHERE g.width <= 3 OR depth <= seal_depth),
+bp AS (SELECT ba.plan_id, ba.axis, ba.label, CASE WHEN ba.axis = 'x' THEN x ELSE y END AS x, CASE WHEN ba.axis = 'x' THEN y ELSE x END AS y, width FROM ba JOIN bl ON ba.plan_id = bl.plan_id AND ba.axis = bl.axis AND ba.label = bl.label)"""
+#: The first limit that encloses a quarter of the building's box: fc_ parts of the free pixels of each plan and step as plan_id * 4 + step.
+PICKED = f"""{BLOBS}, {cc('ink', 'lab')}, {stats('lab', 'st')}, box AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY n DESC, label) AS k FROM st) WHERE k = 1),
+li AS (SELECT plan_id AS p, plan_id * 4 + step AS plan_id, step, width AS pw, height AS ph, CASE step WHEN 0 THEN gap_max WHEN 1 THEN floor(gap_max * 1.5 + 0.5) ELSE floor(floor(gap_max * 1.5 + 0.5) * 1.5 + 0.5) END AS lim FROM fx_plan, range(0, 3) t(step)),
+sl AS (SELECT li.plan_id, x, y FROM ink JOIN li ON ink.plan_id = li.p UNION SELECT li.plan_id, x, y FROM bp JOIN li ON bp.plan_id = li.p WHERE width <= lim),
+fr AS (SELECT li.plan_id, x, y FROM px JOIN li ON px.plan_id = li.p EXCEPT SELECT plan_id, x, y FROM sl), {cc('fr', 'fs')},
+ed AS (SELECT fs.plan_id, label, MAX(CASE WHEN x IN (0, pw - 1) OR y IN (0, ph - 1) THEN 1 ELSE 0 END) AS out FROM fs JOIN li ON fs.plan_id = li.plan_id GROUP BY 1, 2),
+oc AS (SELECT li.plan_id, COUNT(*) AS n FROM fs JOIN ed ON fs.plan_id = ed.plan_id AND fs.label = ed.label JOIN li ON fs.plan_id = li.plan_id JOIN box ON box.plan_id = li.p WHERE out = 1 AND x BETWEEN min_x AND max_x AND y BETWEEN min_y AND max_y GROUP BY 1),
+al AS (SELECT li.p, step, lim, 1 - COALESCE(oc.n, 0) / ((max_x - min_x + 1) * (max_y - min_y + 1))::DOUBLE AS share FROM li JOIN box ON box.plan_id = li.p LEFT JOIN oc ON li.plan_id = oc.plan_id),
+pk AS (SELECT p, COALESCE(MIN(step) FILTER (share >= 0.25), MAX(step)) AS step FROM al GROUP BY 1),
+pl AS (SELECT al.p AS plan_id, CAST(al.step AS INT) AS step, CAST(lim AS BIGINT) AS lim, share FROM al JOIN pk ON al.p = pk.p AND al.step = pk.step)"""
+CLOSED = "cl AS (SELECT plan_id, x, y FROM ink UNION SELECT bp.plan_id, x, y FROM bp JOIN pl ON bp.plan_id = pl.plan_id WHERE width <= lim)"
+LINES = """ln AS (SELECT bl.plan_id, bl.axis, bl.label, turn, CASE WHEN bl.axis = 'x' THEN CAST(lo AS DOUBLE) ELSE (fst + lst + 1) / 2.0::DOUBLE END AS x1, CASE WHEN bl.axis = 'x' THEN (fst + lst + 1) / 2.0::DOUBLE ELSE CAST(lo AS DOUBLE) END AS y1,
+  CASE WHEN bl.axis = 'x' THEN CAST(hi + 1 AS DOUBLE) ELSE (fst + lst + 1) / 2.0::DOUBLE END AS x2, CASE WHEN bl.axis = 'x' THEN (fst + lst + 1) / 2.0::DOUBLE ELSE CAST(hi + 1 AS DOUBLE) END AS y2
+  FROM bl JOIN pl ON bl.plan_id = pl.plan_id JOIN fx_plan z ON bl.plan_id = z.plan_id WHERE bl.width <= lim AND bl.width >= seal_min)"""
+#: Pixels that can't be reached from the border once doorways are closed: cf parts of what is free.
+REACHED = f"""cn AS (SELECT plan_id, x, y FROM fx_pixels EXCEPT SELECT plan_id, x, y FROM cl), {cc('cn', 'cf')},
+ce AS (SELECT cf.plan_id, label, MAX(CASE WHEN x IN (0, width - 1) OR y IN (0, height - 1) THEN 1 ELSE 0 END) AS out FROM cf JOIN fx_plan z ON cf.plan_id = z.plan_id GROUP BY 1, 2),
+ft AS (SELECT plan_id, x, y FROM fx_pixels EXCEPT SELECT cf.plan_id, x, y FROM cf JOIN ce ON cf.plan_id = ce.plan_id AND cf.label = ce.label WHERE out = 1)"""
+BOTH = ("fx_pixels", "fx_plan")
 
 
-LIMIT = "lm AS (SELECT plan_id, gap_max + 1 AS lim FROM fx_plan)"
+def blobs(spark, d):
+    return X.gap_blobs(ink(spark, d), plan_table(spark, d), run=2)
 
 
-def limits(spark, d):
-    return plan_table(spark, d).select("plan_id", (F.col("gap_max") + 1).alias("limit"))
+def picked(spark, d, blobs):
+    boxes = X.dominant(X.component_stats(X.components(ink(spark, d))))
+    return X.seal_doorways(pixels(spark, d), ink(spark, d), blobs, plan_table(spark, d), boxes, enough=0.25)
 
 
-@query("R11_gap_scan", f"WITH {PX}, {LIMIT}, {gap_sql('ink', 'x', 'gx', 'lm')}, {gap_sql('ink', 'y', 'gy', 'lm')} SELECT plan_id, axis, line, s, e, len FROM gx UNION ALL SELECT plan_id, axis, line, s, e, len FROM gy", "fx_pixels", "fx_plan")
+def sealed(spark, d):
+    """(blobs, limits, closed pixels) with the limit that each plan takes."""
+    b = kept(blobs(spark, d), "blobs")
+    limit = kept(picked(spark, d, b), "limits")
+    return b, limit, X.seal(ink(spark, d), b, limit)
+
+
+def reachable(spark, d, closed):
+    """(regions, what can't be reached from the border)."""
+    p, z = pixels(spark, d).select("plan_id", "x", "y"), plan_table(spark, d)
+    region = kept(X.regions(p, closed, z), "regions")
+    return region, X.erase(p, region.where("region = -1"))
+
+
+@query("R11_gap_scan", f"WITH RECURSIVE {PX}, {BLOBS} SELECT bp.plan_id, bp.axis, bp.label AS blob, x, y, bl.width, depth FROM bp JOIN bl ON bp.plan_id = bl.plan_id AND bp.axis = bl.axis AND bp.label = bl.label", *BOTH)
 def r11(spark, d):
-    mask, most = ink(spark, d), limits(spark, d)
-    return X.gap_scan(mask, "x", most, 2).unionByName(X.gap_scan(mask, "y", most, 2)).withColumnsRenamed({"start": "s", "end": "e"})
+    """Pixels of every gap blob that may be a doorway."""
+    n, across = F.explode(F.sequence("start", "end")).alias("n"), F.col("axis") == "x"
+    got = blobs(spark, d).select("plan_id", "axis", "blob", "line", n, "width", "depth")
+    return got.select("plan_id", "axis", "blob", F.when(across, F.col("n")).otherwise(F.col("line")).alias("x"), F.when(across, F.col("line")).otherwise(F.col("n")).alias("y"), "width", "depth")
 
 
-@query("R12_seal_doorways", f"WITH {PX}, {LIMIT}, {seal_sql('ink', 'sl', 'lm')} SELECT plan_id, x, y FROM sl", "fx_pixels", "fx_plan")
+@query("R12_seal_doorways", f"WITH RECURSIVE {PX}, {PICKED}, {CLOSED} SELECT plan_id, x, y FROM cl", *BOTH)
 def r12(spark, d):
-    return X.seal(ink(spark, d), limits(spark, d), 2)
+    return sealed(spark, d)[2]
 
 
-# The masks of all three limits, each as a plan of its own: plan_id * 4 + step.
-@query("R12_pick_limit", f"""WITH RECURSIVE {PX}, st AS (SELECT plan_id AS p, step, width, height, CASE step WHEN 0 THEN gap_max WHEN 1 THEN floor(gap_max * 1.5 + 0.5) ELSE floor(floor(gap_max * 1.5 + 0.5) * 1.5 + 0.5) END AS lim FROM fx_plan, range(0, 3) t(step)),
-li AS (SELECT p * 4 + step AS plan_id, * FROM st), ik AS (SELECT li.plan_id, x, y FROM ink JOIN li ON ink.plan_id = li.p), {seal_sql('ik', 'sl', 'li')},
-fr AS (SELECT li.plan_id, x, y FROM px JOIN li ON px.plan_id = li.p EXCEPT SELECT plan_id, x, y FROM sl), {cc('fr', 'fc')},
-ed AS (SELECT fc.plan_id, label, MAX(CASE WHEN x IN (0, width - 1) OR y IN (0, height - 1) THEN 1 ELSE 0 END) AS out, COUNT(*) AS n FROM fc JOIN li ON fc.plan_id = li.plan_id GROUP BY 1, 2),
-sh AS (SELECT plan_id, COALESCE(SUM(n) FILTER (out = 0), 0) / SUM(n)::DOUBLE AS share FROM ed GROUP BY 1), al AS (SELECT p, step, lim, COALESCE(share, 0) AS share FROM li LEFT JOIN sh ON li.plan_id = sh.plan_id),
-pk AS (SELECT p, COALESCE(MIN(step) FILTER (share >= 0.25), MAX(step)) AS step FROM al GROUP BY 1)
-SELECT al.p AS plan_id, CAST(al.step AS INT) AS step, CAST(lim AS BIGINT) AS lim, ROUND(share, 9) AS share FROM al JOIN pk ON al.p = pk.p AND al.step = pk.step""", "fx_pixels", "fx_plan")
+@query("R12_pick_limit", f"WITH RECURSIVE {PX}, {PICKED} SELECT plan_id, step, lim, ROUND(share, 9) AS share FROM pl", *BOTH)
 def r12b(spark, d):
-    got = X.seal_doorways(pixels(spark, d), ink(spark, d), plan_table(spark, d), run=2, enough=0.25)
+    got = picked(spark, d, blobs(spark, d))
     return got.select("plan_id", "step", F.col("limit").alias("lim"), F.round("share", 9).alias("share"))
 
 
+@query("R12_doorway_lines", f"WITH RECURSIVE {PX}, {PICKED}, {LINES} SELECT plan_id, axis, label AS blob, x1, y1, x2, y2 FROM ln", *BOTH)
+def r12c(spark, d):
+    b, limit, _ = sealed(spark, d)
+    return X.doorway_lines(b, limit, plan_table(spark, d)).drop("turn")
+
+
+@query("R24_plan_doors", f"""WITH RECURSIVE {PX}, {PICKED}, {CLOSED}, {LINES}, {REACHED},
+lf AS (SELECT ln.* FROM ln JOIN fx_plan z ON ln.plan_id = z.plan_id JOIN ft ON ft.plan_id = ln.plan_id AND ft.x = LEAST(width - 1, floor((x1 + x2) / 2)) AND ft.y = LEAST(height - 1, floor((y1 + y2) / 2))),
+dd AS (SELECT plan_id, CAST(COUNT(*) AS INT) AS n, list({{'a': axis, 'l': label, 'mx': (x1 + x2) / 2, 'my': (y1 + y2) / 2, 'reach': sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 2}} ORDER BY axis, turn) AS os FROM lf GROUP BY 1),
+da AS (SELECT plan_id, 0 AS i, CAST([] AS INT[]) AS added FROM dd UNION ALL SELECT da.plan_id, i + 1, CASE WHEN len([1 for k in added if sqrt(pow(os[k].mx - os[i + 1].mx, 2) + pow(os[k].my - os[i + 1].my, 2)) < os[i + 1].reach]) = 0 THEN list_append(added, i + 1) ELSE added END FROM da JOIN dd ON da.plan_id = dd.plan_id WHERE i < n)
+SELECT plan_id, o.a AS axis, o.l AS blob FROM (SELECT dd.plan_id, os[unnest(added)] AS o FROM da JOIN dd ON da.plan_id = dd.plan_id WHERE i = n)""", *BOTH)
+def r24(spark, d):
+    """Doors of each plan: doorway lines in what can't be reached from outside, one for each doorway."""
+    b, limit, closed = sealed(spark, d)
+    z = plan_table(spark, d)
+    return X.plan_doors(X.doorway_lines(b, limit, z), reachable(spark, d, closed)[1], z).select("plan_id", "axis", "blob")
+
+
 @query("R13_outside_and_regions", f"WITH RECURSIVE {PX}, {REGIONS} SELECT plan_id, x, y, region FROM reg", "fx_pixels", "fx_plan")
 def r13(spark, d):
     return X.regions(pixels(spark, d), ink(spark, d), plan_table(spark, d))
@@ -228,26 +283,52 @@ def r19(spark, d):
     return X.absorb_partitions(pixels(spark, d), spaces(spark, d), plan_table(spark, d))
 
 
-@query("R20_classify_spaces", f"""WITH RECURSIVE {PX}, {SPACES}, {stats('sp', 'st')}, t AS (SELECT *, SUM(n) OVER (PARTITION BY plan_id) AS fl, row_number() OVER (PARTITION BY plan_id ORDER BY n DESC, label) AS k FROM st)
-SELECT t.plan_id, label AS region, n, CASE WHEN n < 0.35 * min_room OR n * 1.0 / fl > 0.6 OR (n * 1.0 / ((max_x - min_x + 1) * (max_y - min_y + 1)) < 0.45 AND n * 1.0 / fl >= 0.01) OR (k = 1 AND n * 1.0 / fl >= 0.2) THEN 'walkway' ELSE 'room' END AS kind FROM t {PLAN.format('t')}""", "fx_pixels", "fx_plan")
-def r20(spark, d):
-    return X.classify_spaces(spaces(spark, d), plan_table(spark, d))
+def halves(spark, d):
+    """Plans with a footprint of three quarters of their pixels."""
+    return plan_table(spark, d).withColumn("foot", F.col("width") * F.col("height") * 0.75)
 
 
-@query("R22_label_point", f"WITH {PX}, {run_sql('ink', 'x', 'rx')} SELECT plan_id, (s + e + 1) / 2.0::DOUBLE AS x, line + 0.5::DOUBLE AS y FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY len DESC, line, s) AS k FROM rx) WHERE k = 1", "fx_pixels")
-def r22(spark, d):
-    return X.label_point(ink(spark, d))
+CONTACTS = f"dr AS (SELECT * FROM ink WHERE (x + y) % 3 = 0), {contact_sql('x', 'kx')}, {contact_sql('y', 'ky')}, ct AS (SELECT plan_id, a, b, MAX(door) AS door FROM (SELECT * FROM kx UNION ALL SELECT * FROM ky) GROUP BY 1, 2, 3)"
+KINDS = f"""{stats('sp', 'st')}, t AS (SELECT st.*, width * height * 0.75::DOUBLE AS foot, min_room, row_number() OVER (PARTITION BY st.plan_id ORDER BY n DESC, label) AS k FROM st JOIN fx_plan z ON st.plan_id = z.plan_id),
+kd AS (SELECT plan_id, label, n, CASE WHEN n < 0.35 * min_room OR n / foot > 0.6 OR (n * 1.0 / ((max_x - min_x + 1) * (max_y - min_y + 1)) < 0.45 AND n / foot >= 0.01) OR (k = 1 AND n / foot >= 0.2) THEN 'walkway' ELSE 'room' END AS kind FROM t)"""
 
 
-@query("R25_pocket_owner", f"""WITH RECURSIVE {PX}, {REGIONS}, pa AS (SELECT plan_id, x, y, region AS label FROM reg WHERE region >= 0), {cc('ink', 'lab')}, {stats('pa', 'ps')}, {stats('lab', 'ls')},
-v AS (SELECT pa.plan_id, pa.label AS patch, lab.label AS owner, COUNT(*) AS n FROM pa JOIN lab ON pa.plan_id = lab.plan_id AND abs(pa.x - lab.x) + abs(pa.y - lab.y) = 1 GROUP BY 1, 2, 3),
-h AS (SELECT v.*, row_number() OVER (PARTITION BY v.plan_id, patch ORDER BY v.n DESC, owner) AS k FROM v JOIN ps ON v.plan_id = ps.plan_id AND patch = ps.label JOIN ls ON v.plan_id = ls.plan_id AND owner = ls.label
-  WHERE ls.min_x - 2 <= ps.min_x AND ls.min_y - 2 <= ps.min_y AND ls.max_x + 2 >= ps.max_x AND ls.max_y + 2 >= ps.max_y)
-SELECT plan_id, patch, owner FROM h WHERE k = 1""", "fx_pixels", "fx_plan")
+@query("R20_classify_spaces", f"""WITH RECURSIVE {PX}, {SPACES}, {CONTACTS}, {KINDS}
+SELECT kd.plan_id, label AS region, n, (SELECT COUNT(*) FROM ct WHERE ct.plan_id = kd.plan_id AND door AND (a = label OR b = label)) AS doors, kind FROM kd""", *BOTH)
+def r20(spark, d):
+    s = spaces(spark, d)
+    return X.classify_spaces(s, X.space_contacts(s, ink(spark, d).where("(x + y) % 3 = 0"), plan_table(spark, d)), halves(spark, d))
+
+
+@query("R22_label_point", f"""WITH RECURSIVE {PX}, {SPACES}, {KINDS}, wm AS (SELECT sp.plan_id, x, y FROM sp JOIN kd ON sp.plan_id = kd.plan_id AND sp.label = kd.label WHERE kind = 'walkway'), {cc('wm', 'wl')},
+wr AS (SELECT plan_id, label, y, MIN(x) AS s, MAX(x) AS e FROM (SELECT *, x - row_number() OVER (PARTITION BY plan_id, label, y ORDER BY x) AS i FROM wl) GROUP BY plan_id, label, y, i)
+SELECT plan_id, label, (s + e + 1) / 2.0::DOUBLE AS x, y + 0.5::DOUBLE AS y FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, label ORDER BY e - s DESC, y, s) AS k FROM wr) WHERE k = 1""", *BOTH)
+def r22(spark, d):
+    """A point inside each part of a plan's walkways."""
+    s = spaces(spark, d)
+    kinds = X.classify_spaces(s, X.space_contacts(s, ink(spark, d).where("false"), plan_table(spark, d)), halves(spark, d))
+    walk = s.join(kinds.where("kind = 'walkway'"), ["plan_id", "region"], "left_semi")
+    return X.label_points(X.components(walk))
+
+
+@query("R25_pocket_owner", f"""WITH RECURSIVE {PX}, {PICKED}, {CLOSED}, {REACHED}, {cc('ink', 'ls', True)}, {stats('ls', 'lz')},
+pa AS (SELECT cf.* FROM cf JOIN ce ON cf.plan_id = ce.plan_id AND cf.label = ce.label WHERE out = 0), {stats('pa', 'ps')},
+pf AS (SELECT ps.*, CASE WHEN label % 65536 * 2 < width THEN 1 ELSE 2 END AS space FROM ps JOIN fx_plan z ON ps.plan_id = z.plan_id),
+fl AS (SELECT plan_id, space, label FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, space ORDER BY n DESC, label) AS k FROM pf) WHERE k = 1),
+nb AS (SELECT pa.plan_id, pa.label AS patch, (pa.y * 65536 + pa.x) * 4 + k AS turn, pa.x + dx AS x, pa.y + dy AS y FROM pa JOIN fx_plan z ON pa.plan_id = z.plan_id, (VALUES (0, -1, 0), (1, 1, 0), (2, 0, -1), (3, 0, 1)) v(k, dx, dy) WHERE pa.x BETWEEN 1 AND width - 2 AND pa.y BETWEEN 1 AND height - 2),
+ad AS (SELECT DISTINCT nb.plan_id, patch FROM nb JOIN cl ON nb.plan_id = cl.plan_id AND nb.x = cl.x AND nb.y = cl.y WHERE NOT EXISTS (SELECT 1 FROM ink WHERE ink.plan_id = nb.plan_id AND ink.x = nb.x AND ink.y = nb.y)),
+v AS (SELECT nb.plan_id, patch, ls.label AS owner, COUNT(*) AS n, MIN(turn) AS turn FROM nb JOIN ls ON nb.plan_id = ls.plan_id AND nb.x = ls.x AND nb.y = ls.y GROUP BY 1, 2, 3),
+ow AS (SELECT v.plan_id, patch, arg_min(owner, (-v.n, turn)) AS owner FROM v JOIN ps ON v.plan_id = ps.plan_id AND patch = ps.label JOIN lz ON v.plan_id = lz.plan_id AND owner = lz.label
+  WHERE lz.min_x - 2 <= ps.min_x AND lz.min_y - 2 <= ps.min_y AND lz.max_x + 2 >= ps.max_x AND lz.max_y + 2 >= ps.max_y GROUP BY 1, 2)
+SELECT pf.plan_id, pf.label AS patch, pf.space, CASE WHEN fl.label = pf.label THEN 'floor' WHEN ow.owner IS NOT NULL THEN CASE WHEN ad.patch IS NOT NULL THEN 'door' ELSE 'pocket' END END AS state, CASE WHEN fl.label <> pf.label THEN ow.owner END AS owner
+FROM pf JOIN fl ON pf.plan_id = fl.plan_id AND pf.space = fl.space LEFT JOIN ow ON ow.plan_id = pf.plan_id AND ow.patch = pf.label LEFT JOIN ad ON ad.plan_id = pf.plan_id AND ad.patch = pf.label""", *BOTH)
 def r25(spark, d):
-    p = pixels(spark, d)
-    patches = X.regions(p, ink(spark, d), plan_table(spark, d)).where("region >= 0").withColumnRenamed("region", "label")
-    return X.pocket_owner(patches, X.components(ink(spark, d)))
+    """Enclosed patches of each plan; its left and right half stand for spaces, sealed gaps for doors."""
+    z = plan_table(spark, d)
+    closed = kept(sealed(spark, d)[2], "closed")
+    patches = reachable(spark, d, closed)[0].where("region >= 0").withColumnRenamed("region", "label")
+    half = X.with_plan(pixels(spark, d).select("plan_id", "x", "y"), z, "width").select("plan_id", "x", "y", F.when(F.col("x") * 2 < F.col("width"), 1).otherwise(2).alias("region"))
+    return X.pockets(patches, X.components(ink(spark, d), eight=True), half, X.erase(closed, ink(spark, d)), z)
 
 
 @query("R26_trimmed_box", f"""WITH RECURSIVE {PX}, {cc('ink', 'lab')}, cx AS (SELECT plan_id, label, x, COUNT(*) AS n FROM lab GROUP BY 1, 2, 3), cy AS (SELECT plan_id, label, y, COUNT(*) AS n FROM lab GROUP BY 1, 2, 3),
@@ -258,12 +339,12 @@ def r26(spark, d):
     return X.trimmed_box(X.components(ink(spark, d)))
 
 
-@query("R27_pen_width", f"""WITH RECURSIVE {PX}, {cc('ink', 'lab')}, {run_sql('ink', 'x', 'rx')}, {run_sql('ink', 'y', 'ry')},
+@query("R27_pen_width", f"""WITH RECURSIVE {PX}, {cc('ink', 'lab', True)}, {run_sql('ink', 'x', 'rx')}, {run_sql('ink', 'y', 'ry')},
 t AS (SELECT lab.plan_id, label, LEAST(rx.len, ry.len) AS t FROM lab JOIN rx ON lab.plan_id = rx.plan_id AND lab.y = rx.line AND lab.x BETWEEN rx.s AND rx.e JOIN ry ON lab.plan_id = ry.plan_id AND lab.x = ry.line AND lab.y BETWEEN ry.s AND ry.e),
 s AS (SELECT plan_id, label, list_sort(list(t)) AS ts FROM t GROUP BY 1, 2)
 SELECT plan_id, label, ts[CAST(floor(len(ts) / 2.0) AS INT) + 1] AS width, ts[len(ts)] AS most FROM s""", "fx_pixels")
 def r27(spark, d):
-    return X.pen_width(X.components(ink(spark, d)))
+    return X.pen_width(X.components(ink(spark, d), eight=True))
 
 
 @query("R28_upscale_result", "SELECT shape_id, ring, ROUND(MIN(x) / 0.4, 6) AS x0, ROUND(MAX(y) / 0.4, 6) AS y1 FROM fx_vertex WHERE kind = 'unit' GROUP BY 1, 2", "fx_shape", "fx_vertex")
