@@ -240,3 +240,16 @@ def merge_small_spaces(sizes: DataFrame, contacts: DataFrame, plans: DataFrame)
 def dedupe_doors(doors: DataFrame, by: str = "plan_id") -> DataFrame:
     """doors(by, seq, x1, y1, x2, y2) in order, without those whose middle is within half their length of an earlier one that stays."""
     return first_doors(doors, by)
+
+
+def footprints(mask: DataFrame, plans: DataFrame) -> DataFrame:
+    """(plan_id, ring): the closed outline of each plan's mask, squared (and then moved in by one pixel, as walls were grown) or smoothed by
+    the plan's foot_tol. Plans without a mask have no row."""
+
+    def helper(plan, m, _, first):
+        found = K.loops(m)
+        ring, squared = K.regular(K.largest(found), float(first["foot_tol"])) if found else ([], False)
+        ring = K.moved(ring, -1.0) if squared and len(ring) >= 3 else ring
+        return [(plan, _structs([*ring, ring[0]]))] if len(ring) >= 3 else []
+
+    return by_plan(mask, plans, helper, f"plan_id long, ring {R.RING}", "foot_tol")
