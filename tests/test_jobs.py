@@ -117,7 +117,7 @@ def test_walkways_and_rooms_of_two_plans(spark):
 def test_raster_stages_on_empty_tables(spark):
     plans = view(spark, DIR, "fx_plan")
     none = spark.createDataFrame([], "plan_id long, x int, y int")
-    for df in (X.wall_pixels(none, plans), X.dilate(none, plans), X.regions(none, none, plans), X.open_mask(none, none, plans), X.seal(none, plans.select("plan_id", F.lit(2).alias("limit"))), J.plan_loops(none, plans, F.lit(1.0))):
+    for df in (X.wall_pixels(none, plans), X.dilate(none, plans), X.regions(none, none, plans), X.open_mask(none, none, plans), X.gap_blobs(none, plans), X.seal(none, X.gap_blobs(none, plans), plans.select("plan_id", F.lit(2).alias("limit"))), J.plan_loops(none, plans, F.lit(1.0))):
         assert df.count() == 0
 
 
