@@ -6,6 +6,8 @@ by plan: `plans` is a table (plan_id, width, height, and the lengths of `thresho
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -410,3 +412,46 @@ def trimmed_box(mask: DataFrame, share: float = 0.3) -> DataFrame:
         side = full.groupBy("plan_id", "label").agg(F.min(axis).alias(f"{axis}0"), F.max(axis).alias(f"{axis}1"))
         out = side if out is None else out.join(side, ["plan_id", "label"])
     return out
+
+
+# Least radius of a corner where all four have it, and where not; pixels from which a part is large; agreement that a small
+# and a large part must reach to be a box.
+ALL_ROUND, ONE_ROUND, LARGE, SMALL_AGREES, LARGE_AGREES = 1.5, 2.5, 60, 0.84, 0.9
+
+
+def cut_off(radius: Column, line: Column) -> Column:
+    """How many pixels of a line of a box, `line` lines away from a corner, have their middle outside the corner's arc."""
+    away = radius - line - 0.5
+    before = radius - F.sqrt(F.greatest(radius * radius - away * away, F.lit(0.0)))
+    return F.when(away > 0, F.ceil(F.greatest(before - 0.5, F.lit(0.0)))).otherwise(F.lit(0).cast("long"))
+
+
+def rounded_boxes(labelled: DataFrame) -> DataFrame:
+    """(plan_id, label, x0, y0, x1, y1, n, radii, agree, fits): the box of trimmed_box with round corners, for each part of labelled(plan_id, label, x, y).
+
+    x1 and y1 are its last pixels. radii (from the top left, clockwise on screen): the corner that a radius cuts off is as large as what the part lacks in
+    that quarter of the box; small ones are 0. agree: pixels that part and box share, of all that either has. Counts by part only; no part is held whole.
+    """
+    part = ["plan_id", "label"]
+    wide, high = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
+    met = labelled.select(*part, "x", "y").join(trimmed_box(labelled), part)
+    # Steps from each corner's own pixel into the box, below 0 outside it.
+    across, down = (F.col("x") - F.col("x0"), F.col("x1") - F.col("x")), (F.col("y") - F.col("y0"), F.col("y1") - F.col("y"))
+    corners = [(across[0], down[0]), (across[1], down[0]), (across[1], down[1]), (across[0], down[1])]
+    half = lambda side: F.greatest(F.floor(side / 2), F.lit(1))
+    quarter = [F.count_if(i.between(0, half(wide) - 1) & j.between(0, half(high) - 1)) for i, j in corners]
+    counted = met.groupBy(*part, "x0", "y0", "x1", "y1").agg(F.count(F.lit(1)).alias("n"), F.array(*quarter).alias("filled"))
+    radius = lambda filled: F.least(F.sqrt((half(wide) * half(high) - filled) / (1 - math.pi / 4)), F.least(wide, high) / 2)
+    drawn = counted.withColumn("radii", F.transform("filled", radius)).drop("filled")
+    least = F.when(F.array_min("radii") >= ALL_ROUND, ALL_ROUND).otherwise(ONE_ROUND)
+    drawn = drawn.withColumn("least", least).withColumn("radii", F.transform("radii", lambda r: F.when(r >= F.col("least"), r).otherwise(0.0))).drop("least")
+
+    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    for k, (i, j) in enumerate(corners):
+        inside &= i >= cut_off(F.col("radii")[k], j)
+    shared = labelled.select(*part, "x", "y").join(drawn, part).groupBy(*part).agg(F.count_if(inside).alias("shared"))
+    lines = lambda r: F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(r)), lambda j: cut_off(r, j))
+    lost = F.aggregate(F.flatten(F.transform("radii", lines)), F.lit(0).cast("long"), lambda a, c: a + c)
+    agree = F.col("shared") / (F.col("n") + wide * high - lost - F.col("shared"))
+    fits = F.col("agree") >= F.when(F.col("n") >= LARGE, LARGE_AGREES).otherwise(SMALL_AGREES)
+    return drawn.join(shared, part).withColumn("agree", agree).withColumn("fits", fits).drop("shared")

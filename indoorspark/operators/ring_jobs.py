@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 
 from indoorspark.functions import kernels as K
 from indoorspark.functions import rings as R
+from indoorspark.operators import raster as X
 from indoorspark.operators.reconcile import first_doors
 from indoorspark.operators.walls import level_floors
-from indoorspark.sources.scratch import spread
+from indoorspark.sources.scratch import kept, spread
 
 # Fixed value: height of walls, in metres.
 WALL = 0.35
@@ -202,8 +203,14 @@ def partition_shapes(folded: DataFrame, plans: DataFrame, least: int = 4) -> Dat
 def fit_shapes(labelled: DataFrame, grow: float, plans: DataFrame, scrap, keep_scraps: bool = False) -> DataFrame:
     """(plan_id, label, form, ring): a box with corners round or square, a polygon or a curve fitted to each component.
 
-    A ring moves out by `grow`. A curve of fewer than `scrap` pixels is lettering and goes, unless keep_scraps.
+    Boxes are counted and drawn as columns (`raster.rounded_boxes`); only parts that are none go to the helper. A ring moves out by
+    `grow`. A curve of fewer than `scrap` pixels is lettering and goes, unless keep_scraps.
     """
+    found = X.rounded_boxes(labelled).where("fits").where((F.col("x1") - F.col("x0") + 1 + 2 * grow > 1) & (F.col("y1") - F.col("y0") + 1 + 2 * grow > 1))
+    boxes = kept(found, "fitted-boxes")
+    corners = [F.when(F.col("radii")[k] > 0, F.col("radii")[k] + grow).otherwise(0.0) for k in range(4)]
+    ring = R.rounded_rect(F.col("x0") - grow, F.col("y0") - grow, F.col("x1") + 1 + grow, F.col("y1") + 1 + grow, corners)
+    drawn = boxes.select("plan_id", "label", F.lit("box").alias("form"), ring.alias("ring"))
 
     def helper(plan, _, group, first):
         out = []
@@ -211,12 +218,13 @@ def fit_shapes(labelled: DataFrame, grow: float, plans: DataFrame, scrap, keep_s
             x0, y0 = int(part["x"].min()), int(part["y"].min())
             m = np.zeros((int(part["y"].max()) - y0 + 1, int(part["x"].max()) - x0 + 1), bool)
             m[part["y"] - y0, part["x"] - x0] = True
-            got = K.fit_shape(m, grow, 0 if keep_scraps else first["scrap"])
-            if got:
-                out.append((plan, label, got[0], _structs([(x + x0, y + y0) for x, y in got[1]])))
+            form, ring = K.outline_form(m, grow, 0 if keep_scraps else first["scrap"])
+            if ring:
+                out.append((plan, label, form, _structs([(x + x0, y + y0) for x, y in ring])))
         return out
 
-    return by_plan(labelled, plans.withColumn("scrap", scrap), helper, f"plan_id long, label long, form string, ring {R.RING}", "scrap")
+    rest = labelled.join(boxes.select("plan_id", "label"), ["plan_id", "label"], "left_anti")
+    return drawn.unionByName(by_plan(rest, plans.withColumn("scrap", scrap), helper, f"plan_id long, label long, form string, ring {R.RING}", "scrap"))
 
 
 def merge_small_spaces(sizes: DataFrame, contacts: DataFrame, plans: DataFrame) -> DataFrame:

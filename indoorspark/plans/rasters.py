@@ -339,6 +339,33 @@ def r26(spark, d):
     return X.trimmed_box(X.components(ink(spark, d)))
 
 
+CORNER = "(VALUES (1, -1, -1), (2, 1, -1), (3, 1, 1), (4, -1, 1)) c(k, sx, sy)"
+
+
+@query("R26_rounded_box", f"""WITH RECURSIVE {PX}, {cc('ink', 'lab')}, cx AS (SELECT plan_id, label, x, COUNT(*) AS n FROM lab GROUP BY 1, 2, 3), cy AS (SELECT plan_id, label, y, COUNT(*) AS n FROM lab GROUP BY 1, 2, 3),
+fx AS (SELECT plan_id, label, MIN(x) AS x0, MAX(x) AS x1 FROM (SELECT *, MAX(n) OVER (PARTITION BY plan_id, label) AS m FROM cx) WHERE n >= m * 0.3 GROUP BY 1, 2),
+fy AS (SELECT plan_id, label, MIN(y) AS y0, MAX(y) AS y1 FROM (SELECT *, MAX(n) OVER (PARTITION BY plan_id, label) AS m FROM cy) WHERE n >= m * 0.3 GROUP BY 1, 2),
+bx AS (SELECT fx.plan_id, fx.label, x0, y0, x1, y1, GREATEST((x1 - x0 + 1) // 2, 1) AS qw, GREATEST((y1 - y0 + 1) // 2, 1) AS qh, LEAST(x1 - x0 + 1, y1 - y0 + 1) / 2.0::DOUBLE AS half FROM fx JOIN fy ON fx.plan_id = fy.plan_id AND fx.label = fy.label),
+cr AS (SELECT bx.*, k, sx, sy, CASE WHEN sx < 0 THEN x0 ELSE x1 - qw + 1 END AS qx, CASE WHEN sy < 0 THEN y0 ELSE y1 - qh + 1 END AS qy FROM bx, {CORNER}),
+ra AS (SELECT cr.plan_id, cr.label, k, sx, sy, LEAST(sqrt((qw * qh - COUNT(lab.x)) / (1 - pi() / 4)), half) AS raw FROM cr
+  LEFT JOIN lab ON cr.plan_id = lab.plan_id AND cr.label = lab.label AND lab.x BETWEEN qx AND qx + qw - 1 AND lab.y BETWEEN qy AND qy + qh - 1 GROUP BY cr.plan_id, cr.label, k, sx, sy, qw, qh, half),
+rr AS (SELECT plan_id, label, k, sx, sy, CASE WHEN raw >= CASE WHEN MIN(raw) OVER (PARTITION BY plan_id, label) >= 1.5 THEN 1.5 ELSE 2.5 END THEN raw ELSE 0 END AS r FROM ra),
+cells AS (SELECT plan_id, label, x0, y0, x1, y1, x, y FROM (SELECT bx.*, unnest(generate_series(x0, x1)) AS x FROM bx) a, LATERAL (SELECT unnest(generate_series(a.y0, a.y1)) AS y) b),
+gone AS (SELECT DISTINCT cells.plan_id, cells.label, x, y FROM cells JOIN rr ON cells.plan_id = rr.plan_id AND cells.label = rr.label AND r > 0
+  WHERE sx * (x + 0.5 - CASE WHEN sx < 0 THEN x0 + r ELSE x1 + 1 - r END) > 0 AND sy * (y + 0.5 - CASE WHEN sy < 0 THEN y0 + r ELSE y1 + 1 - r END) > 0
+    AND pow(x + 0.5 - CASE WHEN sx < 0 THEN x0 + r ELSE x1 + 1 - r END, 2) + pow(y + 0.5 - CASE WHEN sy < 0 THEN y0 + r ELSE y1 + 1 - r END, 2) > r * r),
+model AS (SELECT plan_id, label, x, y FROM cells EXCEPT SELECT * FROM gone),
+met AS (SELECT model.plan_id, model.label, COUNT(*) AS cells, COUNT(lab.x) AS shared FROM model LEFT JOIN lab ON model.plan_id = lab.plan_id AND model.label = lab.label AND model.x = lab.x AND model.y = lab.y GROUP BY 1, 2),
+pn AS (SELECT plan_id, label, COUNT(*) AS n FROM lab GROUP BY 1, 2), rs AS (SELECT plan_id, label, string_agg(CAST(CAST(floor(r * 1000 + 0.5) AS BIGINT) AS VARCHAR), ' ' ORDER BY k) AS radii FROM rr GROUP BY 1, 2)
+SELECT pn.plan_id, pn.label, n, radii, shared / (n + cells - shared)::DOUBLE AS agree, shared / (n + cells - shared)::DOUBLE >= CASE WHEN n >= 60 THEN 0.9 ELSE 0.84 END AS fits
+FROM pn JOIN met ON pn.plan_id = met.plan_id AND pn.label = met.label JOIN rs ON pn.plan_id = rs.plan_id AND pn.label = rs.label""", "fx_pixels")
+def r26_rounded(spark, d):
+    """The box with round corners of each part of a plan's ink, radii in thousandths, and whether it fits."""
+    got = X.rounded_boxes(X.components(ink(spark, d)))
+    thousandths = F.array_join(F.transform("radii", lambda r: F.floor(r * 1000 + 0.5).cast("string")), " ")
+    return got.select("plan_id", "label", "n", thousandths.alias("radii"), "agree", "fits")
+
+
 @query("R27_pen_width", f"""WITH RECURSIVE {PX}, {cc('ink', 'lab', True)}, {run_sql('ink', 'x', 'rx')}, {run_sql('ink', 'y', 'ry')},
 t AS (SELECT lab.plan_id, label, LEAST(rx.len, ry.len) AS t FROM lab JOIN rx ON lab.plan_id = rx.plan_id AND lab.y = rx.line AND lab.x BETWEEN rx.s AND rx.e JOIN ry ON lab.plan_id = ry.plan_id AND lab.x = ry.line AND lab.y BETWEEN ry.s AND ry.e),
 s AS (SELECT plan_id, label, list_sort(list(t)) AS ts FROM t GROUP BY 1, 2)

@@ -133,3 +133,22 @@ def test_export_of_nothing_and_of_repeated_rows(spark):
 
 def test_every_query_is_registered():
     assert {"X1_export_features", "E14_validate_export", "R21_space_polygons", "R23_partition_shapes", "R26_fit_shape", "G18_grid_polygons", "E17_add_missing", "J8_accepted_doors"} <= set(entry.queries())
+
+
+def test_fitted_forms(spark):
+    """A square box, a disc, a part with a corner cut out, and one that is no form at all; two plans, one of real size."""
+    y, x = np.mgrid[:200, :300] + 0.5
+    big = ((x > 10) & (x < 150) & (y > 10) & (y < 70)) | ((x - 230) ** 2 + (y - 60) ** 2 <= 40**2)
+    big |= (x > 10) & (x < 110) & (y > 100) & (y < 180) & ~((x > 60) & (y > 140))
+    big |= (np.abs(x - y - 60) < 2) & (x > 180) & (x < 240)  # too few pixels to be more than lettering
+    rows = [(1, int(b), int(a)) for a, b in zip(*np.nonzero(big))] + [(2, 3, 4)]
+    ink = spark.createDataFrame(rows, "plan_id long, x int, y int")
+    plans = spark.createDataFrame([(1, 300, 200), (2, 8, 8), (3, 5, 5)], "plan_id long, width int, height int")
+    got = J.fit_shapes(X.components(ink), 0.5, plans, F.lit(1000.0)).collect()
+    area = lambda ring: abs(sum(a.x * b.y - b.x * a.y for a, b in zip(ring, [*ring[1:], ring[0]]))) / 2
+    found = {(r.plan_id, r.label): (r.form, len(r.ring), area(r.ring)) for r in got}
+    assert found[1, 10 * 65536 + 10] == ("box", 4, 141 * 61) and found[2, 4 * 65536 + 3] == ("box", 4, 4)
+    assert found[1, 100 * 65536 + 10] == ("polygon", 6, pytest.approx(101 * 81 - 50 * 40))
+    (disc,) = [v for k, v in found.items() if v[1] > 20]
+    assert disc[0] == "box" and disc[2] == pytest.approx(np.pi * 40.5**2, rel=0.02) and len(found) == 4
+    assert J.fit_shapes(X.components(ink.where("false")), 0.5, plans, F.lit(3.0)).count() == 0

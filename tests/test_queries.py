@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-QUICK = ("IO2_latest_projects", "IO7_project_id_check", "P3_parse_lat_lon", "P5_extract_place_id", "A2_building_scale", "P21_project_polygon", "G13_offset_polygon", "G20_ring_to_spans", "G23_hatch_ring", "E2_footprint_features", "E6_twin_units", "W1_paint_order", "E14_validate_package", "E15_correlations", "IO5_write_correlations", "J6_match_rooms", "J10_points_in_shapes", "R3_components", "R14_open_mask", "G19_split_holes", "E17_reconcile_level", "A4_trace_summary", "W2_auto_names", "J9_hit_stack", "IO4_export_gate", "R9_dashed_lines", "R11_gap_scan", "R12_pick_limit", "R20_classify_spaces", "R24_plan_doors", "R25_pocket_owner")
+QUICK = ("IO2_latest_projects", "IO7_project_id_check", "P3_parse_lat_lon", "P5_extract_place_id", "A2_building_scale", "P21_project_polygon", "G13_offset_polygon", "G20_ring_to_spans", "G23_hatch_ring", "E2_footprint_features", "E6_twin_units", "W1_paint_order", "E14_validate_package", "E15_correlations", "IO5_write_correlations", "J6_match_rooms", "J10_points_in_shapes", "R3_components", "R14_open_mask", "G19_split_holes", "E17_reconcile_level", "A4_trace_summary", "W2_auto_names", "J9_hit_stack", "IO4_export_gate", "R9_dashed_lines", "R11_gap_scan", "R12_pick_limit", "R20_classify_spaces", "R24_plan_doors", "R25_pocket_owner", "R26_rounded_box")
 
 
 def rows(table):
