@@ -136,11 +136,11 @@ def test_every_query_is_registered():
 
 
 def test_fitted_forms(spark):
-    """A square box, a disc, a part with a corner cut out, and one that is no form at all; two plans, one of real size."""
+    """A square box, a disc, a part with a corner cut out, and a zigzag; two plans, one of real size."""
     y, x = np.mgrid[:200, :300] + 0.5
     big = ((x > 10) & (x < 150) & (y > 10) & (y < 70)) | ((x - 230) ** 2 + (y - 60) ** 2 <= 40**2)
     big |= (x > 10) & (x < 110) & (y > 100) & (y < 180) & ~((x > 60) & (y > 140))
-    big |= (np.abs(x - y - 60) < 2) & (x > 180) & (x < 240)  # too few pixels to be more than lettering
+    big |= (np.abs(y - 140 - 2 * np.abs(x % 16 - 8)) < 3) & (x > 160) & (x < 290)  # a zigzag of too few pixels to be more than lettering
     rows = [(1, int(b), int(a)) for a, b in zip(*np.nonzero(big))] + [(2, 3, 4)]
     ink = spark.createDataFrame(rows, "plan_id long, x int, y int")
     plans = spark.createDataFrame([(1, 300, 200), (2, 8, 8), (3, 5, 5)], "plan_id long, width int, height int")
@@ -151,4 +151,6 @@ def test_fitted_forms(spark):
     assert found[1, 100 * 65536 + 10] == ("polygon", 6, pytest.approx(101 * 81 - 50 * 40))
     (disc,) = [v for k, v in found.items() if v[1] > 20]
     assert disc[0] == "box" and disc[2] == pytest.approx(np.pi * 40.5**2, rel=0.04) and len(found) == 4  # rows of under 0.3 of its width are left out, arcs have 8 steps
+    kept = J.fit_shapes(X.components(ink), 0.5, plans, F.lit(1000.0), keep_scraps=True)
+    assert {r.form for r in kept.join(spark.createDataFrame(list(found), "plan_id long, label long"), ["plan_id", "label"], "left_anti").collect()} == {"curve"}
     assert J.fit_shapes(X.components(ink.where("false")), 0.5, plans, F.lit(3.0)).count() == 0
