@@ -68,11 +68,15 @@ def unit_tiers(buildings: DataFrame, shapes: DataFrame, scale: DataFrame, walls:
     return units
 
 
-def package(buildings: DataFrame, levels: DataFrame, shapes: DataFrame, walls: bool = True) -> DataFrame:
-    """All features of all files: those of geo.FEATURE with tier, decor, file and paint (place in the file, from 1).
+#: Columns of a feature that only its geometry and its own properties need.
+DRAWING = ("rings", "point", "extra")
 
-    levels have their defaults. Buildings, levels and shapes are joined by id; no task holds a whole building. Shapes,
-    scales and features are each used several times and so written once.
+
+def every_feature(buildings: DataFrame, levels: DataFrame, shapes: DataFrame, walls: bool = True) -> DataFrame:
+    """All features of all files, in no order: those of geo.FEATURE with tier, decor and file.
+
+    levels have their defaults. Shapes and scales are used by every kind and so written once. Nothing of a feature is worked out that the
+    caller doesn't read: lists without geometry (directory rows, file counts) project no ring.
     """
     buildings, shapes = kept(buildings, "export-buildings"), kept(shapes, "export-shapes")
     scale = kept(G.building_scale(buildings, G.building_extent(buildings, shapes)), "export-scale")
@@ -85,7 +89,17 @@ def package(buildings: DataFrame, levels: DataFrame, shapes: DataFrame, walls: b
     every = G.tiered(unit_tiers(buildings, shapes, scale, walls)).withColumn("decor", F.col("tier").isin(*DECOR))
     for df in rest:
         every = every.unionByName(df.withColumns({"tier": F.lit(0), "decor": F.lit(False)}))
-    return G.paint_order(kept(every.withColumn("file", F.concat("feature_type", F.lit(".geojson"))), "export-features"), kept(levels, "export-levels"), "file")
+    return every.withColumn("file", F.concat("feature_type", F.lit(".geojson")))
+
+
+def package(buildings: DataFrame, levels: DataFrame, shapes: DataFrame, walls: bool = True, drawn: bool = True) -> DataFrame:
+    """every_feature with paint (place in the file, from 1); without `drawn`, without the columns of DRAWING.
+
+    Buildings, levels and shapes are joined by id; no task holds a whole building. Features are used twice and so written once.
+    """
+    every = every_feature(buildings, levels, shapes, walls)
+    every = every if drawn else every.drop(*DRAWING)
+    return G.paint_order(kept(every, "export-features"), kept(levels, "export-levels"), "file")
 
 
 def properties(features: DataFrame) -> DataFrame:

@@ -96,14 +96,15 @@ def package_files(features: DataFrame, buildings: DataFrame) -> DataFrame:
 
 
 def correlations(features: DataFrame) -> DataFrame:
-    """Rows of the directory table, with file_rank and paint: features(building_id, feature_type, feature_id, label, category, place_id, paint), footprints left out."""
+    """Rows of the directory table, with file_rank and, if features have it, paint: features(building_id, feature_type, feature_id, label, category,
+    place_id), footprints left out."""
     place, name = text_or(F.col("place_id"), ""), F.coalesce("label", F.lit(""))
     tied = place != ""
     kinds = [k for k in DIRECTORY]
     called = F.create_map(*[F.lit(x) for pair in DIRECTORY.items() for x in pair])[F.col("feature_type")]
     rank = F.array_position(F.array(*map(F.lit, kinds)), F.col("feature_type"))
     return features.where(F.col("feature_type").isin(*kinds)).select(
-        "building_id", rank.cast("int").alias("file_rank"), "paint", place.alias("PlaceId"), F.when(tied, name).otherwise("").alias("Name"), F.when(tied, called).otherwise("").alias("Type"),
+        "building_id", rank.cast("int").alias("file_rank"), *[c for c in ("paint",) if c in features.columns], place.alias("PlaceId"), F.when(tied, name).otherwise("").alias("Name"), F.when(tied, called).otherwise("").alias("Type"),
         F.initcap("feature_type").alias("FeatureType"), F.col("feature_id").alias("FeatureId"), name.alias("FeatureName"), text_or(F.col("category"), "unspecified").alias("FeatureCategory"),
     )
 

@@ -48,10 +48,21 @@ simplify_ring = ring_function(K.simplify_ring)
 snap_axes = ring_function(lambda r, _: K.snap_axes(r))
 
 
-@F.pandas_udf(RINGS)
-def split_holes(polygons: pd.Series) -> pd.Series:
-    """Open rings of simple polygons that cover each polygon of closed rings."""
-    return pd.Series([None if p is None else [_structs(r) for r in K.split_holes([_points(r) for r in p])] for p in polygons])
+@F.arrow_udf(RINGS)
+def split_holes(polygons: pa.Array) -> pa.Array:
+    """Open rings of simple polygons that cover each polygon of closed rings; null gives null. Points stay Arrow columns on both ways."""
+    of, rings = polygons.offsets.to_pylist(), polygons.values
+    at, (x, y) = rings.offsets.to_pylist(), (rings.values.field(k).to_pylist() for k in (0, 1))
+    ring_of, point_of, out_x, out_y = [0], [0], [], []
+    for i, valid in enumerate(polygons.is_valid().to_pylist()):
+        for ring in K.split_holes([list(zip(x[at[r] : at[r + 1]], y[at[r] : at[r + 1]])) for r in range(of[i], of[i + 1])]) if valid else []:
+            out_x += [p[0] for p in ring]
+            out_y += [p[1] for p in ring]
+            point_of.append(len(out_x))
+        ring_of.append(len(point_of) - 1)
+    points = pa.StructArray.from_arrays([pa.array(out_x, pa.float64()), pa.array(out_y, pa.float64())], ["x", "y"])
+    found = pa.ListArray.from_arrays(pa.array(point_of, pa.int32()), points)
+    return pa.ListArray.from_arrays(pa.array(ring_of, pa.int32()), found, mask=polygons.is_null())
 
 
 def expand_holes(shapes: DataFrame) -> DataFrame:

@@ -25,30 +25,34 @@ FEATURES = EXTENT.rstrip()[4:].lstrip() + ", " + UNITS + """, f AS (
 ALL = ("fx_building", "fx_level", "fx_shape", "fx_vertex", "fx_line")
 
 
+def tables(spark, d):
+    return buildings(spark, d), P.level_defaults(view(spark, d, "fx_level")), shapes(spark, d)
+
+
 def exported(spark, d, walls=False):
-    return E.package(buildings(spark, d), P.level_defaults(view(spark, d, "fx_level")), shapes(spark, d), walls)
+    return E.package(*tables(spark, d), walls)
 
 
-def features(spark, d):
-    """Features of every file but the footprint's."""
-    return exported(spark, d).where("feature_type <> 'footprint'")
+def listed(spark, d):
+    """Features of every file but the footprint's, in no order and without geometry."""
+    return E.every_feature(*tables(spark, d), walls=False).drop(*E.DRAWING).where("feature_type <> 'footprint'")
 
 
-def placed(spark, d):
+def placed(spark, d, features):
     b, levels, rows = view(spark, d, "fx_building"), view(spark, d, "fx_level"), view(spark, d, "fx_shape")
     part = lambda df, i, seq: df.select(F.col(i).alias("id"), "place_id", F.expr(seq).alias("seq"))
     sources = [part(b, "building_id", "0"), part(levels, "level_id", "ordinal"), part(rows.where("kind in ('unit', 'section')"), "shape_id", "seq"), part(rows.where("kind = 'fixture'"), "shape_id", "seq")]
-    return P.attach_place_ids(features(spark, d), sources)
+    return P.attach_place_ids(features, sources)
 
 
 @query("J1_attach_place_ids", f"WITH {FEATURES} SELECT id AS feature_id, place_id FROM f", *ALL)
 def j1(spark, d):
-    return placed(spark, d).select("feature_id", "place_id")
+    return placed(spark, d, listed(spark, d)).select("feature_id", "place_id")
 
 
 @query("J2_drop_decor", f"WITH {FEATURES} SELECT id AS feature_id, t AS feature_type FROM f WHERE NOT decor", *ALL)
 def j2(spark, d):
-    return features(spark, d).where("not decor").select("feature_id", "feature_type")
+    return listed(spark, d).where("not decor").select("feature_id", "feature_type")
 
 
 @query("J4_level_floors", """
@@ -66,13 +70,13 @@ ROWS = f"""r AS (SELECT building_id, {RANK} AS file_rank, seq, COALESCE(place_id
 
 
 def correlation_rows(spark, d):
-    """Rows of the directory table; paint, from 1 in each file, counts drawn-only units too."""
-    return K.correlations(placed(spark, d).where("not decor"))
+    """Rows of the directory table, in no order."""
+    return K.correlations(placed(spark, d, listed(spark, d)).where("not decor"))
 
 
 @query("E15_correlations", f"WITH {FEATURES}, {ROWS} SELECT building_id, file_rank, PlaceId, Name, Type, FeatureType, FeatureId, FeatureName, FeatureCategory FROM r", *ALL)
 def e15(spark, d):
-    return correlation_rows(spark, d).drop("paint")
+    return correlation_rows(spark, d)
 
 
 @query("U3_correlation_union", f"WITH {FEATURES}, {ROWS} SELECT building_id, file_rank, COUNT(*) AS n FROM r GROUP BY 1, 2", *ALL)
@@ -90,16 +94,17 @@ FILE_ORDER = "file_rank, tier, ordinal NULLS LAST, CASE WHEN ordinal IS NOT NULL
 @query("IO5_write_correlations", f"""WITH {FEATURES}, {ROWS}, od AS (SELECT r.*, f.tier, f.piece, l.ordinal FROM r JOIN f ON r.FeatureId = f.id AND r.building_id = f.building_id LEFT JOIN fx_level l ON f.level_id = l.level_id)
 SELECT building_id, COUNT(*) + 1 AS lines, md5('{','.join(K.COLUMNS)}' || chr(13) || chr(10) || string_agg({' || chr(44) || '.join(_field(c) for c in K.COLUMNS)} || chr(13) || chr(10), '' ORDER BY {FILE_ORDER})) AS text_md5 FROM od GROUP BY 1""", *ALL)
 def io5(spark, d):
-    """The CSV files as written and read again."""
+    """The CSV files as written and read again, in the order of the map: paint counts drawn-only units too."""
     path = scratch(spark, "correlations")
-    S.write_correlations(K.csv_lines(correlation_rows(spark, d)), ",".join(K.COLUMNS), path)
+    ordered = E.package(*tables(spark, d), walls=False, drawn=False).where("feature_type <> 'footprint'")
+    S.write_correlations(K.csv_lines(K.correlations(placed(spark, d, ordered).where("not decor"))), ",".join(K.COLUMNS), path)
     return S.read_written(spark, path).select("building_id", F.regexp_count("value", F.lit("\r\n")).cast("long").alias("lines"), F.md5("value").alias("text_md5"))
 
 
 @query("U2_package_files", f"""WITH {FEATURES}, cn AS (SELECT building_id, t || '.geojson' AS file, COUNT(*) AS n FROM f GROUP BY 1, 2 UNION ALL SELECT building_id, 'footprint.geojson', 1 FROM fx_building UNION ALL SELECT building_id, u.file, 0 FROM fx_building, (VALUES ('building.geojson'), ('footprint.geojson'), ('level.geojson'), ('unit.geojson')) u(file))
 SELECT building_id, file, CAST(SUM(n) AS BIGINT) AS n FROM cn GROUP BY 1, 2""", *ALL)
 def u2(spark, d):
-    return K.package_files(exported(spark, d), view(spark, d, "fx_building"))
+    return K.package_files(E.every_feature(*tables(spark, d), walls=False), view(spark, d, "fx_building"))
 
 
 # Properties of units and levels with planted faults.
