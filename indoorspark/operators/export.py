@@ -22,20 +22,20 @@ def four(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.array(R.point(x0, y0), R.point(x1, y0), R.point(x1, y1), R.point(x0, y1), R.point(x0, y0))
 
 
-def _decor(df: DataFrame, scale: DataFrame, tag, i: Column, label: str, category: str) -> DataFrame:
+def _decor(df: DataFrame, scale: DataFrame, tag, i: Column, label: str, category: str, drawn: bool = True) -> DataFrame:
     """df(building_id, level_id, ring, seq, piece) as drawn-only units; labels stand at the projected ring's centroid."""
-    df = G.join_extent(df, scale).withColumn("rings", G.project_polygon(F.array("ring")))
-    middle = R.centroid(F.element_at("rings", 1))
+    df = G.join_extent(df, scale).withColumn("rings", G.project_polygon(F.array("ring")) if drawn else G.no_rings())
+    middle = R.centroid(F.element_at("rings", 1)) if drawn else G.no_point()
     return G._feature(df, decor_id(F.col("building_id"), F.col("level_id"), tag, i), "unit", F.lit(label), level_id=F.col("level_id"), seq=F.col("seq"), category=F.lit(category), rings=F.col("rings"), point=middle)
 
 
-def doorway_units(openings: DataFrame, shapes: DataFrame, buildings: DataFrame, scale: DataFrame) -> DataFrame:
+def doorway_units(openings: DataFrame, shapes: DataFrame, buildings: DataFrame, scale: DataFrame, drawn: bool = True) -> DataFrame:
     """Floor in the doorways of raised walls: buildings with effect3d, levels that have rooms."""
     boxes = G.doorway_boxes(openings.where("level_id is not null"), scale)
     boxes = boxes.join(buildings.where("effect3d").select("building_id"), "building_id", "left_semi").join(shapes.where("kind = 'unit'").select("level_id"), "level_id", "left_semi")
     i = F.row_number().over(Window.partitionBy("level_id").orderBy("seq", "shape_id")) - 1
     boxes = boxes.withColumns({"i": i, "ring": four(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")), "piece": F.lit(0)})
-    return _decor(boxes, scale, "doorway", F.col("i"), "Doorway", "walkway")
+    return _decor(boxes, scale, "doorway", F.col("i"), "Doorway", "walkway", drawn)
 
 
 def wall_units(walls: DataFrame, scale: DataFrame) -> DataFrame:
@@ -52,16 +52,17 @@ def wall_units(walls: DataFrame, scale: DataFrame) -> DataFrame:
     return _decor(every, scale, F.col("part"), F.when(F.col("part") == "hatch", F.col("k")).otherwise(F.col("i")), "Wall", "unspecified")
 
 
-def unit_tiers(buildings: DataFrame, shapes: DataFrame, scale: DataFrame, walls: bool = True) -> dict[str, DataFrame]:
-    """Units of the unit file by tier (TIERS). Rooms and furniture with holes are split; a line is never a polygon."""
+def unit_tiers(buildings: DataFrame, shapes: DataFrame, scale: DataFrame, walls: bool = True, drawn: bool = True) -> dict[str, DataFrame]:
+    """Units of the unit file by tier (TIERS). Rooms and furniture with holes are split; a line is never a polygon. Without
+    `drawn` they have no geometry (raised walls, which are nothing else, keep it)."""
     rooms = expand_holes(shapes.where("kind = 'unit'"))
     fixtures = shapes.where("kind = 'fixture'").withColumn("rings", F.when(F.col("line").isNull(), F.col("rings")))
     openings = shapes.where("kind = 'opening'")
     units = {
-        "doorway": doorway_units(openings, shapes, buildings, scale),
-        "room": G.drawn_features(rooms, scale, "unit"),
-        "twin": G.twin_units(shapes.where("kind = 'section'"), scale),
-        "furniture": G.fixture_features(expand_holes(fixtures), scale, desks=False),
+        "doorway": doorway_units(openings, shapes, buildings, scale, drawn),
+        "room": G.drawn_features(rooms, scale, "unit", drawn=drawn),
+        "twin": G.twin_units(shapes.where("kind = 'section'"), scale, drawn),
+        "furniture": G.fixture_features(expand_holes(fixtures), scale, desks=False, drawn=drawn),
     }
     if walls:
         units["wall"] = wall_units(raised_walls(rooms, buildings, scale, G.doorway_boxes(openings, scale)), scale)
@@ -72,11 +73,11 @@ def unit_tiers(buildings: DataFrame, shapes: DataFrame, scale: DataFrame, walls:
 DRAWING = ("rings", "point", "extra")
 
 
-def every_feature(buildings: DataFrame, levels: DataFrame, shapes: DataFrame, walls: bool = True) -> DataFrame:
-    """All features of all files, in no order: those of geo.FEATURE with tier, decor and file.
+def every_feature(buildings: DataFrame, levels: DataFrame, shapes: DataFrame, walls: bool = True, drawn: bool = True) -> DataFrame:
+    """All features of all files, in no order: those of geo.FEATURE with tier, decor and file; without `drawn`, without the
+    columns of DRAWING: lists without geometry (directory rows, file counts) don't even plan a ring's projection.
 
-    levels have their defaults. Shapes and scales are used by every kind and so written once. Nothing of a feature is worked out that the
-    caller doesn't read: lists without geometry (directory rows, file counts) project no ring.
+    levels have their defaults. Shapes and scales are used by every kind and so written once.
     """
     buildings, shapes = kept(buildings, "export-buildings"), kept(shapes, "export-shapes")
     scale = kept(G.building_scale(buildings, G.building_extent(buildings, shapes)), "export-scale")
@@ -84,12 +85,13 @@ def every_feature(buildings: DataFrame, levels: DataFrame, shapes: DataFrame, wa
     fixtures = shapes.where("kind = 'fixture'").withColumn("rings", F.when(F.col("line").isNull(), F.col("rings")))
     rest = [
         G.building_features(buildings, scale), footprints, G.level_features(levels, footprints),
-        G.section_features(shapes.where("kind = 'section'"), scale), G.fixture_features(fixtures, scale, desks=True),
+        G.section_features(shapes.where("kind = 'section'"), scale, drawn), G.fixture_features(fixtures, scale, desks=True, drawn=drawn),
     ]
-    every = G.tiered(unit_tiers(buildings, shapes, scale, walls)).withColumn("decor", F.col("tier").isin(*DECOR))
+    every = G.tiered(unit_tiers(buildings, shapes, scale, walls, drawn)).withColumn("decor", F.col("tier").isin(*DECOR))
     for df in rest:
         every = every.unionByName(df.withColumns({"tier": F.lit(0), "decor": F.lit(False)}))
-    return every.withColumn("file", F.concat("feature_type", F.lit(".geojson")))
+    every = every.withColumn("file", F.concat("feature_type", F.lit(".geojson")))
+    return every if drawn else every.drop(*DRAWING)
 
 
 def package(buildings: DataFrame, levels: DataFrame, shapes: DataFrame, walls: bool = True, drawn: bool = True) -> DataFrame:
@@ -97,8 +99,7 @@ def package(buildings: DataFrame, levels: DataFrame, shapes: DataFrame, walls: b
 
     Buildings, levels and shapes are joined by id; no task holds a whole building. Features are used twice and so written once.
     """
-    every = every_feature(buildings, levels, shapes, walls)
-    every = every if drawn else every.drop(*DRAWING)
+    every = every_feature(buildings, levels, shapes, walls, drawn)
     return G.paint_order(kept(every, "export-features"), kept(levels, "export-levels"), "file")
 
 

@@ -102,6 +102,10 @@ def no_rings() -> Column:
     return F.lit(None).cast(f"array<{R.RING}>")
 
 
+def no_point() -> Column:
+    return F.lit(None).cast("struct<x:double,y:double>")
+
+
 def building_features(buildings: DataFrame, scale: DataFrame) -> DataFrame:
     df = join_extent(buildings, scale)
     return _feature(df, F.col("building_id"), "building", text_or(F.col("name"), "Building"), restriction=F.lit("restricted"), rings=no_rings(), point=R.point(project_x(F.col("cx")), project_y(F.col("cy"))))
@@ -109,22 +113,28 @@ def building_features(buildings: DataFrame, scale: DataFrame) -> DataFrame:
 
 def footprint_features(buildings: DataFrame, scale: DataFrame) -> DataFrame:
     rings = project_polygon(F.array(footprint_ring(F.col("outline"))))
-    return _feature(join_extent(buildings, scale), F.col("footprint_id"), "footprint", F.lit(None).cast("string"), category=F.lit("ground"), rings=rings, point=F.lit(None).cast("struct<x:double,y:double>"), extra=F.create_map(F.lit("building_ids"), F.to_json(F.array("building_id"))))
+    return _feature(join_extent(buildings, scale), F.col("footprint_id"), "footprint", F.lit(None).cast("string"), category=F.lit("ground"), rings=rings, point=no_point(), extra=F.create_map(F.lit("building_ids"), F.to_json(F.array("building_id"))))
 
 
 def level_features(levels: DataFrame, footprints: DataFrame) -> DataFrame:
     df = levels.join(footprints.select("building_id", "rings"), "building_id")
     own = {"ordinal": F.col("ordinal").cast("string"), "outdoor": F.lit("false"), "short_name": json_labels(F.col("short_name")), "building_ids": F.to_json(F.array("building_id"))}
     extra = F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v)])
-    return _feature(df, F.col("level_id"), "level", F.col("name"), level_id=F.col("level_id"), seq=F.col("ordinal"), restriction=F.lit("restricted"), rings=F.col("rings"), point=F.lit(None).cast("struct<x:double,y:double>"), extra=extra)
+    return _feature(df, F.col("level_id"), "level", F.col("name"), level_id=F.col("level_id"), seq=F.col("ordinal"), restriction=F.lit("restricted"), rings=F.col("rings"), point=no_point(), extra=extra)
+
+
+def centre(rings: Column) -> Column:
+    """Where the label of an area in pixels stands, projected."""
+    middle = R.display_point(F.element_at(rings, 1))
+    return R.point(project_x(middle.x), project_y(middle.y))
 
 
-def drawn_features(shapes: DataFrame, scale: DataFrame, type_: str, default: str = "Unit") -> DataFrame:
-    """Units or sections of one ring or more as features; their labels stand at the area's centre."""
+def drawn_features(shapes: DataFrame, scale: DataFrame, type_: str, default: str = "Unit", drawn: bool = True) -> DataFrame:
+    """Units or sections of one ring or more as features; their labels stand at the area's centre. Without `drawn`, here and
+    below: no rings and no points."""
     df = join_extent(shapes, scale)
-    middle = R.display_point(F.element_at("rings", 1))
-    point = R.point(project_x(middle.x), project_y(middle.y))
-    return _feature(df, F.col("shape_id"), type_, text_or(F.col("name"), default), level_id=F.col("level_id"), seq=F.col("seq"), category=category(F.col("category")), rings=project_polygon(F.col("rings")), point=point)
+    rings, point = (project_polygon(F.col("rings")), centre(F.col("rings"))) if drawn else (no_rings(), no_point())
+    return _feature(df, F.col("shape_id"), type_, text_or(F.col("name"), default), level_id=F.col("level_id"), seq=F.col("seq"), category=category(F.col("category")), rings=rings, point=point)
 
 
 def section_frame(ring: Column, mpu: Column) -> Column:
@@ -153,18 +163,17 @@ def framed(sections: DataFrame, scale: DataFrame) -> DataFrame:
     return df.withColumn("frame", frame).withColumn("solid", F.col("frame").isNull()).drop("_mpu")
 
 
-def section_features(sections: DataFrame, scale: DataFrame) -> DataFrame:
+def section_features(sections: DataFrame, scale: DataFrame, drawn: bool = True) -> DataFrame:
     """Frames or solid sections; the label stays at the whole section's centre."""
-    df = join_extent(framed(sections, scale), scale)
-    middle = R.display_point(F.element_at("rings", 1))
-    rings = project_polygon(F.when(F.col("solid"), F.col("rings")).otherwise(F.array(F.col("frame"))))
-    return _feature(df, F.col("shape_id"), "section", text_or(F.col("name"), "Unit"), level_id=F.col("level_id"), seq=F.col("seq"), category=category(F.col("category")), rings=rings, point=R.point(project_x(middle.x), project_y(middle.y)))
+    df = join_extent(framed(sections, scale) if drawn else sections, scale)
+    rings, point = (project_polygon(F.when(F.col("solid"), F.col("rings")).otherwise(F.array(F.col("frame")))), centre(F.col("rings"))) if drawn else (no_rings(), no_point())
+    return _feature(df, F.col("shape_id"), "section", text_or(F.col("name"), "Unit"), level_id=F.col("level_id"), seq=F.col("seq"), category=category(F.col("category")), rings=rings, point=point)
 
 
-def twin_units(sections: DataFrame, scale: DataFrame) -> DataFrame:
+def twin_units(sections: DataFrame, scale: DataFrame, drawn: bool = True) -> DataFrame:
     """A unit for each solid section, under an id derived from the section's."""
     solid = framed(sections, scale).where("solid").withColumn("shape_id", twin_id(F.col("shape_id"))).drop("frame", "solid")
-    return drawn_features(solid, scale, "unit")
+    return drawn_features(solid, scale, "unit", drawn=drawn)
 
 
 def strip(line: Column) -> Column:
@@ -185,16 +194,16 @@ def fixture_rings(rings: Column, line: Column, at: Column) -> Column:
     return F.when(F.size(line) >= 2, F.array(strip(line))).when(rings.isNotNull(), rings).otherwise(F.array(square))
 
 
-def fixture_features(fixtures: DataFrame, scale: DataFrame, desks: bool) -> DataFrame:
+def fixture_features(fixtures: DataFrame, scale: DataFrame, desks: bool, drawn: bool = True) -> DataFrame:
     """Desks as fixtures, or all others as units named Furniture."""
     df = join_extent(fixtures.where(is_desk(F.col("category"), F.col("place_id")) == F.lit(desks)), scale)
-    rings = project_polygon(fixture_rings(F.col("rings"), F.col("line"), F.lit(None).cast("struct<x:double,y:double>")))
+    rings = project_polygon(fixture_rings(F.col("rings"), F.col("line"), no_point())) if drawn else no_rings()
     df = df.withColumn("rings", rings)
-    middle = R.centroid(F.element_at("rings", 1))
+    point = R.centroid(F.element_at("rings", 1)) if drawn and not desks else no_point()
     label = F.col("name") if desks else text_or(F.col("name"), "Furniture")
     none = F.create_map().cast("map<string,string>")
     turned = F.when(desk_rotation(F.col("rotation")).isNotNull(), F.create_map(F.lit("rotation"), F.col("rotation").cast("string"))).otherwise(none)
-    return _feature(df, F.col("shape_id"), "fixture" if desks else "unit", label, level_id=F.col("level_id"), seq=F.col("seq"), category=F.lit("desk" if desks else "unspecified"), rings=F.col("rings"), point=F.lit(None).cast("struct<x:double,y:double>") if desks else middle, extra=turned if desks else none)
+    return _feature(df, F.col("shape_id"), "fixture" if desks else "unit", label, level_id=F.col("level_id"), seq=F.col("seq"), category=F.lit("desk" if desks else "unspecified"), rings=F.col("rings"), point=point, extra=turned if desks else none)
 
 
 def desk_rotation(rotation: Column) -> Column:

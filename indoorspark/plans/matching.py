@@ -35,7 +35,7 @@ def exported(spark, d, walls=False):
 
 def listed(spark, d):
     """Features of every file but the footprint's, in no order and without geometry."""
-    return E.every_feature(*tables(spark, d), walls=False).drop(*E.DRAWING).where("feature_type <> 'footprint'")
+    return E.every_feature(*tables(spark, d), walls=False, drawn=False).where("feature_type <> 'footprint'")
 
 
 def placed(spark, d, features):
@@ -104,7 +104,7 @@ def io5(spark, d):
 @query("U2_package_files", f"""WITH {FEATURES}, cn AS (SELECT building_id, t || '.geojson' AS file, COUNT(*) AS n FROM f GROUP BY 1, 2 UNION ALL SELECT building_id, 'footprint.geojson', 1 FROM fx_building UNION ALL SELECT building_id, u.file, 0 FROM fx_building, (VALUES ('building.geojson'), ('footprint.geojson'), ('level.geojson'), ('unit.geojson')) u(file))
 SELECT building_id, file, CAST(SUM(n) AS BIGINT) AS n FROM cn GROUP BY 1, 2""", *ALL)
 def u2(spark, d):
-    return K.package_files(E.every_feature(*tables(spark, d), walls=False), view(spark, d, "fx_building"))
+    return K.package_files(E.every_feature(*tables(spark, d), walls=False, drawn=False), view(spark, d, "fx_building"))
 
 
 # Properties of units and levels with planted faults.
