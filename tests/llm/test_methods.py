@@ -329,3 +329,98 @@ def test_followers_whatever_the_ids(spark, ids):
         near = lambda a, b: round(float(fingerprint.likeness(a[None], b[None])[0]), 9)
         want[d, __import__("hashlib").sha256(e.encode()).hexdigest(), near(own, new), near(own, nxt)] += 1
     assert Counter((r["doc_id"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprint.edit_rows(df).collect()) == want
+
+
+@pytest.mark.parametrize("label", ["mit", "bsd", "isc", "zlib", "unlicense", "gpl", "lgpl", "agpl", "apache-2.0"])
+def test_licence_with_words_lost_and_put_in_is_spanned(label):
+    s, rnd = licenses.Scanner(), random.Random(label)
+    whole = licenses.TEMPLATES[label].split()
+    prose = lambda n: [f"prose{rnd.randrange(99)}" for _ in range(n)]
+    for lost in (0, 13, 10):  # one word in so many is lost, and another is put in elsewhere
+        body, stretches = [], [0]  # stretches: template words that stand unbroken
+        for i, w in enumerate(whole):
+            if lost and i % lost == lost - 1:
+                stretches.append(0)
+                continue
+            body.append(w)
+            stretches[-1] += 1
+            if lost and i % lost == lost // 2 and i % 3 == 0:
+                body.append("x")
+                stretches.append(0)
+        covered = sum(n for n in stretches if n >= s.least) / len(whole)
+        words_ = prose(50) + body + prose(30)
+        *_, base, every, score = s.scan(" ".join(words_).title().encode())
+        assert label in every.split(",") and set(every.split(",")) == {label} | set(base.split(",") if base else ()), (lost, every)
+        t = s.names.index(label)
+        found = [x for x in s.spans([s.ids.get(w.encode(), -1) for w in words_]) if x[0] == t and x[3] >= 0.5]
+        assert len(found) == 1 and found[0][1] <= 50 + 12 and found[0][2] >= 50 + len(body) - 12 and score >= found[0][3] >= covered - 1e-9 and covered > 0.7
+    assert label not in s.scan(" ".join(whole[: len(whole) // 2 - 5]).encode())[5].split(",") or label == "gpl"  # less than half is no licence
+
+
+def longest_matches(s, words_):
+    """(template, longest match at each word), by comparing with every place of every template."""
+    out = []
+    for t, name in enumerate(s.names[: s.whole]):
+        seq = licenses.TEMPLATES[name].split()
+        run = lambda i, j, seq=seq: next((k for k in range(len(seq) - j) if i + k >= len(words_) or words_[i + k] != seq[j + k]), len(seq) - j)
+        best = [max((run(i, j) for j in range(len(seq))), default=0) for i in range(len(words_))]
+        out.append((t, best))
+    return out
+
+
+def test_matching_statistics_equal_brute_force():
+    rnd, templates = random.Random(12), dict(list(licenses.TEMPLATES.items())[:3])
+    s = licenses.Scanner()
+    for _ in range(4):
+        words_ = []
+        for _ in range(5):
+            seq = rnd.choice(list(templates.values())).split()
+            at = rnd.randrange(len(seq) - 20)
+            words_ += seq[at : at + rnd.randint(3, 20)] + [f"y{rnd.randrange(5)}"] * rnd.randint(0, 2)
+        ids = [s.ids.get(w.encode(), -1) for w in words_]
+        met = {(a, b) for a, b, state in s.automaton.matches(ids, 4)}
+        longest = [max(best[i] for _, best in longest_matches(s, words_)) for i in range(len(words_))]
+        want = {(i, i + n) for i, n in enumerate(longest) if n >= 4 and (i == 0 or longest[i - 1] <= n)}
+        assert want <= met and all(longest[a] == b - a or b - a > longest[a] for a, b in met)
+        spanned = [s.spans(ids), s.best(s.spans(ids))]
+        assert set(spanned[1]) <= set(spanned[0])
+
+
+def test_decisions_travel_over_links(spark):
+    """Thousands of pages whose verdict is decided by their links alone, a hub that a third of them point at, and chains."""
+    from indoorspark.llm import url_filter
+
+    rnd, pages, links = random.Random(3), [], []
+    add = lambda url, to=None: pages.append((len(pages), url, f'<link rel="canonical" href="{to}">' if to else None))
+    for g in range(300):  # groups of ten sites in a chain; some end at a blocked, an allowed or both kinds of page
+        hosts = [f"http://g{g}s{i}.test/p" for i in range(10)]
+        ends = [f"http://g{g}.net/x"] * (g % 3 == 1 or g % 6 == 2) + [f"http://g{g}.example.net/en/x"] * (g % 6 == 2 or g % 6 == 5)
+        for a, b in zip(hosts, hosts[1:], strict=False):
+            add(a, b) if rnd.random() < 0.5 else add(b, a)
+        for e in ends:
+            add(e, rnd.choice(hosts))
+    for i in range(1500):
+        add(f"http://hub{i}.test/a", "http://zz.net/hub")
+    got = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r for r in url_filter.judge(got).collect()}
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for _, url, html in pages:
+        if html:
+            root[find(url)] = find(html.split('href="')[1].split('"')[0])
+    rule = lambda url: "allow" if "example.net/en/" in url else "block" if ".net/" in url else None
+    groups = {}
+    for _, url, _ in pages:
+        groups.setdefault(find(url), set()).add(rule(url))
+    for page, url, _ in pages:
+        seen = groups[find(url)]
+        want = rule(url) or ("block" if "block" in seen and "allow" not in seen else "allow")
+        assert got[page]["verdict"] == want, url
+    decided = sum(got[p]["rule"] is None and got[p]["verdict"] == "block" for p, _, _ in pages)
+    assert len(got) == len(pages) and decided > 800
