@@ -339,7 +339,7 @@ def test_licence_with_words_lost_and_put_in_is_spanned(label):
     for lost in (0, 13, 10):  # one word in so many is lost, and another is put in elsewhere
         body, stretches = [], [0]  # stretches: template words that stand unbroken
         for i, w in enumerate(whole):
-            if lost and i % lost == lost - 1:
+            if lost and i % lost == lost - 1 and w not in ("lesser", "affero"):  # without these the words are another licence's
                 stretches.append(0)
                 continue
             body.append(w)
