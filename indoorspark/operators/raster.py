@@ -268,33 +268,26 @@ def pick_limit(shares: DataFrame, enough: float = 0.5) -> DataFrame:
     return shares.join(picked, ["plan_id", "step"]).select("plan_id", "step", "limit", "share")
 
 
-def box_sums(pixels: DataFrame, values: DataFrame, plans: DataFrame) -> DataFrame:
-    """pixels(plan_id, x, y) with `s`, the sum of values(plan_id, x, y, v) up to k_open away along both axes.
-
-    Each value adds itself where its reach begins and takes itself off after its end, so that running sums along rows, then
-    columns, give the sums whatever a plan's k_open is.
-    """
-    for axis, line in (("x", "y"), ("y", "x")):
-        begin, end = F.greatest(F.lit(0), F.col(axis) - F.col("k_open")), F.col(axis) + F.col("k_open") + 1
-        steps = F.explode(F.array(F.struct(begin.alias("at"), F.col("v").alias("d")), F.struct(end.alias("at"), (-F.col("v")).alias("d")))).alias("e")
-        events = with_plan(values.where("v <> 0"), plans, "k_open").select("plan_id", line, steps)
-        events = events.groupBy("plan_id", line, F.col("e.at").alias(axis)).agg(F.sum("e.d").alias("d"))
-        running = F.sum(F.coalesce("d", F.lit(0))).over(Window.partitionBy("plan_id", line).orderBy(axis))
-        values = pixels.join(events, ["plan_id", "x", "y"], "left").select("plan_id", "x", "y", running.alias("v"))
-    return values.withColumnRenamed("v", "s")
+def run_pixels(stretches: DataFrame, axis: str, start: Column, end: Column) -> DataFrame:
+    """Pixels (plan_id, x, y) of runs along `axis` with new ends, of those that aren't empty: runs must not meet."""
+    line = "y" if axis == "x" else "x"
+    found = stretches.select("plan_id", F.col("line").alias(line), start.alias("start"), end.alias("end")).where("start <= end")
+    return found.select("plan_id", line, F.explode(F.sequence("start", "end")).alias(axis)).select("plan_id", "x", "y")
 
 
-def open_mask(pixels: DataFrame, mask: DataFrame, plans: DataFrame) -> DataFrame:
-    """Erosion by the full window of 2 k_open + 1, then dilation, each as sums along rows and then columns.
+def open_mask(mask: DataFrame, plans: DataFrame) -> DataFrame:
+    """Erosion of mask(plan_id, x, y) by the full window of 2 k_open + 1, then dilation: (plan_id, x, y).
 
-    pixels: all pixels of the plans; nothing within k_open of the border survives the erosion.
+    Only runs are looked at, not the plan's free pixels: runs of rows lose k_open at both ends; runs of columns that are as long as
+    the window stay, as they lose and win k_open; what is left of rows wins k_open at both ends, but where the run before has been.
+    Nothing is beyond the border, so that nothing within k_open of it survives. Plans are dealt out once; mask has a pixel once.
     """
-    pixels = pixels.select("plan_id", "x", "y")
-    full = with_plan(box_sums(pixels, mask.select("plan_id", "x", "y", F.lit(1).cast("long").alias("v")), plans), plans, "width", "height", "k_open")
-    k = F.col("k_open")
-    off_border = F.col("x").between(k, F.col("width") - 1 - k) & F.col("y").between(k, F.col("height") - 1 - k)
-    eroded = full.where(off_border & (F.col("s") == (2 * k + 1) * (2 * k + 1))).select("plan_id", "x", "y", F.lit(1).cast("long").alias("v"))
-    return box_sums(pixels, eroded, plans).where("s > 0").select("plan_id", "x", "y")
+    k = F.col("k_open").cast("int")
+    of = lambda df, axis: with_plan(runs(df, axis), plans, "k_open")
+    narrow = run_pixels(of(spread(mask.select("plan_id", "x", "y"), "plan_id"), "x"), "x", F.col("start") + k, F.col("end") - k)
+    tall = run_pixels(of(narrow, "y").where(F.col("len") > 2 * k), "y", F.col("start"), F.col("end"))
+    before = F.lag("end").over(Window.partitionBy("plan_id", "line").orderBy("start"))
+    return run_pixels(of(tall, "x").withColumn("_e", before), "x", F.greatest(F.col("start") - k, F.col("_e") + k + 1), F.col("end") + k)
 
 
 def region_state(region: DataFrame, footprint: DataFrame, plans: DataFrame) -> DataFrame:

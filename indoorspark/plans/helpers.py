@@ -83,7 +83,7 @@ def g15(spark, d):
 @query("R15_outline")
 def r15(spark, d):
     z = plan_table(spark, d)
-    opened = X.open_mask(X.binarize(view(spark, d, "fx_pixels")), ink(spark, d), z)
+    opened = X.open_mask(ink(spark, d), z)
     return J.plan_loops(opened, z, F.lit(1.0)).select("plan_id", F.size("outline").alias("points"), F.abs(R.area(F.col("outline"))).alias("area"))
 
 

@@ -246,7 +246,7 @@ def r13(spark, d):
   WHERE p.x BETWEEN k_open AND width - 1 - k_open AND p.y BETWEEN k_open AND height - 1 - k_open GROUP BY 1, 2, 3, 4 HAVING COUNT(*) = (2 * k_open + 1) * (2 * k_open + 1))
 SELECT DISTINCT p.plan_id, p.x, p.y FROM px p JOIN er ON p.plan_id = er.plan_id AND abs(p.x - er.x) <= k_open AND abs(p.y - er.y) <= k_open""", "fx_pixels", "fx_plan")
 def r14(spark, d):
-    return X.open_mask(pixels(spark, d), ink(spark, d), plan_table(spark, d))
+    return X.open_mask(ink(spark, d), plan_table(spark, d))
 
 
 @query("R16_region_state", f"""WITH RECURSIVE {PX}, {REGIONS}, g AS (SELECT plan_id, region, COUNT(*) AS n, COUNT(*) FILTER (x < 5) AS f, GREATEST(MAX(x) - MIN(x), MAX(y) - MIN(y)) + 1 AS side FROM reg WHERE region >= 0 GROUP BY 1, 2)

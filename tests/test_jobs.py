@@ -117,7 +117,7 @@ def test_walkways_and_rooms_of_two_plans(spark):
 def test_raster_stages_on_empty_tables(spark):
     plans = view(spark, DIR, "fx_plan")
     none = spark.createDataFrame([], "plan_id long, x int, y int")
-    for df in (X.wall_pixels(none, plans), X.dilate(none, plans), X.regions(none, none, plans), X.open_mask(none, none, plans), X.gap_blobs(none, plans), X.seal(none, X.gap_blobs(none, plans), plans.select("plan_id", F.lit(2).alias("limit"))), J.plan_loops(none, plans, F.lit(1.0))):
+    for df in (X.wall_pixels(none, plans), X.dilate(none, plans), X.regions(none, none, plans), X.open_mask(none, plans), X.gap_blobs(none, plans), X.seal(none, X.gap_blobs(none, plans), plans.select("plan_id", F.lit(2).alias("limit"))), J.plan_loops(none, plans, F.lit(1.0))):
         assert df.count() == 0
 
 
@@ -154,3 +154,24 @@ def test_fitted_forms(spark):
     kept = J.fit_shapes(X.components(ink), 0.5, plans, F.lit(1000.0), keep_scraps=True)
     assert {r.form for r in kept.join(spark.createDataFrame(list(found), "plan_id long, label long"), ["plan_id", "label"], "left_anti").collect()} == {"curve"}
     assert J.fit_shapes(X.components(ink.where("false")), 0.5, plans, F.lit(3.0)).count() == 0
+
+
+def test_opening_of_a_plan_of_real_size_equals_brute_force(spark):
+    import numpy as np
+
+    rnd, rows, want = np.random.RandomState(5), [], set()
+    for plan, (w, h, k) in enumerate(((900, 600, 3), (61, 83, 0), (240, 200, 7))):
+        m = rnd.rand(h, w) < 0.02
+        for _ in range(60):  # bars and blocks, also at the border
+            x, y = rnd.randint(w), rnd.randint(h)
+            m[y : y + rnd.randint(1, 40), x : x + rnd.randint(1, 40)] = True
+        whole = np.lib.stride_tricks.sliding_window_view(m, (2 * k + 1, 2 * k + 1)).all(axis=(2, 3))
+        opened = np.zeros_like(m)
+        for y, x in zip(*np.nonzero(whole)):
+            opened[y : y + 2 * k + 1, x : x + 2 * k + 1] = True
+        ys, xs = np.nonzero(m)
+        rows += [(plan, int(x), int(y)) for x, y in zip(xs, ys)]
+        want |= {(plan, int(x), int(y)) for y, x in zip(*np.nonzero(opened))}
+    plans = spark.createDataFrame([(0, 900, 600, 3), (1, 61, 83, 0), (2, 240, 200, 7)], "plan_id long, width int, height int, k_open int")
+    got = [tuple(r) for r in X.open_mask(spark.createDataFrame(rows, "plan_id long, x int, y int"), plans).collect()]
+    assert len(got) == len(want) > 5000 and set(got) == want
