@@ -18,17 +18,25 @@ def rows(table):
     return Counter(tuple(value(r[n]) for n in names) for r in table.to_pylist())
 
 
+#: On the smallest tables DuckDB itself stops at this one's SQL with an internal error (a dictionary of its cache), so larger ones are used.
+LARGER = {"A4_trace_summary": "/root/testdata/sf0.01"}
+
+
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    for file in os.listdir(DIR):
-        con.sql(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{DIR}/{file}'")
-    return con
+    def over(folder):
+        con = duckdb.connect()
+        for file in os.listdir(folder):
+            con.sql(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{folder}/{file}'")
+        return con
+
+    return {folder: over(folder) for folder in (DIR, *LARGER.values())}
 
 
 @pytest.mark.parametrize("name", QUICK)
 def test_query_equals_sql(spark, duck, name):
-    got, want = entry.queries()[name](spark, DIR).toArrow(), duck.sql(entry.oracle_sql()[name]).to_arrow_table()
+    folder = LARGER.get(name, DIR)
+    got, want = entry.queries()[name](spark, folder).toArrow(), duck[folder].sql(entry.oracle_sql()[name]).to_arrow_table()
     assert sorted(got.column_names) == sorted(want.column_names)
     assert rows(got) == rows(want)
 
