@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indoorspark.llm import bpe, jaccard_join, language, mixing, substring
-from indoorspark.llm.common import stored, table
+from indoorspark.llm.common import finished, stored, table
 
 #: Below this probability a document's language counts as unknown, if no held-out row told rightly has less.
 LEAST_SCORE = 0.4
@@ -38,8 +38,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     table gives no rows.
     """
     row = ["none", "doc_id", "t"]
-    labels = jaccard_join.labelled(docs, NEAR).select(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "root")
-    labels = stored(labels, "pipe-labels")
+    labels = finished(spark, lambda: jaccard_join.labelled(docs, NEAR).select(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "root"), "pipe-labels")
     first = stored(labels.where("root is not null").groupBy("root").agg(F.min(F.struct(*row)).alias("first")), "pipe-first")
     gone = labels.join(first, "root").where(F.struct(*row) != F.col("first")).select("doc_id", "t").distinct()
     twice = stored(labels.groupBy("doc_id", "t").count().where("count > 1").select("doc_id", "t"), "pipe-twice")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,8 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: The folder of a `finished` table's steps while it is made.
+_steps: ContextVar[str | None] = ContextVar("steps", default=None)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_steps.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -40,6 +46,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """make() stored; the tables that it stored on the way lie in a folder of their own, which goes once the result is written."""
+    own = new_path(spark, f"{label}-steps")
+    path, outer = new_path(spark, label), _steps.set(own)
+    try:
+        df = make()
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        _steps.reset(outer)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -78,11 +78,12 @@ def text_hash() -> Column:
 
 
 def heads(docs: DataFrame, join: Join) -> DataFrame:
-    """(doc_id, t, n, c, head): hash of the text, set size, class of equal sets (null if empty) and, once a batch and class, the set's head."""
+    """(doc_id, t, n, c, head): hash of the text, set size, class of equal sets (null if empty) and, once a task and class, the set's head."""
 
     def run(batches_):
+        seen = set()
         for b in batches_:
-            n, c, h, seen = [], [], [], set()
+            n, c, h = [], [], []
             for codes in shingle_sets(b.column(1), join.words):
                 n.append(len(codes))
                 c.append(class_of(codes) if len(codes) else None)
@@ -95,19 +96,19 @@ def heads(docs: DataFrame, join: Join) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    """(c, n, codes), one row a wanted class, from the text of a document of each; of repeated rows one is taken."""
-    by = wanted.join(classes, "c").select(F.col("one.doc_id").alias("_doc"), F.col("one.t").alias("_t"), "c")
+    """(c, n, codes, hot), one row for each of wanted(c, hot), from the text of a document of each; of repeated rows one is taken."""
+    by = wanted.join(classes, "c").select(F.col("one.doc_id").alias("_doc"), F.col("one.t").alias("_t"), "c", "hot")
 
     def run(batches_):
         for b in batches_:
             rows = [(class_of(s), s) for s in shingle_sets(b.column(0), join.words)]
-            keep = [(c, s) for (c, s), want in zip(rows, b.column(1).to_pylist(), strict=True) if c == want]
-            codes = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(s) for _, s in keep])].astype(np.int32), pa.array(np.concatenate([s for _, s in keep]) if keep else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in keep], pa.int64()), pa.array([len(s) for _, s in keep], pa.int64()), codes], names=["c", "n", "codes"])
+            keep = [(c, s, hot) for (c, s), want, hot in zip(rows, b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if c == want]
+            codes = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(s) for _, s, _ in keep])].astype(np.int32), pa.array(np.concatenate([s for _, s, _ in keep]) if keep else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in keep], pa.int64()), pa.array([len(s) for _, s, _ in keep], pa.int64()), codes, pa.array([hot for _, _, hot in keep], pa.bool_())], names=["c", "n", "codes", "hot"])
 
     named = docs.select("doc_id", "text", text_hash().alias("t"))
-    texts = named.join(by, named["doc_id"].eqNullSafe(by["_doc"]) & (named["t"] == by["_t"])).select("text", "c")
-    sets = stored(texts.mapInArrow(run, "c long, n long, codes array<long>"), "join-sets")
+    texts = named.join(by, named["doc_id"].eqNullSafe(by["_doc"]) & (named["t"] == by["_t"])).select("text", "c", "hot")
+    sets = stored(texts.mapInArrow(run, "c long, n long, codes array<long>, hot boolean"), "join-sets")
     rows, distinct = sets.agg(F.count("c"), F.count_distinct("c")).first()
     return sets if rows == distinct else stored(sets.dropDuplicates(["c"]), "join-sets")
 
@@ -277,14 +278,14 @@ def link(docs: DataFrame, join: Join = Join()) -> DataFrame:
     return labelled(docs, join).select("doc_id", "n_shingles", "component_id")
 
 
-def hot_links(known: DataFrame, sets: DataFrame, join: Join) -> tuple[DataFrame, DataFrame, DataFrame]:
+def hot_links(sets: DataFrame, join: Join) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For classes that are mostly on long lists: candidate pairs (a, b), pairs with the leader of each list that is long
     here too, and those lists (h, c, n).
 
     They are sorted anew, by their rarest shingles of all: linked ones share one of the n - least(n) + 1 rarest.
     """
     n = F.col("n")
-    every = sets.join(known.where("hot").select("c"), "c", "left_semi").select("c", "n", F.explode("codes").alias("h"))
+    every = sets.where("hot").select("c", "n", F.explode("codes").alias("h"))
     rare = stored(every.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "join-rare")
     ordered = every.join(rare, "h").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("rarest"))
     front = ordered.select("c", "n", F.posexplode(F.slice("rarest", 1, n - join.least(n) + 1)).alias("place", "x")).where("x.df > 1")
@@ -313,10 +314,16 @@ def labelled(docs: DataFrame, join: Join = Join()) -> DataFrame:
     of any length are read whole; an empty table gives no rows. Ties of hashes, sizes and places are broken by class.
     """
     docs = docs.select("doc_id", "text")
-    rows = stored(heads(docs, join), "join-heads")
+    rows = stored(heads(docs, join).withColumn("at", F.monotonically_increasing_id()), "join-heads")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t"))
-    classes = stored(rows.where("c is not null").groupBy("c").agg(F.max("n").alias("n"), one.alias("one"), F.max("head").alias("head")), "join-classes")
-    posts = classes.select("c", "n", F.explode("head").alias("h"))
+    at = F.when(F.size("head") > 0, F.col("at"))
+    classes = stored(rows.where("c is not null").groupBy("c").agg(one.alias("one"), F.min(at).alias("first"), F.count(at).alias("heads")), "join-classes")
+    # heads are the bulk: they stay where they are, and only those of a class that another task has too are left out
+    headed = rows.where(F.size("head") > 0)
+    again = headed.select("c", "at").join(classes.where("heads > 1").select("c", "first"), "c").where("at <> first").select("at")
+    again = stored(again, "join-again")
+    posts = headed if again.isEmpty() else headed.join(again, "at", "left_anti")
+    posts = posts.select("c", "n", F.explode("head").alias("h"))
     lists = stored(posts.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "join-lists")
     met = posts.join(lists, "h").groupBy("c", "n").agg(F.collect_list(F.struct((F.col("size") > join.long).alias("far"), "h")).alias("on"))
     n, need = F.col("n"), join.shared(join.least(F.col("n")))
@@ -326,10 +333,11 @@ def labelled(docs: DataFrame, join: Join = Join()) -> DataFrame:
     first_is_less = lambda q, m: (m["n"] > q["n"]) | ((m["n"] == q["n"]) & (m["c"] > q["c"]))
     pairs = asked(known.select(F.explode("near").alias("h"), "c", "n", "far", "hot"), ~F.col("reader.hot"), lambda q, m: (m["hot"] | first_is_less(q, m)) & join.alike(q["n"], m["n"]), join)
     pairs, hot = stored(pairs, "join-pairs"), not known.where("hot").isEmpty()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).unionByName(known.where("hot").select("c")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c"), F.lit(False).alias("hot")).unionByName(known.where("hot").select("c", "hot"))
+    wanted = wanted.groupBy("c").agg(F.max("hot").alias("hot"))
     sets = sets_of(docs, wanted, classes.select("c", "one"), join)
     if hot:
-        close, star, many = hot_links(known, sets, join)
+        close, star, many = hot_links(sets, join)
         pairs = stored(pairs.unionByName(close), "join-pairs")
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = stored(verified(first.unionByName(star) if hot else first, sets, join), "join-links")
@@ -337,7 +345,8 @@ def labelled(docs: DataFrame, join: Join = Join()) -> DataFrame:
     # what these links have not joined
     root_of = lambda of: roots.select(F.col("node").alias(of), F.col("root").alias(f"root_{of}"))
     apart = pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
-    links = links.unionByName(verified(apart, sets, join))
+    apart = stored(apart.distinct(), "join-apart")
+    links = links if apart.isEmpty() else links.unionByName(verified(apart, sets, join))
     if hot:
         more = search_lists(many.join(roots.withColumnRenamed("node", "c"), "c", "left").select("h", "c", "n", F.coalesce("root", "c").alias("root")), sets, join)
         links = links if more is None else links.unionByName(more)

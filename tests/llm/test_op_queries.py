@@ -1,6 +1,7 @@
 """The queries on the given tables against brute force, round trips or held-out labels."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -80,6 +81,20 @@ def test_pipeline_stages_equal_brute_force(spark, documents):
     assert ids == {r["doc_id"]: r["ids_sha256"] for r in bpe.op1_bpe(spark, DIR).collect()}
 
 
+def test_near_copies_leave_no_table_of_their_search(spark, documents):
+    import corpus_pipeline
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    there = set(os.listdir(folder))
+    twice = table(spark, DIR, "documents").select("doc_id", "text")
+    twice = twice.unionByName(twice.where("doc_id % 3 = 0").selectExpr("doc_id + 1000000 AS doc_id", "text")).repartition(4, "doc_id")  # copies in other tasks
+    kept = {r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, twice, DIR).collect()}
+    near = brute_components([(r["doc_id"], r["text"]) for r in twice.collect()], 5, 80)
+    assert kept == {d for d, (_, c) in near.items() if d == c}
+    left = set(os.listdir(folder)) - there
+    assert left and all(x.startswith("pipe-") and "-steps-" not in x for x in left)
+
+
 def test_stages_keep_columns_of_any_name(spark):
     import corpus_pipeline
 
