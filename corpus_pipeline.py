@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indoorspark.llm import bpe, jaccard_join, language, mixing, substring
-from indoorspark.llm.common import finished, stored, table
+from indoorspark.llm.common import finished, small_batches, stored, table
 
 #: Below this probability a document's language counts as unknown, if no held-out row told rightly has less.
 LEAST_SCORE = 0.4
@@ -21,6 +21,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     id or lang; repeated rows are told alike; texts of any length are read whole. All columns come out as they were,
     whatever their names; an empty table gives no rows.
     """
+    small_batches(spark)
     model = language.fit(docs)
     if not model["langs"]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -37,6 +38,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     nothing. Texts of any length are read whole. All columns come out as they were, whatever their names; an empty
     table gives no rows.
     """
+    small_batches(spark)
     row = ["none", "doc_id", "t"]
     labels = finished(spark, lambda: jaccard_join.labelled(docs, NEAR).select(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "root"), "pipe-labels")
     first = stored(labels.where("root is not null").groupBy("root").agg(F.min(F.struct(*row)).alias("first")), "pipe-first")
@@ -57,6 +59,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts, and documents of null id, stay as they are; repeated rows are cut alike; texts of any length are
     read whole. Columns other than text and n_chars come out as they were, whatever their names; an empty table gives no rows.
     """
+    small_batches(spark)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     cut = substring.removed(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("row")))
     cut = cut.where("_removed = 0 or _removed < _words")
@@ -81,6 +84,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no tokens; repeated rows are encoded alike; texts of any length are encoded whole. Other
     columns are ignored; an empty table gives no rows.
     """
+    small_batches(spark)
     ids = bpe.add_ids(docs.select("doc_id", "text", "lang", "source"))
     return ids.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 

@@ -60,6 +60,21 @@ def finished(spark: SparkSession, make: Callable[[], DataFrame], label: str) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that go to Python at once.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's rows go to Python in Arrow batches of about BATCH bytes, if it has no bound of its own.
+
+    Spark's 10,000 rows or 64 MB are held several times over, off heap by the executor and in each of its workers; no
+    result depends on where batches end.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -204,3 +204,27 @@ def test_op10_prefixes_lengthen_alike(spark):
     df = table(spark, DIR, "documents").select("doc_id", "text")
     few, many = ({tuple(r) for r in substring.removed(df, group=g).select("doc_id", "_removed", F.sha2("_kept", 256)).collect()} for g in (5, substring.GROUP))
     assert few == many
+
+
+def test_pipeline_sends_texts_to_python_in_small_batches(spark):
+    """64 MB of texts at once, several times over in an executor, are more than its memory has room for beside the heap."""
+    import corpus_pipeline
+
+    key, bound = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+    docs = spark.range(3_000, numPartitions=1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 1000) as text", "'en' as lang", "'s' as source", "0L as n_chars").coalesce(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes for b in batches]})
+
+    few = docs.limit(5)
+    for stage in (corpus_pipeline.known_language, corpus_pipeline.without_near_copies, corpus_pipeline.without_repeats, corpus_pipeline.encoded):
+        spark.conf.unset(key)
+        stage(spark, few, DIR)
+        got = [r["bytes"] for r in docs.mapInArrow(sizes, "bytes long").collect()]
+        assert sum(got) > 20_000_000 and max(got) <= 1.1 * bound, stage.__name__
+    spark.conf.set(key, "1048576")
+    corpus_pipeline.encoded(spark, few, DIR)
+    assert spark.conf.get(key) == "1048576"  # a bound of the session's own stays
+    spark.conf.unset(key)
